@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, suffix
 from .common import table
 
 
@@ -10,7 +10,11 @@ def op8_minhash_bottomk(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_in_shingle=4)
 
 
-QUERIES = {"op8_minhash_bottomk": op8_minhash_bottomk}
+def op4_suffix_runlength(spark, sf_dir):
+    return suffix.deduplicated(table(spark, sf_dir, "documents"), size=100)
+
+
+QUERIES = {"op4_suffix_runlength": op4_suffix_runlength, "op8_minhash_bottomk": op8_minhash_bottomk}
 
 ORACLE_SQL: dict[str, str] = {}
 
