@@ -30,9 +30,11 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written out, so that the join below deals both of its sides itself and can split a vertex with many edges.
+        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = saved(large)
+        down = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(down, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = saved(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
         now = _state(e)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, suffix
+from . import capfilter, minhash, suffix
 from .common import table
 
 
@@ -10,11 +10,15 @@ def op8_minhash_bottomk(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_in_shingle=4)
 
 
+def op1_capfilter_embeddings(spark, sf_dir):
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op4_suffix_runlength(spark, sf_dir):
     return suffix.deduplicated(table(spark, sf_dir, "documents"), size=100)
 
 
-QUERIES = {"op4_suffix_runlength": op4_suffix_runlength, "op8_minhash_bottomk": op8_minhash_bottomk}
+QUERIES = {"op1_capfilter_embeddings": op1_capfilter_embeddings, "op4_suffix_runlength": op4_suffix_runlength, "op8_minhash_bottomk": op8_minhash_bottomk}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -32,3 +36,15 @@ r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v, r.c FROM r JOI
 SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept
 FROM (SELECT id AS doc_id, min(c) AS m FROM r GROUP BY id) LEFT JOIN n USING (doc_id)
 """
+
+ORACLE_SQL["op1_capfilter_embeddings"] = r"""
+WITH RECURSIVE raw AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS MATERIALIZED (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM raw
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND list_dot_product(v, v) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+r(id, c) AS (SELECT vec_id, vec_id FROM raw UNION SELECT e.v, r.c FROM r JOIN e ON r.id = e.u),
+n AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, m AS component_id, vec_id = m AS kept
+FROM (SELECT id AS vec_id, min(c) AS m FROM r GROUP BY id) LEFT JOIN n ON u = vec_id
+"""
