@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import capfilter, minhash, suffix
-from .common import table
+from pyspark.sql import functions as F
+
+from . import capfilter, cotrain, minhash, suffix, toxicity
+from .common import crc_class, table
 
 
 def op8_minhash_bottomk(spark, sf_dir):
@@ -18,7 +20,27 @@ def op4_suffix_runlength(spark, sf_dir):
     return suffix.deduplicated(table(spark, sf_dir, "documents"), size=100)
 
 
-QUERIES = {"op1_capfilter_embeddings": op1_capfilter_embeddings, "op4_suffix_runlength": op4_suffix_runlength, "op8_minhash_bottomk": op8_minhash_bottomk}
+def op5_toxicity_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs, model, score_col="score")
+    return out.select("doc_id", (crc_class("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_quality_cotraining(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = cotrain.train(docs, table(spark, sf_dir, "labels"))
+    out = cotrain.scored(docs, model, ("score", "text_score", "meta_score"))
+    return out.select("doc_id", (crc_class("doc_id", 3) == 1).alias("held_out"), "score", "text_score", "meta_score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_capfilter_embeddings": op1_capfilter_embeddings,
+    "op4_suffix_runlength": op4_suffix_runlength,
+    "op5_toxicity_segments": op5_toxicity_segments,
+    "op8_minhash_bottomk": op8_minhash_bottomk,
+    "op10_quality_cotraining": op10_quality_cotraining,
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
