@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it back: lineage ends, executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

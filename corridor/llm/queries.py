@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import capfilter, cotrain, minhash, suffix, toxicity
+from . import capfilter, cotrain, minhash, packing, suffix, toxicity
 from .common import crc_class, table
 
 
@@ -27,6 +27,10 @@ def op5_toxicity_segments(spark, sf_dir):
     return out.select("doc_id", (crc_class("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_packing_hilbert(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), length=2048)
+
+
 def op10_quality_cotraining(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = cotrain.train(docs, table(spark, sf_dir, "labels"))
@@ -39,6 +43,7 @@ QUERIES = {
     "op4_suffix_runlength": op4_suffix_runlength,
     "op5_toxicity_segments": op5_toxicity_segments,
     "op8_minhash_bottomk": op8_minhash_bottomk,
+    "op9_packing_hilbert": op9_packing_hilbert,
     "op10_quality_cotraining": op10_quality_cotraining,
 }
 
