@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import lists, saved, whole
 from .components import connected
 
-HELD, SHARE, BLOCK, SEED = 8.0, 9.0, 512, 20240501
+HELD, SHARE, BLOCK, SEED = 8.0, 20.0, 512, 20240501
 
 
 def _tail(t: float) -> float:

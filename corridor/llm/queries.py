@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import capfilter, cotrain, minhash, packing, suffix, toxicity
+from . import capfilter, cotrain, lm, minhash, packing, suffix, toxicity
 from .common import crc_class, table
 
 
@@ -27,6 +27,10 @@ def op5_toxicity_segments(spark, sf_dir):
     return out.select("doc_id", (crc_class("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_lm_bilinear(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_packing_hilbert(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), length=2048)
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_capfilter_embeddings": op1_capfilter_embeddings,
     "op4_suffix_runlength": op4_suffix_runlength,
     "op5_toxicity_segments": op5_toxicity_segments,
+    "op6_lm_bilinear": op6_lm_bilinear,
     "op8_minhash_bottomk": op8_minhash_bottomk,
     "op9_packing_hilbert": op9_packing_hilbert,
     "op10_quality_cotraining": op10_quality_cotraining,
