@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import capfilter, cotrain, lm, minhash, packing, suffix, toxicity
+from . import capfilter, cotrain, lm, minhash, packing, pieces, suffix, toxicity, urlfilter
 from .common import crc_class, table
 
 
@@ -16,6 +16,16 @@ def op1_capfilter_embeddings(spark, sf_dir):
     return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op2_urlfilter_temporal(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", (F.col("page_id") * 37 % 366).cast("int"))
+    return urlfilter.judged(captures, urlfilter.dated_lists(pages))
+
+
+def op3_pieces_sampled(spark, sf_dir):
+    return pieces.encoded(table(spark, sf_dir, "documents"), sharpness=1.0, seed=1)
+
+
 def op4_suffix_runlength(spark, sf_dir):
     return suffix.deduplicated(table(spark, sf_dir, "documents"), size=100)
 
@@ -44,6 +54,8 @@ def op10_quality_cotraining(spark, sf_dir):
 
 QUERIES = {
     "op1_capfilter_embeddings": op1_capfilter_embeddings,
+    "op2_urlfilter_temporal": op2_urlfilter_temporal,
+    "op3_pieces_sampled": op3_pieces_sampled,
     "op4_suffix_runlength": op4_suffix_runlength,
     "op5_toxicity_segments": op5_toxicity_segments,
     "op6_lm_bilinear": op6_lm_bilinear,
@@ -80,3 +92,5 @@ n AS (SELECT u, count(*) AS n FROM e GROUP BY u)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, m AS component_id, vec_id = m AS kept
 FROM (SELECT id AS vec_id, min(c) AS m FROM r GROUP BY id) LEFT JOIN n ON u = vec_id
 """
+
+ORACLE_SQL["op2_urlfilter_temporal"] = urlfilter.ORACLE_SQL
