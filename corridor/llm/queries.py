@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import capfilter, cotrain, lm, minhash, packing, pieces, suffix, toxicity, urlfilter
+from . import capfilter, cotrain, lm, media, minhash, packing, pieces, suffix, toxicity, urlfilter
 from .common import crc_class, table
 
 
@@ -41,6 +41,10 @@ def op6_lm_bilinear(spark, sf_dir):
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op7_media_sniffing(spark, sf_dir):
+    return media.read_back(media.stored(table(spark, sf_dir, "documents")))
+
+
 def op9_packing_hilbert(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), length=2048)
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_suffix_runlength": op4_suffix_runlength,
     "op5_toxicity_segments": op5_toxicity_segments,
     "op6_lm_bilinear": op6_lm_bilinear,
+    "op7_media_sniffing": op7_media_sniffing,
     "op8_minhash_bottomk": op8_minhash_bottomk,
     "op9_packing_hilbert": op9_packing_hilbert,
     "op10_quality_cotraining": op10_quality_cotraining,
