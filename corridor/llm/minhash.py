@@ -175,13 +175,14 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 8
     """(doc_id, n_shingles, component_id, kept) for each document.
 
     Null and empty texts and texts without words have no shingle, link with nothing and are kept.  Equal
-    texts share a class.  Other columns are ignored, whatever their names.  Ids are taken as unique.
+    texts share a class.  Other columns are ignored, whatever their names.  Ids are taken as unique; rows with a
+    null id link with nothing and are kept.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     n = parts(docs, "text")
     share = floor / k
-    sk = saved(sketches(docs, words_in_shingle, k))
+    sk = saved(sketches(docs, words_in_shingle, k).withColumn("sig", F.when(F.col("doc_id").isNotNull(), F.col("sig"))))
     # The smallest document of each set.
     reps = saved(sk.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r"), F.count("*").alias("m")).select("sig", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("size"), F.col("r.sketch").alias("sketch"), "m"))
     values = reps.select("rep", F.explode("sketch").alias("value"))
@@ -234,5 +235,5 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 8
         sk.select("doc_id", "n_shingles", "sig")
         .join(final, "sig", "left")
         .select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -305,3 +305,32 @@ def deduplicated(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(finish, schema)
+
+
+def cleaned(docs: DataFrame, size: int = 100) -> DataFrame:
+    """docs with repeated bytes removed from text (and n_chars counted anew); all columns and rows stay.
+
+    Bytes left over from a character that was cut are dropped with it.
+    """
+    names = docs.columns
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = repeated_windows(own, size).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("marks").alias("__marks"))  # bounded by the document
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def finish(batches):
+        for batch in batches:
+            data, off = buffers(batch.column(text))
+            out = []
+            for k, (m, null) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(text).is_null().to_pylist(), strict=True)):
+                own = data[off[k] : off[k + 1]].tobytes()
+                s, e = _spans(m, size)
+                kept = b"".join(own[p:q] for p, q in zip([0, *e.tolist()], [*s.tolist(), len(own)], strict=True))
+                out.append(None if null else kept.decode("utf-8", "ignore"))
+            cols = batch.columns[: len(names)]
+            cols[text] = pa.array(out, pa.string())
+            if chars is not None:
+                cols[chars] = pa.array([None if x is None else len(x) for x in out], pa.int64()).cast(cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    joined = docs.join(marks, docs["doc_id"].cast("long") == marks["__id"], "left").select(*[docs[c] for c in names], "__marks")
+    return joined.mapInArrow(finish, docs.schema)
