@@ -12,7 +12,9 @@ import numpy as np
 
 from .bytehash import U64, prefix, substring
 
-END, KEPT = 1, 1_000_000
+END, KEPT, SLOTS = 1, 2_000_000, 1 << 22
+#: Stands between words; as one character between spaces it always gives one id of its own.
+MARK = " \x01 "
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[0x20, 0x0A]] = True
 _memory: dict = {}
@@ -30,20 +32,57 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.slots = np.full(SLOTS, -1, dtype=np.int32)  # word by the low bits of its key
+        self.rest, self.rest_at = np.zeros(0, U64), np.zeros(0, np.int64)  # words whose slot another one holds
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Number of each word in the memory, or -1."""
+        if not len(self.keys):
+            return np.full(len(key), -1, dtype=np.int64)
+        got = self.slots[(key & U64(SLOTS - 1)).astype(np.int64)].astype(np.int64)
+        miss = np.flatnonzero(self.keys[got] != key)  # -1 reads the last key: right or a miss
+        got[got < 0] = -1
+        if len(miss):
+            got[miss] = -1
+            if len(self.rest):
+                p = np.minimum(np.searchsorted(self.rest, key[miss]), len(self.rest) - 1)
+                hit = self.rest[p] == key[miss]
+                got[miss[hit]] = self.rest_at[p[hit]]
+        return got
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each), many words to a call, with a mark of one known id between them."""
+        mark = np.array([self.mark], dtype=np.uint32)
+        got = self.tokenizer.encode_batch_fast([MARK.join(texts[k : k + 64]) for k in range(0, len(texts), 64)], add_special_tokens=False)
+        flat = np.concatenate([y for x in got for y in (np.array(x.ids, dtype=np.uint32), mark)]) if got else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(flat == self.mark)
+        return flat[flat != self.mark], np.diff(np.append(-1, ends)) - 1
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.array([y for x in ids for y in x], dtype=np.uint32)])
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        odd = np.array([MARK[1] in x for x in texts], dtype=bool)
+        flat, size = self._ids([x for x, o in zip(texts, odd.tolist(), strict=True) if not o])
+        if odd.any():
+            own = [x.ids for x in self.tokenizer.encode_batch([x for x, o in zip(texts, odd.tolist(), strict=True) if o], add_special_tokens=False)]
+            keys = np.concatenate([keys[~odd], keys[odd]])
+            flat = np.concatenate([flat, np.array([y for x in own for y in x], dtype=np.uint32)])
+            size = np.concatenate([size, np.array([len(x) for x in own], dtype=np.int64)])
+        n = len(self.keys)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.keys, self.flat = np.concatenate([self.size, size]), np.concatenate([self.keys, keys]), np.concatenate([self.flat, flat])
+        slot = (keys & U64(SLOTS - 1)).astype(np.int64)
+        free = self.slots[slot] < 0
+        self.slots[slot[free]] = n + np.flatnonzero(free)
+        lost = np.flatnonzero(self.slots[slot] != n + np.arange(len(keys)))
+        if len(lost):
+            rest, at = np.concatenate([self.rest, keys[lost]]), np.concatenate([self.rest_at, n + lost])
+            order = np.argsort(rest)
+            self.rest, self.rest_at = rest[order], at[order]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by END; number of ids of each text)."""
@@ -55,15 +94,18 @@ class WordIds:
         after[off[1:][filled] - 1] = False
         s, e = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
         d = np.searchsorted(off, s, side="right") - 1
-        key, first, which = np.unique(substring(prefix(data), s, e), return_index=True, return_inverse=True)
+        key = substring(prefix(data), s, e)
         if len(self.keys) > KEPT:
             self._clear()
-        new = ~np.isin(key, self.keys)
-        if new.any():
+        w = self._find(key)
+        new = np.flatnonzero(w < 0)
+        if len(new):
+            u, first = np.unique(key[new], return_index=True)
+            first = new[first]
             raw = data.tobytes()
-            self._learn(key[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)])
-        w = np.searchsorted(self.keys, key)[which]
-        at, size = self.at[w] if len(w) else np.zeros(0, np.int64), self.size[w] if len(w) else np.zeros(0, np.int64)
+            self._learn(u, [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)])
+            w[new] = self._find(key[new])
+        at, size = self.at[w], self.size[w]
         count = np.bincount(d, weights=size, minlength=docs).astype(np.int64) + 1
         out = np.full(count.sum(), END, dtype=np.uint32)
         total = int(size.sum())
