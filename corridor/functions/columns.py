@@ -18,7 +18,8 @@ def millis(ts: str | Column) -> Column:
 
 
 def seconds_between(later: str | Column, earlier: str | Column) -> Column:
-    return F.timestamp_diff("MILLISECOND", col(earlier), col(later)) / F.lit(1000.0)
+    """Seconds on the grid of milliseconds."""
+    return (millis(later) - millis(earlier)) / F.lit(1000.0)
 
 
 def plus_millis(ts: str | Column, ms: int | Column) -> Column:
