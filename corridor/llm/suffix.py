@@ -31,7 +31,7 @@ from .bytehash import U64, buffers, chunks, mix, prefix, substring
 from .common import parts, saved, whole
 from .rlindex import RunIndex
 
-GRAM, MOST, LOCAL = 32, 255, 8
+GRAM, MOST, LOCAL, HOT = 32, 255, 8, 1 << 20
 INDEX_SYMBOLS = 1 << 20
 
 
@@ -163,12 +163,13 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
         keep = count >= LOCAL
         yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(count[keep])], names=["a", "n"])
 
-    bound = max(4096, int(total) // (27 * 4096))  # so at most 4096 anchors or so are hot
+    # There is an anchor for about every 27 bytes, so at most HOT anchors (8 MB) can have that many contents.
+    bound = max(512, int(total) // (27 * HOT))
     found = docs.mapInArrow(heavy, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).collect()
-    hot = np.array(sorted(r["a"] for r in found), dtype=np.int64).view(U64)
+    hot_anchors = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["a"] for r in found), dtype=np.int64).view(U64))
 
     def send(batches):
-        x = _partition(batches, size, hot)
+        x = _partition(batches, size, hot_anchors.value)
         if x is None:
             return
         order, new, again = _firsts(x)
@@ -253,9 +254,8 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
             pick = order[p:q]
             pick = pick[np.lexsort((s[pick], d[pick]))]
             data, off = buffers(got.column("seg").take(pa.array(pick)))
-            index = RunIndex(data, off)
-            at = index.repeats(size)
             base = off[:-1] + np.arange(len(pick))
+            at = RunIndex(data, off).repeats(size) if len(data) <= 4 * INDEX_SYMBOLS else large_group(data, off, size)
             t = np.searchsorted(base, at, side="right") - 1
             w = at - base[t]
             cut = np.concatenate([[True], (np.diff(t) != 0) | (np.diff(w) != 1)]) if len(at) else np.zeros(0, bool)
@@ -270,6 +270,25 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     return both.select(F.col("key").alias("doc_id"), F.col("s").alias("marks"))
 
 
+def large_group(data: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
+    """The repeats of one index over all segments, from several indexes of single windows that share a hash."""
+    own = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    at = np.arange(len(data))
+    at = at[at + size <= off[1:][own]]
+    parts_ = -(-len(at) * size // INDEX_SYMBOLS)
+    share = substring(prefix(data), at, at + size) % U64(parts_)
+    found = []
+    for k in range(parts_):
+        pick = at[share == U64(k)]
+        if not len(pick):
+            continue
+        texts = data[pick[:, None] + np.arange(size)].ravel()
+        hit = RunIndex(texts, np.arange(len(pick) + 1) * size).repeats(size) // (size + 1)
+        found.append(pick[hit])
+    found = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return np.sort(found + own[found])
+
+
 def _spans(marks: list[bytes] | None, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of covered bytes: starts and ends."""
     if not marks:
