@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 8
     # The smallest document of each set.
     reps = saved(sk.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r"), F.count("*").alias("m")).select("sig", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("size"), F.col("r.sketch").alias("sketch"), "m"))
     values = reps.select("rep", F.explode("sketch").alias("value"))
-    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    # Written out, so that the join deals both sides itself and can split a value that very many documents hold.
+    common = saved(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     shared = values.join(common, "value").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("rare"))  # k values at most
     least = F.when(F.col("size") <= floor, F.ceil(F.col("size") * percent / 100)).otherwise(F.least(F.lit(floor), F.ceil(F.least("size", F.lit(k)) * percent / 100)))
     posted = shared.join(reps.select("rep", "size", "sketch"), "rep").withColumn("lists", (F.size("sketch") - least + 1 - (F.size("sketch") - F.size("rare"))).cast("int"))
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 8
     groups = saved(connected(posted.mapInArrow(propose, "u long, v long")))
     # Whole texts of the candidates, by group; large groups in pairs of blocks.
     weight = groups.join(reps.select(F.col("rep").alias("id"), F.col("size")), "id")
-    total = weight.groupBy("component").agg(F.sum(F.col("size") * 8 + 64).alias("bytes"))
+    total = saved(weight.groupBy("component").agg(F.sum(F.col("size") * 8 + 64).alias("bytes")))
     members = blocked(weight.join(total, "component"), "id", F.ceil(F.col("bytes") / GROUP_BYTES)).select("component", "i", "j", "mine", F.col("id").alias("doc_id"))
     texts = members.join(docs, "doc_id").select("component", "i", "j", "mine", "doc_id", "text").repartition(n, "component", "i", "j")
 
