@@ -8,7 +8,8 @@ for every word of the other half, how far down the list the sum still suffices.
 filter are compared in double precision.
 
 Sizes follow from the number n of different vectors: t is such that a filter holds about ``HELD``
-unrelated vectors, and m such that a pair at the threshold shares ``SHARE`` filters on average.
+unrelated vectors, and m such that a pair at the threshold shares ``SHARE`` filters on average in each of ``CODES``
+independent codes.
 
 Equal vectors collapse before; filters with many members are cut into blocks and pairs of blocks meet.
 Each pair is counted in the smallest filter that both are in, so links need not be listed: every block
@@ -17,7 +18,7 @@ emits a count of links for a vector and a spanning forest, which grow with its m
 
 from __future__ import annotations
 
-from math import ceil, erfc, exp, pi, sqrt
+from math import ceil, erfc, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import lists, saved, whole
 from .components import connected
 
-HELD, SHARE, BLOCK, SEED = 8.0, 20.0, 512, 20240501
+HELD, SHARE, CODES, BLOCK, SEED = 8.0, 12.0, 2, 512, 20240501
 
 
 def _tail(t: float) -> float:
@@ -50,25 +51,25 @@ def plan(n: int, cosine: float) -> tuple[float, int]:
     return t, min(8192, ceil(sqrt(SHARE / _joint(t, min(cosine, 0.999)))))
 
 
-def code(dim: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def code(dim: int, m: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random rotation and the two codebooks, the same everywhere."""
-    rng = np.random.default_rng([SEED, dim, m])
+    rng = np.random.default_rng([SEED, dim, m, which])
     q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
     half = dim // 2
     books = [rng.standard_normal((m, k)) for k in (max(half, 1), max(dim - half, 1))]
     return q * np.sign(np.diag(r)), *(b / np.linalg.norm(b, axis=1, keepdims=True) for b in books)
 
 
-def decode(x: np.ndarray, t: float, m: int) -> tuple[np.ndarray, np.ndarray]:
+def decode(x: np.ndarray, t: float, m: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Filters of each unit vector: (rows, filters), ordered by row and filter.  One filter for each row at least."""
     dim = x.shape[1]
-    q, b1, b2 = code(dim, m)
+    q, b1, b2 = code(dim, m, which)
     y = x @ q
     half = dim // 2
     s1 = (y[:, :half] if half else np.zeros((len(x), 1))) @ b1.T * sqrt(max(half, 1))
     s2 = y[:, half:] @ b2.T * sqrt(dim - half)
     # each score has the deviation sqrt(k / dim) for a half of k dimensions: their sum divided by sqrt(2) is compared
-    least = t * sqrt(2) / sqrt(2.0) if dim < 2 else t
+    least = t
     order = np.argsort(-s2, axis=1)
     ranked = np.take_along_axis(s2, order, axis=1)
     rows, words = np.nonzero(s1 + ranked[:, :1] >= least)
@@ -119,13 +120,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                 own = t.take(pa.array(np.flatnonzero(sizes == d)))
                 for k in range(0, len(own), 1024):
                     cut = own.slice(k, 1024)
-                    r, f = decode(_unit(_matrix(cut.column("v"))), *plans[int(d)])
+                    x, (t_, m) = _unit(_matrix(cut.column("v"))), plans[int(d)]
+                    both = [decode(x, t_, m, c) for c in range(CODES)]
+                    r = np.concatenate([a for a, _ in both])
+                    f = np.concatenate([b + c * m * m for c, (_, b) in enumerate(both)])
+                    o = np.lexsort((f, r))
+                    r, f = r[o], f[o]
                     yield pa.RecordBatch.from_arrays([cut.column("rep").combine_chunks(), cut.column("m").combine_chunks(), cut.column("v").combine_chunks(), lists(f, np.bincount(r, minlength=len(cut)))], names=["rep", "m", "v", "filters"])
 
     listed = reps.repartition(n_parts).mapInArrow(filters, "rep long, m long, v array<double>, filters array<long>")
     listed = saved(listed)
     rows = listed.withColumn("d", F.size("v")).withColumn("f", F.explode("filters"))
-    sizes = rows.groupBy("d", "f").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = saved(rows.groupBy("d", "f").agg(F.count("*").alias("n")).where("n > 1"))  # so that both sides of the join are dealt anew
     rows = rows.select("d", "f", "rep", "m", "v", "filters").join(sizes, ["d", "f"])
     rows = rows.withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
