@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import lists, saved, whole
 from .components import connected
 
-HELD, SHARE, CODES, BLOCK, SEED = 8.0, 12.0, 2, 512, 20240501
+HELD, SHARE, CODES, BLOCK, SEED = 8.0, 12.0, 3, 512, 20240501
 
 
 def _tail(t: float) -> float:
@@ -104,9 +104,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     Vectors of different lengths do not link.  Ids are taken as unique; other columns are ignored.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Vectors travel in the width that they have; all arithmetic is in double precision.
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     good = F.coalesce((F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
-    valid = v.where(good).withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))
+    valid = v.where(good).withColumn("v", F.transform("v", lambda c: c + F.lit(0).cast(kind)))
     reps = saved(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
     dims = {r[0]: r[1] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*")).collect()}  # as many rows as there are lengths
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(dims.values()) // 4096 + 1)
@@ -126,9 +128,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                     f = np.concatenate([b + c * m * m for c, (_, b) in enumerate(both)])
                     o = np.lexsort((f, r))
                     r, f = r[o], f[o]
-                    yield pa.RecordBatch.from_arrays([cut.column("rep").combine_chunks(), cut.column("m").combine_chunks(), cut.column("v").combine_chunks(), lists(f, np.bincount(r, minlength=len(cut)))], names=["rep", "m", "v", "filters"])
+                    yield pa.RecordBatch.from_arrays([cut.column("rep").combine_chunks(), cut.column("m").combine_chunks(), cut.column("v").combine_chunks(), lists(f.astype(np.int32), np.bincount(r, minlength=len(cut)))], names=["rep", "m", "v", "filters"])
 
-    listed = reps.repartition(n_parts).mapInArrow(filters, "rep long, m long, v array<double>, filters array<long>")
+    listed = reps.repartition(n_parts).mapInArrow(filters, f"rep long, m long, v array<{kind}>, filters array<int>")
     listed = saved(listed)
     rows = listed.withColumn("d", F.size("v")).withColumn("f", F.explode("filters"))
     sizes = saved(rows.groupBy("d", "f").agg(F.count("*").alias("n")).where("n > 1"))  # so that both sides of the join are dealt anew
