@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.writers import saved
 from .kalman import H
 
 R_ASSOC = np.diag([5 / 3, 1.0, 1.5, 1.0])
@@ -71,30 +69,22 @@ def distance_2d(es: Column, ed: Column, ss: Column, dd: Column, sd: Column, maha
     return m if maha else m + F.log(det)
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    where = (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
-    path = f"{where}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id that edges lead to, by rewiring edges to smaller neighbours.
 
     Every round is written to shared storage, which cuts the lineage; only two numbers reach the driver.
     """
-    e = _saved(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct())
+    e = saved(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct())
     check = lambda d: tuple(d.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40)))).first())
     before = check(e)
     for _ in range(rounds):
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = _saved(both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m")))
-        star = _saved(both.join(least, "hi").where("lo > hi and lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct())
-        low = _saved(star.groupBy("hi").agg(F.min("lo").alias("m")))
-        e = _saved(star.join(low, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
+        least = saved(both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m")))
+        star = saved(both.join(least, "hi").where("lo > hi and lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct())
+        low = saved(star.groupBy("hi").agg(F.min("lo").alias("m")))
+        e = saved(star.join(low, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
         now = check(e)
         if now == before:
             break

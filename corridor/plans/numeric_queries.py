@@ -13,7 +13,7 @@ from ..functions.columns import millis
 from ..operators import assoc, fusion, geo, kalman, probe, timeseries
 from ..operators.kalman import STATE
 from ..schema import over
-from ..sources.writers import StageStore
+from ..sources.writers import StageStore, shared_dir
 from ..streaming import windows
 from . import pipeline, synthetic
 from .queries import ORDER, events, r, table, whole_millis
@@ -188,8 +188,7 @@ def fuse_corridor(spark, d):
 @query
 def stage_store(spark, d):
     """A stage computed once and read back."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    store = StageStore(spark, f"{where}/stages-{uuid.uuid4().hex}")
+    store = StageStore(spark, f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}")
     make = lambda: events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
     store.get_or_compute("by_type", {"input": d}, make)
     return store.get_or_compute("by_type", {"input": d}, make)
@@ -224,7 +223,7 @@ def stream_sessions(spark, d):
 def stream_tracked(spark, d):
     s = _stream(spark, d).withColumns({"m0": F.col("value"), "m1": F.lit(0.0), "m2": F.col("value") / 10, "m3": F.lit(0.0)})
     out = windows.tracked(s, "user_id", "ts", ["m0", "m1", "m2", "m3"], 60_000)
-    return _drained(spark, out, "append").select("user_id", millis("ts").alias("ms"), r("f_s").alias("s"))
+    return _drained(spark, out, "append").select("user_id", "ms", r("f_s").alias("s"))
 
 
 ORACLE_SQL = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..operators import assoc, extents, fusion, geo, kalman, pairs, timeseries
 from ..operators.kalman import STATE
 from ..schema import narrowed, over
 from ..sources import readers, writers
+from ..sources.writers import saved, shared_dir
 from . import cleaning
 
 
@@ -87,14 +89,14 @@ def vehicles(states: DataFrame, edges: DataFrame, cfg: Settings) -> DataFrame:
 
 def trajectories(assigned: DataFrame, cfg: Settings) -> DataFrame:
     """One smoothed row for each vehicle and time."""
-    chosen = fusion.contributors(assigned, "vehicle_id", "kalman_id", "epoch_time", "predicted", cfg.most_tracks, cfg.prediction_seconds, cfg.skip)
+    chosen = saved(fusion.contributors(assigned, "vehicle_id", "kalman_id", "epoch_time", "predicted", cfg.most_tracks, cfg.prediction_seconds, cfg.skip))
     fused = fusion.fused(chosen, "vehicle_id", "epoch_time")
     frame = ["vehicle_id", "time_index"]
     info = fusion.augmented(chosen, frame, "kalman_id", "front_s", "back_s", "approaching", "predicted", [F.min("epoch_time").alias("epoch_time"), F.max("lane").alias("lane")])
     cols = ["kalman_id", "contributor", "front_s", "back_s", *STATE, "P", *frame]
     far = fusion.greatest_pair_distance(chosen.where(~F.col("predicted")).select(*cols), frame, "contributor", assoc.association_distance)
     out = fused.join(info, frame).join(far, frame, "left")
-    out = timeseries.time_delta(out, "vehicle_id", "epoch_time", "epoch_time")
+    out = saved(timeseries.time_delta(out, "vehicle_id", "epoch_time", "epoch_time"))
     soft = kalman.smoothed(out, "vehicle_id", ["epoch_time"], [f"ci_{c}" for c in STATE], "ci_P")
     out = timeseries.positions(out, "vehicle_id", "epoch_time", "time_ind").join(soft, ["vehicle_id", "time_ind"])
     shift = F.col("centroid_s") - F.col("ci_s")
@@ -104,11 +106,15 @@ def trajectories(assigned: DataFrame, cfg: Settings) -> DataFrame:
 def run(tracks: DataFrame, cfg: Settings = Settings(), lanes: DataFrame | None = None, store: writers.StageStore | None = None, source: str = "") -> DataFrame:
     """Lane-mapped tracks (object_id, epoch_time, lane, s, d, headings, speed, extents) -> trajectories.
 
-    With lanes, positions of the smoothed and fused centres, fronts and backs are added in one pass.
+    With lanes, positions of the smoothed and fused centres, fronts and backs are added in one pass.  Stages are written
+    once, to the given store or to a folder of this run below the shared one, since later stages read them repeatedly.
     """
+    if store is None:
+        store = writers.StageStore(tracks.sparkSession, f"{shared_dir(tracks.sparkSession)}/run-{uuid.uuid4().hex}")
     config = asdict(cfg) | {"source": source}
-    keep = (lambda name, f: store.get_or_compute(name, config, f)) if store else (lambda name, f: f())
-    states = keep("states", lambda: estimated(extended(sessions(tracks, cfg), cfg)))
+    keep = lambda name, f: store.get_or_compute(name, config, f)
+    steps = keep("steps", lambda: extended(sessions(tracks, cfg), cfg))
+    states = keep("states", lambda: estimated(steps))
     edges = keep("edges", lambda: matched(states, cfg))
     assigned = keep("vehicles", lambda: vehicles(states, edges, cfg))
     out = keep("trajectories", lambda: trajectories(assigned, cfg))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schema import narrowed
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written below the shared folder and read back, which cuts its lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/part-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_parquet(df: DataFrame, path: str, codec: str = "zstd", partition_by: Sequence[str] = (), as_floats: bool = False, drop: Sequence[str] = ()) -> None:
     """Parquet; optionally doubles as floats and without columns whose names contain one of ``drop``."""
     out = narrowed(df, drop) if as_floats or drop else df

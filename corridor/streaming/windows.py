@@ -22,10 +22,11 @@ def session_windows(stream: DataFrame, keys: Sequence[str], ts: str, gap: str, l
     return stream.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap)).agg(F.count("*").alias("n")).select(*keys, F.col("session_window.start").alias("since"), F.col("session_window.end").alias("until"), "n")
 
 
-def tracked(stream: DataFrame, key: str, ts: str, measurement: Sequence[str], timeout_ms: int = 4100) -> DataFrame:
-    """Filtered states while rows arrive: the state kept for each track is (x, P, last time in seconds).
+def tracked(stream: DataFrame, key: str, ts: str, measurement: Sequence[str], timeout_ms: int = 4100, late: str = "5 seconds") -> DataFrame:
+    """Filtered states (key, ms, f_ and the state's names) while rows arrive: the state kept for each track is (x, P, last time in seconds).
 
-    Rows of one batch are taken in the order of time; rows before the kept time are dropped as late.
+    Rows of one batch are taken in the order of time; rows before the kept time are dropped as late, and a
+    track is forgotten once the watermark passes its last time by the timeout.
     """
     names = [f"f_{c}" for c in kalman.STATE]
     kind = stream.schema[key].dataType.simpleString()
@@ -42,7 +43,8 @@ def tracked(stream: DataFrame, key: str, ts: str, measurement: Sequence[str], ti
             x, p = kalman.first_state(z[:1])
             last = t[0]
         else:
-            x, p, last = np.array([kept[0]]), np.array(kept[1]).reshape(1, 6, 6), kept[2]
+            flat = np.frombuffer(kept[0])
+            x, p, last = flat[None, :6], flat[6:42].reshape(1, 6, 6), flat[42]
         out = []
         seen = np.ones(1, bool)
         for when, row in zip(t, z, strict=True):
@@ -55,10 +57,10 @@ def tracked(stream: DataFrame, key: str, ts: str, measurement: Sequence[str], ti
                 p = f @ p @ np.swapaxes(f, -1, -2) + kalman.noise_at(dt, row[None, 1], seen)
             x, p, _ = kalman.update(x, p, row[None], seen)
             last = when
-            out.append((group[0], pd.Timestamp(when, unit="s"), *x[0]))
-        state.update((x[0].tolist(), p[0].ravel().tolist(), float(last)))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=[key, ts, *names])
+            out.append((group[0], int(np.floor(when * 1000)), *x[0]))
+        state.update((np.concatenate([x[0], p[0].ravel(), [last]]).tobytes(),))
+        state.setTimeoutTimestamp(max(int(last * 1000) + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, "ms", *names])
 
-    schema = f"{key} {kind}, {ts} timestamp, " + ", ".join(f"{c} double" for c in names)
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "x array<double>, p array<double>, last double", "append", "ProcessingTimeTimeout")
+    schema = f"{key} {kind}, ms long, " + ", ".join(f"{c} double" for c in names)
+    return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(step, schema, "kept binary", "append", "EventTimeTimeout")
