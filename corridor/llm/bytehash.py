@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64, kept for the worker's life."""
     global _pow, _inv
     if len(_pow) < n + 1:
-        m = max(n + 1, 1 << 20)
+        m = max(1 << (n + 1).bit_length(), 1 << 20)
         _pow = np.concatenate([np.ones(1, U64), np.cumprod(np.full(m - 1, _BASE, dtype=U64), dtype=U64)])
         _inv = np.concatenate([np.ones(1, U64), np.cumprod(np.full(m - 1, _INV, dtype=U64), dtype=U64)])
     return _pow, _inv

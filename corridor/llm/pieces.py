@@ -3,7 +3,7 @@
 The lattice of a text has a node between any two bytes and an edge for every vocabulary piece that matches
 (a space stands for the piece's word mark), and one for every single byte.  Texts are cut before spaces and around
 line feeds, where pieces begin anyway, and runs beyond ``LONGEST`` bytes at character boundaries; each different
-run is filtered forward once per worker (log-sum of all segmentations up to each node, vectorised over runs).
+run of a chunk is filtered forward once (log-sum of all segmentations up to each node, vectorised over runs).
 Every occurrence is then sampled backwards from its end, with uniform numbers that are hashes of the row's
 key, the run's place and the step: the same row always gets the same segmentation, wherever it is computed.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import U64, buffers, chunks, mix, prefix, substring
 
-LONGEST, KEPT, BYTE_COST = 48, 400_000, 14.0
+LONGEST, CHUNK, BYTE_COST, ONE = 48, 1 << 22, 14.0, 1 << 40
 _memory: dict = {}
 
 
@@ -34,7 +34,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 class Lattices:
-    """Vocabulary of a model file, and the filtered lattices of the runs met so far."""
+    """Vocabulary of a model file; filters and samples the lattices of runs."""
 
     def __init__(self, path: str, sharpness: float):
         import sentencepiece
@@ -60,95 +60,91 @@ class Lattices:
         self.cost = np.full(len(raw), BYTE_COST)
         self.cost[own] = np.log(np.maximum(np.array([-model.get_score(i) for i in own]), 0) + 3.0)
         self.out, self.out_off = self._flat(self.bytes)
-        self._clear()
 
     @staticmethod
     def _flat(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(b"".join(items), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int64)
 
-    def _clear(self) -> None:
-        self.run_keys, self.run_end, self.nodes = np.zeros(0, U64), np.zeros(0, np.int64), 0
-        self.place, self.source, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first = np.zeros(0, bool)  # whether a node begins a run
+    def filter(self, data: np.ndarray, off: np.ndarray):
+        """Filters runs laid end to end, one node more than bytes for each run.
 
-    def learn(self, keys: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
-        """Filters runs laid end to end; node numbers are kept apart by one more node for each run."""
-        runs, size = len(off) - 1, np.diff(off)
-        base = off[:-1] + np.arange(runs)  # node of each run's beginning
-        own = np.repeat(np.arange(runs), size)
+        Returns each run's last node, whether a node begins a run, each node's first incoming edge, and the edges'
+        source nodes, pieces and cumulated probabilities among the edges into one node.
+        """
+        runs_, size = len(off) - 1, np.diff(off)
+        own = np.repeat(np.arange(runs_), size)
         at = np.arange(len(data))
+        left = off[1:][own] - at  # bytes up to the run's end
         h = prefix(data)
         node = at + own  # node before each byte
-        src, dst, piece = [node], [node + 1], [self.byte_id[data]]
+        src, span, piece = [node], [np.zeros(len(data), np.int64)], [self.byte_id[data]]
+        live = at
         for k in self.sizes:
-            i = at[at + k <= off[1:][own]]
-            if not len(i):
+            live = live[left[live] >= k]
+            if not len(live):
                 break
-            x = substring(h, i, i + k)
-            ok = self.seen[(x & U64((1 << 22) - 1)).astype(np.int64)]
-            i, x = i[ok], x[ok]
+            x = substring(h, live, live + k)
+            ok = np.flatnonzero(self.seen[(x & U64((1 << 22) - 1)).astype(np.int64)])
+            x, i = x[ok], live[ok]
             p = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-            ok = self.keys[p] == x
+            ok = np.flatnonzero(self.keys[p] == x)
             src.append(node[i[ok]])
-            dst.append(node[i[ok]] + k)
+            span.append(np.full(len(ok), k))
             piece.append(self.ids[p[ok]])
-        src, dst, piece = np.concatenate(src), np.concatenate(dst), np.concatenate(piece)
-        total = len(data) + runs
+        src, span, piece = np.concatenate(src), np.concatenate(span), np.concatenate(piece)
+        dst = src + np.maximum(span, 1)
+        total = len(data) + runs_
         local = np.zeros(total, dtype=np.int64)
         local[node + 1] = at - off[own] + 1
-        order = np.lexsort((piece, dst, local[dst]))
+        order = np.argsort((local[dst] * total + dst) * 64 + span)  # by place in the run, then node: all keys differ
         src, dst, piece = src[order], dst[order], piece[order]
         weight = -self.sharpness * self.cost[piece]
-        level = np.searchsorted(local[dst], np.arange(1, int(local.max(initial=0)) + 2))
-        alpha = np.zeros(total)
-        cum = np.zeros(len(dst))
+        new = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(dst)))
+        heads = dst[new]
+        level = np.searchsorted(local[heads], np.arange(1, int(local.max(initial=0)) + 2))
+        alpha, cum = np.zeros(total), np.zeros(len(dst), dtype=np.int64)
         for a, b in zip(level[:-1], level[1:], strict=True):  # all runs advance by one byte
-            v = alpha[src[a:b]] + weight[a:b]
-            new = np.flatnonzero(np.concatenate([[True], dst[a:b][1:] != dst[a:b][:-1]]))
-            sums = np.logaddexp.reduceat(v, new)
-            alpha[dst[a:b][new]] = sums
-            count = np.diff(np.append(new, b - a))
-            p = np.exp(v - np.repeat(sums, count))
-            c = np.cumsum(p)
-            cum[a:b] = c - np.repeat(c[new] - p[new], count)
-        order = np.lexsort((cum, dst))
-        src, dst, piece, cum = src[order], dst[order], piece[order], cum[order]
-        last = np.append(dst[1:] != dst[:-1], True) if len(dst) else np.zeros(0, bool)
-        cum[last] = 1.0
-        begin = np.zeros(total, dtype=bool)
-        begin[base] = True
-        self.place = np.concatenate([self.place, dst + self.nodes + cum])
-        self.source = np.concatenate([self.source, src + self.nodes])
-        self.piece = np.concatenate([self.piece, piece])
-        self.first = np.concatenate([self.first, begin])
-        k, e = np.concatenate([self.run_keys, keys]), np.concatenate([self.run_end, base + size + self.nodes])
-        order = np.argsort(k)
-        self.run_keys, self.run_end = k[order], e[order]
-        self.nodes += total
+            if a == b:
+                continue
+            x, y = new[a], new[b] if b < len(new) else len(dst)
+            v = alpha[src[x:y]] + weight[x:y]
+            begin, many = new[a:b] - x, count[a:b]
+            sums = np.logaddexp.reduceat(v, begin)
+            alpha[heads[a:b]] = sums
+            c = np.cumsum((np.exp(v - np.repeat(sums, many)) * ONE).astype(np.int64))  # whole numbers: the same in any chunk
+            cum[x:y] = c - np.repeat(np.concatenate([[0], c[begin[1:] - 1]]), many)
+        cum[new + count - 1] = ONE  # beyond any uniform number
+        first = np.zeros(total, dtype=np.int64)
+        first[heads] = new
+        start = np.zeros(total, dtype=bool)
+        base = off[:-1] + np.arange(runs_)
+        start[base] = True
+        return base + size, start, first, src, piece, cum
 
     def sample(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all texts, number of pieces of each); keys: one 64-bit number a text."""
         docs = len(off) - 1
         s, e, d = runs(data, off)
-        h = substring(prefix(data), s, e)
-        u, first = np.unique(h, return_index=True)
-        if len(self.run_keys) > KEPT:
-            self._clear()
-        new = ~np.isin(u, self.run_keys)
-        if new.any():
-            a, b = s[first[new]], e[first[new]]
-            size = b - a
-            flat = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            self.learn(u[new], data[flat], np.concatenate([[0], np.cumsum(size)]))
-        node = self.run_end[np.searchsorted(self.run_keys, h)] if len(h) else np.zeros(0, np.int64)
+        if not len(s):
+            return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
+        _, one, which = np.unique(substring(prefix(data), s, e), return_index=True, return_inverse=True)
+        a, size = s[one], (e - s)[one]
+        flat = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        last, start, first, src, piece, cum = self.filter(data[flat], np.concatenate([[0], np.cumsum(size)]))
+        node = last[which]
         where = mix(keys[d] + mix((s - off[d]).astype(U64) + U64(seed)))
         live, step, got = np.arange(len(s)), 0, []
         while len(live):
-            r = (mix(where[live] + U64(0x632BE59BD9B4E019 * (step + 1) & 0xFFFFFFFFFFFFFFFF)) >> U64(11)).astype(np.float64) / (1 << 53)
-            x = np.searchsorted(self.place, node[live] + r, side="right")
-            got.append((live, self.piece[x]))
-            node[live] = self.source[x]
-            live = live[~self.first[node[live]]]
+            r = (mix(where[live] + U64(0x632BE59BD9B4E019 * (step + 1) & 0xFFFFFFFFFFFFFFFF)) >> U64(24)).astype(np.int64)
+            x = first[node[live]]
+            more = np.flatnonzero(cum[x] <= r)
+            while len(more):  # the edges of a node are few
+                x[more] += 1
+                more = more[cum[x[more]] <= r[more]]
+            got.append((live, piece[x]))
+            node[live] = src[x]
+            live = live[~start[node[live]]]
             step += 1
         count = np.zeros(len(s), dtype=np.int64)
         for i, _ in got:
@@ -203,7 +199,7 @@ def encoded(docs: DataFrame, model: str | None = None, sharpness: float = 1.0, s
         for batch in batches:
             data, off = buffers(batch.column(1))
             keys = mix(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
-            for a, b in chunks(off):
+            for a, b in chunks(off, CHUNK):
                 o = off[a : b + 1]
                 part = data[o[0] : o[-1]]
                 ids, count = lat.sample(part, o - o[0], keys[a:b], seed)
