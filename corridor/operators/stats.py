@@ -167,3 +167,36 @@ def share_by_window(df: DataFrame, keys: Names, order: Names, column: str) -> Da
     """Running share of each row in its key's total."""
     w = over(_list(keys), _list(order)).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running_share", F.sum(column).over(w) / F.sum(column).over(over(_list(keys))))
+
+
+def totals(trips: DataFrame) -> DataFrame:
+    """Hours and kilometres of all trips."""
+    return trips.agg((F.sum("seconds") / 3600).alias("hours"), (F.sum("path") / 1000).alias("km"), F.count("*").alias("n"))
+
+
+def local_span(df: DataFrame, ts: str, ident: str, zone: str = "US/Central") -> DataFrame:
+    """First and last local time and the number of objects."""
+    from ..functions.columns import local_time
+
+    return df.agg(F.min(local_time(ts, zone)).alias("first_local"), F.max(local_time(ts, zone)).alias("last_local"), F.count_distinct(ident).alias("objects"))
+
+
+def sampled(df: DataFrame, keys: Names, fraction: float, seed: int = 0) -> DataFrame:
+    """Rows whose keys' hash falls below the fraction: the same rows wherever and however often it is computed."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *_list(keys)), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+
+
+def error_table(methods: Mapping[str, DataFrame], truth: DataFrame, keys: Names, columns: Mapping[str, tuple[str, str]], by: Names = ()) -> DataFrame:
+    """Validation of several methods against the truth: error, root mean square and mean absolute errors of each.
+
+    Every method's rows are paired with the truth on the keys; one aggregation serves all of them.
+    """
+    out = None
+    for name, df in methods.items():
+        e = element_errors(paired(truth, df, keys), columns).withColumn("method", F.lit(name))
+        e = e.select("method", *_list(by), *[f"{c}_{k}" for c in columns for k in ("e", "ae", "se")])
+        out = e if out is None else out.unionByName(e)
+    if out is None:
+        raise ValueError("no methods")
+    aggs = [F.avg(f"{c}_e").alias(f"{c}_bias") for c in columns] + [F.avg(f"{c}_ae").alias(f"{c}_mae") for c in columns] + [F.sqrt(F.avg(f"{c}_se")).alias(f"{c}_rmse") for c in columns]
+    return out.groupBy("method", *_list(by)).agg(*aggs, F.count("*").alias("n"))

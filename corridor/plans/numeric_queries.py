@@ -15,7 +15,7 @@ from ..operators.kalman import STATE
 from ..schema import over
 from ..sources.writers import StageStore, shared_dir
 from ..streaming import windows
-from . import pipeline, synthetic
+from . import cleaning, pipeline, synthetic
 from .queries import ORDER, events, r, table, whole_millis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,6 +185,27 @@ def fuse_corridor(spark, d):
     return out.select("vehicle_id", "time_index", millis("epoch_time").alias("ms"), "n_tracks", "prediction", *[F.round(c, 3).alias(c) for c in ("s_smooth", "s_velocity_smooth", "d_smooth", "front_s", "back_s", "centroid_x", "centroid_y")])
 
 
+@query
+def cleaning_chain(spark, d):
+    """Events as raw sensor rows of five sensors: filtered, trimmed, resampled, georeferenced and put on a lane."""
+    v = F.col("value")
+    raw = events(spark, d).select(
+        F.col("user_id").alias("ui32_objectID"), F.col("event_type").alias("ip"), F.col("ts").alias("epoch_time"), v.alias("f32_positionX_m"), (v / 200 + 1.0).alias("f32_positionY_m"),
+        F.lit(1.0).alias("f32_directionX"), F.lit(0.0).alias("f32_directionY"), (v / 30).alias("f32_velocityInDir_mps"), (F.col("event_id") % 3).cast("int").alias("ui16_predictionCount"),
+    )
+    sensors = spark.createDataFrame([(ip, 0.0, 100.0, 0.0) for ip in ("click", "view", "error", "purchase", "signup")], "ip string, angle double, origin_x double, origin_y double")
+    lanes = geo.network(spark, {"L": np.array([[0.0, 2.0], [700.0, 2.0]])}, 1.0)
+    out = cleaning.on_lanes(cleaning.cleaned(raw, sensors, "1 hour", 0.5, 1), lanes)
+    return out.select("ui32_objectID", "ip", millis("epoch_time").alias("ms"), r("s").alias("s"), r("d").alias("d"), r("dist").alias("dist"), "approaching", r("heading_utm").alias("heading_utm"))
+
+
+@query
+def lane_crossings(spark, d):
+    """Detector lines across the lanes of the corridor."""
+    got = geo.lane_crossings({"det": np.array([[120.0, -5.0], [120.0, 9.0]])}, synthetic.LANES, 1.0)
+    return spark.createDataFrame(got, "line string, lane string, s double")
+
+
 @query
 def stage_store(spark, d):
     """A stage computed once and read back."""

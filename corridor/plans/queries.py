@@ -707,3 +707,53 @@ def signal_overlay(spark, d):
 @query(f"SELECT user_id, event_id, round(sum(value) {W} ROWS UNBOUNDED PRECEDING) / sum(value) OVER (PARTITION BY user_id), 6) AS running_share FROM events")
 def running_share(spark, d):
     return stats.share_by_window(events(spark, d), "user_id", ORDER, "value").select("user_id", "event_id", r("running_share").alias("running_share"))
+
+
+@query(f"""WITH a AS (SELECT *, abs(value - lag(value) {W})) AS step FROM events), t AS (SELECT user_id, coalesce(sum(step), 0) AS path, (epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1000.0 AS seconds FROM a GROUP BY 1)
+SELECT round(sum(seconds) / 3600, 4) AS hours, round(sum(path) / 1000, 6) AS km, count(*) AS n FROM t""")
+def total_hours_km(spark, d):
+    t = stats.totals(stats.trip_summary(events(spark, d), "user_id", "ts", ORDER, "value", None, "value"))
+    return t.select(F.round("hours", 4).alias("hours"), r("km").alias("km"), "n")
+
+
+@query("SELECT strftime(min(l), '%Y-%m-%d %H:%M') AS first_local, strftime(max(l), '%Y-%m-%d %H:%M') AS last_local, count(DISTINCT user_id) AS objects FROM (SELECT user_id, timezone('America/Chicago', timezone('UTC', ts)) AS l FROM events)")
+def local_span(spark, d):
+    s = stats.local_span(events(spark, d), "ts", "user_id")
+    return s.select(F.date_format("first_local", "yyyy-MM-dd HH:mm").alias("first_local"), F.date_format("last_local", "yyyy-MM-dd HH:mm").alias("last_local"), "objects")
+
+
+@query()
+def sampled_rows(spark, d):
+    """A tenth of the rows by a hash of their key (sampling is the feature)."""
+    return stats.sampled(events(spark, d), "event_id", 0.1, 7).select("event_id", "user_id")
+
+
+@query("SELECT o_orderkey, abs(o_totalprice - 150000) AS off FROM orders ORDER BY abs(o_totalprice - 150000), o_orderkey LIMIT 10")
+def nearest_rows(spark, d):
+    """The ten rows nearest to a value (a top-k report)."""
+    return table(spark, d, "orders").select("o_orderkey", F.abs(F.col("o_totalprice") - 150000).alias("off")).orderBy("off", "o_orderkey").limit(10)
+
+
+@query("SELECT DISTINCT event_type, user_id % 7 AS k FROM events")
+def distinct_rows(spark, d):
+    return events(spark, d).select("event_type", (F.col("user_id") % 7).alias("k")).distinct()
+
+
+@query("""WITH t AS (SELECT user_id, date_trunc('day', ts) AS g, avg(value) AS v FROM events GROUP BY ALL),
+m AS (SELECT 'first' AS method, user_id, date_trunc('day', ts) AS g, arg_min(value, (ts, event_id)) AS v FROM events GROUP BY ALL UNION ALL SELECT 'top', user_id, date_trunc('day', ts), max(value) FROM events GROUP BY ALL)
+SELECT method, round(avg(m.v - t.v), 6) AS v_bias, round(avg(abs(m.v - t.v)), 6) AS v_mae, round(sqrt(avg((m.v - t.v) * (m.v - t.v))), 6) AS v_rmse, count(*) AS n FROM m JOIN t USING (user_id, g) GROUP BY method""")
+def validation_errors(spark, d):
+    e = events(spark, d).withColumn("g", F.date_trunc("day", "ts"))
+    truth = e.groupBy("user_id", "g").agg(F.avg("value").alias("v"))
+    methods = {"first": e.groupBy("user_id", "g").agg(F.min_by("value", F.struct(*ORDER)).alias("v")), "top": e.groupBy("user_id", "g").agg(F.max("value").alias("v"))}
+    out = stats.error_table(methods, truth, ["user_id", "g"], {"v": ("v", "v_true")})
+    return out.select("method", *[r(c).alias(c) for c in ("v_bias", "v_mae", "v_rmse")], "n")
+
+
+@query("SELECT c_custkey, i - 1 AS vertex, x[i][1] AS x, x[i][2] AS y FROM (SELECT c_custkey, [[c_acctbal, 0.0], [c_acctbal + 1, 1.0], [c_acctbal + 2, 4.0]] AS x FROM customer), (SELECT unnest([1, 2, 3]) AS i)")
+def exploded_lines(spark, d):
+    from ..operators.geo import exploded_lines as op
+
+    b = F.col("c_acctbal")
+    line = F.array(F.array(b, F.lit(0.0)), F.array(b + 1, F.lit(1.0)), F.array(b + 2, F.lit(4.0)))
+    return op(table(spark, d, "customer").select("c_custkey", line.alias("line")), "line", ["c_custkey"])
