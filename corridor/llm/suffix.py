@@ -5,7 +5,7 @@ the same document and a smaller start).  The corpus is cut so that equal strings
 
 1. The smallest hash among a window's ``GRAM``-byte substrings (its anchor) depends on its content alone, so
    equal windows have equal anchors.  Neighbouring windows with one anchor form a segment.  A segment whose
-   whole content occurred before is a repeat; only the first one of each content and input partition is
+   whole content occurred before is a repeat; only the first one of each content and slice of the input is
    sent on, so copies are pre-aggregated before any shuffle.
 2. Buckets of anchors keep the first segment of each content.  An anchor with one content is settled.
 3. The contents of the other anchors meet, in order of first occurrence, in a run-length index of bounded
@@ -31,7 +31,7 @@ from .bytehash import U64, buffers, chunks, mix, prefix, substring
 from .common import parts, saved, whole
 from .rlindex import RunIndex
 
-GRAM, MOST, LOCAL, HOT = 32, 255, 8, 1 << 20
+GRAM, MOST, LOCAL, HOT, SLICE = 32, 255, 8, 1 << 20, 32 << 20
 INDEX_SYMBOLS = 1 << 20
 
 
@@ -86,9 +86,10 @@ def segments(data: np.ndarray, off: np.ndarray, size: int, hot: np.ndarray) -> d
     return {"a": a, "c": c & U64(0xFFFFFFFFFFFF), "d": d, "s": s - off[d], "nw": e - s, "own": own}
 
 
-def _partition(batches, size: int, hot: np.ndarray):
-    """All segments of a partition, with document ids in d."""
+def _slices(batches, size: int, hot: np.ndarray):
+    """All segments of a partition with document ids in d, in slices of about ``SLICE`` bytes of text."""
     got: list[dict] = []
+    held = 0
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, off = buffers(batch.column(1))
@@ -97,7 +98,12 @@ def _partition(batches, size: int, hot: np.ndarray):
             if x := segments(data[o[0] : o[-1]], o - o[0], size, hot):
                 x["d"] = ids[a + x["d"]]
                 got.append(x)
-    return {k: np.concatenate([x[k] for x in got]) for k in got[0]} if got else None
+            held += int(o[-1] - o[0])
+            if held >= SLICE and got:
+                yield {k: np.concatenate([x[k] for x in got]) for k in got[0]}
+                got, held = [], 0
+    if got:
+        yield {k: np.concatenate([x[k] for x in got]) for k in got[0]}
 
 
 def _firsts(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,18 +156,11 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     buckets = 4 * n
 
     def heavy(batches):
-        x = _partition(batches, size, np.zeros(0, U64))
-        if x is None:
-            return
-        pair = np.unique(np.stack([x["a"], x["c"]], axis=1), axis=0) if len(x["a"]) < 4096 else None
-        if pair is None:
-            key = np.unique(mix(x["a"] ^ (x["c"] * U64(0x9E3779B97F4A7C15))), return_index=True)[1]
-            a = x["a"][key]
-        else:
-            a = pair[:, 0]
-        a, count = np.unique(a, return_counts=True)
-        keep = count >= LOCAL
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(count[keep])], names=["a", "n"])
+        for x in _slices(batches, size, np.zeros(0, U64)):
+            one = np.unique(mix(x["a"] ^ (x["c"] * U64(0x9E3779B97F4A7C15))), return_index=True)[1]  # each content once
+            a, count = np.unique(x["a"][one], return_counts=True)
+            keep = count >= LOCAL
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(count[keep])], names=["a", "n"])
 
     # There is an anchor for about every 27 bytes, so at most HOT anchors (8 MB) can have that many contents.
     bound = max(512, int(total) // (27 * HOT))
@@ -169,22 +168,21 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     hot_anchors = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["a"] for r in found), dtype=np.int64).view(U64))
 
     def send(batches):
-        x = _partition(batches, size, hot_anchors.value)
-        if x is None:
-            return
-        order, new, again = _firsts(x)
-        y = {k: v[order] for k, v in x.items()}
-        out = _marks(y["d"][again], y["s"][again], y["nw"][again])
-        y = {k: v[new] for k, v in y.items()}
-        bucket = (y["a"] % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        y = {k: v[order] for k, v in y.items()}
-        c = y["c"]
-        for b in np.flatnonzero(np.diff(edge)):
-            w = slice(edge[b], edge[b + 1])
-            out.append(_row(0, int(b), d=y["d"][w].astype(np.int64).tobytes(), s=y["s"][w].astype(np.uint32).tobytes(), nw=y["nw"][w].astype(np.uint8).tobytes(), a=y["a"][w].tobytes(), c=np.stack([c[w].astype(np.uint16), (c[w] >> U64(16)).astype(np.uint16), (c[w] >> U64(32)).astype(np.uint16)], axis=1).tobytes(), own=np.packbits(y["own"][w]).tobytes()))
-        yield from _emit(out)
+        for x in _slices(batches, size, hot_anchors.value):
+            order, new, again = _firsts(x)
+            y = {k: v[order] for k, v in x.items()}
+            out = _marks(y["d"][again], y["s"][again], y["nw"][again])
+            y = {k: v[new] for k, v in y.items()}
+            bucket = (y["a"] % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            y = {k: v[order] for k, v in y.items()}
+            c = np.stack([(y["c"] >> U64(16 * k)).astype(np.uint16) for k in range(3)], axis=1)
+            for b in np.flatnonzero(np.diff(edge)):
+                w = slice(edge[b], edge[b + 1])
+                cols = {"d": y["d"][w].astype(np.int64), "s": y["s"][w].astype(np.uint32), "nw": y["nw"][w].astype(np.uint8), "a": y["a"][w], "c": c[w], "own": np.packbits(y["own"][w])}
+                out.append(_row(0, int(b), **{k: v.tobytes() for k, v in cols.items()}))
+            yield from _emit(out)
 
     def settle(batches):
         parts_, out = [], []
