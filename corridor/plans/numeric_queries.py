@@ -151,9 +151,9 @@ def utm_roundtrip(spark, d):
 
 @query
 def probe_segments(spark, d):
-    """A GPS probe that crosses the corridor, on its lane and in continuous segments."""
+    """Every user as a GPS probe that crosses the corridor, on its lane and in continuous segments."""
     lanes = geo.network(spark, {"P1": np.array([[500_000.0, 4_000_000.0], [501_200.0, 4_000_000.0]])}, 1.0)
-    t = events(spark, d).where("user_id = 1").select("user_id", F.row_number().over(over("user_id", ORDER)).alias("k"))
+    t = events(spark, d).select("user_id", F.row_number().over(over("user_id", ORDER)).alias("k"))
     xy = t.select("user_id", F.timestamp_add("SECOND", F.col("k"), F.expr("TIMESTAMP_NTZ'2024-03-13 12:00:00'")).alias("gps_time"), (F.lit(500_000.0) + F.col("k") * 15.0).alias("px"), F.lit(4_000_000.5).alias("py"))
     ll = geo.with_lonlat(xy, "px", "py", 16)
     track = probe.probe_track(ll, "user_id", "gps_time", "lon", "lat", 16)

@@ -687,11 +687,11 @@ def final_trim(spark, d):
     return out.select("user_id", "event_id", "elapsed", r("mean_association_distance").alias("mean_distance"))
 
 
-@query("""WITH x AS (SELECT user_id, unnest(tracks) AS event_id FROM (SELECT user_id, list(event_id) AS tracks FROM events WHERE user_id < 10 GROUP BY 1)) SELECT event_id, event_type FROM events WHERE event_id IN (SELECT event_id FROM x)""")
+@query("""WITH x AS (SELECT user_id, unnest(tracks) AS event_id FROM (SELECT user_id, list(event_id) AS tracks FROM events GROUP BY 1 HAVING avg(value) > 50)) SELECT event_id, event_type FROM events WHERE event_id IN (SELECT event_id FROM x)""")
 def raw_rows_of_vehicle(spark, d):
-    """Lists of tracks back to their raw rows; the vehicles asked for are the query's parameter."""
+    """Lists of tracks of the vehicles asked for (those with a high mean), back to their raw rows."""
     e = events(spark, d)
-    lists = e.where("user_id < 10").groupBy("user_id").agg(F.collect_list("event_id").alias("tracks"))
+    lists = e.groupBy("user_id").agg(F.collect_list("event_id").alias("tracks"), F.avg("value").alias("mean")).where("mean > 50")
     return e.join(lists.select(F.explode("tracks").alias("event_id")), "event_id", "left_semi").select("event_id", "event_type")
 
 
