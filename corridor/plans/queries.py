@@ -236,11 +236,11 @@ def every_nth_row(spark, d):
 
 
 @query(f"""WITH a AS (SELECT *, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) {W})), epoch_ms(lead(ts) {W})) - epoch_ms(ts)) / 1000.0 AS time_diff, row_number() {W}) - 1 AS time_ind, count(*) OVER (PARTITION BY user_id) - 1 AS max_time FROM events)
-SELECT user_id, event_id, time_diff, time_ind, max_time, [round(value, 6), round(value * 2, 6)] AS measurement FROM a WHERE max_time > 60""")
+SELECT user_id, event_id, time_diff, time_ind, max_time, round(value, 6) AS m0, round(value * 2, 6) AS m1 FROM a WHERE max_time > 60""")
 def filter_input(spark, d):
     e = events(spark, d).withColumn("v1", F.round("value", 6)).withColumn("v2", F.round(F.col("value") * 2, 6))
     out = timeseries.filter_input(e, "user_id", "ts", ORDER, ["v1", "v2"], 60)
-    return out.select("user_id", "event_id", "time_diff", F.col("time_ind").cast("long").alias("time_ind"), F.col("max_time").cast("long").alias("max_time"), "measurement")
+    return out.select("user_id", "event_id", "time_diff", F.col("time_ind").cast("long").alias("time_ind"), F.col("max_time").cast("long").alias("max_time"), F.col("measurement")[0].alias("m0"), F.col("measurement")[1].alias("m1"))
 
 
 # ---------------------------------------------------------------- row-local operators
@@ -489,12 +489,12 @@ def edge_difference(spark, d):
 # ---------------------------------------------------------------- aggregation and statistics
 
 
-@query("""SELECT user_id, list_sort(list(event_id)) AS tracks, count(*) AS n_tracks, bool_and(value > 1) AS prediction, round(coalesce(avg(value) FILTER (WHERE event_type = 'click'), avg(value)), 6) AS front_s,
+@query("""SELECT user_id, array_to_string(list_sort(list(event_id)), ',') AS tracks, count(*) AS n_tracks, bool_and(value > 1) AS prediction, round(coalesce(avg(value) FILTER (WHERE event_type = 'click'), avg(value)), 6) AS front_s,
 round(coalesce(avg(value - 3) FILTER (WHERE event_type <> 'click'), avg(value - 3)), 6) AS back_s FROM events GROUP BY user_id""")
 def augment_conditional_mean(spark, d):
     e = events(spark, d).select("user_id", "event_id", F.col("value").alias("front"), (F.col("value") - 3).alias("back"), (F.col("event_type") == "click").alias("ap"), (F.col("value") > 1).alias("pr"))
     out = fusion.augmented(e, ["user_id"], "event_id", "front", "back", "ap", "pr")
-    return out.select("user_id", "tracks", "n_tracks", "prediction", r("front_s").alias("front_s"), r("back_s").alias("back_s"))
+    return out.select("user_id", F.array_join(F.col("tracks").cast("array<string>"), ",").alias("tracks"), "n_tracks", "prediction", r("front_s").alias("front_s"), r("back_s").alias("back_s"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) WHERE n <= 3")
@@ -626,7 +626,7 @@ o AS (SELECT unnest(range(-3, 4)) AS o), j AS (SELECT o.o * 86400000 AS offset_m
 SELECT offset_ms, count(*) AS n, round(sqrt(sum(e * e) / count(*)), 6) AS rmse FROM j GROUP BY 1""")
 def offset_sweep(spark, d):
     m = events(spark, d).groupBy("user_id", F.date_trunc("day", "ts").alias("g")).agg(F.avg("value").alias("v"))
-    return stats.offset_sweep(m, m, "user_id", "g", "v", [k * 86_400_000 for k in range(-3, 4)]).select("offset_ms", "n", r("rmse").alias("rmse"))
+    return stats.offset_sweep(m, m, "user_id", "g", "v", [k * 86_400_000 for k in range(-3, 4)]).select(F.col("offset_ms").cast("long").alias("offset_ms"), "n", r("rmse").alias("rmse"))
 
 
 @query("""WITH m AS (SELECT user_id, event_type, date_trunc('day', ts) AS g, avg(value) AS v FROM events GROUP BY ALL), t AS (SELECT event_type, g, avg(value) AS tv FROM (SELECT *, date_trunc('day', ts) AS g FROM events) GROUP BY ALL),
