@@ -51,3 +51,28 @@ def test_no_nested_loops_in_nearest_and_asof_joins(spark):
     for name in ("asof_nearest", "asof_backward", "nearest_point"):
         plan = queries.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+ROWS_ONLY = sorted((set(queries.QUERIES) | set(numeric_queries.QUERIES)) - set(SQL) - {"fuse_corridor"})
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_has_rows(spark, name):
+    rows = (queries.QUERIES | numeric_queries.QUERIES)[name](spark, DIR).collect()
+    assert rows
+    if name == "utm_roundtrip":
+        assert all(abs(r.dlon) < 1e-6 and abs(r.dlat) < 1e-6 for r in rows)
+    if name == "sensor_calibration":
+        assert {r.angle for r in rows} == {0.02}
+    if name == "frenet_roundtrip":
+        # half a step along and, on the line itself, the same taken for an offset
+        assert max(r.error for r in rows if r.error is not None) < 0.5 / 2**0.5 + 1e-3
+    if name == "sampled_rows":
+        assert [r.event_id for r in rows] == [r.event_id for r in queries.QUERIES[name](spark, DIR).collect()]
+    if name == "lane_crossings":
+        assert {(r.lane, round(r.s)) for r in rows} == {("EBL1", 121), ("EBL2", 121)}
+    if name == "approx_distinct":
+        n = spark.read.parquet(f"{DIR}/events.parquet").count()
+        assert abs(rows[0].tracklets - n) < 0.1 * n
+    if name == "stream_tracked":
+        assert len(rows) == spark.read.parquet(f"{DIR}/events.parquet").count()
