@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations: forward filtering and backward sampling over the piece lattice.
 
 The lattice of a text has a node between any two bytes and an edge for every vocabulary piece that matches
-(a space stands for the piece's word mark), and one for every single byte.  Texts are cut before spaces and around
+(a space stands for the piece's word mark), and one for every byte of a character that is no piece.  Texts are cut before spaces and around
 line feeds, where pieces begin anyway, and runs beyond ``LONGEST`` bytes at character boundaries; each different
 run of a chunk is filtered forward once (log-sum of all segmentations up to each node, vectorised over runs).
 Every occurrence is then sampled backwards from its end, with uniform numbers that are hashes of the row's
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .bytehash import U64, buffers, chunks, mix, prefix, substring
 
-LONGEST, CHUNK, BYTE_COST, ONE = 48, 1 << 22, 14.0, 1 << 40
+LONGEST, CHUNK, BYTE_COST, ONE = 48, 1 << 21, 14.0, 1 << 40
 _memory: dict = {}
+#: Bytes of a character by its first byte.
+CHARACTER = np.array([1 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)])
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -54,8 +56,8 @@ class Lattices:
         h = substring(prefix(data), off[:-1], off[1:])
         order = np.argsort(h)
         self.keys, self.ids = h[order], np.array(own)[order]
-        self.seen = np.zeros(1 << 22, dtype=bool)
-        self.seen[(self.keys & U64((1 << 22) - 1)).astype(np.int64)] = True
+        self.slots = np.full(1 << 22, -1, dtype=np.int32)  # key by its low bits; of keys that share them, the last
+        self.slots[(self.keys & U64((1 << 22) - 1)).astype(np.int64)] = np.arange(len(self.keys))
         self.sizes = sorted(set(np.diff(off).tolist()))
         self.cost = np.full(len(raw), BYTE_COST)
         self.cost[own] = np.log(np.maximum(np.array([-model.get_score(i) for i in own]), 0) + 3.0)
@@ -77,20 +79,30 @@ class Lattices:
         left = off[1:][own] - at  # bytes up to the run's end
         h = prefix(data)
         node = at + own  # node before each byte
-        src, span, piece = [node], [np.zeros(len(data), np.int64)], [self.byte_id[data]]
+        src, span, piece = [], [], []
+        lead = (data & 0xC0) != 0x80
+        known = np.zeros(len(data), dtype=bool)  # by a character's first byte: whether it is a piece
         live = at
         for k in self.sizes:
             live = live[left[live] >= k]
             if not len(live):
                 break
             x = substring(h, live, live + k)
-            ok = np.flatnonzero(self.seen[(x & U64((1 << 22) - 1)).astype(np.int64)])
-            x, i = x[ok], live[ok]
-            p = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+            p = self.slots[(x & U64((1 << 22) - 1)).astype(np.int64)]
+            ok = np.flatnonzero(p >= 0)
+            x, i, p = x[ok], live[ok], p[ok]
+            miss = np.flatnonzero(self.keys[p] != x)
+            p[miss] = np.minimum(np.searchsorted(self.keys, x[miss]), len(self.keys) - 1)
             ok = np.flatnonzero(self.keys[p] == x)
-            src.append(node[i[ok]])
+            i = i[ok]
+            known[i[CHARACTER[data[i]] == k]] = True
+            src.append(node[i])
             span.append(np.full(len(ok), k))
             piece.append(self.ids[p[ok]])
+        bare = np.flatnonzero(~known[np.maximum.accumulate(np.where(lead, at, 0))]) if len(data) else at
+        src.append(node[bare])
+        span.append(np.zeros(len(bare), np.int64))
+        piece.append(self.byte_id[data[bare]])
         src, span, piece = np.concatenate(src), np.concatenate(span), np.concatenate(piece)
         dst = src + np.maximum(span, 1)
         total = len(data) + runs_

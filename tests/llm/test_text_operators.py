@@ -349,7 +349,7 @@ def test_sampling_follows_the_lattice():
         if p == len(word):
             yield (), 0.0
         for k in range(1, len(word) - p + 1):
-            for i in {ids.get(word[p : p + k]), lat.byte_id[word[p]] if k == 1 else None} - {None}:
+            for i in {ids.get(word[p : p + k])} - {None}:
                 for rest, c in paths(p + k):
                     yield (int(i), *rest), c - lat.cost[i]
 
