@@ -5,10 +5,12 @@
 3. Inverted lists: two sets with similarity >= t share at least ``need`` retained values, so only the
    ``k - need + 1`` globally rarest retained values of a document need a list (prefix filtering).  Very
    frequent values therefore get no list unless a document consists mostly of them.
-4. Within a list (cut into blocks of bounded size, block pairs apart) the bottom-k sketch of the union
-   estimates the similarity; only a spanning forest of the passing pairs is emitted, never all pairs.
-5. The candidate groups meet with their whole texts (again in bounded blocks) and exact similarity on
-   full sets confirms links; pairs that are already connected need no check, as only components are asked.
+4. Within a list the bottom-k sketch of the union estimates the similarity; only a spanning forest of the
+   passing pairs is emitted, never all pairs.
+5. The candidate groups meet with their whole texts and exact similarity on full sets confirms links; pairs
+   that are already connected need no check, as only components are asked.
+
+Lists and groups beyond a bounded size are cut into blocks (``linked``), so no task holds an unbounded one.
 
 With k = 32 and need = 16 a pair at similarity 0.8 is missed with a probability below 1e-4; the estimate's
 threshold is the same 16 of 32.  Sets of up to 32 shingles are kept whole, so there the overlap is exact.
@@ -27,7 +29,7 @@ from .bytehash import BYTE_LOWER, U64, buffers, chunks, mix, prefix, substring,
 from .common import lists, parts, saved, unsigned, whole
 from .components import connected
 
-K, NEED, BLOCK, GROUP_BYTES = 32, 16, 1024, 32 << 20
+K, NEED, BLOCK, GROUP_BYTES = 32, 16, 1024, 4 << 20
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +92,8 @@ def need(a: int, k: int, floor: int, percent: int) -> int:
     return math.ceil(a * percent / 100) if a <= floor else min(floor, math.ceil(min(a, k) * percent / 100))
 
 
-def grouped(batches, keys: int):
-    """Tables of equal first ``keys`` columns, from a partition in which equal keys lie together or not."""
+def grouped(batches, keys: int, least: int = 2):
+    """Tables of ``least`` rows or more of equal first ``keys`` columns, from a partition in any order."""
     got = whole(batches)
     if got is None:
         return
@@ -103,7 +105,7 @@ def grouped(batches, keys: int):
         cut[1:] |= c[1:] != c[:-1]
     starts = np.concatenate([[0], np.flatnonzero(cut), [len(order)]])
     for a, b in zip(starts[:-1], starts[1:], strict=True):
-        if b - a > 1:
+        if b - a >= least:
             yield got.take(pa.array(np.sort(order[a:b])))
 
 
@@ -131,7 +133,7 @@ def candidate_forest(ids: np.ndarray, sk: np.ndarray, size: np.ndarray, k: int,
     return edges
 
 
-def confirm(ids: np.ndarray, values: list[np.ndarray], k: int, share: float, percent: int, cross: np.ndarray | None) -> list[tuple[int, int]]:
+def confirm(ids: np.ndarray, values: list[np.ndarray], k: int, share: float, percent: int) -> list[tuple[int, int]]:
     """Spanning forest of the links 100 * |A & B| >= percent * |A | B| on full sets (sorted distinct hashes)."""
     n = len(ids)
     label, edges = np.arange(n), []
@@ -142,8 +144,6 @@ def confirm(ids: np.ndarray, values: list[np.ndarray], k: int, share: float, per
         sk[i, : size[i]] = v[:k]
     for x in range(1, n):
         near = (label[:x] != label[x]) & (100 * np.minimum(length[:x], length[x]) >= percent * np.maximum(length[:x], length[x]))
-        if cross is not None:
-            near &= cross[:x] != cross[x]
         left = np.flatnonzero(near)
         if not len(left):
             continue
@@ -160,15 +160,92 @@ def confirm(ids: np.ndarray, values: list[np.ndarray], k: int, share: float, per
     return edges
 
 
-def blocked(df: DataFrame, id_col: str, blocks) -> DataFrame:
-    """Copies each row to every pair of blocks that its own block is part of: columns i <= j, mine.
+_FOUND = "kind int, key long, u long, v long"
+
+
+def _packed(kind: int, key: list[int], u: list[int], v: list[int]) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(u), kind), pa.int32()), *[pa.array(np.array(x, dtype=np.int64)) for x in (key, u, v)]]
+    return pa.RecordBatch.from_arrays(cols, names=["kind", "key", "u", "v"])
+
+
+def _roots(ids: list[int], edges: list[tuple[int, int]]) -> list[int]:
+    up = {i: i for i in ids}
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
 
-    ``blocks`` (a long column) is 1 for groups of bounded size, so such rows stay single.
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in ids]
+
+
+def linked(rows: DataFrame, limit: int, links, n: int) -> DataFrame:
+    """Edges (u, v) that connect, within each key, what ``links`` finds between rows (key, id, weight, payload).
+
+    ``links`` turns a table of (id, payload) rows into a forest of edges and skips what is connected already.  Keys
+    beyond ``limit`` of weight are dealt with in three steps, none of which lists all pairs: blocks by a hash of the
+    id; then one row for each group that a block came to; then the rows outside a key's main group, in blocks,
+    against all rows of the key.  So each pair of rows either meets or is connected before, and a key whose rows are
+    alike costs a number of comparisons in proportion to them.
     """
-    df = df.withColumn("nb", blocks).withColumn("mine", F.pmod(F.xxhash64(id_col), F.col("nb")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    df = df.withColumn("other", other)
-    return df.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "nb")
+    total = saved(rows.groupBy("key").agg(F.sum("weight").alias("total")))  # so that the join deals out both sides
+    parted = rows.join(total.select("key", F.ceil(F.col("total") / limit).alias("nb")), "key")
+    parted = parted.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")))
+
+    def within(batches):
+        for g in grouped(batches, 2, 1):
+            key, many = g.column("key")[0].as_py(), g.column("nb")[0].as_py() > 1
+            edges = links(g) if len(g) > 1 else []
+            if edges:
+                yield _packed(0, [key] * len(edges), *map(list, zip(*edges, strict=True)))
+            if many:
+                ids = g.column("id").to_pylist()
+                yield _packed(1, [key] * len(ids), ids, _roots(ids, edges))
+
+    lay = ["key", "blk", "nb", "id", "payload"]
+    one = saved(parted.select(*lay).repartition(n, "key", "blk").mapInArrow(within, _FOUND))
+    edges = one.where("kind = 0").select("u", "v")
+    large = one.where("kind = 1")
+    if large.isEmpty():
+        return edges
+
+    def across(batches):
+        for g in grouped(batches, 3, 2):
+            got = links(g)
+            if got:
+                yield _packed(0, [0] * len(got), *map(list, zip(*got, strict=True)))
+
+    def meet(df):
+        return df.select("key", "i", "j", "id", "payload").dropDuplicates(["key", "i", "j", "id"]).repartition(n, "key", "i", "j").mapInArrow(across, _FOUND)
+
+    # One row for each group of each block; in pairs of blocks again if these are many.
+    heads = rows.join(large.where("u = v").select("key", F.col("u").alias("id")), ["key", "id"])
+    heavy = saved(heads.groupBy("key").agg(F.ceil(F.sum("weight") / limit).alias("nb")))
+    span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    heads = heads.join(heavy, "key").withColumn("a", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("b", span("nb"))
+    two = saved(meet(heads.withColumn("i", F.least("a", "b")).withColumn("j", F.greatest("a", "b"))))
+    edges = edges.unionByName(two.select("u", "v"))
+
+    # What is not in its key's main group meets all rows of the key.
+    comps = connected(edges).select("id", "component")
+    label = saved(large.select("key", F.col("u").alias("id")).join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+    sizes = label.groupBy("key", "label").agg(F.count("*").alias("m"))
+    main = saved(sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("main")))
+    out = saved(label.join(main, "key").where("label <> main").select("key", "id"))
+    if out.isEmpty():
+        return edges
+    loose = rows.join(out, ["key", "id"])
+    blocks = saved(loose.groupBy("key").agg(F.ceil(F.sum("weight") / limit).alias("nl")))
+    sized = blocks.join(total.select("key", F.ceil(F.col("total") / limit).alias("nb")), "key")
+    mine = loose.join(sized, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("nl"))).withColumn("j", span("nb"))
+    all_ = rows.join(sized, "key").withColumn("j", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("i", span("nl"))
+    cols = ["key", "i", "j", "id", "payload"]
+    three = saved(meet(mine.select(*cols).unionByName(all_.select(*cols))))
+    return edges.unionByName(three.select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 80, k: int = K, floor: int = NEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,45 +269,33 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 8
     least = F.when(F.col("size") <= floor, F.ceil(F.col("size") * percent / 100)).otherwise(F.least(F.lit(floor), F.ceil(F.least("size", F.lit(k)) * percent / 100)))
     posted = shared.join(reps.select("rep", "size", "sketch"), "rep").withColumn("lists", (F.size("sketch") - least + 1 - (F.size("sketch") - F.size("rare"))).cast("int"))
     posted = posted.where("lists > 0").select("rep", "size", "sketch", F.explode(F.slice("rare", F.lit(1), F.col("lists"))).alias("p"))
-    posted = blocked(posted.select(F.col("p.value").alias("value"), F.col("p.df").alias("df"), "rep", "sketch"), "rep", F.ceil(F.col("df") / BLOCK))
-    posted = posted.select("value", "i", "j", "rep", "sketch").repartition(n, "value", "i", "j")
-
-    def propose(batches):
-        out: set[tuple[int, int]] = set()
-        for g in grouped(batches, 3):
-            flat = g.column("sketch").combine_chunks()
-            flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-            size = np.diff(flat.offsets.to_numpy())
-            m = np.full((len(size), k), np.iinfo(np.uint64).max, dtype=U64)
-            m[np.arange(k)[None, :] < size[:, None]] = flat.flatten().to_numpy().view(U64)
-            out.update(candidate_forest(g.column("rep").to_numpy(), m, size, k, share))
-        uv = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
-
-    groups = saved(connected(posted.mapInArrow(propose, "u long, v long")))
-    # Whole texts of the candidates, by group; large groups in pairs of blocks.
-    weight = groups.join(reps.select(F.col("rep").alias("id"), F.col("size")), "id")
-    total = saved(weight.groupBy("component").agg(F.sum(F.col("size") * 8 + 64).alias("bytes")))
-    members = blocked(weight.join(total, "component"), "id", F.ceil(F.col("bytes") / GROUP_BYTES)).select("component", "i", "j", "mine", F.col("id").alias("doc_id"))
-    texts = members.join(docs, "doc_id").select("component", "i", "j", "mine", "doc_id", "text").repartition(n, "component", "i", "j")
-
-    def verify(batches):
-        out = []
-        for g in grouped(batches, 3):
-            data, off = buffers(g.column("text"))
-            values = []
-            for a, b in chunks(off):
-                o = off[a : b + 1]
-                v, c = shingle_sets(data[o[0] : o[-1]], o - o[0], words_in_shingle)
-                values += np.split(v, np.cumsum(c)[:-1])
-            ids, mine = g.column("doc_id").to_numpy(), g.column("mine").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            apart = g.column("i")[0].as_py() != g.column("j")[0].as_py()
-            out += confirm(ids[order], [values[x] for x in order], k, share, percent, mine[order] if apart else None)
-        uv = np.array(out, dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
-
-    comps = connected(texts.mapInArrow(verify, "u long, v long")).select(F.col("id").alias("rep"), "component")
+    posted = posted.select(F.col("p.value").alias("key"), F.col("rep").alias("id"), F.lit(1).cast("long").alias("weight"), F.col("sketch").alias("payload"))
+
+    def propose(g: pa.Table) -> list[tuple[int, int]]:
+        flat = g.column("payload").combine_chunks()
+        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+        size = np.diff(flat.offsets.to_numpy())
+        m = np.full((len(size), k), np.iinfo(np.uint64).max, dtype=U64)
+        m[np.arange(k)[None, :] < size[:, None]] = flat.flatten().to_numpy().view(U64)
+        return candidate_forest(g.column("id").to_numpy(), m, size, k, share)
+
+    groups = saved(connected(linked(posted, BLOCK, propose, n)))
+    # Whole texts of the candidates, by group.
+    weight = groups.join(reps.select(F.col("rep").alias("id"), (F.col("size") * 8 + 64).alias("weight")), "id")
+    texts = saved(weight.join(docs.withColumnRenamed("doc_id", "id"), "id").select(F.col("component").alias("key"), "id", "weight", F.col("text").alias("payload")))
+
+    def verify(g: pa.Table) -> list[tuple[int, int]]:
+        data, off = buffers(g.column("payload"))
+        values = []
+        for a, b in chunks(off):
+            o = off[a : b + 1]
+            v, c = shingle_sets(data[o[0] : o[-1]], o - o[0], words_in_shingle)
+            values += np.split(v, np.cumsum(c)[:-1])
+        ids = g.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        return confirm(ids[order], [values[x] for x in order], k, share, percent)
+
+    comps = connected(linked(texts, GROUP_BYTES, verify, n)).select(F.col("id").alias("rep"), "component")
     final = reps.join(comps, "rep", "left").select("sig", F.coalesce("component", "rep").alias("comp"))
     return (
         sk.select("doc_id", "n_shingles", "sig")

@@ -91,6 +91,20 @@ def test_minhash_many_near_copies_and_repeated_rows(spark, monkeypatch):
     assert sorted(got) == sorted([(i, want[i]) for i, _ in rows])
 
 
+def test_minhash_large_groups_in_blocks(spark, monkeypatch):
+    """Candidate groups of several true groups, far beyond the block sizes."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 3000)
+    base, rows = prose(21, 60).split(), []
+    for k in range(5):
+        own = base[: 8 * k + 5] + [f"own{k}{j}" for j in range(3)] + base[8 * k + 8 :]
+        rows += [(100 * k + j, " ".join([*own[:57], f"end{j}", *own[58:]]) if j else " ".join(own)) for j in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 5).collect()}
+    want = jaccard_components(rows, 5)
+    assert len({c for _, c in want.values()}) > 1 and got == want
+
+
 def test_minhash_empty_and_null_ids(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     df = spark.createDataFrame([(None, prose(1, 30)), (1, prose(1, 30)), (2, prose(1, 30))], "doc_id long, text string")
