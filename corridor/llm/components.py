@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
+FILE_ROWS = 200_000
+
 
 def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
@@ -29,14 +31,15 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
+        files = before[0] // FILE_ROWS + 1  # rounds only shrink the edges, so few rows never end up in many files
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written out, so that the join below deals both of its sides itself and can split a vertex with many edges.
-        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(files))
         large = both.join(low, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = saved(large)
-        down = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = saved(large.coalesce(files))
+        down = saved(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(files))
         small = large.join(down, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = saved(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        e = saved(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct().coalesce(files))
         now = _state(e)
         if now == before:
             break
