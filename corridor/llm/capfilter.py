@@ -7,9 +7,11 @@ directions cost two small matrix products.  A vector belongs to every filter who
 for every word of the other half, how far down the list the sum still suffices.  Vectors that share a
 filter are compared in double precision.
 
-Sizes follow from the number n of different vectors: t is such that a filter holds about ``HELD``
-unrelated vectors, and m such that a pair at the threshold shares ``SHARE`` filters on average in each of ``CODES``
-independent codes.
+Sizes follow from the number n of different vectors and from the distribution of a coordinate on the sphere of their
+dimension: t is such that a filter holds about ``HELD`` unrelated vectors (more where caps that narrow would not hold
+both of a pair), and m such that a pair at the threshold shares ``SHARE`` filters of a code on average.  Filters of a
+code depend on each other, so the share of random pairs at the threshold that a code misses is measured, and there are
+as many independent codes as bring it below ``MISS``.
 
 Equal vectors collapse before; filters with many members are cut into blocks and pairs of blocks meet.
 Each pair is counted in the smallest filter that both are in, so links need not be listed: every block
@@ -18,7 +20,8 @@ emits a count of links for a vector and a spanning forest, which grow with its m
 
 from __future__ import annotations
 
-from math import ceil, erfc, pi, sqrt
+from functools import lru_cache
+from math import ceil, exp, lgamma, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +31,71 @@ from pyspark.sql import functions as F
 from .common import lists, saved, whole
 from .components import connected
 
-HELD, SHARE, CODES, BLOCK, SEED = 8.0, 12.0, 3, 512, 20240501
-
-
-def _tail(t: float) -> float:
-    return erfc(t / sqrt(2)) / 2
-
-
-def _joint(t: float, c: float) -> float:
-    """P(X > t, Y > t) of standard normal variables with correlation c."""
-    x = np.linspace(t, t + 9, 4001)
-    y = np.array([_tail((t - c * v) / sqrt(1 - c * c)) for v in x])
-    f = np.exp(-x * x / 2) / sqrt(2 * pi) * y
-    return float(((f[1:] + f[:-1]) / 2).sum() * (x[1] - x[0]))
-
-
-def plan(n: int, cosine: float) -> tuple[float, int]:
-    """Threshold in standard deviations and words in each codebook."""
-    t = 2.0
-    while n * _tail(t) > HELD and t < 6:
-        t += 0.05
-    return t, min(8192, ceil(sqrt(SHARE / _joint(t, min(cosine, 0.999)))))
-
-
+HELD, SHARE, MISS, BLOCK, SEED = 16.0, 2.0, 1e-6, 512, 20240501
+NARROW, PAIRS, CELLS = 0.1, 2000, 1 << 21
+
+
+def _density(a: np.ndarray, dim: int) -> np.ndarray:
+    """Density of a coordinate of a random unit vector; three dimensions or more."""
+    return exp(lgamma(dim / 2) - lgamma((dim - 1) / 2)) / sqrt(pi) * np.maximum(1 - a * a, 0) ** ((dim - 3) / 2)
+
+
+def _tail(s: np.ndarray, dim: int) -> np.ndarray:
+    """P(coordinate > s) for a random unit vector."""
+    a = np.sin(np.linspace(0, pi / 2, 20001))
+    f = _density(a, dim)
+    up = np.concatenate([[0], np.cumsum(((f[1:] + f[:-1]) / 2 * np.diff(a))[::-1])])[::-1]
+    v = np.interp(np.abs(s), a, up)
+    return np.where(np.asarray(s) >= 0, v, 1 - v)
+
+
+def _joint(s: float, c: float, dim: int) -> float:
+    """P(both of two random unit vectors with cosine c exceed s along a direction)."""
+    a = np.linspace(s, 1, 4002)[:-1]
+    f = _density(a, dim) * _tail(np.clip((s - c * a) / np.sqrt((1 - c * c) * (1 - a * a)), -1, 1), dim - 1)
+    return float(((f[1:] + f[:-1]) / 2).sum() * (a[1] - a[0]))
+
+
+def pairs_at(count: int, dim: int, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors with that cosine; equal vectors in one dimension."""
+    rng = np.random.default_rng(seed)
+    x = _unit(rng.standard_normal((count, dim)))
+    if dim == 1:
+        return x, x
+    z = rng.standard_normal((count, dim))
+    z = _unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    return x, cosine * x + sqrt(1 - cosine * cosine) * z
+
+
+def sharing(x: np.ndarray, y: np.ndarray, t: float, m: int, which: int) -> np.ndarray:
+    """Number of filters of a code that each x and its y share."""
+    step, got = max(16, CELLS // m), []
+    for k in range(0, len(x), step):
+        both = [r * m * m + f for r, f in (decode(z[k : k + step], t, m, which) for z in (x, y))]
+        got.append(np.bincount(np.intersect1d(*both) // (m * m), minlength=len(x[k : k + step])))
+    return np.concatenate(got)
+
+
+@lru_cache(maxsize=64)
+def plan(n: int, dim: int, cosine: float) -> tuple[float, int, int]:
+    """Threshold in standard deviations, words in each codebook and number of codes."""
+    c = min(cosine, 0.999)
+    s, m = 0.0, 2  # below four dimensions a half has hardly any directions
+    if dim > 3:
+        for k in range(1, 400):
+            at = k / 400
+            tail = float(_tail(at, dim))
+            if n * tail < HELD or _joint(at, c, dim) < NARROW * tail:
+                break
+            s = at
+        m = max(2, ceil(sqrt(SHARE / _joint(s, c, dim))))
+    t = s * sqrt(dim)
+    x, y = pairs_at(PAIRS, dim, c, SEED)
+    missed = int((sharing(x, y, t, m, 0) == 0).sum())
+    return t, m, max(2, ceil(log(MISS) / log(min(0.95, (missed + 2 * sqrt(missed + 1)) / PAIRS))))
+
+
+@lru_cache(maxsize=64)
 def code(dim: int, m: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random rotation and the two codebooks, the same everywhere."""
     rng = np.random.default_rng([SEED, dim, m, which])
@@ -112,7 +157,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     reps = saved(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
     dims = {r[0]: r[1] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*")).collect()}  # as many rows as there are lengths
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(dims.values()) // 4096 + 1)
-    plans = {d: plan(n, cosine) for d, n in dims.items()}
+    plans = {d: plan(n, d, cosine) for d, n in dims.items()}
+    width = "int" if all(codes * m * m < 1 << 31 for _, m, codes in plans.values()) else "long"
 
     def filters(batches):
         for batch in batches:
@@ -120,17 +166,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
             sizes = np.diff(t.column("v").combine_chunks().offsets.to_numpy()) if not isinstance(t.column("v").combine_chunks(), pa.ChunkedArray) else np.diff(t.column("v").combine_chunks().chunk(0).offsets.to_numpy())
             for d in np.unique(sizes):
                 own = t.take(pa.array(np.flatnonzero(sizes == d)))
-                for k in range(0, len(own), 1024):
-                    cut = own.slice(k, 1024)
-                    x, (t_, m) = _unit(_matrix(cut.column("v"))), plans[int(d)]
-                    both = [decode(x, t_, m, c) for c in range(CODES)]
+                t_, m, codes = plans[int(d)]
+                step = max(16, min(1024, CELLS // m))
+                for k in range(0, len(own), step):
+                    cut = own.slice(k, step)
+                    x = _unit(_matrix(cut.column("v")))
+                    both = [decode(x, t_, m, c) for c in range(codes)]
                     r = np.concatenate([a for a, _ in both])
                     f = np.concatenate([b + c * m * m for c, (_, b) in enumerate(both)])
                     o = np.lexsort((f, r))
                     r, f = r[o], f[o]
-                    yield pa.RecordBatch.from_arrays([cut.column("rep").combine_chunks(), cut.column("m").combine_chunks(), cut.column("v").combine_chunks(), lists(f.astype(np.int32), np.bincount(r, minlength=len(cut)))], names=["rep", "m", "v", "filters"])
+                    yield pa.RecordBatch.from_arrays([cut.column("rep").combine_chunks(), cut.column("m").combine_chunks(), cut.column("v").combine_chunks(), lists(f.astype(np.int32 if width == "int" else np.int64), np.bincount(r, minlength=len(cut)))], names=["rep", "m", "v", "filters"])
 
-    listed = reps.repartition(n_parts).mapInArrow(filters, f"rep long, m long, v array<{kind}>, filters array<int>")
+    listed = reps.repartition(n_parts).mapInArrow(filters, f"rep long, m long, v array<{kind}>, filters array<{width}>")
     listed = saved(listed)
     rows = listed.withColumn("d", F.size("v")).withColumn("f", F.explode("filters"))
     sizes = saved(rows.groupBy("d", "f").agg(F.count("*").alias("n")).where("n > 1"))  # so that both sides of the join are dealt anew

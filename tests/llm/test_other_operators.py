@@ -66,6 +66,13 @@ def test_decoding_finds_exactly_the_exceeded_filters():
     assert want <= got and {i for i, _ in got - want}.isdisjoint({i for i, _ in want})
 
 
+@pytest.mark.parametrize("n, dim", [(10_000, 64), (3_000_000, 64), (1_000_000, 16), (1_000_000, 4), (100_000, 3), (1000, 2), (100, 1)])
+def test_pairs_at_the_threshold_share_a_filter_at_every_size(n, dim):
+    x, y = capfilter.pairs_at(300, dim, 0.951, 3)
+    t, m, codes = capfilter.plan(n, dim, 0.95)
+    assert (sum(capfilter.sharing(x, y, t, m, c) for c in range(codes)) > 0).all()
+
+
 def judge(spark, urls, events):
     c = spark.createDataFrame([(i, u, d) for i, (u, d) in enumerate(urls)], "page_id long, url string, day int")
     e = spark.createDataFrame(events, "list string, kind string, pattern string, day int, action string, seq int")
