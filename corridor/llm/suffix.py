@@ -56,13 +56,13 @@ def segments(data: np.ndarray, off: np.ndarray, size: int, hot: np.ndarray) -> d
     valid = np.ones(len(m), dtype=bool)
     for e in off[1:-1]:
         valid[max(0, e - size + 1) : e] = False
-    # Positions that are some window's anchor; a value twice in a row means windows can repeat within a segment.
+    # Positions that are some window's anchor; a value twice in a row means windows can repeat within a segment.  Across a gap of span, the windows are still neighbours.
     if not valid.any():
         return None
     wide = np.concatenate([np.zeros(span - 1, U64), np.where(valid, m, U64(0)), np.zeros(span - 1, U64)])
     spots = np.flatnonzero(_slide(wide, span, np.maximum) == g)
     v = g[spots]
-    own = np.unique(v[:-1][(v[1:] == v[:-1]) & (np.diff(spots) < span)])
+    own = np.unique(v[:-1][(v[1:] == v[:-1]) & (np.diff(spots) <= span)])
     change = m[1:] != m[:-1]
     first = valid.copy()
     first[1:] &= change | ~valid[:-1]

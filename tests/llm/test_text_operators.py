@@ -163,6 +163,16 @@ def test_suffix_hot_anchor_goes_by_windows(spark, monkeypatch):
     assert digest(suffix.deduplicated(df)) == removed(rows, 100)
 
 
+def test_suffix_every_period_in_one_document(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for times in (2, 3, 5):
+        for period in range(1, 201):
+            rows.append((len(rows), "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz \n"), period)) * times))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert digest(suffix.deduplicated(df, size=100)) == removed(rows, 100)
+
+
 def test_suffix_repeated_rows_empty_tables_and_cleaning(spark, docs, texts):
     assert suffix.deduplicated(empty(spark)).count() == 0
     t = prose(5, 60)
