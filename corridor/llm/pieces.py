@@ -2,8 +2,9 @@
 
 The lattice of a text has a node between any two bytes and an edge for every vocabulary piece that matches
 (a space stands for the piece's word mark), and one for every byte of a character that is no piece.  Texts are cut before spaces and around
-line feeds, where pieces begin anyway, and runs beyond ``LONGEST`` bytes at character boundaries; each different
-run of a chunk is filtered forward once (log-sum of all segmentations up to each node, vectorised over runs).
+line feeds, where pieces begin anyway, and nowhere else, whatever a run's length; each different
+run of a chunk is filtered forward once (log-sum of all segmentations up to each node, vectorised over runs).  Every
+segmentation passes a node that no edge spans, so forward sums begin anew there and such stretches advance at once.
 Every occurrence is then sampled backwards from its end, with uniform numbers that are hashes of the row's
 key, the run's place and the step: the same row always gets the same segmentation, wherever it is computed.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import U64, buffers, chunks, mix, prefix, substring
 
-LONGEST, CHUNK, BYTE_COST, ONE = 48, 1 << 21, 14.0, 1 << 40
+CHUNK, BYTE_COST, ONE = 1 << 21, 14.0, 1 << 40
 _memory: dict = {}
 #: Bytes of a character by its first byte.
 CHARACTER = np.array([1 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b in range(256)])
@@ -51,7 +52,7 @@ class Lattices:
         self.byte_id = np.zeros(256, dtype=np.int64)
         for i in byte:
             self.byte_id[self.bytes[i][0]] = i
-        own = [i for i, b in enumerate(self.bytes) if b and i not in set(byte) and b"\n" not in b and b" " not in b[1:] and len(b) <= LONGEST]
+        own = [i for i, b in enumerate(self.bytes) if b and i not in set(byte) and b"\n" not in b and b" " not in b[1:]]
         data, off = self._flat([self.bytes[i] for i in own])
         h = substring(prefix(data), off[:-1], off[1:])
         order = np.argsort(h)
@@ -106,9 +107,14 @@ class Lattices:
         src, span, piece = np.concatenate(src), np.concatenate(span), np.concatenate(piece)
         dst = src + np.maximum(span, 1)
         total = len(data) + runs_
-        local = np.zeros(total, dtype=np.int64)
-        local[node + 1] = at - off[own] + 1
-        order = np.argsort((local[dst] * total + dst) * 64 + span)  # by place in the run, then node: all keys differ
+        base = off[:-1] + np.arange(runs_)
+        over = np.cumsum(np.bincount(src + 1, minlength=total + 1) - np.bincount(dst, minlength=total + 1))  # edges that span a node
+        free = over[:total] == 0
+        nodes = np.arange(total)
+        local = np.zeros(total, dtype=np.int64)  # distance from the free node before
+        local[1:] = nodes[1:] - np.maximum.accumulate(np.where(free, nodes, 0))[:-1]
+        local[base] = 0
+        order = np.argsort((local[dst] * total + dst) * (self.sizes[-1] + 1) + span)  # by distance, then node: all keys differ
         src, dst, piece = src[order], dst[order], piece[order]
         weight = -self.sharpness * self.cost[piece]
         new = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, np.int64)
@@ -116,21 +122,20 @@ class Lattices:
         heads = dst[new]
         level = np.searchsorted(local[heads], np.arange(1, int(local.max(initial=0)) + 2))
         alpha, cum = np.zeros(total), np.zeros(len(dst), dtype=np.int64)
-        for a, b in zip(level[:-1], level[1:], strict=True):  # all runs advance by one byte
+        for a, b in zip(level[:-1], level[1:], strict=True):  # all stretches advance by one byte
             if a == b:
                 continue
             x, y = new[a], new[b] if b < len(new) else len(dst)
             v = alpha[src[x:y]] + weight[x:y]
             begin, many = new[a:b] - x, count[a:b]
             sums = np.logaddexp.reduceat(v, begin)
-            alpha[heads[a:b]] = sums
+            alpha[heads[a:b]] = np.where(free[heads[a:b]], 0.0, sums)
             c = np.cumsum((np.exp(v - np.repeat(sums, many)) * ONE).astype(np.int64))  # whole numbers: the same in any chunk
             cum[x:y] = c - np.repeat(np.concatenate([[0], c[begin[1:] - 1]]), many)
         cum[new + count - 1] = ONE  # beyond any uniform number
         first = np.zeros(total, dtype=np.int64)
         first[heads] = new
         start = np.zeros(total, dtype=bool)
-        base = off[:-1] + np.arange(runs_)
         start[base] = True
         return base + size, start, first, src, piece, cum
 
@@ -173,22 +178,13 @@ class Lattices:
 
 
 def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of each run: cut before spaces, around line feeds, and where runs get too long."""
+    """Start, end and text of each run: cut before spaces and around line feeds."""
     n = len(data)
     cut = np.zeros(n + 1, dtype=bool)
     cut[off] = True
     cut[:n] |= (data == 0x20) | (data == 0x0A)
     cut[1:] |= data == 0x0A
-    while True:
-        at = np.flatnonzero(cut)
-        size = np.diff(at)
-        long_ = np.flatnonzero(size > LONGEST)
-        if not len(long_):
-            break
-        p = at[long_] + LONGEST
-        for _ in range(3):  # not within a character
-            p = np.where((data[np.minimum(p, n - 1)] & 0xC0) == 0x80, p - 1, p)
-        cut[p] = True
+    at = np.flatnonzero(cut)
     return at[:-1], at[1:], np.searchsorted(off, at[:-1], side="right") - 1
 
 

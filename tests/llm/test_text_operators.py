@@ -388,6 +388,46 @@ def test_sampling_follows_the_lattice():
         assert abs(seen[k] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3
 
 
+def edge_shares(lat, text):
+    """Probability of each (start, piece) by forward and backward sums over the text's whole lattice."""
+    ids = {b: i for i, b in enumerate(lat.bytes) if b and not (len(b) == 1 and i == lat.byte_id[b[0]])}
+    chars = [c.encode() for c in text.decode()]
+    starts = np.cumsum([0] + [len(c) for c in chars])
+    edges = [(int(p), ids[text[p : p + k]], k) for p in starts[:-1] for k in range(1, 65) if p + k <= len(text) and text[p : p + k] in ids]
+    edges += [(int(p) + k, int(lat.byte_id[c[k]]), 1) for p, c in zip(starts, chars) for k in range(len(c)) if c not in ids]
+    f, b = np.full(len(text) + 1, -np.inf), np.full(len(text) + 1, -np.inf)
+    f[0] = b[-1] = 0
+    for p, i, k in sorted(edges):
+        f[p + k] = np.logaddexp(f[p + k], f[p] - lat.cost[i])
+    for p, i, k in sorted(edges, reverse=True):
+        b[p] = np.logaddexp(b[p], b[p + k] - lat.cost[i])
+    return {(p, i): min(1.0, float(np.exp(f[p] - lat.cost[i] + b[p + k] - f[-1]))) for p, i, k in edges}
+
+
+def check_edges(text, n=4000):
+    lat = pieces.lattices(pieces.model_path(), 1.0)
+    want = edge_shares(lat, text)
+    got, count = lat.sample(np.frombuffer(text * n, np.uint8), np.arange(n + 1) * len(text), np.arange(n).astype(np.uint64), 5)
+    assert lat.decode(got) == text * n
+    seen = collections.Counter()
+    for x in np.split(got.astype(np.int64), np.cumsum(count)[:-1]):
+        size = np.array([len(lat.bytes[i]) for i in x])
+        seen.update(zip((np.cumsum(size) - size).tolist(), x.tolist(), strict=True))
+    assert seen.keys() <= want.keys()
+    for k, p in want.items():
+        assert abs(seen[k] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3
+    return seen
+
+
+def test_pieces_cross_every_place_of_long_runs():
+    url = b"https://www.international.example.org/information/understanding/configuration?identifier=internationalization"
+    seen = check_edges(url)
+    lat = pieces.lattices(pieces.model_path(), 1.0)
+    assert any(p < 48 < p + len(lat.bytes[i]) for p, i in seen)
+    check_edges("東京都は日本の首都であり、世界最大級の都市の一つである。中华人民共和国𠀀ภาษาไทย".encode())
+    check_edges(b"=" * 130, 2000)
+
+
 # ------------------------------------------------------------------ media
 
 
