@@ -1,14 +1,15 @@
 """Sampled SentencePiece segmentations: forward filtering and backward sampling over the piece lattice.
 
 The lattice of a text has a node between any two bytes and an edge for every vocabulary piece that matches
-(a space stands for the piece's word mark), and one for every byte of a character that is no piece.  Texts are cut before spaces and around
-line feeds, where pieces begin anyway, and nowhere else, whatever a run's length; each different
+(a space stands for the piece's word mark), and one for every byte of a character that is no piece.  Texts are cut before the first of
+neighbouring spaces and around line feeds, which no piece spans, and nowhere else, whatever a run's length; each different
 run of a chunk is filtered forward once (log-sum of all segmentations up to each node, vectorised over runs).  Every
 segmentation passes a node that no edge spans, so forward sums begin anew there and such stretches advance at once.
 Every occurrence is then sampled backwards from its end, with uniform numbers that are hashes of the row's
 key, the run's place and the step: the same row always gets the same segmentation, wherever it is computed.
 
-Probabilities fall with a piece's rank in the vocabulary; ``sharpness`` raises them to a power (0: all paths of a
+Probabilities fall with a piece's rank in the vocabulary (pieces that the model scores below all ranks, such as its
+runs of spaces, count as the last); ``sharpness`` raises them to a power (0: all paths of a
 lattice equally likely, large: the best path).  Decoding joins the pieces' bytes and is lossless for every text.
 """
 
@@ -52,7 +53,9 @@ class Lattices:
         self.byte_id = np.zeros(256, dtype=np.int64)
         for i in byte:
             self.byte_id[self.bytes[i][0]] = i
-        own = [i for i, b in enumerate(self.bytes) if b and i not in set(byte) and b"\n" not in b and b" " not in b[1:]]
+        own = [i for i, b in enumerate(self.bytes) if b and i not in set(byte)]
+        if any(b"\n" in self.bytes[i][1:] or b"\n" in self.bytes[i][:-1] or b" " in self.bytes[i].lstrip(b" ") for i in own):
+            raise ValueError("the model has pieces across the cuts between runs")
         data, off = self._flat([self.bytes[i] for i in own])
         h = substring(prefix(data), off[:-1], off[1:])
         order = np.argsort(h)
@@ -61,7 +64,7 @@ class Lattices:
         self.slots[(self.keys & U64((1 << 22) - 1)).astype(np.int64)] = np.arange(len(self.keys))
         self.sizes = sorted(set(np.diff(off).tolist()))
         self.cost = np.full(len(raw), BYTE_COST)
-        self.cost[own] = np.log(np.maximum(np.array([-model.get_score(i) for i in own]), 0) + 3.0)
+        self.cost[own] = np.log(np.clip(np.array([-model.get_score(i) for i in own]), 0, len(raw)) + 3.0)
         self.out, self.out_off = self._flat(self.bytes)
 
     @staticmethod
@@ -178,12 +181,13 @@ class Lattices:
 
 
 def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of each run: cut before spaces and around line feeds."""
+    """Start, end and text of each run: cut before the first of neighbouring spaces and around line feeds."""
     n = len(data)
     cut = np.zeros(n + 1, dtype=bool)
     cut[off] = True
-    cut[:n] |= (data == 0x20) | (data == 0x0A)
+    cut[:n] |= data == 0x0A
     cut[1:] |= data == 0x0A
+    cut[1:n] |= (data[1:] == 0x20) & (data[:-1] != 0x20)
     at = np.flatnonzero(cut)
     return at[:-1], at[1:], np.searchsorted(off, at[:-1], side="right") - 1
 

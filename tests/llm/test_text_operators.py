@@ -428,6 +428,12 @@ def test_pieces_cross_every_place_of_long_runs():
     check_edges(b"=" * 130, 2000)
 
 
+def test_pieces_of_several_spaces_are_sampled():
+    lat = pieces.lattices(pieces.model_path(), 1.0)
+    seen = check_edges(b"if x:\n        return  y    # z" + b" " * 40)
+    assert {len(lat.bytes[i]) for _, i in seen if not lat.bytes[i].strip(b" ")} >= {1, 2, 4, 8, 16}
+
+
 # ------------------------------------------------------------------ media
 
 
