@@ -7,7 +7,7 @@ join is an equality join on the pattern with the fetch day inside the interval.
 of a 'block' list holds and none of an 'allow' list does.  DataFrame operations only.
 
 Null or malformed URLs match nothing; null days match nothing; events with a null pattern, day or action are ignored.
-Repeated events change nothing.  A host with very many captures is one side of a join that adaptive execution splits.
+Repeated events change nothing; a capture given several times is judged once and returned as often as given.  A host with very many captures is one side of a join that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def intervals(events: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, events: DataFrame) -> DataFrame:
     """captures (page_id, url, day) -> with blocks, allows (numbers of entries that hold), first_rule and blocked."""
-    asked = captures.select("page_id", "url", "day", F.explode_outer(patterns(F.col("url"))).alias("pattern"))
+    rows = captures.select("page_id", "url", "day")
+    asked = rows.distinct().select("page_id", "url", "day", F.explode_outer(patterns(F.col("url"))).alias("pattern"))
     held = intervals(events).withColumnRenamed("pattern", "entry")
     on = (asked["pattern"] == held["entry"]) & (asked["day"] >= held["since"]) & (held["until"].isNull() | (asked["day"] < held["until"]))
     hit = asked.join(held, on, "left")
@@ -49,7 +50,10 @@ def judged(captures: DataFrame, events: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "allow").alias("allows"),
         F.min(F.when(F.col("kind") == "block", F.concat_ws("|", "list", "entry"))).alias("first_rule"),
     )
-    return out.withColumn("blocked", (F.col("blocks") > 0) & (F.col("allows") == 0))
+    same = [out[c].alias(f"{c}_") for c in rows.columns]
+    out = out.select(*same, "blocks", "allows", "first_rule")
+    back = rows.join(out, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in rows.columns]).drop(*[f"{c}_" for c in rows.columns])
+    return back.withColumn("blocked", (F.col("blocks") > 0) & (F.col("allows") == 0))
 
 
 def dated_lists(pages: DataFrame) -> DataFrame:

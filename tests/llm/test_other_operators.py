@@ -89,6 +89,15 @@ def test_entries_hold_from_their_day_to_the_next_event(spark):
     assert judge(spark, [], ev) == {} and judge(spark, urls[:2], []) == {0: (0, 0, False), 1: (0, 0, False)}
 
 
+def test_repeated_captures_are_all_returned_with_single_counts(spark):
+    rows = [(1, "http://a.bad.org/p", 5)] * 3 + [(1, "http://a.bad.org/p", 4), (None, None, None), (None, None, None), (2, "http://bad.org/", None)]
+    c = spark.createDataFrame(rows, "page_id long, url string, day int")
+    e = spark.createDataFrame([("l", "block", "bad.org", 5, "add", 1)], "list string, kind string, pattern string, day int, action string, seq int")
+    got = sorted(map(str, urlfilter.judged(c, e).select("page_id", "url", "day", "blocks", "first_rule", "blocked").collect()))
+    want = [(*r, int(r[2] == 5), "l|bad.org" if r[2] == 5 else None, r[2] == 5) for r in rows]
+    assert got == sorted(map(str, spark.createDataFrame(want, "page_id long, url string, day int, blocks long, first_rule string, blocked boolean").collect()))
+
+
 def norm(x):
     return "nan" if isinstance(x, float) and math.isnan(x) else str(x)
 
