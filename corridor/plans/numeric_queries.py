@@ -13,7 +13,7 @@ from ..functions.columns import millis
 from ..operators import assoc, fusion, geo, kalman, probe, timeseries
 from ..operators.kalman import STATE
 from ..schema import over
-from ..sources.writers import StageStore, shared_dir
+from ..sources.writers import StageStore, saved, shared_dir
 from ..streaming import windows
 from . import cleaning, pipeline, synthetic
 from .queries import ORDER, events, r, table, whole_millis
@@ -114,12 +114,23 @@ def association_distance(spark, d):
 
 @query
 def graph_prune(spark, d):
-    """Edges of suppliers and parts with few lines, pruned per component by their mean discount."""
-    e = table(spark, d, "lineitem").where("l_quantity >= 48").groupBy(F.col("l_suppkey").alias("lo"), (F.col("l_orderkey") + 10_000_000).alias("hi")).agg(F.avg(F.col("l_discount") * 200).alias("weight"))
-    small = e.join(e.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi"), "hi", "left_semi")
-    c = assoc.connected_components(small, "lo", "hi").select(F.col("id").alias("lo"), "component")
-    own = small.join(c, "lo").withColumn("component", F.col("hi"))  # an order's own suppliers
-    return assoc.pruned_edges(own, own, cutoff=12.0).select("component", "lo", "hi", r("weight").alias("weight"))
+    """Lines of an order with neighbouring numbers are linked, and components pruned by the mean discount of all their pairs.
+
+    Missing numbers part an order into components, which hold as many lines as an order has numbers.
+    """
+    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")
+    line = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.avg(F.round(F.col("l_discount") * 200))).alias("w"))  # whole numbers, so that sums are exact
+    line = line.select("l_orderkey", key, "w")
+    lo, hi = line.withColumnsRenamed({"id": "lo", "w": "w_lo"}), line.withColumnsRenamed({"id": "hi", "w": "w_hi"})
+    measured = lo.join(hi, "l_orderkey").where("lo < hi").select("lo", "hi", ((F.col("w_lo") + F.col("w_hi")) / 2).alias("weight"))
+    c = assoc.connected_components(measured.where("hi = lo + 1"), "lo", "hi")
+    own = measured.join(c.withColumnRenamed("id", "lo"), "lo").join(c.select(F.col("id").alias("hi"), F.col("component").alias("other")), "hi").where("component = other").drop("other")
+    own = saved(own)
+    mean = own.groupBy("component").agg(F.avg(F.when(F.col("weight") == 0, 12.0 - 0.001).otherwise(F.col("weight"))).alias("mean"))  # as pruning counts it
+    bad, edges = mean.where("mean >= 12"), own.where("hi = lo + 1")
+    kept = assoc.pruned_edges(edges.join(bad, "component", "left_semi"), own.join(bad, "component", "left_semi"), cutoff=12.0)
+    whole = edges.join(bad, "component", "left_anti").select("component", "lo", "hi", "weight")  # nothing to remove
+    return kept.unionByName(whole).select("component", "lo", "hi", r("weight").alias("weight"))
 
 
 @query

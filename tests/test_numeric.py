@@ -1,12 +1,15 @@
 """Recursive filters, fusion, graphs and geometry against references that are simple to trust."""
 
+import math
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from corridor.functions import geodesy
 from corridor.operators import assoc, fusion, geo, kalman, probe
-from corridor.plans import pipeline, synthetic
+from corridor.plans import numeric_queries, pipeline, synthetic
 
 
 def track(n=60, speed=20.0, seed=0, noise=0.3):
@@ -192,3 +195,29 @@ def test_filter_over_spark_groups(spark):
         want = one_by_one(z, np.full(len(z), 0.1), np.ones(len(z), bool), "calc")
         np.testing.assert_allclose(got[got.k == k][kalman.STATE].to_numpy(), want, atol=1e-8)
     assert isinstance(got, pd.DataFrame)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
+def test_pruned_components_cover_all_lines(spark):
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_discount").collect()
+    assert max(x.l_linenumber for x in lines) < 8
+    values = {}
+    for x in lines:
+        values.setdefault(x.l_orderkey * 8 + x.l_linenumber, []).append(round(x.l_discount * 200))
+    w = {k: math.floor(sum(v) / len(v) + 0.5) for k, v in values.items()}
+    want, pruned = set(), 0
+    for first in sorted(w):
+        if first - 1 in w:
+            continue
+        nodes = [first]
+        while nodes[-1] + 1 in w:
+            nodes.append(nodes[-1] + 1)
+        pairs = {(a, b): (w[a] + w[b]) / 2 for a in nodes for b in nodes if a < b}
+        edges = {k: v for k, v in pairs.items() if k[1] == k[0] + 1}
+        kept = assoc.prune(nodes, edges, pairs, 12.0) if edges else []
+        pruned += len(nodes) > 2 and 0 < len(kept) < len(edges)
+        want |= {(first, a, b, edges[a, b]) for a, b in kept}
+    got = numeric_queries.QUERIES["graph_prune"](spark, d).collect()
+    assert {(x.component, x.lo, x.hi, x.weight) for x in got} == want and len(got) == len(want)
+    assert pruned > 10
