@@ -38,29 +38,46 @@ def distances(z_follower: np.ndarray, z_leader: np.ndarray, p_sum: np.ndarray, m
     return m if maha else m + np.linalg.slogdet(s)[1]
 
 
-def association_distance(df: DataFrame, into: str = "association_distance", maha: bool = False, permute: bool = False, leader_only: bool = False, suffix: str = "_leader") -> DataFrame:
-    """Distance of two states over centre, front and back positions, in Arrow batches.
+def likelihoods(z_follower: np.ndarray, z_leader: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Greatest Gaussian log-likelihood over places of a follower's measurement under its leader's state."""
+    best = distances(z_follower, z_leader, p, dims=z_follower.shape[-1])  # least distance plus log-determinant
+    return -0.5 * (z_follower.shape[-1] * math.log(2 * math.pi) + best)
 
-    ``permute`` compares different places with each other (all ordered pairs); ``leader_only`` leaves the follower's
-    covariance out.
-    """
-    spots = ("s", "front_s", "back_s")
-    pairs = [(a, b) for a in spots for b in spots if a != b] if permute else [(a, a) for a in spots]
+
+def _over_places(df: DataFrame, into: str, suffix: str, pairs: list[tuple[str, str]], both: bool, kernel) -> DataFrame:
+    """``kernel`` (follower's and leader's measurements [row, place, 4], covariance) as a column, in Arrow batches."""
     rest = ("s_velocity", "d", "d_velocity")
-    cols = [*dict.fromkeys([*spots, *rest])]
+    cols = [*dict.fromkeys([*(x for p in pairs for x in p), *rest])]
 
     @F.pandas_udf("double")
     def run(mine: pd.DataFrame, other: pd.DataFrame, p: pd.Series, q: pd.Series) -> pd.Series:
         zf = np.stack([mine[[a, *rest]].to_numpy(float) for a, _ in pairs], axis=1)
         zl = np.stack([other[[b, *rest]].to_numpy(float) for _, b in pairs], axis=1)
         cov = np.stack(q.to_numpy()).reshape(-1, 6, 6)
-        if not leader_only:
+        if both:
             cov = cov + np.stack(p.to_numpy()).reshape(-1, 6, 6)
-        return pd.Series(distances(zf, zl, cov, maha))
+        return pd.Series(kernel(zf, zl, cov))
 
     return df.withColumn(into, run(F.struct(*cols), F.struct(*[F.col(f"{c}{suffix}").alias(c) for c in cols]), F.col("P"), F.col(f"P{suffix}")))
 
 
+SPOTS = ("s", "front_s", "back_s")
+
+
+def association_distance(df: DataFrame, into: str = "association_distance", maha: bool = False, permute: bool = False, suffix: str = "_leader") -> DataFrame:
+    """Distance of two states over centre, front and back positions.
+
+    ``permute`` compares different places with each other (all ordered pairs).
+    """
+    pairs = [(a, b) for a in SPOTS for b in SPOTS if a != b] if permute else [(a, a) for a in SPOTS]
+    return _over_places(df, into, suffix, pairs, True, lambda zf, zl, p: distances(zf, zl, p, maha))
+
+
+def loglikelihood(df: DataFrame, into: str = "loglikelihood", suffix: str = "_leader") -> DataFrame:
+    """Log-likelihood of the follower's place under the leader's covariance alone, the greatest over places."""
+    return _over_places(df, into, suffix, [(a, a) for a in SPOTS], False, likelihoods)
+
+
 def distance_2d(es: Column, ed: Column, ss: Column, dd: Column, sd: Column, maha: bool = False) -> Column:
     """The same in s and d alone, in closed form: ss, dd, sd are the summed covariances before measurement noise."""
     a, c = ss + R_ASSOC[0, 0], dd + R_ASSOC[2, 2]
@@ -69,22 +86,36 @@ def distance_2d(es: Column, ed: Column, ss: Column, dd: Column, sd: Column, maha
     return m if maha else m + F.log(det)
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id that edges lead to, by rewiring edges to smaller neighbours.
+#: Edges that a file of a round holds at most, so that few edges never lie in many files.
+FILE_ROWS = 200_000
 
-    Every round is written to shared storage, which cuts the lineage; only two numbers reach the driver.
+
+def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+    """(id, component): the smallest id that edges lead to, by alternating large-star and small-star rounds.
+
+    Each round rewires every edge towards the smallest neighbour, so edges never grow beyond the input's and rounds in
+    the order of log(n) suffice.  Rounds are joins and grouped minima; a vertex with very many neighbours is
+    pre-aggregated before the shuffle, and its join side is split by adaptive execution.  Every round is written to
+    shared storage, which cuts the lineage; only two numbers reach the driver.
+
+    Null ends and loops are ignored; repeated edges count once; an empty input gives an empty result.
     """
-    e = saved(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct())
+    e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    e = saved(e.where("hi > lo").distinct())
     check = lambda d: tuple(d.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40)))).first())
     before = check(e)
     for _ in range(rounds):
         if not before[0]:
             break
+        files = before[0] // FILE_ROWS + 1
         both = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = saved(both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m")))
-        star = saved(both.join(least, "hi").where("lo > hi and lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct())
-        low = saved(star.groupBy("hi").agg(F.min("lo").alias("m")))
-        e = saved(star.join(low, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
+        # Written out, so that the join below deals both of its sides itself and can split a vertex with many edges.
+        least = saved(both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m")).coalesce(files))
+        star = both.join(least, "hi").where("lo > hi and lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        star = saved(star.coalesce(files))
+        low = saved(star.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(files))
+        small = star.join(low, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        e = saved(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct().coalesce(files))
         now = check(e)
         if now == before:
             break
@@ -102,42 +133,91 @@ def with_vehicle(df: DataFrame, components: DataFrame, ident: str, into: str = "
 
 
 def prune(nodes: list, edges: dict[tuple, float], weights: dict[tuple, float | None], cutoff: float, removals: int = 20) -> list[tuple]:
-    """Greedy removal of edges until the mean weight of measured pairs of every remaining component meets the cutoff.
-
-    An unknown or zero weight counts as just below the cutoff.  Afterwards removed edges return, best first, if all
-    components still meet the cutoff.
-    """
+    """Greedy removal of edges until every measured pair within a remaining component weighs less than the cutoff.
 
-    def worst(kept: set[tuple]) -> float:
-        parent = {n: n for n in nodes}
-
-        def find(n):
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-
-        for a, b in kept:
-            parent[find(a)] = find(b)
-        sums: dict = {}
-        for (a, b), w in weights.items():
-            if find(a) == find(b):
-                t = sums.setdefault(find(a), [0.0, 0])
-                t[0] += w if w else cutoff - 0.001
-                t[1] += 1
-        return max((t / k for t, k in sums.values()), default=-math.inf)
+    An unknown or zero weight counts as just below the cutoff.  Each step removes the edge that leaves the least mean
+    weight of all pairs that are still together (0 if there is none; of equal ones the smallest edge), ``removals`` edges
+    at most.  Then removed edges return, in the order of their removal, where all pairs stay below the cutoff.
 
+    Only an edge whose removal splits a component changes which pairs are together, so one walk over the spanning
+    trees finds every candidate's mean.
+    """
+    value = {k: float(w) if w else cutoff - 0.001 for k, w in weights.items()}
     kept, gone = set(edges), []
-    while kept and len(gone) < removals and worst(kept) >= cutoff:
-        out = min(sorted(kept), key=lambda e: worst(kept - {e}))
+    while kept and len(gone) < removals:
+        up, bridges = _trees(nodes, kept)
+        root = {n: _climb(up, n) for n in nodes}
+        together = {k: w for k, w in value.items() if root[k[0]] == root[k[1]]}
+        if all(w < cutoff for w in together.values()):
+            break
+        across: dict[tuple, list[float]] = {}
+        for (a, b), w in together.items():
+            for e in _path(up, a, b):
+                if e in bridges:
+                    across.setdefault(e, []).append(w)
+        total, count = sum(together.values()), len(together)
+
+        def mean(e, total=total, count=count, across=across):
+            cut = across.get(e, ())
+            return (total - sum(cut)) / (count - len(cut)) if count > len(cut) else 0.0
+
+        out = min(kept, key=lambda e: (mean(e), e))
         kept.remove(out)
         gone.append(out)
-    for e in sorted(gone, key=lambda e: (edges[e], e)):
-        if worst(kept | {e}) < cutoff:
+    for e in gone:
+        up, _ = _trees(nodes, kept | {e})
+        if all(w < cutoff for (a, b), w in value.items() if _climb(up, a) == _climb(up, b)):
             kept.add(e)
     return sorted(kept)
 
 
+def _trees(nodes: list, edges: set[tuple]) -> tuple[dict, set[tuple]]:
+    """Depth-first spanning trees, node -> (depth, parent, edge to it), and the edges that lie on no cycle."""
+    near: dict = {n: [] for n in nodes}
+    for e in sorted(edges):
+        near[e[0]].append((e[1], e))
+        near[e[1]].append((e[0], e))
+    up: dict = {}
+    low: dict = {}
+    for start in nodes:
+        if start in up:
+            continue
+        up[start], low[start] = (0, None, None), 0
+        stack = [(start, iter(near[start]))]
+        while stack:
+            n, todo = stack[-1]
+            for other, e in todo:
+                if other not in up:
+                    up[other] = (up[n][0] + 1, n, e)
+                    low[other] = up[other][0]
+                    stack.append((other, iter(near[other])))
+                    break
+                if e != up[n][2]:
+                    low[n] = min(low[n], up[other][0])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[n])
+    return up, {e for n, (depth, _, e) in up.items() if e is not None and low[n] == depth}
+
+
+def _climb(up: dict, n):
+    while up[n][1] is not None:
+        n = up[n][1]
+    return n
+
+
+def _path(up: dict, a, b) -> list[tuple]:
+    """Tree edges between two nodes of one tree."""
+    out = []
+    while a != b:
+        if up[a][0] < up[b][0]:
+            a, b = b, a
+        out.append(up[a][2])
+        a = up[a][1]
+    return out
+
+
 def pruned_edges(edges: DataFrame, weights: DataFrame, cutoff: float = GATES[0.999], removals: int = 20) -> DataFrame:
     """edges (component, lo, hi, weight) and measured weights of all pairs (component, lo, hi, weight) -> kept edges.
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import seconds_between
 from ..schema import over
-from .kalman import NOISE_S, STATE, _dense, _grouped, _kind, _scatter, process_noise, transition
+from .kalman import NOISE_S, STATE, _dense, _kind, _scatter, by_track, process_noise, transition
 from .pairs import with_suffix
 
-#: Measurement noise that fused covariances are widened by, for s, s', d and d'.
+#: Measurement noise that the fast rule widens covariances by, for s, s', d and d'.
 R_WIDEN = np.zeros((6, 6))
 R_WIDEN[[0, 1, 3, 4], [0, 1, 3, 4]] = (0.5, 0.8112, 0.1, 0.1)
 
@@ -62,49 +62,65 @@ def intersect(x, p, xi, pi, rule: str = "fast"):
     return xf, pf
 
 
-def fuse(z: np.ndarray, pz: np.ndarray, there: np.ndarray, dt: np.ndarray, rule: str = "fast") -> tuple[np.ndarray, np.ndarray]:
+def fuse(z: np.ndarray, pz: np.ndarray, there: np.ndarray, dt: np.ndarray, rule: str = "fast", who: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Fused states over arrays [time, vehicle, contributor, ...]; ``there`` says who contributes.
 
-    'fast' and 'plain' intersect covariances, 'information' adds information gained over the common prediction.
+    The first step is the first contributor's own estimate; updates begin with the second step.
+
+    'fast' intersects covariances that are widened by ``R_WIDEN``, the first estimate's too, contributor by contributor.
+    'plain' intersects the covariances as they are, last contributor first.
+    'information' adds what each track's measurement of the step told it, inv(P_t) - inv(P_t|t-1), for tracks that are
+    there at both steps; predictions of the tracks and of the fused state carry no process noise.  ``who`` numbers the
+    track behind each contributor, so that a track is found again in another place; without it places are tracks.
     """
     steps, n, m = there.shape
     xs, ps = np.zeros((steps, n, 6)), np.zeros((steps, n, 6, 6))
-    x, p = z[0, :, 0].copy(), pz[0, :, 0].copy()
-    wide = pz + R_WIDEN
-    for t in range(steps):
-        if t:
-            f = transition(dt[t], "calc")
-            x = (f @ x[..., None])[..., 0]
-            p = f @ p @ np.swapaxes(f, -1, -2) + process_noise(dt[t], NOISE_S**0.5)
+    own = pz + R_WIDEN if rule == "fast" else pz
+    x, p = z[0, :, 0].copy(), own[0, :, 0].copy()
+    xs[0], ps[0] = x, p
+    if who is None:
+        who = np.broadcast_to(np.arange(m), there.shape)
+    for t in range(1, steps):
+        f = transition(dt[t], "calc")
+        x, p = (f @ x[..., None])[..., 0], f @ p @ np.swapaxes(f, -1, -2)
         if rule == "information":
-            y0 = _inv(p)
-            gain_y, gain_i = y0 @ x[..., None], y0.copy()
+            total = _inv(p)
+            gained = total @ x[..., None]
             for k in range(m):
-                b = np.where(there[t, :, k, None, None], _inv(wide[t, :, k]), 0.0)
-                gain_i = gain_i + b
-                gain_y = gain_y + b @ z[t, :, k, :, None]
-            p = _inv(gain_i)
-            x = (p @ gain_y)[..., 0]
+                for j in range(m):  # the same track one step before
+                    on = (there[t, :, k] & there[t - 1, :, j] & (who[t, :, k] == who[t - 1, :, j]))[:, None, None]
+                    if not on.any():
+                        continue
+                    after, before = _inv(pz[t, :, k]), _inv(f @ pz[t - 1, :, j] @ np.swapaxes(f, -1, -2))
+                    total = total + np.where(on, after - before, 0.0)
+                    gained = gained + np.where(on, after @ z[t, :, k, :, None] - before @ (f @ z[t - 1, :, j, :, None]), 0.0)
+            p = _inv(total)
+            x = (p @ gained)[..., 0]
         else:
+            p = p + process_noise(dt[t], NOISE_S**0.5)
             for k in range(m) if rule == "fast" else range(m - 1, -1, -1):
-                x1, p1 = intersect(x, p, z[t, :, k], wide[t, :, k], rule)
+                x1, p1 = intersect(x, p, z[t, :, k], own[t, :, k], rule)
                 on = there[t, :, k, None]
                 x, p = np.where(on, x1, x), np.where(on[..., None], p1, p)
         xs[t], ps[t] = x, p
     return xs, ps
 
 
-def fused(df: DataFrame, vehicle: str, ts: str, state: Sequence[str] = tuple(STATE), covariance: str = "P_calc", alone: str = "P", rule: str = "fast", prefix: str = "ci_", groups: int | None = None) -> DataFrame:
+def fused(df: DataFrame, vehicle: str, ts: str, state: Sequence[str] = tuple(STATE), covariance: str = "P_calc", alone: str = "P", rule: str = "fast", prefix: str = "ci_", track: str | None = None, groups: int | None = None) -> DataFrame:
     """One row for each vehicle and time from rows with time_index and contributor.
 
-    Vehicles that never have two contributors at once keep their own states and the covariance ``alone``.
+    Vehicles that never have two contributors at once keep their own states and the covariance ``alone``.  ``track``
+    names the column that tells contributors apart over time (rule 'information').
     """
     out_cols = [f"{prefix}{c}" for c in state]
     schema = f"{vehicle} {_kind(df, vehicle)}, time_index long, " + ", ".join(f"{c} double" for c in out_cols) + f", {prefix}P array<double>"
     df = df.withColumn("__many", F.max("contributor").over(over(vehicle)) > 0)
+    names = [track] if track else []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         frames = pdf.drop_duplicates([vehicle, "time_index"])[[vehicle, "time_index", "__t"]]
+        codes = pd.factorize(pdf[track])[0] if track else None
+        pdf = pdf.assign(__who=codes) if track else pdf
         parts = []
         for rows, t, v, _ in _scatter(frames, vehicle, ["time_index"]):
             place = pd.DataFrame({vehicle: rows[vehicle], "time_index": rows["time_index"], "t": t, "v": v})
@@ -116,17 +132,22 @@ def fused(df: DataFrame, vehicle: str, ts: str, state: Sequence[str] = tuple(STA
             z[at] = own[list(state)].to_numpy(float)
             pz[at] = np.stack(own[covariance].to_numpy()).reshape(-1, 6, 6)
             there[at] = True
+            who = None
+            if track:
+                who = np.full(shape, -1)
+                who[at] = own["__who"]
             sec = _dense(rows["__t"].to_numpy(float), t, v)
             dt = np.zeros_like(sec)
             dt[1:] = np.maximum(sec[1:] - sec[:-1], 0)
-            x, p = fuse(z, pz, there, dt, rule)
+            x, p = fuse(z, pz, there, dt, rule, who)
             part = pd.DataFrame({vehicle: rows[vehicle].to_numpy(), "time_index": rows["time_index"].to_numpy(), **{c: x[t, v, j] for j, c in enumerate(out_cols)}})
             part[f"{prefix}P"] = list(p[t, v].reshape(-1, 36))
             parts.append(part)
         return pd.concat(parts, ignore_index=True)
 
     seconds = df.withColumn("__t", seconds_between(F.col(ts), F.min(ts).over(over(vehicle))))
-    many = _grouped(seconds.where("__many").select(vehicle, "time_index", "contributor", "__t", *state, covariance), vehicle, run, schema, groups)
+    chosen = seconds.where("__many").select(vehicle, "time_index", "contributor", "__t", *state, covariance, *names)
+    many = by_track(chosen, vehicle, ["time_index", "contributor"], run, schema, groups)
     single = df.where(~F.col("__many")).select(vehicle, F.col("time_index").cast("long"), *[F.col(c).alias(f"{prefix}{c}") for c in state], F.col(alone).alias(f"{prefix}P"))
     return many.unionByName(single)
 

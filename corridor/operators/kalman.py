@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 H = np.zeros((4, 6))
 H[[0, 1, 2, 3], [0, 1, 3, 4]] = 1
@@ -129,14 +131,17 @@ def imm(z: np.ndarray, dt: np.ndarray, measured: np.ndarray, predicted: np.ndarr
 
 
 def smooth(xs: np.ndarray, ps: np.ndarray, dt: np.ndarray, model: str = "calc", length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rauch-Tung-Striebel backward pass over arrays [time, track, ...] with tracks of the given lengths."""
+    """Rauch-Tung-Striebel backward pass over arrays [time, track, ...] with tracks of the given lengths.
+
+    As in the filter, noise along s is none while a vehicle stands; the pseudo-inverse settles what is then singular.
+    """
     steps, n = xs.shape[:2]
     length = np.full(n, steps) if length is None else length
     x, p = xs.copy(), ps.copy()
     for t in range(steps - 2, -1, -1):
         live = (t + 1 < length)[:, None]
         f = transition(dt[t + 1], model)
-        ahead = f @ ps[t] @ _T(f) + process_noise(dt[t + 1], np.where(np.abs(xs[t, :, 1]) > STANDING, NOISE_S**0.5, 1e-3))
+        ahead = f @ ps[t] @ _T(f) + process_noise(dt[t + 1], np.where(np.abs(xs[t, :, 1]) > STANDING, NOISE_S**0.5, 0.0))
         c = ps[t] @ _T(f) @ np.linalg.pinv(ahead, hermitian=True)
         x1 = xs[t] + (c @ (x[t + 1] - (f @ xs[t, ..., None])[..., 0])[..., None])[..., 0]
         p1 = ps[t] + c @ (p[t + 1] - ahead) @ _T(c)
@@ -159,7 +164,7 @@ def _batches(sizes: np.ndarray, cells: int = 200_000):
 def _scatter(pdf: pd.DataFrame, key: str, order: Sequence[str]):
     """Sorted rows, and for each batch of tracks the (time, track) place of its rows."""
     pdf = pdf.sort_values([key, *order], kind="stable").reset_index(drop=True)
-    codes, _ = pd.factorize(pdf[key])
+    codes, _ = pd.factorize(pdf[key], use_na_sentinel=False)  # a null key is a track of its own
     sizes = np.bincount(codes)
     first = np.cumsum(sizes) - sizes
     for tracks in _batches(sizes):
@@ -175,9 +180,53 @@ def _dense(values: np.ndarray, t: np.ndarray, v: np.ndarray, fill=0.0) -> np.nda
     return out
 
 
-def _grouped(df: DataFrame, key: str, run, schema: str, groups: int | None) -> DataFrame:
+#: Rows of whole tracks that a call of a kernel gets at most, unless one track has more.
+CALL_ROWS = 100_000
+
+
+def by_track(df: DataFrame, key: str, order: Sequence[str], run, schema: str, groups: int | None = None, rows: int | None = None) -> DataFrame:
+    """``run`` over whole tracks, as pandas frames of about ``rows`` rows.
+
+    Tracks are dealt out by a hash of their key and sorted within partitions (which spills), then stream through in
+    Arrow batches: a task holds that many rows and at most one more track, whatever the partition holds.
+    """
     n = groups or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn("__g", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("__g").applyInPandas(run, schema)
+    limit = rows or CALL_ROWS
+    dealt = df.repartition(n, key).sortWithinPartitions(key, *order)
+    at = df.columns.index(key)
+
+    def stream(batches):
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            while batch.num_rows:
+                # Rows up to the last change of track may go once there are enough; the rest waits for its track's end.
+                own = pa.concat_arrays([held[-1].column(at).slice(held[-1].num_rows - 1), batch.column(at)]) if held else batch.column(at)
+                cut = _last_change(own) - bool(held)
+                if cut < 0 or (count + cut < limit and count + batch.num_rows < limit):
+                    held.append(batch)
+                    count += batch.num_rows
+                    break
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield pa.RecordBatch.from_pandas(run(_frame(held)), schema=target, preserve_index=False)
+                held, count, batch = [], 0, batch.slice(cut)
+        if held:
+            yield pa.RecordBatch.from_pandas(run(_frame(held)), schema=target, preserve_index=False)
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    return dealt.mapInArrow(stream, schema)
+
+
+def _frame(batches: list[pa.RecordBatch]) -> pd.DataFrame:
+    return pa.Table.from_batches(batches).to_pandas(integer_object_nulls=True)  # ids stay whole numbers
+
+
+def _last_change(keys: pa.Array) -> int:
+    """Index of the last value that differs from the one before it; -1 if there is none."""
+    code = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    change = np.flatnonzero(code[1:] != code[:-1])
+    return int(change[-1]) + 1 if len(change) else -1
 
 
 _KEYED = "{key} {kind}, time_ind long, " + ", ".join(f"{c} double" for c in STATE)
@@ -214,7 +263,7 @@ def filtered(df: DataFrame, key: str, order: Sequence[str], measurement: str = "
             parts.append(out)
         return pd.concat(parts, ignore_index=True)
 
-    return _grouped(df.select(key, *order, measurement, dt, predicted, missing), key, run, schema, groups)
+    return by_track(df.select(key, *order, measurement, dt, predicted, missing), key, order, run, schema, groups)
 
 
 def smoothed(df: DataFrame, key: str, order: Sequence[str], state: Sequence[str] = tuple(STATE), covariance: str = "P", dt: str = "time_diff", model: str = "calc", suffix: str = "_smooth", groups: int | None = None) -> DataFrame:
@@ -233,4 +282,4 @@ def smoothed(df: DataFrame, key: str, order: Sequence[str], state: Sequence[str]
             parts.append(pd.DataFrame({key: rows[key].to_numpy(), "time_ind": t, **{f"{c}{suffix}": xs[t, v, k] for k, c in enumerate(STATE)}}))
         return pd.concat(parts, ignore_index=True)
 
-    return _grouped(df.select(key, *order, *state, covariance, dt), key, run, schema, groups)
+    return by_track(df.select(key, *order, *state, covariance, dt), key, order, run, schema, groups)

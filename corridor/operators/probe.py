@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import seconds_between
 from ..schema import over
 from .geo import map_to_lane, with_utm
+from .kalman import by_track
 from .timeseries import Names, _list, changes
 
 FRONT_OFFSET, BACK_OFFSET = 2.91, 1.99
@@ -81,33 +82,38 @@ def butterworth(order: int = 5, cutoff: float = 0.25, rate: float = 10.0) -> lis
 
 def zero_phase(x: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]], pad: int = 18) -> np.ndarray:
     """Forward and backward filtering with odd reflection at both ends; short input comes back unchanged."""
-    if len(x) <= pad:
-        return x
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    for _ in range(2):
-        for b, a in sections:
-            z1 = (b[1] + b[2] - (a[1] + a[2]) * b.sum() / a.sum()) * y[0]  # steady state of the first value
-            z2 = (b[2] - a[2] * b.sum() / a.sum()) * y[0]
-            out = np.empty_like(y)
-            for i, v in enumerate(y):
-                o = b[0] * v + z1
-                z1, z2 = b[1] * v - a[1] * o + z2, b[2] * v - a[2] * o
-                out[i] = o
-            y = out
-        y = y[::-1]
-    return y[pad:-pad]
-
-
-def low_passed(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], cutoff: float = 0.25, rate: float = 10.0, degree: int = 5) -> DataFrame:
+    return zero_phases(x, np.array([len(x)]), sections, pad) if len(x) > pad else x
+
+
+def zero_phases(x: np.ndarray, sizes: np.ndarray, sections: list[tuple[np.ndarray, np.ndarray]], pad: int = 18) -> np.ndarray:
+    """The same for tracks of the given sizes laid end to end; tracks of one length step through time together."""
+    out, first = x.copy(), np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[sizes > pad]):
+        for tracks in np.array_split(np.flatnonzero(sizes == n), -(-int((sizes == n).sum()) * int(n) // 2_000_000)):
+            at = first[tracks][None, :] + np.arange(n)[:, None]
+            v = x[at]
+            y = np.concatenate([2 * v[:1] - v[pad:0:-1], v, 2 * v[-1:] - v[-2 : -pad - 2 : -1]])
+            for _ in range(2):
+                for b, a in sections:
+                    z1 = (b[1] + b[2] - (a[1] + a[2]) * b.sum() / a.sum()) * y[0]  # steady state of the first value
+                    z2 = (b[2] - a[2] * b.sum() / a.sum()) * y[0]
+                    done = np.empty_like(y)
+                    for i, row in enumerate(y):
+                        done[i] = b[0] * row + z1
+                        z1, z2 = b[1] * row - a[1] * done[i] + z2, b[2] * row - a[2] * done[i]
+                    y = done
+                y = y[::-1]
+            out[at] = y[pad:-pad]
+    return out
+
+
+def low_passed(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], cutoff: float = 0.25, rate: float = 10.0, degree: int = 5, groups: int | None = None) -> DataFrame:
     """Columns filtered along each track without a phase shift."""
     sections = butterworth(degree, cutoff, rate)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, *order], kind="stable")
-        for c in columns:
-            pdf[c] = pdf.groupby(key, sort=False)[c].transform(lambda v: zero_phase(v.to_numpy(float), sections))
-        return pdf
+        code = pd.factorize(pdf[key], use_na_sentinel=False)[0]
+        return pdf.assign(**{c: zero_phases(pdf[c].to_numpy(float), np.bincount(code), sections) for c in columns})
 
-    schema = ", ".join(f"{f.name} {'double' if f.name in columns else f.dataType.simpleString()}" for f in df.schema)
-    return df.withColumn("__g", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("__g").applyInPandas(lambda p: run(p.drop(columns="__g")), schema)
+    schema = ", ".join(f"`{f.name}` {'double' if f.name in columns else f.dataType.simpleString()}" for f in df.schema)
+    return by_track(df, key, order, run, schema, groups)

@@ -77,7 +77,7 @@ def _several(spark, d):
 
 
 def _fused(spark, d, rule):
-    out = fusion.fused(_several(spark, d), "vehicle_id", "at", rule=rule)
+    out = fusion.fused(_several(spark, d), "vehicle_id", "at", rule=rule, track="user_id")
     return out.select("vehicle_id", "time_index", *[r(f"ci_{c}").alias(c) for c in STATE])
 
 
@@ -108,13 +108,13 @@ def association_distance(spark, d):
     p = assoc.association_distance(_pairs_of_states(spark, d))
     p = assoc.association_distance(p, "mahalanobis", maha=True)
     p = assoc.association_distance(p, "permuted", permute=True)
-    p = assoc.association_distance(p, "leader_only", leader_only=True)
-    return p.select("user_id", "user_id_leader", "time_ind", *[r(c).alias(c) for c in ("association_distance", "mahalanobis", "permuted", "leader_only")])
+    p = assoc.loglikelihood(p)
+    return p.select("user_id", "user_id_leader", "time_ind", *[r(c).alias(c) for c in ("association_distance", "mahalanobis", "permuted", "loglikelihood")])
 
 
 @query
 def graph_prune(spark, d):
-    """Lines of an order with neighbouring numbers are linked, and components pruned by the mean discount of all their pairs.
+    """Lines of an order with neighbouring numbers are linked, and components pruned by the discounts of all their pairs.
 
     Missing numbers part an order into components, which hold as many lines as an order has numbers.
     """
@@ -126,8 +126,7 @@ def graph_prune(spark, d):
     c = assoc.connected_components(measured.where("hi = lo + 1"), "lo", "hi")
     own = measured.join(c.withColumnRenamed("id", "lo"), "lo").join(c.select(F.col("id").alias("hi"), F.col("component").alias("other")), "hi").where("component = other").drop("other")
     own = saved(own)
-    mean = own.groupBy("component").agg(F.avg(F.when(F.col("weight") == 0, 12.0 - 0.001).otherwise(F.col("weight"))).alias("mean"))  # as pruning counts it
-    bad, edges = mean.where("mean >= 12"), own.where("hi = lo + 1")
+    bad, edges = own.where("weight >= 12").select("component").distinct(), own.where("hi = lo + 1")
     kept = assoc.pruned_edges(edges.join(bad, "component", "left_semi"), own.join(bad, "component", "left_semi"), cutoff=12.0)
     whole = edges.join(bad, "component", "left_anti").select("component", "lo", "hi", "weight")  # nothing to remove
     return kept.unionByName(whole).select("component", "lo", "hi", r("weight").alias("weight"))
@@ -222,8 +221,8 @@ def stage_store(spark, d):
     """A stage computed once and read back."""
     store = StageStore(spark, f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}")
     make = lambda: events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
-    store.get_or_compute("by_type", {"input": d}, make)
-    return store.get_or_compute("by_type", {"input": d}, make)
+    store.get_or_compute("by_type", {}, make, [f"{d}/events.parquet"])
+    return store.get_or_compute("by_type", {}, make, [f"{d}/events.parquet"])
 
 
 def _stream(spark, d) -> DataFrame:
@@ -233,10 +232,15 @@ def _stream(spark, d) -> DataFrame:
 
 
 def _drained(spark, out: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream gives, by way of Parquet below the shared folder; the last batch of a complete result counts."""
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/{'all' if mode == 'complete' else f'batch={number}'}")
+
+    q = out.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{where}-log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{where}/all" if mode == "complete" else f"{where}/batch=*")
 
 
 @query

@@ -111,8 +111,8 @@ def run(tracks: DataFrame, cfg: Settings = Settings(), lanes: DataFrame | None =
     """
     if store is None:
         store = writers.StageStore(tracks.sparkSession, f"{shared_dir(tracks.sparkSession)}/run-{uuid.uuid4().hex}")
-    config = asdict(cfg) | {"source": source}
-    keep = lambda name, f: store.get_or_compute(name, config, f)
+    inputs = [source] if source else []
+    keep = lambda name, f: store.get_or_compute(name, asdict(cfg), f, inputs)
     steps = keep("steps", lambda: extended(sessions(tracks, cfg), cfg))
     states = keep("states", lambda: estimated(steps))
     edges = keep("edges", lambda: matched(states, cfg))

@@ -15,14 +15,34 @@ from ..schema import narrowed
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
+    Where it is unset, a temporary folder serves a session whose executors are this machine's threads; on a cluster that
+    would lose rows, so it is an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        where = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    return where.rstrip("/")
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """df written below the shared folder and read back, which cuts its lineage and survives lost executors.
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written below the shared folder and read back, which cuts its lineage and survives lost executors."""
+    Results are lazy and may read it at any time, so the folder goes when the driver ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/part-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    p, fs = _hadoop_path(df.sparkSession, path)
+    fs.deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -33,28 +53,41 @@ def write_parquet(df: DataFrame, path: str, codec: str = "zstd", partition_by: S
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def _inputs(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int, int]]:
+    """Name, size and time of every file that the paths (files, folders or globs) stand for."""
+    out = []
+    for path in paths:
+        p, fs = _hadoop_path(spark, path)
+        todo = list(fs.globStatus(p) or [])
+        while todo:
+            x = todo.pop()
+            if x.isDirectory():
+                todo += list(fs.listStatus(x.getPath()))
+            else:
+                out.append((x.getPath().toString(), int(x.getLen()), int(x.getModificationTime())))
+    return sorted(out)
+
+
 class StageStore:
     """Results of stages as Parquet below a folder that all executors share.
 
-    A stage is found again only if its name and the fingerprint of its configuration and inputs are the same.
+    A stage is found again only if its name, its configuration and the files of ``inputs`` (names, sizes and times) are
+    the same.
     """
 
     def __init__(self, spark: SparkSession, folder: str, enabled: bool = True):
         self.spark, self.folder, self.enabled = spark, folder.rstrip("/"), enabled
 
-    def path(self, name: str, config: Mapping) -> str:
-        mark = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    def path(self, name: str, config: Mapping, inputs: Sequence[str] = ()) -> str:
+        own = [dict(config), _inputs(self.spark, inputs)]
+        mark = hashlib.sha256(json.dumps(own, sort_keys=True, default=str).encode()).hexdigest()[:16]
         return f"{self.folder}/{name}-{mark}.parquet"
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-    def get_or_compute(self, name: str, config: Mapping, stage: Callable[[], DataFrame]) -> DataFrame:
+    def get_or_compute(self, name: str, config: Mapping, stage: Callable[[], DataFrame], inputs: Sequence[str] = ()) -> DataFrame:
         if not self.enabled:
             return stage()
-        path = self.path(name, config)
-        if not self._exists(path):
+        path = self.path(name, config, inputs)
+        p, fs = _hadoop_path(self.spark, f"{path}/_SUCCESS")
+        if not fs.exists(p):
             stage().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)

@@ -130,6 +130,254 @@ def test_pruning_cuts_the_bad_bridge():
     assert assoc.prune([1, 2, 3, 4], edges, weights, 18.0) == [(1, 2), (3, 4)]
     assert assoc.prune([1, 2], {(1, 2): 1.0}, {(1, 2): None}, 18.0) == [(1, 2)]  # unknown counts as just below
     assert assoc.prune([1, 2, 3], {(1, 2): 1.0, (2, 3): 1.0}, {(1, 2): 1.0, (2, 3): 1.0}, 18.0) == [(1, 2), (2, 3)]
+    # one bad pair within a component whose mean is good
+    assert assoc.prune([1, 2, 3], {(1, 2): 1.0, (2, 3): 1.0}, {(1, 2): 1.0, (2, 3): 1.0, (1, 3): 40.0}, 18.0) == [(2, 3)]
+
+
+def parts_of(nodes, edges):
+    """Component number of each node, by painting."""
+    colour = {}
+    for n in nodes:
+        todo = [] if n in colour else [n]
+        while todo:
+            x = todo.pop()
+            colour[x] = n
+            todo += [y for e in edges for x1, y in (e, e[::-1]) if x1 == x and y not in colour]
+    return colour
+
+
+def pruned_by_trying(nodes, edges, weights, cutoff, removals):
+    """The rule as it reads, every candidate tried on its own."""
+
+    def scores(kept):
+        c = parts_of(nodes, kept)
+        return [w or cutoff - 0.001 for (a, b), w in weights.items() if c[a] == c[b]]
+
+    kept, gone = set(edges), []
+    while len(gone) < removals and any(w >= cutoff for w in scores(kept)):
+        tried = []
+        for e in kept:
+            got = scores(kept - {e})
+            tried.append((sum(got) / (len(got) or 1), e))
+        gone.append(min(tried)[1])
+        kept.remove(gone[-1])
+    for e in gone:
+        if all(w < cutoff for w in scores(kept | {e})):
+            kept.add(e)
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pruning_equals_trying_every_edge(seed):
+    rng = np.random.default_rng(seed)
+    nodes = list(range(int(rng.integers(2, 9))))
+    pairs = [(a, b) for a in nodes for b in nodes if a < b]
+    edges = {p: float(rng.integers(0, 30)) for p in pairs if rng.random() < 0.4}
+    weights = {p: None if rng.random() < 0.1 else float(rng.integers(0, 30)) for p in pairs if p in edges or rng.random() < 0.6}
+    for removals in (1, 3, 20):
+        assert assoc.prune(nodes, edges, weights, 18.5, removals) == pruned_by_trying(nodes, edges, weights, 18.5, removals)
+
+
+def vehicle(rng, steps, tracks):
+    """Random states, covariances and presence of up to ``tracks`` contributors, the first always there."""
+    z = rng.normal(0, 1, (steps, tracks, 6))
+    z[..., 0] += 2.0 * np.arange(steps)[:, None]
+    a = rng.normal(0, 1, (steps, tracks, 6, 6))
+    p = a @ np.swapaxes(a, -1, -2) + np.eye(6)
+    there = rng.random((steps, tracks)) < 0.7
+    there[:, 0] = True
+    return z, p, there
+
+
+def fused_alone(z, p, there, dt, rule):
+    """One vehicle, step by step, as the formulas read."""
+    r = np.zeros((6, 6))
+    for k, v in ((0, 0.5), (1, 0.8112), (3, 0.1), (4, 0.1)):
+        r[k, k] = v
+    p = [[q + r for q in row] for row in p] if rule == "fast" else p
+    x, c = z[0][0], p[0][0]
+    out = [(x, c)]
+    for t in range(1, len(z)):
+        f = kalman.transition(np.array(dt), "calc")
+        x, c = f @ x, f @ c @ f.T
+        if rule == "information":
+            info, vec = np.linalg.inv(c), np.linalg.inv(c) @ x
+            for k in range(z.shape[1]):
+                if there[t, k] and there[t - 1, k]:
+                    new, old = np.linalg.inv(p[t][k]), np.linalg.inv(f @ p[t - 1][k] @ f.T)
+                    info, vec = info + new - old, vec + new @ z[t, k] - old @ f @ z[t - 1, k]
+            c = np.linalg.inv(info)
+            x = c @ vec
+        else:
+            c = c + kalman.process_noise(np.array(dt), 2**0.5)
+            order = range(z.shape[1]) if rule == "fast" else reversed(range(z.shape[1]))
+            for k in order:
+                if not there[t, k]:
+                    continue
+                i, j, det = np.linalg.inv(c), np.linalg.inv(p[t][k]), np.linalg.det
+                w = (det(i + j) - det(j) + det(i)) / (2 * det(i + j)) if rule == "fast" else det(p[t][k]) / (det(c) + det(p[t][k]))
+                c = np.linalg.inv(w * i + (1 - w) * j)
+                x = c @ (w * i @ x + (1 - w) * j @ z[t, k])
+        out.append((x, c))
+    return np.array([x for x, _ in out]), np.array([c for _, c in out])
+
+
+@pytest.mark.parametrize("rule", ["fast", "plain", "information"])
+def test_fusion_equals_one_vehicle_at_a_time(rule):
+    rng = np.random.default_rng(11)
+    got = [vehicle(rng, 7, 3) for _ in range(5)]
+    if rule == "information":  # each step knows more than the prediction from the step before, as filters' covariances do
+        got = [(z, np.stack([p[0] / (t + 1) ** 2 for t in range(7)]), there) for z, p, there in got]
+    z, p, there = (np.stack([g[k] for g in got], axis=1) for k in range(3))
+    dt = np.full(z.shape[:2], 0.1)
+    x, c = fusion.fuse(z, p, there, dt, rule)
+    for v, (z1, p1, there1) in enumerate(got):
+        want_x, want_c = fused_alone(z1, p1, there1, 0.1, rule)
+        np.testing.assert_allclose(x[:, v], want_x, rtol=1e-8, atol=1e-8)
+        np.testing.assert_allclose(c[:, v], want_c, rtol=1e-8, atol=1e-8)
+
+
+def test_fusion_starts_with_the_first_estimate():
+    z, p = np.ones((1, 1, 1, 6)), 2 * np.eye(6)[None, None, None]
+    for rule, want in (("fast", 2 * np.eye(6) + fusion.R_WIDEN), ("plain", 2 * np.eye(6)), ("information", 2 * np.eye(6))):
+        x, c = fusion.fuse(z, p, np.ones((1, 1, 1), bool), np.zeros((1, 1)), rule)
+        np.testing.assert_array_equal(x[0, 0], np.ones(6))
+        np.testing.assert_allclose(c[0, 0], want)
+
+
+def test_information_of_a_track_that_changes_its_place():
+    rng = np.random.default_rng(5)
+    z, p, there = vehicle(rng, 4, 2)
+    p = np.stack([p[0] / (t + 1) ** 2 for t in range(4)])
+    there[:] = True
+    who = np.tile(np.arange(2), (4, 1))
+    swapped = [k[:, None] for k in (z, p, there, who)]
+    for k in swapped:
+        k[2] = k[2][:, ::-1]
+    x, _ = fusion.fuse(*swapped[:3], np.full((4, 1), 0.1), "information", swapped[3])
+    np.testing.assert_allclose(x[:, 0], fused_alone(*[a.copy() for a in vehicle_unswapped(z, p, there)], 0.1, "information")[0], atol=1e-8)
+
+
+def vehicle_unswapped(*arrays):
+    out = [a.copy() for a in arrays]
+    for a in out:
+        a[2] = a[2][::-1]
+    return out
+
+
+def imm_alone(z, dt, measured, predicted):
+    """Interacting models of one track in plain loops, with likelihoods as such."""
+    names, m, mu = ("calc", "calk", "cvlk"), np.full((3, 3), 0.1) + 0.7 * np.eye(3), np.array([0.1, 0.1, 0.8])
+    x, p = [z[0] @ kalman.H] * 3, [np.eye(6)] * 3
+    out = []
+    for t in range(len(z)):
+        c = [sum(mu[k] * m[k, i] for k in range(3)) for i in range(3)]
+        w = np.array([[m[j, i] * mu[j] / c[i] for j in range(3)] for i in range(3)])
+        xm = [sum(w[i, j] * x[j] for j in range(3)) for i in range(3)]
+        pm = [sum(w[i, j] * (p[j] + np.outer(x[j] - xm[i], x[j] - xm[i])) for j in range(3)) for i in range(3)]
+        like = np.ones(3)
+        for i, name in enumerate(names):
+            if t:
+                f = kalman.transition(np.array(dt[t]), name)
+                noise = 2**0.5 if measured[t] and abs(z[t, 1]) > 0.2 else 0.0
+                xm[i], pm[i] = f @ xm[i], f @ pm[i] @ f.T + kalman.process_noise(np.array(dt[t]), noise)
+            if measured[t]:
+                y, s = z[t] - kalman.H @ xm[i], kalman.H @ pm[i] @ kalman.H.T + kalman.R_FILTER
+                like[i] = np.exp(-0.5 * y @ np.linalg.inv(s) @ y) / np.sqrt((2 * np.pi) ** 4 * np.linalg.det(s))
+                gain = pm[i] @ kalman.H.T @ np.linalg.inv(s)
+                xm[i], pm[i] = xm[i] + gain @ y, (np.eye(6) - gain @ kalman.H) @ pm[i]
+        x, p = xm, pm
+        if measured[t]:
+            mu = like * c / (like @ c)
+        if predicted[t]:
+            mu = np.array([0.0, 0.0, 1.0])
+        mean = sum(mu[i] * x[i] for i in range(3))
+        out.append((mean, sum(mu[i] * (p[i] + np.outer(x[i] - mean, x[i] - mean)) for i in range(3)), mu))
+    return [np.array([o[k] for o in out]) for k in range(3)]
+
+
+def test_imm_equals_one_track_in_loops():
+    rng = np.random.default_rng(2)
+    zs = [track(n=40, seed=k)[1] for k in range(4)]
+    zs[1][10:, 1] = 0.05  # stands
+    measured, predicted = rng.random((40, 4)) < 0.85, np.zeros((40, 4), bool)
+    predicted[35:] = True
+    measured[35:] = False
+    measured[0] = True
+    dt = np.full((40, 4), 0.1)
+    got = kalman.imm(np.stack(zs, axis=1), dt, measured, predicted)
+    for k in range(4):
+        x, p, mu = imm_alone(zs[k], dt[:, k], measured[:, k], predicted[:, k])
+        np.testing.assert_allclose(got["x"][:, k], x, atol=1e-7)
+        np.testing.assert_allclose(got["P"][:, k], p, atol=1e-7)
+        np.testing.assert_allclose(got["mu"][:, k], mu, atol=1e-7)
+
+
+def smoothed_alone(x, p, dt):
+    x, p = x.copy(), p.copy()
+    for t in range(len(x) - 2, -1, -1):
+        f = kalman.transition(np.array(dt[t + 1]), "calc")
+        ahead = f @ p[t] @ f.T + kalman.process_noise(np.array(dt[t + 1]), 2**0.5 if abs(x[t, 1]) > 0.2 else 0.0)
+        gain = p[t] @ f.T @ np.linalg.pinv(ahead)
+        x[t], p[t] = x[t] + gain @ (x[t + 1] - f @ x[t]), p[t] + gain @ (p[t + 1] - ahead) @ gain.T
+    return x, p
+
+
+def test_smoother_equals_one_track_at_a_time():
+    sizes = np.array([30, 18, 30])
+    z = np.zeros((30, 3, 4))
+    for k, n in enumerate(sizes):
+        z[:n, k] = track(n=n, seed=k)[1]
+    z[8:16, 2, 1] = 0.0  # stands for a while
+    dt = np.full((30, 3), 0.1)
+    x, p = kalman.kalman(z, dt, np.ones((30, 3), bool))
+    xs, ps = kalman.smooth(x, p, dt, length=sizes)
+    for k, n in enumerate(sizes):
+        want = smoothed_alone(x[:n, k], p[:n, k], dt[:n, k])
+        np.testing.assert_allclose(xs[:n, k], want[0], atol=1e-7)
+        np.testing.assert_allclose(ps[:n, k], want[1], atol=1e-7)
+
+
+@pytest.mark.parametrize("dims", [2, 4])
+def test_distances_equal_one_pair_at_a_time(dims):
+    rng = np.random.default_rng(8)
+    a = rng.normal(0, 1, (6, 6, 6))
+    p = a @ np.swapaxes(a, -1, -2) + np.eye(6)
+    zf, zl = rng.normal(0, 2, (2, 6, 3, dims))
+    keep = [0, 2] if dims == 2 else [0, 1, 2, 3]
+    h, r = kalman.H[keep], np.diag([5 / 3, 1.0, 1.5, 1.0])[np.ix_(keep, keep)]
+    for k in range(6):
+        s = h @ p[k] @ h.T + r
+        maha = [float(e @ np.linalg.inv(s) @ e) for e in zf[k] - zl[k]]
+        log = np.log(np.linalg.det(s))
+        assert assoc.distances(zf, zl, p, True, dims)[k] == pytest.approx(min(maha))
+        assert assoc.distances(zf, zl, p, False, dims)[k] == pytest.approx(min(maha) + log)
+        want = max(-0.5 * (dims * np.log(2 * np.pi) + log + m) for m in maha)
+        assert assoc.likelihoods(zf, zl, p)[k] == pytest.approx(want)
+
+
+def test_distances_over_places(spark):
+    rng = np.random.default_rng(4)
+    cols = ["s", "front_s", "back_s", "s_velocity", "d", "d_velocity"]
+    rows, want = [], []
+    for k in range(20):
+        f, lead = (dict(zip(cols, rng.normal(0, 2, 6).tolist(), strict=True)) for _ in range(2))
+        a, b = rng.normal(0, 1, (2, 6, 6))
+        p, q = a @ a.T + np.eye(6), b @ b.T + np.eye(6)
+        rows.append((k, *f.values(), p.ravel().tolist(), *lead.values(), q.ravel().tolist()))
+
+        def far(x, y, cov, log=True):
+            s = kalman.H @ cov @ kalman.H.T + assoc.R_ASSOC
+            e = np.array([f[x] - lead[y], *[f[c] - lead[c] for c in cols[3:]]])
+            return e @ np.linalg.inv(s) @ e + (np.log(np.linalg.det(s)) if log else 0)
+
+        spots = cols[:3]
+        want.append((min(far(x, x, p + q) for x in spots), min(far(x, x, p + q, False) for x in spots), min(far(x, y, p + q) for x in spots for y in spots if x != y), max(-0.5 * (4 * np.log(2 * np.pi) + far(x, x, q)) for x in spots)))
+    schema = "k long, " + ", ".join(f"{c} double" for c in cols) + ", P array<double>, " + ", ".join(f"{c}_leader double" for c in cols) + ", P_leader array<double>"
+    df = assoc.association_distance(spark.createDataFrame(rows, schema))
+    df = assoc.association_distance(assoc.association_distance(df, "maha", maha=True), "permuted", permute=True)
+    got = assoc.loglikelihood(df).orderBy("k").select("association_distance", "maha", "permuted", "loglikelihood").toPandas()
+    np.testing.assert_allclose(got.to_numpy(), np.array(want))
 
 
 def test_utm_round_trip_and_known_point():
@@ -170,6 +418,10 @@ def test_low_pass_keeps_slow_and_removes_fast():
     assert np.abs(y - slow)[150:-150].max() < 0.01  # away from the reflected ends
     short = np.arange(10.0)
     assert probe.zero_phase(short, sections) is short
+    sizes = np.array([600, 5, 100, 600, 100])
+    x = np.random.default_rng(1).normal(0, 1, sizes.sum())
+    apart = np.split(x, np.cumsum(sizes)[:-1])
+    np.testing.assert_array_equal(probe.zero_phases(x, sizes, sections), np.concatenate([probe.zero_phase(v, sections) for v in apart]))
 
 
 def test_corridor_finds_the_planted_vehicles(spark):
@@ -183,6 +435,28 @@ def test_corridor_finds_the_planted_vehicles(spark):
     assert pdf.d_smooth.abs().max() < 1.0
 
 
+@pytest.mark.parametrize("rows_a_call", [1, 16, 40, 1000])
+def test_calls_get_whole_tracks_of_bounded_size(spark, rows_a_call):
+    """Many tracks in one partition and small Arrow batches: a call holds no more than its bound or one track."""
+    sizes = {k: 1 + k * 7 % 23 for k in range(60)}
+    df = spark.createDataFrame([(k if k else None, i) for k, n in sizes.items() for i in range(n)], "k long, i long")
+
+    def run(pdf):
+        assert pdf["i"].iloc[0] == 0
+        size = pdf.groupby("k", dropna=False)["i"].transform("size")
+        assert (pdf.groupby("k", dropna=False)["i"].transform("max") + 1 == size).all()  # whole tracks
+        return pd.DataFrame({"k": pdf["k"], "i": pdf["i"], "n": len(pdf)})
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = kalman.by_track(df, "k", ["i"], run, "k long, i long, n long", groups=1, rows=rows_a_call).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == sum(sizes.values())
+    assert got.n.max() < rows_a_call + 10 + 23
+
+
 def test_filter_over_spark_groups(spark):
     rows = []
     for k in range(4):
