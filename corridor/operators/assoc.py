@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +88,32 @@ def distance_2d(es: Column, ed: Column, ss: Column, dd: Column, sd: Column, maha
     return m if maha else m + F.log(det)
 
 
-#: Edges that a file of a round holds at most, so that few edges never lie in many files.
-FILE_ROWS = 200_000
+#: Edges that a file of a round holds at most, so that few edges never lie in many files; and so many that one task settles.
+FILE_ROWS, FEW = 200_000, 500_000
+
+
+def _settled(batches, names: list[str]):
+    """(id, component) of all edges of a task: roots hook on to smaller ones, and paths are halved, until nothing changes."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    got = pa.Table.from_batches(held).combine_chunks()
+    ends = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in got.columns])
+    code = ends.dictionary_encode()
+    values = code.dictionary.take(pc.array_sort_indices(code.dictionary))
+    at = pc.index_in(ends, values).to_numpy()  # numbered in the order of the ids
+    a, b = at[: len(got)], at[len(got) :]
+    root = np.arange(len(values))
+    while True:
+        x, y = root[a], root[b]
+        if np.array_equal(x, y):
+            break
+        least = np.minimum(x, y)
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([values, values.take(pa.array(root))], names=names)
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -96,7 +122,8 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     Each round rewires every edge towards the smallest neighbour, so edges never grow beyond the input's and rounds in
     the order of log(n) suffice.  Rounds are joins and grouped minima; a vertex with very many neighbours is
     pre-aggregated before the shuffle, and its join side is split by adaptive execution.  Every round is written to
-    shared storage, which cuts the lineage; only two numbers reach the driver.
+    shared storage, which cuts the lineage; only two numbers reach the driver.  As soon as no more than ``FEW`` edges are
+    left (some MB), one task settles them and saves the remaining rounds.
 
     Null ends and loops are ignored; repeated edges count once; an empty input gives an empty result.
     """
@@ -104,9 +131,10 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     e = saved(e.where("hi > lo").distinct())
     check = lambda d: tuple(d.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40)))).first())
     before = check(e)
+    kind = e.schema["hi"].dataType.simpleString()
     for _ in range(rounds):
-        if not before[0]:
-            break
+        if before[0] <= FEW:
+            return e.coalesce(1).mapInArrow(lambda batches: _settled(batches, ["id", "component"]), f"id {kind}, component {kind}")
         files = before[0] // FILE_ROWS + 1
         both = e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         # Written out, so that the join below deals both of its sides itself and can split a vertex with many edges.

@@ -104,7 +104,10 @@ def test_distance_of_equal_states_is_the_log_determinant():
     assert assoc.distances(z, z, p, maha=True)[0] == 0
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("few", [0, 30, 500_000])
+def test_components_equal_union_find(spark, monkeypatch, few):
+    """By rounds to the end, by rounds until few edges are left, and at once."""
+    monkeypatch.setattr(assoc, "FEW", few)
     rng = np.random.default_rng(3)
     e = rng.integers(0, 80, (60, 2)).tolist() + [[5, 5], [1, 2], [2, 1]]
     got = {r.id: r.component for r in assoc.connected_components(spark.createDataFrame(e, "a long, b long"), "a", "b").collect()}
@@ -122,6 +125,8 @@ def test_components_equal_union_find(spark):
             parent[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in parent}
     assert assoc.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    named = spark.createDataFrame([("x", "y"), ("y", "b"), ("q", None), ("p", "p")], "a string, b string")
+    assert {r.id: r.component for r in assoc.connected_components(named, "a", "b").collect()} == {"x": "b", "y": "b", "b": "b"}
 
 
 def test_pruning_cuts_the_bad_bridge():
