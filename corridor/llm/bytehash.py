@@ -106,13 +106,3 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     s = np.flatnonzero(starts)
     e = np.flatnonzero(ends) + 1
     return s, e, np.searchsorted(off, s, side="right") - 1
-
-
-def gathered(batches: Iterator[pa.RecordBatch], limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``limit`` bytes at most (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)

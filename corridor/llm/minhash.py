@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BYTE_LOWER, U64, buffers, chunks, mix, prefix, substring, words
-from .common import lists, parts, saved, unsigned, whole
+from .common import lists, parts, saved, whole
 from .components import connected
 
 K, NEED, BLOCK, GROUP_BYTES = 32, 16, 1024, 4 << 20
@@ -47,11 +47,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray,
         sh[: len(w) - k] = sh[: len(w) - k] * U64(0xD1342543DE82EF95) + w[k:]
     ok = np.arange(len(w)) + n <= first[d + 1] if len(w) else np.zeros(0, bool)
     value, owner = mix(sh[ok]), d[ok]
-    for x in np.flatnonzero((per > 0) & (per < n)):  # short texts: the whole sequence, told apart by its length
-        h = U64(per[x])
-        for y in w[first[x] : first[x + 1]]:
-            h = U64((int(h) * 0xD1342543DE82EF95 + int(y)) & 0xFFFFFFFFFFFFFFFF)
-        value, owner = np.append(value, mix(np.array([h]))), np.append(owner, x)
+    few = np.flatnonzero((per > 0) & (per < n))  # short texts: the whole sequence, told apart by its length
+    if len(few):
+        h = per[few].astype(U64)
+        for k in range(n - 1):
+            more = np.flatnonzero(per[few] > k)
+            h[more] = h[more] * U64(0xD1342543DE82EF95) + w[first[few[more]] + k]
+        value, owner = np.append(value, mix(h)), np.append(owner, few)
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     keep = np.ones(len(value), dtype=bool)
@@ -256,7 +258,6 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 5, percent: int = 8
     null id link with nothing and are kept.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
     n = parts(docs, "text")
     share = floor / k
     sk = saved(sketches(docs, words_in_shingle, k).withColumn("sig", F.when(F.col("doc_id").isNotNull(), F.col("sig"))))
