@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.writers import saved, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors and driver share; a temporary one only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return where.rstrip("/")
+__all__ = ["crc_class", "free", "lists", "parts", "saved", "shared_dir", "table", "whole"]
 
 
-def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back: lineage ends, executors may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def parts(df: DataFrame, column: str, mb: int = 16) -> int:
@@ -38,11 +22,6 @@ def parts(df: DataFrame, column: str, mb: int = 16) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) // (mb << 20) + 1)
 
 
-def unsigned(x: np.ndarray) -> pa.Array:
-    """64-bit hashes as Spark's signed long."""
-    return pa.array(x.view(np.int64), type=pa.int64())
-
-
 def lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     off = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=off[1:])
@@ -58,3 +37,11 @@ def whole(batches) -> pa.Table | None:
 def crc_class(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def free(df: DataFrame, *names: str) -> DataFrame:
+    """df, if it has none of the names that an operator is about to add (whatever their case); otherwise a ValueError."""
+    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if taken:
+        raise ValueError(f"columns exist already: {', '.join(sorted(taken))}")
+    return df

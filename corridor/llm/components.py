@@ -1,50 +1,12 @@
-"""Connected components by alternating large-star and small-star rounds.
-
-Each round rewires every edge towards the smallest neighbour, so the number of edges never grows beyond
-the input's and a number of rounds in the order of log(n) suffices.  Rounds are joins and grouped minima;
-a vertex with very many neighbours is pre-aggregated before the shuffle and its join side is split by
-adaptive execution.  Nothing but two counters reaches the driver.
-"""
+"""Connected components of links between ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import saved
-
-FILE_ROWS = 200_000
-
-
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
 
+from ..operators.assoc import connected_components
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Edges (u, v) of longs -> (id, component): the smallest id reachable, for each id with an edge.
 
-    Null ends and loops are ignored; repeated edges count once; an empty input gives an empty result.
-    """
-    e = edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
-    e = saved(e.where("a > b").distinct())  # both ends known, a > b
-    before = _state(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        files = before[0] // FILE_ROWS + 1  # rounds only shrink the edges, so few rows never end up in many files
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Written out, so that the join below deals both of its sides itself and can split a vertex with many edges.
-        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(files))
-        large = both.join(low, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = saved(large.coalesce(files))
-        down = saved(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(files))
-        small = large.join(down, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = saved(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct().coalesce(files))
-        now = _state(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component").unionByName(roots)
+def connected(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) of longs -> (id, component): the smallest id reachable, for each id with an edge."""
+    return connected_components(edges, "u", "v")
