@@ -4,17 +4,19 @@ A byte is removed if a string of ``size`` bytes that covers it also starts earli
 the same document and a smaller start).  The corpus is cut so that equal strings always meet:
 
 1. The smallest hash among a window's ``GRAM``-byte substrings (its anchor) depends on its content alone, so
-   equal windows have equal anchors.  Neighbouring windows with one anchor form a segment.  A segment whose
-   whole content occurred before is a repeat; only the first one of each content and slice of the input is
-   sent on, so copies are pre-aggregated before any shuffle.
+   equal windows have equal anchors, whatever else collides.  Neighbouring windows with one anchor form a segment.  A
+   segment whose whole content occurred before is a repeat; only the first one of each content and slice of the input
+   is sent on, so copies are pre-aggregated before any shuffle.
 2. Buckets of anchors keep the first segment of each content.  An anchor with one content is settled.
 3. The contents of the other anchors meet, in order of first occurrence, in a run-length index of bounded
    size; streaming its matching statistics marks each window that starts earlier as well.
 4. Anchors with very many different contents (a passage that a large part of all documents shares, at its
-   ends) are found beforehand and their segments sent as single windows keyed by the window's own hash, so no
-   anchor gathers more than a bounded number.
+   ends) are estimated beforehand from the contents whose hash falls into a fixed share, the same for every anchor, and
+   their segments sent as single windows keyed by the window's own hash.  An anchor that still comes to a bucket
+   with more than ``MANY`` contents gives up its windows there: a grouped minimum finds each one's first place.  So no
+   index holds more than ``MANY`` segments, whatever the corpus holds.
 
-Everything is exact but for collisions of 112-bit hashes.  Null and empty texts have no window; rows with a
+Contents are told apart by 128 bits of XXH3, all else is exact.  Null and empty texts have no window; rows with a
 null id are returned whole and take no part; ids are taken as unique, repeated rows count as one.
 """
 
@@ -24,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,9 @@ from .bytehash import U64, buffers, chunks, mix, prefix, substring
 from .common import parts, saved, whole
 from .rlindex import RunIndex
 
-GRAM, MOST, LOCAL, HOT, SLICE = 32, 255, 8, 1 << 20, 32 << 20
-INDEX_SYMBOLS = 1 << 20
+GRAM, MOST, SLICE, INDEX_SYMBOLS = 32, 255, 32 << 20, 1 << 20
+#: Contents of an anchor beyond which it is split: in a bucket, and beforehand (at least; then at most HOT anchors are).
+MANY, SPLIT, HOT, SHARE = 4096, 512, 1 << 20, 64
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -44,8 +48,18 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def segments(data: np.ndarray, off: np.ndarray, size: int, hot: np.ndarray) -> dict[str, np.ndarray] | None:
-    """Segments of the documents: anchor a, content c, document index d, start, windows nw, and own repeats."""
+def digests(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of data[s:e], as two numbers each."""
+    raw = data.tobytes()
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(s.tolist(), e.tolist(), strict=True)]), U64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def segments(data: np.ndarray, off: np.ndarray, size: int, hot: np.ndarray, contents: bool = True) -> dict[str, np.ndarray] | None:
+    """Segments of the documents: anchor a, content (c, c2), document index d, start, windows nw, and own repeats.
+
+    Without ``contents``, c is a cheaper hash and c2 is left out.
+    """
     n, span = len(data), size - GRAM + 1
     if n < size:
         return None
@@ -74,19 +88,24 @@ def segments(data: np.ndarray, off: np.ndarray, size: int, hot: np.ndarray) -> d
         nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
         s, e = np.repeat(s, k) + nth * MOST, np.minimum(np.repeat(s, k) + (nth + 1) * MOST, np.repeat(e, k))
     a = m[s]
-    c = substring(h, s, e + size - 1)
     own = np.isin(a, own) if len(own) else np.zeros(len(a), bool)
+    if not contents:
+        return {"a": a, "c": substring(h, s, e + size - 1)}
+    key = a
     if len(hot) and (is_hot := np.isin(a, hot)).any():
         hs, hw = s[is_hot], (e - s)[is_hot]
         w = np.repeat(hs, hw) + np.arange(hw.sum()) - np.repeat(np.cumsum(hw) - hw, hw)
-        c1 = substring(h, w, w + size)
-        a, c, own = np.concatenate([a[~is_hot], mix(c1 + U64(77))]), np.concatenate([c[~is_hot], c1]), np.concatenate([own[~is_hot], np.zeros(len(w), bool)])
         s, e = np.concatenate([s[~is_hot], w]), np.concatenate([e[~is_hot], w + 1])
+        key, own = np.concatenate([a[~is_hot], np.zeros(len(w), U64)]), np.concatenate([own[~is_hot], np.zeros(len(w), bool)])
+        c, c2 = digests(data, s, e + size - 1)
+        key[len(key) - len(w) :] = mix(c[len(key) - len(w) :] + U64(77))  # windows are keyed by their own hash
+    else:
+        c, c2 = digests(data, s, e + size - 1)
     d = np.searchsorted(off, s, side="right") - 1
-    return {"a": a, "c": c & U64(0xFFFFFFFFFFFF), "d": d, "s": s - off[d], "nw": e - s, "own": own}
+    return {"a": key, "c": c, "c2": c2, "d": d, "s": s - off[d], "nw": e - s, "own": own}
 
 
-def _slices(batches, size: int, hot: np.ndarray):
+def _slices(batches, size: int, hot: np.ndarray, contents: bool = True):
     """All segments of a partition with document ids in d, in slices of about ``SLICE`` bytes of text."""
     got: list[dict] = []
     held = 0
@@ -95,8 +114,9 @@ def _slices(batches, size: int, hot: np.ndarray):
         data, off = buffers(batch.column(1))
         for a, b in chunks(off, 1 << 19):
             o = off[a : b + 1]
-            if x := segments(data[o[0] : o[-1]], o - o[0], size, hot):
-                x["d"] = ids[a + x["d"]]
+            if x := segments(data[o[0] : o[-1]], o - o[0], size, hot, contents):
+                if contents:
+                    x["d"] = ids[a + x["d"]]
                 got.append(x)
             held += int(o[-1] - o[0])
             if held >= SLICE and got:
@@ -108,10 +128,10 @@ def _slices(batches, size: int, hot: np.ndarray):
 
 def _firsts(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (anchor, content, document, start); where a new content begins; what repeats an earlier one."""
-    order = np.lexsort((x["s"], x["d"], x["c"], x["a"]))
-    a, c, d, s = (x[k][order] for k in ("a", "c", "d", "s"))
+    order = np.lexsort((x["s"], x["d"], x["c2"], x["c"], x["a"]))
+    a, c, c2, d, s = (x[k][order] for k in ("a", "c", "c2", "d", "s"))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     again = (d != d[lead]) | (s != s[lead])  # the same row given twice is not earlier
     return order, new, again
@@ -155,17 +175,17 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 4 * n
 
-    def heavy(batches):
-        for x in _slices(batches, size, np.zeros(0, U64)):
-            one = np.unique(mix(x["a"] ^ (x["c"] * U64(0x9E3779B97F4A7C15))), return_index=True)[1]  # each content once
-            a, count = np.unique(x["a"][one], return_counts=True)
-            keep = count >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(count[keep])], names=["a", "n"])
+    def sampled(batches):
+        for x in _slices(batches, size, np.zeros(0, U64), contents=False):
+            few = x["c"] % U64(SHARE) == 0
+            a, c = x["a"][few], x["c"][few]
+            one = np.unique(mix(a ^ (c * U64(0x9E3779B97F4A7C15))), return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(a[one].view(np.int64)), pa.array(c[one].view(np.int64))], names=["a", "c"])
 
     # There is an anchor for about every 27 bytes, so at most HOT anchors (8 MB) can have that many contents.
-    bound = max(512, int(total) // (27 * HOT))
-    found = docs.mapInArrow(heavy, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).collect()
-    hot_anchors = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["a"] for r in found), dtype=np.int64).view(U64))
+    bound = max(SPLIT, int(total) // (27 * HOT))
+    found = docs.mapInArrow(sampled, "a long, c long").distinct().groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= bound / SHARE).select("a").toArrow()
+    hot_anchors = docs.sparkSession.sparkContext.broadcast(np.sort(found.column("a").to_numpy()).view(U64))
 
     def send(batches):
         for x in _slices(batches, size, hot_anchors.value):
@@ -177,7 +197,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             y = {k: v[order] for k, v in y.items()}
-            c = np.stack([(y["c"] >> U64(16 * k)).astype(np.uint16) for k in range(3)], axis=1)
+            c = np.stack([y["c"], y["c2"]], axis=1)
             for b in np.flatnonzero(np.diff(edge)):
                 w = slice(edge[b], edge[b + 1])
                 cols = {"d": y["d"][w].astype(np.int64), "s": y["s"][w].astype(np.uint32), "nw": y["nw"][w].astype(np.uint8), "a": y["a"][w], "c": c[w], "own": np.packbits(y["own"][w])}
@@ -191,9 +211,8 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
                 if r["kind"] == 1:
                     out.append(_row(1, r["key"], s=r["s"]))
                     continue
-                a = np.frombuffer(r["a"], U64)
-                c = np.frombuffer(r["c"], np.uint16).reshape(-1, 3).astype(U64)
-                parts_.append({"a": a, "c": c[:, 0] | (c[:, 1] << U64(16)) | (c[:, 2] << U64(32)), "d": np.frombuffer(r["d"], np.int64), "s": np.frombuffer(r["s"], np.uint32).astype(np.int64), "nw": np.frombuffer(r["nw"], np.uint8).astype(np.int64), "own": np.unpackbits(np.frombuffer(r["own"], np.uint8))[: len(a)].astype(bool)})
+                a, c = np.frombuffer(r["a"], U64), np.frombuffer(r["c"], U64).reshape(-1, 2)
+                parts_.append({"a": a, "c": c[:, 0], "c2": c[:, 1], "d": np.frombuffer(r["d"], np.int64), "s": np.frombuffer(r["s"], np.uint32).astype(np.int64), "nw": np.frombuffer(r["nw"], np.uint8).astype(np.int64), "own": np.unpackbits(np.frombuffer(r["own"], np.uint8))[: len(a)].astype(bool)})
             if len(out) > 1024:
                 yield from _emit(out)
                 out = []
@@ -205,18 +224,23 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
             y = {k: v[new] for k, v in y.items()}
             head = np.concatenate([[True], y["a"][1:] != y["a"][:-1]])
             group = np.cumsum(head) - 1
-            many = (np.bincount(group)[group] > 1) | (np.bincount(group, weights=y["own"])[group] > 0)
-            y = {k: v[many] for k, v in y.items()}
-            order = np.argsort(y["d"], kind="stable")
+            contents = np.bincount(group)[group]
+            y["kind"] = np.where(contents > MANY, 3, 2)
+            open_ = (contents > 1) | (np.bincount(group, weights=y["own"])[group] > 0)
+            y = {k: v[open_] for k, v in y.items()}
+            order = np.lexsort((y["d"], y["kind"]))
             y = {k: v[order] for k, v in y.items()}
-            cut = np.flatnonzero(np.concatenate([[True], y["d"][1:] != y["d"][:-1]])) if len(y["d"]) else []
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(y["d"]) != 0) | (np.diff(y["kind"]) != 0)])) if len(y["d"]) else []
             for p, q in zip(cut, np.append(cut[1:], len(y["d"])) if len(cut) else [], strict=True):
-                out.append(_row(2, int(y["d"][p]), s=y["s"][p:q].astype(np.uint32).tobytes(), nw=y["nw"][p:q].astype(np.uint8).tobytes(), a=y["a"][p:q].tobytes()))
+                out.append(_row(int(y["kind"][p]), int(y["d"][p]), s=y["s"][p:q].astype(np.uint32).tobytes(), nw=y["nw"][p:q].astype(np.uint8).tobytes(), a=y["a"][p:q].tobytes()))
         yield from _emit(out)
 
     sent = docs.mapInArrow(send, _ROW).repartition(n, "kind", "key")
     settled = saved(sent.mapInArrow(settle, _ROW))
-    asked = settled.where("kind = 2").groupBy(F.col("key").alias("doc_id")).agg(F.collect_list(F.struct("s", "nw", "a")).alias("ask"))  # bounded by the document
+
+    def asked(kind: int) -> DataFrame:
+        own = settled.where(F.col("kind") == kind).groupBy(F.col("key").alias("doc_id"))
+        return docs.join(own.agg(F.collect_list(F.struct("s", "nw", "a")).alias("ask")), "doc_id").select("doc_id", "text", "ask")  # bounded by the document
 
     def cut_out(batches):
         for batch in batches:
@@ -230,7 +254,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
                             out[key].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["d"], pa.int64()), pa.array(out["s"], pa.int64()), pa.array(out["nw"], pa.int32()), pa.array(out["seg"], pa.binary())], names=list(out))
 
-    pieces = docs.join(asked, "doc_id").select("doc_id", "text", "ask").mapInArrow(cut_out, "a long, d long, s long, nw int, seg binary").repartition(n, "a")
+    pieces = asked(2).mapInArrow(cut_out, "a long, d long, s long, nw int, seg binary").repartition(n, "a")
 
     def mark(batches):
         got = whole(batches)
@@ -253,7 +277,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
             pick = pick[np.lexsort((s[pick], d[pick]))]
             data, off = buffers(got.column("seg").take(pa.array(pick)))
             base = off[:-1] + np.arange(len(pick))
-            at = RunIndex(data, off).repeats(size) if len(data) <= 4 * INDEX_SYMBOLS else large_group(data, off, size)
+            at = RunIndex(data, off).repeats(size)
             t = np.searchsorted(base, at, side="right") - 1
             w = at - base[t]
             cut = np.concatenate([[True], (np.diff(t) != 0) | (np.diff(w) != 1)]) if len(at) else np.zeros(0, bool)
@@ -265,26 +289,38 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
 
     marked = pieces.mapInArrow(mark, _ROW)
     both = settled.where("kind = 1").select("key", "s").unionByName(marked.select("key", "s"))
+    if not settled.where("kind = 3").isEmpty():
+        both = both.unionByName(_first_places(asked(3), size))
     return both.select(F.col("key").alias("doc_id"), F.col("s").alias("marks"))
 
 
-def large_group(data: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
-    """The repeats of one index over all segments, from several indexes of single windows that share a hash."""
-    own = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    at = np.arange(len(data))
-    at = at[at + size <= off[1:][own]]
-    parts_ = -(-len(at) * size // INDEX_SYMBOLS)
-    share = substring(prefix(data), at, at + size) % U64(parts_)
-    found = []
-    for k in range(parts_):
-        pick = at[share == U64(k)]
-        if not len(pick):
-            continue
-        texts = data[pick[:, None] + np.arange(size)].ravel()
-        hit = RunIndex(texts, np.arange(len(pick) + 1) * size).repeats(size) // (size + 1)
-        found.append(pick[hit])
-    found = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return np.sort(found + own[found])
+def _first_places(asked: DataFrame, size: int) -> DataFrame:
+    """(key, s): marks of the windows of the segments asked for that have the same content as an earlier one."""
+
+    def windows(batches):
+        for batch in batches:
+            data, off = buffers(batch.column(1))
+            for k, (i, ask) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                text = data[off[k] : off[k + 1]]
+                for r in ask:
+                    s, nw = np.frombuffer(r["s"], np.uint32).astype(np.int64), np.frombuffer(r["nw"], np.uint8).astype(np.int64)
+                    for x in range(0, len(s), 1 << 14):
+                        at, many = s[x : x + (1 << 14)], nw[x : x + (1 << 14)]
+                        at = np.repeat(at - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                        c, c2 = digests(text, at, at + size)
+                        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(np.full(len(at), i)), pa.array(at)], names=["c", "c2", "d", "s"])
+
+    def blobs(batches):
+        for batch in batches:
+            d, s = (batch.column(k).to_numpy() for k in range(2))
+            ids, got = _by_document(d, s, np.ones(len(s), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(got, pa.binary())], names=["key", "s"])
+
+    rows = saved(asked.mapInArrow(windows, "c long, c2 long, d long, s long"))
+    # Written out, so that the join deals out both sides and can split a window that very many documents hold.
+    first = saved(rows.groupBy("c", "c2").agg(F.min(F.struct("d", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = rows.join(first, ["c", "c2"]).where(F.struct("d", "s") != F.col("first")).select("d", "s")
+    return later.mapInArrow(blobs, "key long, s binary")
 
 
 def _spans(marks: list[bytes] | None, size: int) -> tuple[np.ndarray, np.ndarray]:

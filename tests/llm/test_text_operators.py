@@ -155,14 +155,39 @@ def test_segments_of_periodic_and_random_text(seed):
     assert windows == sum(max(0, len(x) - 99) for x in t)
 
 
-def test_suffix_hot_anchor_goes_by_windows(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "LOCAL", 1)
+@pytest.mark.parametrize("many, split, share", [(4096, 64, 1), (20, 1 << 40, 64), (20, 200, 4)])
+def test_suffix_hot_anchors_go_by_windows(spark, monkeypatch, many, split, share):
+    """Found beforehand, found in a bucket, or either: the same bytes go."""
+    for name, value in (("MANY", many), ("SPLIT", split), ("SHARE", share)):
+        monkeypatch.setattr(suffix, name, value)
     shared = prose(77, 25)  # a passage with other words around it in every document
     rows = [(k, prose(100 + k, 12) + " " + shared + " " + prose(300 + k, 12)) for k in range(700)] + [(900, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert digest(suffix.deduplicated(df)) == removed(rows, 100)
 
 
+def test_suffix_whatever_anchors_collide(spark, monkeypatch):
+    """Anchors only bring segments together: with eight different ones the same bytes go."""
+    narrow = suffix.substring
+    monkeypatch.setattr(suffix, "substring", lambda h, s, e: narrow(h, s, e) % np.uint64(8))
+    rows = [(k, prose(k % 7, 40) + prose(k, 30)) for k in range(25)]
+    data, off = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8), np.cumsum([0] + [len(t) for _, t in rows])
+    got = suffix.segments(data, off, 100, np.zeros(0, np.uint64))
+    assert len(np.unique(got["a"])) <= 8
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert digest(suffix.deduplicated(df)) == removed(rows, 100)
+
+
+def test_suffix_long_documents(spark):
+    """Documents beyond a chunk of bytes, with a repeat far inside and a copy of half of one."""
+    base = prose(8, 200_000)
+    assert len(base) > 1 << 20
+    rows = [(1, base), (2, prose(9, 50) + base[500_000:1_100_000]), (3, "y" * 3000 + base[1_000_000:1_000_400])]
+    got = digest(suffix.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[1][1] == 0 and got[2][:3] == (len(rows[1][1]), 600_000, 1)
+    assert got[3][:3] == (3400, 3399, 1)  # all but the first of the equal bytes
+
+
 def test_suffix_every_period_in_one_document(spark):
     rng = np.random.default_rng(9)
     rows = []
@@ -203,7 +228,6 @@ def test_run_index_finds_all_repeats(seed):
             p += 1
         p += 1
     assert index.repeats(6).tolist() == want
-    assert suffix.large_group(data, off, 6).tolist() == want
 
 
 # ------------------------------------------------------------------ learnt operators
