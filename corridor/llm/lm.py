@@ -2,16 +2,23 @@
 
 Counts.  Documents are dealt to parts by a hash of their id.  A part sends each of its different words once, with
 its training count, to the word's bucket; buckets add up and answer each part with the corpus counts of its words.
-So counts cover all training documents, and nothing that grows with the vocabulary reaches the driver.
-
-Model.  The ``TOP`` most frequent words are classes of their own, all others share ``SHAPES`` classes by their
-ending; within such a class a word has its add-one share of the class's training tokens, one more for unseen
-words.  The class of a token is predicted from the two before: q = C1 * e[c1] + C2 * e[c2], score = q . t[w] + b[w].
-A first fit on a bounded sample sets the parameters; every input partition then continues from it on all of its
-training documents, and the results are averaged by their token counts in a tree.  Scoring normalises exactly over
-all classes, with one batched matrix product for the different contexts of a part.
-
-Tokens are runs of non-separators, lower-cased in ASCII, then one end for each document.  Null texts are empty.
+So counts cover all training documents, and of words only those that get vectors reach the driver.
+
+Model.  Words that occur often enough have vectors of their own.  "Often" is max(``LEAST``, N ** (2/3) / 1000) for N
+training tokens, so there are at most 1000 * N ** (1/3) such words, and more the more there is to learn from.  They lie
+in about sqrt(V) classes of equal share; all other words share ``SHAPES`` classes by their endings, and the end of a
+document is a class.  The last ``CONTEXT`` words predict: q = sum of A_k * e[w_k], a diagonal matrix for each place;
+P(class) is the softmax of q . u + b over all classes, P(word | class) that of q . t + b over the class's words.  Within
+a class of endings a word has its add-one share of the class's training tokens, one more for unseen words.
+
+Training.  Both levels learn by noise-contrastive estimation: noise classes from their shares for a whole batch, noise
+words from the class's own shares for each class in a batch.  A first fit on a bounded sample sets the parameters;
+every shard of about ``SHARD`` bytes continues from it on all of its training documents, in the order of their ids, and
+the results are averaged, each row weighted by how often a shard updated it.  Shards follow from ids and sizes alone, so
+the model does not depend on how the input is split.  Scoring normalises exactly, in batched matrix products.
+
+Tokens are runs of non-separators, lower-cased in ASCII, then one end for each document.  Null texts are empty; rows
+with a null id are scored, not learnt from; repeated rows are learnt from and returned as often as given.
 """
 
 from __future__ import annotations
@@ -24,10 +31,11 @@ from pyspark.sql import functions as F
 from .bytehash import BYTE_LOWER, LOWER, U64, buffers, chunks, mix, prefix, substring, words
 from .common import crc_class, parts, saved, whole
 
-TOP, SHAPES, WIDTH, NOISE, BATCH = 479, 32, 16, 32, 4096
-CLASSES = TOP + SHAPES + 1
-END_CLASS, END_KEY = CLASSES - 1, U64(0x1F3D5B79)
-FIRST_DOCS, RATE = 1500, 0.15
+SHAPES, WIDTH, CONTEXT, LEAST = 256, 32, 5, 20
+NOISE, WORD_NOISE, BATCH, TILE, RATE = 48, 16, 16_384, 1024, 0.25
+FIRST_DOCS, PASSES, SHARD = 1000, 2, 64 << 20
+END_KEY = U64(0x1F3D5B79)
+F32 = np.float32
 
 
 def token_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,123 +46,197 @@ def token_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     key = np.full(len(s) + docs, END_KEY, dtype=U64)
     shape = np.zeros(len(s) + docs, dtype=np.uint8)
     at = np.arange(len(s)) + d
-    key[at] = substring(prefix(data, BYTE_LOWER), s, e)
-    low = LOWER[data].astype(np.int64) if len(data) else np.zeros(0, np.int64)
-    shape[at] = (low[e - 1] * 7 + np.where(e - s > 1, low[np.maximum(e - 2, 0)], 0) * 3) % SHAPES if len(s) else 0
+    h = prefix(data, BYTE_LOWER)
+    key[at] = substring(h, s, e)
+    shape[at] = mix(substring(h, np.maximum(s, e - 3), e)) % U64(SHAPES)
     return key, shape, count
 
 
 class Vocabulary:
-    """The words that are classes of their own; log10 and counts of the others' classes."""
+    """Words with vectors, in the order of their classes, and what classes of endings hold.
 
-    def __init__(self, keys: np.ndarray, class_count: np.ndarray, class_words: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.rank = keys[order], order
-        self.class_count, self.class_words = class_count, class_words  # by class, tokens and different words
+    Rows are numbered: words, then endings, then the end.  Classes are numbered: of words, of endings, of the end.
+    """
 
-    def classes(self, key: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        out = TOP + shape.astype(np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, tail: np.ndarray, kinds: np.ndarray, ends: int):
+        """``keys`` by falling ``counts``; tokens and different words of each ending; tokens that are ends."""
+        self.size = len(keys)
+        order = np.argsort(keys)
+        self.keys, self.row = keys[order], order
+        wanted = max(1, int(np.ceil(np.sqrt(self.size))))
+        before = np.cumsum(counts) - counts
+        cls = (before * wanted / max(counts.sum(), 1)).astype(np.int64) if self.size else np.zeros(0, np.int64)
+        cls = np.cumsum(np.concatenate([[0], np.diff(cls) > 0]))[: self.size] if self.size else cls  # without gaps
+        self.word_classes = int(cls[-1]) + 1 if self.size else 0
+        self.cls = np.concatenate([cls, self.word_classes + np.arange(SHAPES + 1)]).astype(np.int64)  # of each row
+        self.first = np.searchsorted(cls, np.arange(self.word_classes + 1)) if self.size else np.zeros(1, np.int64)  # of each class of words
+        self.classes, self.rows, self.end = self.word_classes + SHAPES + 1, self.size + SHAPES + 1, self.size + SHAPES
+        own = np.bincount(cls, weights=counts, minlength=self.word_classes) if self.size else np.zeros(0)
+        mass = np.concatenate([own, tail, [ends]]) + 0.5
+        self.share = mass / mass.sum()
+        self.cum = np.cumsum(self.share)
+        self.word_cum = np.cumsum((counts + 0.5) / max((counts + 0.5).sum(), 1)) if self.size else np.zeros(0)
+        self.word_share = (counts + 0.5) / (own + 0.5 * np.diff(self.first))[cls] if self.size else np.zeros(0)  # within its class
+        self.tail, self.kinds = tail, kinds
+
+    def index(self, key: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Row of each token."""
+        out = self.size + shape.astype(np.int64)
+        if self.size:
+            at = np.minimum(np.searchsorted(self.keys, key), self.size - 1)
             hit = self.keys[at] == key
-            out[hit] = self.rank[at[hit]]
-        out[key == END_KEY] = END_CLASS
+            out[hit] = self.row[at[hit]]
+        out[key == END_KEY] = self.end
+        return out
+
+    def contexts(self, row: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Rows of the ``CONTEXT`` tokens before each token, the last first; ends before a document's beginning."""
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        out = np.full((len(row), CONTEXT), self.end, dtype=np.int32)
+        for k in range(CONTEXT):
+            ok = np.flatnonzero(place > k)
+            out[ok, k] = row[ok - k - 1]
         return out
 
 
-def triples(cls: np.ndarray, count: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different (second last, last, next class) of the documents to learn from, and how often each occurs."""
-    c1, c2 = contexts(cls, count)
-    use = np.repeat(learn, count)
-    code, n = np.unique((c1[use] * CLASSES + c2[use]) * CLASSES + cls[use], return_counts=True)
-    return code // (CLASSES * CLASSES), code // CLASSES % CLASSES, code % CLASSES, n
+def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows and the sums of their gradients."""
+    order = np.argsort(rows, kind="stable")
+    r = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    return r[first], np.add.reduceat(g[order], first, axis=0)
 
 
-def contexts(cls: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.cumsum(count) - count
-    c2 = np.concatenate([[END_CLASS], cls[:-1]]) if len(cls) else cls
-    c2[first] = END_CLASS
-    c1 = np.concatenate([[END_CLASS], c2[:-1]]) if len(cls) else cls
-    c1[first] = END_CLASS
-    return c1, c2
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Bilinear:
-    """Parameters in one flat vector: context vectors, target vectors, biases, and two diagonal matrices."""
-
-    SHAPES_ = ((CLASSES, WIDTH), (CLASSES, WIDTH), (CLASSES,), (WIDTH,), (WIDTH,))
-    SIZE = sum(int(np.prod(s)) for s in SHAPES_)
-
-    def __init__(self, flat: np.ndarray):
-        self.flat, self.part, at = flat, [], 0
-        for s in self.SHAPES_:
-            k = int(np.prod(s))
-            self.part.append(flat[at : at + k].reshape(s))
-            at += k
-
-    @classmethod
-    def start(cls, share: np.ndarray) -> Bilinear:
-        rng = np.random.default_rng(5)
-        m = cls(np.zeros(cls.SIZE))
-        e, t, b, a1, a2 = m.part
-        e[:] = rng.standard_normal(e.shape) * 0.3
-        t[:] = rng.standard_normal(t.shape) * 0.05
-        b[:] = np.log(share)
-        a1[:], a2[:] = 0.5, 1.0
-        return m
-
-    def train(self, data, share: np.ndarray, squares: np.ndarray, rng) -> None:
-        """One pass of noise-contrastive estimation over (c1, c2, w, times), with the noise of a batch in common."""
-        c1, c2, w, n = data
-        e, t, b, a1, a2 = self.part
-        g2 = Bilinear(squares).part
-        order = rng.permutation(len(w))
-        offset = np.log(NOISE * share)
-        for k in range(0, len(order), BATCH):
-            at = order[k : k + BATCH]
-            x1, x2, y, m = c1[at], c2[at], w[at], n[at].astype(np.float64)
-            noise = np.searchsorted(self._cum, rng.random(NOISE)).clip(max=CLASSES - 1)
-            q1, q2 = e[x1], e[x2]
-            q = q1 * a1 + q2 * a2
-            ty = t[y]
-            up = m * (1 - 1 / (1 + np.exp(-np.clip((q * ty).sum(1) + b[y] - offset[y], -30, 30))))
-            z = np.clip(q @ t[noise].T + b[noise] - offset[noise], -30, 30)
-            down = m[:, None] / (1 + np.exp(-z))
-            dq = up[:, None] * ty - down @ t[noise]
-            dt, db = np.zeros_like(t), np.bincount(y, weights=up, minlength=CLASSES)
-            np.add.at(dt, noise, -(down.T @ q))
-            np.add.at(db, noise, -down.sum(0))
-            de = np.zeros_like(e)
-            uq, d1, d2 = up[:, None] * q, dq * a1, dq * a2
-            for j in range(WIDTH):
-                dt[:, j] += np.bincount(y, weights=uq[:, j], minlength=CLASSES)
-                de[:, j] = np.bincount(x1, weights=d1[:, j], minlength=CLASSES) + np.bincount(x2, weights=d2[:, j], minlength=CLASSES)
-            for p, s, g in zip(self.part, g2, (de, dt, db, (dq * q1).sum(0), (dq * q2).sum(0)), strict=True):
-                g = g / m.sum()
-                s += g * g
-                p += RATE * g / (np.sqrt(s) + 1e-6)
-
-    def noise_from(self, share: np.ndarray) -> None:
-        self._cum = np.cumsum(share)
-
-    def log_probs(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each class, normalised over all classes; equal contexts are computed once."""
-        e, t, b, a1, a2 = (p.astype(np.float32) for p in self.part)
-        code = c1 * CLASSES + c2
-        order = np.argsort(code, kind="stable")
-        ctx, first = np.unique(code[order], return_index=True)
-        first = np.append(first, len(order))
-        out = np.empty(len(w))
-        for k in range(0, len(ctx), 2048):
-            c = ctx[k : k + 2048]
-            z = (e[c // CLASSES] * a1 + e[c % CLASSES] * a2) @ t.T + b
-            top = z.max(axis=1, keepdims=True)
-            z -= top + np.log(np.exp(z - top).sum(axis=1, keepdims=True))
-            a, f = first[k], first[k : k + len(c) + 1]
-            own = order[a : f[-1]]
-            out[own] = z[np.repeat(np.arange(len(c)), np.diff(f)), w[own]]
+    """Parameters: context vectors e, class vectors u, word vectors t (each with its bias as a last column), places a."""
+
+    NAMES = ("e", "u", "t", "a")
+
+    def __init__(self, v: Vocabulary, parts: list[np.ndarray] | None = None):
+        self.v = v
+        if parts is None:
+            rng = np.random.default_rng(5)
+            u = np.concatenate([rng.normal(0, 0.05, (v.classes, WIDTH)), np.log(v.share)[:, None]], axis=1)
+            t = np.concatenate([rng.normal(0, 0.05, (v.size, WIDTH)), np.log(np.maximum(v.word_share, 1e-12))[:, None]], axis=1)
+            a = np.repeat(1 / (1.0 + np.arange(CONTEXT))[:, None], WIDTH, axis=1)
+            parts = [rng.normal(0, 0.3, (v.rows, WIDTH)), u, t, a]
+        self.e, self.u, self.t, self.a = (np.array(x, dtype=F32) for x in parts)
+        self.offset, self.word_offset = np.log(NOISE * v.share).astype(F32), np.log(WORD_NOISE * np.maximum(v.word_share, 1e-12)).astype(F32)
+        self.squares = {n: np.full(len(getattr(self, n)), 1e-4, F32) for n in self.NAMES}
+        self.updates = {n: np.zeros(len(getattr(self, n)), np.int64) for n in self.NAMES}
+
+    def copy(self) -> Bilinear:
+        out = Bilinear(self.v, [getattr(self, n) for n in self.NAMES])
+        out.squares = {n: s.copy() for n, s in self.squares.items()}
         return out
 
+    def _step(self, name: str, rows: np.ndarray, g: np.ndarray) -> None:
+        """Gradient ascent, each row's step falling with the sum of its squared gradients."""
+        s, p = self.squares[name], getattr(self, name)
+        s[rows] += (g * g).sum(axis=1)
+        p[rows] += (RATE / np.sqrt(s[rows]))[:, None] * g
+        self.updates[name][rows] += 1
+
+    def query(self, ctx: np.ndarray) -> np.ndarray:
+        return sum(self.e[ctx[:, k]] * self.a[k] for k in range(CONTEXT))
+
+    def train(self, ctx: np.ndarray, row: np.ndarray, rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation on a batch of tokens."""
+        v, cls = self.v, self.v.cls[row]
+        order = np.argsort(cls, kind="stable")  # by class, so that a class's tokens lie together
+        ctx, row, cls = ctx[order], row[order], cls[order]
+        got = [self.e[ctx[:, k]] for k in range(CONTEXT)]
+        q = np.ones((len(row), WIDTH + 1), F32)
+        q[:, :-1] = sum(x * self.a[k] for k, x in enumerate(got))
+        # classes: noise in common
+        noise = np.searchsorted(self.v.cum, rng.random(NOISE)).clip(max=v.classes - 1)
+        own, other = self.u[cls], self.u[noise]
+        up = 1 - _sigmoid((q * own).sum(1) - self.offset[cls])
+        down = _sigmoid(q @ other.T - self.offset[noise])
+        dq = up[:, None] * own - down @ other
+        edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        # words within their classes: noise in common for each class
+        draw = rng.random((v.word_classes, WORD_NOISE))
+        for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(cls)], strict=True):
+            c = cls[x]
+            if c >= v.word_classes or v.first[c + 1] - v.first[c] < 2:
+                continue
+            lo, hi = v.first[c], v.first[c + 1]
+            base = v.word_cum[lo - 1] if lo else 0.0
+            fake = np.searchsorted(v.word_cum[lo:hi], base + draw[c] * (v.word_cum[hi - 1] - base)).clip(max=hi - lo - 1) + lo
+            r, here = row[x:y], q[x:y]
+            true, false = self.t[r], self.t[fake]
+            up1 = 1 - _sigmoid((here * true).sum(1) - self.word_offset[r])
+            down1 = _sigmoid(here @ false.T - self.word_offset[fake])
+            dq[x:y] += up1[:, None] * true - down1 @ false
+            self._step("t", *_summed(np.concatenate([r, fake]), np.concatenate([up1[:, None] * here, -(down1.T @ here)])))
+        more = _summed(noise, -(down.T @ q))
+        self._step("u", cls[edge], np.add.reduceat(up[:, None] * q, edge, axis=0))
+        self._step("u", *more)
+        dq = dq[:, :-1]
+        da = np.stack([(dq * x).sum(0) for x in got])
+        self._step("e", *_summed(ctx.T.ravel(), np.concatenate([dq * self.a[k] for k in range(CONTEXT)])))
+        self._step("a", np.arange(CONTEXT), da)
+
+    def log_probs(self, ctx: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each token's class and, for words with vectors, of the word within its class."""
+        out, v = np.empty(len(row)), self.v
+        for k in range(0, len(row), 4 * BATCH):
+            r = row[k : k + 4 * BATCH]
+            q, cls = np.ones((len(r), WIDTH + 1), F32), v.cls[r]
+            q[:, :-1] = self.query(ctx[k : k + 4 * BATCH])
+            got = np.empty(len(r))
+            for j in range(0, len(r), TILE):
+                own = slice(j, j + TILE)
+                got[own] = _log_softmax(q[own], self.u, cls[own])
+            order = np.argsort(cls, kind="stable")
+            edge = np.searchsorted(cls[order], np.arange(v.word_classes + 1))
+            for c in np.flatnonzero(np.diff(edge)):
+                lo, hi = v.first[c], v.first[c + 1]
+                at = order[edge[c] : edge[c + 1]]
+                for j in range(0, len(at) if hi - lo > 1 else 0, TILE):
+                    some = at[j : j + TILE]
+                    got[some] += _log_softmax(q[some], self.t[lo:hi], r[some] - lo)
+            out[k : k + 4 * BATCH] = got
+        return out
+
+
+def _log_softmax(q: np.ndarray, vectors: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``q`` with a last column of ones."""
+    z = q @ vectors.T
+    top = z.max()
+    if top > 60:  # beyond what the exponential holds in single precision
+        z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), which].astype(np.float64)
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+class Stream:
+    """Trains on a stream of documents in batches of ``BATCH`` tokens, wherever its pieces are cut."""
+
+    def __init__(self, model: Bilinear, seed: int):
+        self.model, self.rng, self.held = model, np.random.default_rng(seed), []
+        self.size = 0
+
+    def add(self, row: np.ndarray, count: np.ndarray) -> None:
+        self.held.append((self.model.v.contexts(row, count), row))
+        self.size += len(row)
+        if self.size >= BATCH:
+            ctx, row = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            whole_ = self.size // BATCH * BATCH
+            for k in range(0, whole_, BATCH):
+                self.model.train(ctx[k : k + BATCH], row[k : k + BATCH], self.rng)
+            self.held, self.size = [(ctx[whole_:], row[whole_:])], self.size - whole_
+
+    def end(self) -> None:
+        if self.size:
+            self.model.train(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.rng)
+        self.held, self.size = [], 0
+
 
 def _by_part(batches):
     """Rows of a partition by part number: pid, ids, learn, data and offsets."""
@@ -192,7 +274,7 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
     Learns from documents whose crc32(id as text) modulo ``modulus`` is not ``held``; a null id counts as held out.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = parts(docs, "text")
+    n = parts(docs, "text", 8)
     docs = docs.withColumn("held_out", F.coalesce(crc_class("doc_id", modulus) == held, F.lit(True)))
     dealt = docs.withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(n))).select("pid", "doc_id", "held_out", "text")
     buckets = 2 * n
@@ -225,89 +307,123 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
         word = u != END_KEY
         for k in range(SHAPES):  # tokens and different words of each shape
             own = (shape == k) & (total > 0) & word
-            rows.append((2, int(own.sum()), None, None, None, int(total[own].sum()), k))
+            if own.any():
+                rows.append((2, int(own.sum()), None, None, None, int(total[own].sum()), k))
         rows.append((2, int((total[~word] > 0).sum()), None, None, None, int(total[~word].sum()), -1))
-        best = np.flatnonzero(word & (total > 0))
-        best = best[np.lexsort((u[best], -total[best]))][:TOP]
-        rows += [(3, int(u[k : k + 1].view(np.int64)[0]), None, None, None, int(total[k]), int(shape[k])) for k in best]
+        often = word & (total >= LEAST)
+        rows.append((3, None, u[often].tobytes(), total[often].tobytes(), shape[often].tobytes(), None, None))
         yield from _count_rows(rows)
 
+    def frequent(batches):
+        for batch in batches:
+            for h, c, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                u, c, s = np.frombuffer(h, U64), np.frombuffer(c, np.int64), np.frombuffer(s, np.uint8)
+                ok = c >= least
+                yield pa.RecordBatch.from_arrays([pa.array(u[ok].view(np.int64)), pa.array(c[ok]), pa.array(s[ok].astype(np.int32))], names=["key", "n", "shape"])
+
     counted = saved(dealt.repartition(n, "pid").mapInArrow(local, _COUNTS).repartition(n, "key").mapInArrow(add_up, _COUNTS))
     tally = {r["shape"]: (r["n"], r["v"]) for r in counted.where("kind = 2").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("key").alias("v")).collect()}
-    top = counted.where("kind = 3").orderBy(F.desc("n"), "key").limit(TOP).select("key", "n", "shape").collect()
-    tokens = sum(a for a, _ in tally.values())
-    types = sum(b for _, b in tally.values())
-    count, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k in range(SHAPES):
-        count[TOP + k], kinds[TOP + k] = tally.get(k, (0, 0))
-    for j, r in enumerate(top):
-        count[j], kinds[j] = r["n"], 1
-        count[TOP + r["shape"]] -= r["n"]
-        kinds[TOP + r["shape"]] -= 1
-    count[END_CLASS], kinds[END_CLASS] = tally.get(-1, (0, 0))
-    vocabulary = Vocabulary(np.array([r["key"] for r in top], np.int64).view(U64), count, kinds)
-    share = (count + 0.5) / (count + 0.5).sum()
+    tokens, types = sum(a for a, _ in tally.values()), sum(b for _, b in tally.values())
+    least = max(LEAST, int(tokens ** (2 / 3) / 1000))
+    top = counted.where("kind = 3").select("hashes", "counts", "shapes").mapInArrow(frequent, "key long, n long, shape int").toArrow()  # at most tokens / least words
+    key, count, shape = top.column("key").to_numpy().view(U64), top.column("n").to_numpy(), top.column("shape").to_numpy()
+    order = np.lexsort((key, -count))
+    key, count, shape = key[order], count[order], shape[order]
+    tail = np.array([tally.get(k, (0, 0)) for k in range(SHAPES)], dtype=np.float64)
+    tail -= np.stack([np.bincount(shape, weights=count, minlength=SHAPES), np.bincount(shape, minlength=SHAPES)], axis=1)
+    vocabulary = Vocabulary(key, count, tail[:, 0], tail[:, 1], tally.get(-1, (0, 0))[0])
 
     # A first fit on a bounded sample, then all training documents.
-    total = docs.count()
-    few = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIRST_DOCS / max(total, 1)))))
+    learn = docs.where("NOT held_out").select("doc_id", "text")
+    total, volume = learn.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    few = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIRST_DOCS / max(total, 1))))
 
-    def classes_of(batches):
+    def rows_of(batches):
         for batch in batches:
-            key, shape, k = _tokens(batch.column(0))
-            c1, c2, w, m = triples(vocabulary.classes(key, shape), k, np.ones(batch.num_rows, bool))
-            yield pa.RecordBatch.from_arrays([pa.array((c1 * CLASSES + c2) * CLASSES + w), pa.array(m)], names=["code", "n"])
-
-    first = few.select("text").mapInArrow(classes_of, "code long, n long").toPandas().sort_values(["code", "n"]).to_numpy()  # FIRST_DOCS documents or so
-    model = Bilinear.start(share)
-    model.noise_from(share)
-    rng = np.random.default_rng(17)
-    squares = np.full(Bilinear.SIZE, 1e-4)
-    code, times = (first[:, 0].astype(np.int64), first[:, 1]) if len(first) else (np.zeros(0, np.int64), np.zeros(0))
-    for _ in range(3 if len(code) else 0):
-        model.train((code // (CLASSES * CLASSES), code // CLASSES % CLASSES, code % CLASSES, times), share, squares, rng)
-    start, squares = model.flat.copy(), squares.copy()
+            key, shape, k = _tokens(batch.column(1))
+            row, end = vocabulary.index(key, shape).astype(np.int32), np.cumsum(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row[x:y].tobytes() for x, y in zip(end - k, end, strict=True)], pa.binary())], names=["doc_id", "rows"])
+
+    first = [np.frombuffer(r["rows"], np.int32) for r in sorted(few.mapInArrow(rows_of, "doc_id long, rows binary").collect(), key=lambda r: (r["doc_id"], bytes(r["rows"])))]  # FIRST_DOCS documents or so
+    start = Bilinear(vocabulary)
+    if first:
+        row, k = np.concatenate(first).astype(np.int64), np.array([len(x) for x in first])
+        ctx = vocabulary.contexts(row, k)
+        rng = np.random.default_rng(17)
+        for _ in range(PASSES):
+            order = rng.permutation(len(row))
+            for x in range(0, len(row), BATCH // 4):
+                at = order[x : x + BATCH // 4]
+                start.train(ctx[at], row[at], rng)
+    shared = docs.sparkSession.sparkContext.broadcast(start)  # 2 * WIDTH numbers a word with vectors
 
     def refine(batches):
-        m, g2 = Bilinear(start.copy()), squares.copy()
-        m.noise_from(share)
-        rng, seen = np.random.default_rng(23), 0
+        stream, here = None, None
+
+        def result():
+            stream.end()
+            m = stream.model
+            return pa.RecordBatch.from_arrays([pa.array([here], pa.int64()), *[pa.array([(getattr(m, x) * m.updates[x][:, None]).astype(F32).tobytes()], pa.binary()) for x in m.NAMES], *[pa.array([m.updates[x].tobytes()], pa.binary()) for x in m.NAMES]], names=names)
+
         for batch in batches:
-            data, off = buffers(batch.column(1))
-            learn = ~batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in chunks(off, 1 << 22):
-                o = off[a : b + 1]
-                key, shape, k = token_keys(data[o[0] : o[-1]], o - o[0])
-                x = triples(vocabulary.classes(key, shape), k, learn[a:b])
-                if len(x[3]):
-                    m.train(x, share, g2, rng)
-                    seen += int(x[3].sum())
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(m.flat * seen).tobytes()], pa.binary())], names=["n", "w"])
+            shard = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows]
+            for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+                if q > p and shard[p] != here:
+                    if stream:
+                        yield result()
+                    here, stream = int(shard[p]), Stream(shared.value.copy(), 23)
+                data, off = buffers(batch.column(1).slice(p, q - p))
+                for a, b in chunks(off):
+                    o = off[a : b + 1]
+                    key, shape, k = token_keys(data[o[0] : o[-1]], o - o[0])
+                    stream.add(vocabulary.index(key, shape), k)
+        if stream:
+            yield result()
 
     def add(batches):
-        n_, w_ = 0, np.zeros(Bilinear.SIZE)
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n_, w_ = n_ + a, w_ + np.frombuffer(b)
-        yield pa.RecordBatch.from_arrays([pa.array([n_], pa.int64()), pa.array([w_.tobytes()], pa.binary())], names=["n", "w"])
+        sums, here = None, None
+
+        def result():
+            return pa.RecordBatch.from_arrays([pa.array([here], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in sums]], names=names)
 
-    fitted = docs.select("held_out", "text").mapInArrow(refine, "n long, w binary")
-    fitted = fitted.repartition(max(1, int(n**0.5))).mapInArrow(add, "n long, w binary").repartition(1).mapInArrow(add, "n long, w binary").collect()
-    seen = sum(r["n"] for r in fitted)
-    final = sum(np.frombuffer(r["w"]) for r in fitted) / seen if seen else start
+        for batch in batches:
+            for shard, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = [np.frombuffer(x, F32) for x in blobs[:4]] + [np.frombuffer(x, np.int64) for x in blobs[4:]]
+                if shard // 16 != here:
+                    if sums:
+                        yield result()
+                    here, sums = shard // 16, got
+                else:
+                    sums = [x + y for x, y in zip(sums, got, strict=True)]
+        if sums:
+            yield result()
+
+    names = ["shard", *Bilinear.NAMES, *[f"n_{x}" for x in Bilinear.NAMES]]
+    schema = "shard long, " + ", ".join(f"{x} binary" for x in names[1:])
+    shards = int(volume or 0) // SHARD + 1
+    own = learn.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards))).repartition(shards, "shard")
+    fitted = own.sortWithinPartitions("shard", "doc_id", "text").select("shard", "text").mapInArrow(refine, schema)
+    while shards > 1:  # sums of 16 shards each, in their order
+        shards = -(-shards // 16)
+        fitted = saved(fitted.repartition(shards, F.floor(F.col("shard") / 16)).sortWithinPartitions("shard").mapInArrow(add, schema))
+    final = [getattr(start, x).copy() for x in Bilinear.NAMES]
+    for r in fitted.collect():  # one row
+        for k, x in enumerate(Bilinear.NAMES):
+            n_ = np.frombuffer(r[f"n_{x}"], np.int64)
+            hit = n_ > 0
+            final[k][hit] = np.frombuffer(r[x], F32).reshape(final[k].shape)[hit] / n_[hit, None]
+    fit = docs.sparkSession.sparkContext.broadcast(Bilinear(vocabulary, final))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = Bilinear(final)
+        model = fit.value
         key, shape, k = _tokens(left.column("text"))
         hashes = [np.frombuffer(x, U64) for x in right.column("hashes").to_pylist()]
         values = [np.frombuffer(x, np.int64) for x in right.column("counts").to_pylist()]
         h, v = (np.concatenate(hashes), np.concatenate(values)) if hashes else (np.zeros(1, U64), np.zeros(1, np.int64))
         order = np.argsort(h)
         c = v[order[np.minimum(np.searchsorted(h[order], key), len(h) - 1)]]
-        cls = vocabulary.classes(key, shape)
-        inner = (cls >= TOP) & (cls < END_CLASS)
-        within = np.where(inner, np.log10((c + 1) / (vocabulary.class_count[cls] + vocabulary.class_words[cls] + 1)), 0.0)
-        logp = model.log_probs(*contexts(cls, k), cls) / np.log(10) + within
+        logp = log10_probs(model, key, shape, k, c)
         base = np.log10((c + 1) / (tokens + types + 1))
         first = np.cumsum(k) - k
         return pa.table({
@@ -318,3 +434,21 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
 
     replies = counted.where("kind = 1").select(F.col("key").alias("pid"), "hashes", "counts")
     return dealt.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def log10_probs(model: Bilinear, key: np.ndarray, shape: np.ndarray, count: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """log10 probability of every token, given how often its word is ``seen`` in training."""
+    v, out = model.v, np.empty(len(key))
+    row = v.index(key, shape)
+    end = np.cumsum(count)
+    a = 0
+    while a < len(count):  # documents of some 2**20 tokens at a time, or a longer one
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + (1 << 20), side="right")))
+        x, y = end[a] - count[a], end[b - 1]
+        out[x:y] = model.log_probs(v.contexts(row[x:y], count[a:b]), row[x:y])
+        a = b
+    kind = row - v.size
+    rest = (kind >= 0) & (kind < SHAPES)
+    out /= np.log(10)
+    out[rest] += np.log10((seen[rest] + 1) / (v.tail[kind[rest]] + v.kinds[kind[rest]] + 1))
+    return out

@@ -319,10 +319,81 @@ def test_language_model_counts_and_normalisation(spark, docs, texts):
         assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w))
         assert r.score < 0
     assert lm.scores(empty(spark)).count() == 0
-    m = lm.Bilinear.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    every = np.arange(lm.CLASSES)
-    p = m.log_probs(np.full(lm.CLASSES, 3), np.full(lm.CLASSES, 7), every)
-    assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+
+
+def toy_model(seed=0, words_=60, tokens_=6000):
+    """A model of words that mostly follow their neighbours, and its stream of rows."""
+    rng = np.random.default_rng(seed)
+    keys = rng.integers(1, 1 << 62, words_).astype(np.uint64)
+    counts = np.sort(rng.integers(20, 400, words_))[::-1]
+    v = lm.Vocabulary(keys, counts, rng.integers(0, 90, lm.SHAPES).astype(float), rng.integers(1, 9, lm.SHAPES).astype(float), 50)
+    row = np.empty(tokens_, np.int64)
+    row[0] = 3
+    for k in range(1, tokens_):
+        row[k] = (row[k - 1] + 1) % words_ if rng.random() < 0.9 else rng.integers(0, v.rows)
+    return v, row, np.full(20, tokens_ // 20)
+
+
+def test_language_model_is_normalised_and_learns():
+    v, row, count = toy_model()
+    assert v.word_classes == 8 and (np.diff(v.cls[: v.size]) >= 0).all() and sorted(v.row.tolist()) == list(range(v.size))
+    assert v.index(v.keys, np.zeros(v.size, np.uint8)).tolist() == v.row.tolist()
+    ctx = v.contexts(row, count)
+    assert (ctx[0] == v.end).all() and ctx[301].tolist() == [row[300]] + [v.end] * (lm.CONTEXT - 1) and ctx[7].tolist() == row[2:7][::-1].tolist()
+    m = lm.Bilinear(v)
+    before = m.log_probs(ctx, row).mean()
+    stream = lm.Stream(m, 1)
+    for _ in range(30):
+        stream.add(row, count)
+    stream.end()
+    assert m.log_probs(ctx, row).mean() > before + 1
+    every = np.arange(v.rows)
+    for k in (0, 5, 999):
+        assert np.exp(m.log_probs(np.repeat(ctx[k : k + 1], v.rows, axis=0), every)).sum() == pytest.approx(1, abs=1e-5)
+    m.u[:, -1] += 200  # beyond what single precision can raise e to
+    assert np.exp(m.log_probs(np.repeat(ctx[:1], v.rows, axis=0), every)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_probabilities_equal_plain_loops():
+    v, row, count = toy_model(3, 10, 400)
+    m = lm.Bilinear(v)
+    lm.Stream(m, 1).add(row, count)
+    m.e *= 3
+    rng = np.random.default_rng(2)
+    shape = rng.integers(0, lm.SHAPES, 400).astype(np.uint8)
+    key = np.where(row < v.size, v.keys[np.argsort(v.row)][np.minimum(row, v.size - 1)], np.where(row == v.end, lm.END_KEY, np.uint64(7)))
+    shape = np.where((row >= v.size) & (row < v.end), row - v.size, shape).astype(np.uint8)
+    seen = rng.integers(0, 5, 400)
+    got = lm.log10_probs(m, key, shape, count, seen)
+    ctx = v.contexts(row, count)
+    for k in range(0, 400, 7):
+        q = sum(m.e[ctx[k, j]].astype(float) * m.a[j] for j in range(lm.CONTEXT))
+        z = np.exp(m.u[:, :-1] @ q + m.u[:, -1])
+        p = z[v.cls[row[k]]] / z.sum()
+        if row[k] < v.size:
+            same = np.flatnonzero(v.cls[: v.size] == v.cls[row[k]])
+            y = np.exp(m.t[same, :-1] @ q + m.t[same, -1])
+            p *= y[same == row[k]][0] / y.sum()
+        elif row[k] != v.end:
+            s = row[k] - v.size
+            p *= (seen[k] + 1) / (v.tail[s] + v.kinds[s] + 1)
+        assert got[k] == pytest.approx(np.log10(p), rel=1e-4)
+
+
+def test_language_model_is_the_same_however_the_input_is_split(spark, monkeypatch):
+    """Several shards, null ids and repeated rows."""
+    monkeypatch.setattr(lm, "SHARD", 1 << 14)
+    rows = [(k, prose(k, 40 + 13 * (k % 50))) for k in range(240)] + [(3, prose(3, 79)), (3, "again"), (None, prose(1, 30)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in lm.scores(df.repartition(n)).collect()) for n in (1, 5)]
+    assert len(got[0]) == len(rows)
+    assert [x[:3] for x in got[0]] == [x[:3] for x in got[1]]
+    np.testing.assert_allclose([x[3] for x in got[0]], [x[3] for x in got[1]], rtol=1e-6)
+
+
+def test_language_model_takes_a_single_text(spark):
+    rows = spark.createDataFrame([(1, "a b " * 300), (2, None)], "doc_id long, text string")
+    assert all(r.score < 0 for r in lm.scores(rows).collect())
 
 
 def test_language_model_beats_single_word_counts(spark):
