@@ -34,7 +34,7 @@ from .bytehash import U64, buffers, chunks, mix, prefix, substring
 from .common import parts, saved, whole
 from .rlindex import RunIndex
 
-GRAM, MOST, SLICE, INDEX_SYMBOLS = 32, 255, 32 << 20, 1 << 20
+GRAM, MOST, SLICE, INDEX_SYMBOLS = 32, 255, 16 << 20, 1 << 20
 #: Contents of an anchor beyond which it is split: in a bucket, and beforehand (at least; then at most HOT anchors are).
 MANY, SPLIT, HOT, SHARE = 4096, 512, 1 << 20, 64
 
@@ -102,7 +102,7 @@ def segments(data: np.ndarray, off: np.ndarray, size: int, hot: np.ndarray, cont
     else:
         c, c2 = digests(data, s, e + size - 1)
     d = np.searchsorted(off, s, side="right") - 1
-    return {"a": key, "c": c, "c2": c2, "d": d, "s": s - off[d], "nw": e - s, "own": own}
+    return {"a": key, "c": c, "c2": c2, "d": d, "s": (s - off[d]).astype(np.uint32), "nw": (e - s).astype(np.uint8), "own": own}
 
 
 def _slices(batches, size: int, hot: np.ndarray, contents: bool = True):
@@ -142,7 +142,7 @@ def _by_document(d: np.ndarray, s: np.ndarray, nw: np.ndarray) -> tuple[np.ndarr
     if not len(d):
         return d, []
     order = np.lexsort((s, d))
-    d, packed = d[order], ((s << 16) | nw)[order].astype(np.int64)
+    d, packed = d[order], ((s.astype(np.int64) << 16) | nw)[order]
     cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
     end = np.append(cut[1:], len(d))
     return d[cut], [packed[p:q].tobytes() for p, q in zip(cut, end, strict=True)]
@@ -200,7 +200,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
             c = np.stack([y["c"], y["c2"]], axis=1)
             for b in np.flatnonzero(np.diff(edge)):
                 w = slice(edge[b], edge[b + 1])
-                cols = {"d": y["d"][w].astype(np.int64), "s": y["s"][w].astype(np.uint32), "nw": y["nw"][w].astype(np.uint8), "a": y["a"][w], "c": c[w], "own": np.packbits(y["own"][w])}
+                cols = {"d": y["d"][w].astype(np.int64), "s": y["s"][w], "nw": y["nw"][w], "a": y["a"][w], "c": c[w], "own": np.packbits(y["own"][w])}
                 out.append(_row(0, int(b), **{k: v.tobytes() for k, v in cols.items()}))
             yield from _emit(out)
 
@@ -212,7 +212,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
                     out.append(_row(1, r["key"], s=r["s"]))
                     continue
                 a, c = np.frombuffer(r["a"], U64), np.frombuffer(r["c"], U64).reshape(-1, 2)
-                parts_.append({"a": a, "c": c[:, 0], "c2": c[:, 1], "d": np.frombuffer(r["d"], np.int64), "s": np.frombuffer(r["s"], np.uint32).astype(np.int64), "nw": np.frombuffer(r["nw"], np.uint8).astype(np.int64), "own": np.unpackbits(np.frombuffer(r["own"], np.uint8))[: len(a)].astype(bool)})
+                parts_.append({"a": a, "c": c[:, 0], "c2": c[:, 1], "d": np.frombuffer(r["d"], np.int64), "s": np.frombuffer(r["s"], np.uint32), "nw": np.frombuffer(r["nw"], np.uint8), "own": np.unpackbits(np.frombuffer(r["own"], np.uint8))[: len(a)].astype(bool)})
             if len(out) > 1024:
                 yield from _emit(out)
                 out = []
@@ -232,7 +232,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
             y = {k: v[order] for k, v in y.items()}
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(y["d"]) != 0) | (np.diff(y["kind"]) != 0)])) if len(y["d"]) else []
             for p, q in zip(cut, np.append(cut[1:], len(y["d"])) if len(cut) else [], strict=True):
-                out.append(_row(int(y["kind"][p]), int(y["d"][p]), s=y["s"][p:q].astype(np.uint32).tobytes(), nw=y["nw"][p:q].astype(np.uint8).tobytes(), a=y["a"][p:q].tobytes()))
+                out.append(_row(int(y["kind"][p]), int(y["d"][p]), s=y["s"][p:q].tobytes(), nw=y["nw"][p:q].tobytes(), a=y["a"][p:q].tobytes()))
         yield from _emit(out)
 
     sent = docs.mapInArrow(send, _ROW).repartition(n, "kind", "key")
