@@ -1,11 +1,14 @@
 """Sequence packing along a Hilbert curve.
 
-Each document's hashed token vector is projected to ``AXES`` dimensions; its cell's place on the Hilbert curve,
-followed by a hash of the id, is the sort key, so similar documents lie side by side and copies still spread over
-range buckets.  Range buckets come from approximate quantiles of all keys; their token totals (one number a
-bucket) give each bucket's place in the stream, and documents are laid end to end and cut every ``length`` ids.
-
-Null texts count as empty and hold the end id alone.  Every id lies in one piece; all sequences but the last are full.
+Each document's hashed token vector is projected to ``AXES`` dimensions; its cell's place on the Hilbert curve is the
+sort key, so similar documents lie side by side.  Keys alone (no token ids) are range-sorted by (place, hash of the id,
+id, row), so copies can be split anywhere; running totals within each range and one total a range of ``RANGE`` rows give
+every document its place in one stream of ids.  A document is then cut where the stream crosses a multiple of
+``length``, by itself: ids are shuffled once, to their row's place, and never sorted along the curve.
+
+Null texts count as empty and hold the end id alone.  Rows with a null id and repeated rows are packed as often as given.
+Every id lies in one piece; all sequences but the last are full.  Extra columns are ignored, whatever their names; an
+empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from .bytehash import buffers, chunks
 from .common import saved
 from .tokens import vocabulary_path, word_ids
 
-AXES, BITS, TAIL, SLOTS = 4, 12, 15, 8192
+AXES, BITS, SLOTS, RANGE, PART = 4, 12, 8192, 1 << 20, 1 << 24
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -82,43 +85,51 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 def packed(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = vocabulary or vocabulary_path()
-    spark = docs.sparkSession
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = tokenised(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path)
-    rows = saved(rows, codec="zstd")
-    key = F.shiftleft("place", TAIL).bitwiseOR(F.pmod(F.xxhash64("doc_id"), F.lit(1 << TAIL)))
-    rows = rows.withColumn("key", key)
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // (1 << 22) + 1)
-    buckets = min(4 * n, 10_000)
-    found = rows.agg(F.percentile_approx("key", [k / buckets for k in range(1, buckets)], 20 * buckets)).first()[0]
-    bounds = np.unique(np.array(found or [], dtype=np.int64))  # one number a bucket
-
-    def bucketed(batches):
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), codec="zstd")
+    count, total = rows.agg(F.count("*"), F.sum("n")).first()
+    n = max(least, int(total or 0) // PART + 1)
+
+    def running(batches):
+        from pyspark import TaskContext
+
+        here, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column(1).to_numpy()
+            end = at + np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(size), here, np.int64)), pa.array(end - size), batch.column(1)], names=["row", "range", "at", "n"])
+            at = int(end[-1]) if len(end) else at
+
+    keys = rows.select("row", "n", "place", "doc_id", F.xxhash64("doc_id").alias("spread"))
+    order = ["place", "spread", "doc_id", "row"]
+    sorted_ = keys.repartitionByRange(max(least, count // RANGE + 1), *order).sortWithinPartitions(*order).select("row", "n")
+    placed = saved(sorted_.mapInArrow(running, "row long, range long, at long, n long"))  # written: ranges are found by sampling
+    totals = sorted((r["range"], r["n"]) for r in placed.groupBy("range").agg(F.sum("n").alias("n")).collect())  # one number for RANGE rows
+    before = dict(zip([k for k, _ in totals], np.cumsum([0] + [x for _, x in totals])[:-1].tolist(), strict=True))
+
+    def from_start(batches):
         for batch in batches:
-            at = np.searchsorted(bounds, batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *batch.columns], names=["bucket", *batch.schema.names])
+            start = np.array([before[k] for k in batch.column(1).to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(2).to_numpy() + start)], names=["row", "at"])
 
-    sums = rows.select("key", "n").mapInArrow(bucketed, "bucket long, key long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    at, before = 0, {}
-    for r in sorted(sums, key=lambda r: r["bucket"]):
-        before[r["bucket"]], at = at, at + r["n"]
-    spread = rows.select("doc_id", "n", "ids", "key").mapInArrow(bucketed, "bucket long, doc_id long, n long, ids binary, key long")
-    spread = spread.repartition(n, "bucket").sortWithinPartitions("bucket", "key", "doc_id")
+    starts = placed.select("row", "range", "at").mapInArrow(from_start, "row long, at long").repartition(n, "row")
+    both = rows.select("row", "doc_id", "n", "ids").repartition(n, "row").join(starts.hint("merge"), "row").select("doc_id", "n", "ids", "at")
 
     def pieces(batches):
-        here, at = None, 0
         for batch in batches:
-            out: list[tuple] = []
-            for bucket, doc, size, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if bucket != here:
-                    here, at = bucket, before[bucket]
-                ids = np.frombuffer(blob, np.uint16 if len(blob) == 2 * size else np.uint32).astype("<u4")
-                start = 0
-                while start < size:
-                    k = min(size - start, length - at % length)
-                    out.append((doc, start, k, zlib.crc32(ids[start : start + k].tobytes()), size, at // length, at % length))
-                    start, at = start + k, at + k
-            cols = list(zip(*out, strict=True)) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return spread.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+            doc, size, at = (batch.column(k) for k in (0, 1, 3))
+            size, at = size.to_numpy(), at.to_numpy()
+            many = (at + size - 1) // length - at // length + 1
+            of = np.repeat(np.arange(len(size)), many)
+            seq = np.repeat(at // length, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            first, end = np.maximum(seq * length, at[of]), np.minimum((seq + 1) * length, (at + size)[of])
+            start, k = first - at[of], end - first
+            blobs, edge, sums = batch.column(2).to_pylist(), np.cumsum(many), []
+            for blob, ids, a, b in zip(blobs, size.tolist(), (edge - many).tolist(), edge.tolist(), strict=True):
+                raw = memoryview(np.frombuffer(blob, np.uint16 if len(blob) == 2 * ids else np.uint32).astype("<u4").tobytes())
+                sums += [zlib.crc32(raw[4 * x : 4 * (x + y)]) for x, y in zip(start[a:b].tolist(), k[a:b].tolist(), strict=True)]
+            cols = [doc.take(pa.array(of)), *[pa.array(c, pa.int64()) for c in (start, k, sums, size[of], seq, first % length)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    return both.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -440,6 +440,33 @@ def test_packing_holds_each_id_once(spark, docs, texts):
     assert packing.packed(empty(spark)).count() == 0
 
 
+def test_packing_repeated_rows_null_ids_and_ranges(spark, monkeypatch):
+    """Many ranges and partitions give the same pieces as one; every row is packed as often as it is given."""
+    rows = [(k % 40, prose(k % 9, 1 + 37 * (k % 9))) for k in range(200)] + [(None, "one two"), (None, None), (7, "x " * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, packing.packed(df.repartition(1), length=2048).collect()))
+    monkeypatch.setattr(packing, "RANGE", 9)
+    monkeypatch.setattr(packing, "PART", 1 << 12)
+    got = packing.packed(df.repartition(5), length=2048).collect()
+    assert sorted(map(str, got)) == want
+    seq = collections.defaultdict(list)
+    for r in got:
+        seq[r.sequence_id].append((r.offset, r.offset + r.length))
+    for k, v in seq.items():
+        assert [0, *[b for _, b in sorted(v)]] == [a for a, _ in sorted(v)] + [2048 if k < max(seq) else max(b for _, b in v)]
+    assert sum(r.start == 0 for r in got) == len(rows)
+
+
+def test_packing_lays_similar_documents_side_by_side(spark):
+    """Documents of four vocabularies: neighbours in the stream share theirs far more often than by chance."""
+    rng = np.random.default_rng(4)
+    names = [[f"{chr(97 + g)}{chr(97 + k)}word{k}" for k in range(30)] for g in range(4)]
+    rows = [(k, " ".join(rng.choice(names[k % 4], 80))) for k in range(400)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=2048).where("start = 0").collect()
+    order = [r.doc_id % 4 for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+    assert np.mean([x == y for x, y in zip(order[:-1], order[1:], strict=True)]) > 0.5  # by chance 0.25
+
+
 def test_hilbert_curve_visits_neighbours():
     x = np.array(list(itertools.product(range(8), repeat=2)))
     path = x[np.argsort(packing.hilbert(x, 3))]
