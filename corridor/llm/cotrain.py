@@ -1,12 +1,12 @@
 """Quality by co-training of two views.
 
-The text view holds hashed trigrams of character classes and the repetition of words; the metadata view holds
-language, source, length and line layout.  Each round both views are trained, and each gives the documents of an
+The text view holds hashed trigrams of character classes, hashed words and the repetition of words; the metadata view
+holds language, source, length and line layout.  Each round both views are trained, and each gives the documents of an
 unlabelled pool that it is surest of to the other one's training set.  Both views are then calibrated and
 combined by a logistic regression on labelled rows, and score all documents.
 
 Fitted on at most ``LABELLED`` labelled rows and a pool of ``POOL`` unlabelled ones, chosen by hashes; every document
-is scored.  Null texts count as empty, null language or source as a value of its own.  Columns pass through.
+is scored.  Fitting and the pool see a share of the unlabelled rows alone.  Null texts count as empty, null language or source as a value of its own.  Columns pass through.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import BYTE_LOWER, U64, buffers, chunks, mix, prefix, substring, words
+from .common import free
 from .learn import labelled, logistic, sigmoid
 
-LABELLED, POOL, DIM, SLOTS, ROUNDS, GIVE = 8_000, 8_000, 256, 24, 4, 0.05
+LABELLED, POOL, DIM, LEX, SLOTS, ROUNDS, GIVE = 8_000, 8_000, 256, 256, 24, 4, 0.05
 
 CLASS = np.arange(256, dtype=np.int64)
 for _b in range(256):
@@ -42,7 +43,7 @@ def views(data: np.ndarray, off: np.ndarray, lang: pa.Array, source: pa.Array) -
     s, e, d = words(data, off)
     c = CLASS[data]
     owner = np.repeat(np.arange(n), size)
-    text = np.zeros((n, DIM + 2), dtype=np.float64)
+    text = np.zeros((n, DIM + LEX + 2), dtype=np.float64)
     if len(data) > 2:
         ok = owner[2:] == owner[:-2]
         bucket = (mix((c[:-2] * 65536 + c[1:-1] * 256 + c[2:])[ok].astype(U64)) % U64(DIM)).astype(np.int64) if len(data) < 4096 else _BUCKET(c)[ok]
@@ -52,8 +53,11 @@ def views(data: np.ndarray, off: np.ndarray, lang: pa.Array, source: pa.Array) -
     order = np.lexsort((w, d))
     new = np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (d[order][1:] != d[order][:-1])]) if len(w) else np.zeros(0, bool)
     count, kinds = np.bincount(d, minlength=n), np.bincount(d[order][new], minlength=n)
-    text[:, DIM] = kinds / np.maximum(count, 1)
-    text[:, DIM + 1] = kinds / np.maximum(np.sqrt(count), 1) / 10
+    if len(w):
+        flat = np.bincount(d * LEX + (mix(w + U64(0x1B873593)) % U64(LEX)).astype(np.int64), minlength=n * LEX).reshape(n, LEX)
+        text[:, DIM : DIM + LEX] = np.sqrt(flat / np.maximum(count, 1)[:, None])
+    text[:, -2] = kinds / np.maximum(count, 1)
+    text[:, -1] = kinds / np.maximum(np.sqrt(count), 1) / 10
     meta = np.zeros((n, 2 * SLOTS + 5), dtype=np.float64)
     meta[np.arange(n), _slot(lang, 11)] = 1
     meta[np.arange(n), SLOTS + _slot(source, 13)] = 1
@@ -149,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, pool: int
     rows = both.select("text", "lang", "source", "y").mapInArrow(run, "t binary, m binary, y int").collect()  # sample + pool rows at most
     rows.sort(key=lambda r: (bytes(r["t"]), bytes(r["m"]), r["y"]))
     if not rows:
-        return Model(np.zeros(DIM + 3), np.zeros(2 * SLOTS + 6), np.zeros(3))
+        return Model(np.zeros(DIM + LEX + 3), np.zeros(2 * SLOTS + 6), np.zeros(3))
     text = np.stack([np.frombuffer(r["t"], np.float32) for r in rows]).astype(np.float64)
     meta = np.stack([np.frombuffer(r["m"], np.float32) for r in rows]).astype(np.float64)
     order = np.random.default_rng(3).permutation(len(rows))
@@ -157,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, pool: int
 
 
 def scored(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("quality_score", "text_score", "meta_score")) -> DataFrame:
-    """docs with the combined score and the score of each view."""
+    """docs with the combined score and the score of each view; columns of these names that exist already are refused."""
+    docs = free(docs, *names)
     at = {c: docs.columns.index(c) for c in ("text", "lang", "source") if c in docs.columns}
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in names]])
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import buffers
+from .common import free
 
 
 def _png(b: bytes, at: int) -> int:
@@ -201,7 +202,11 @@ def sniff(value: bytes) -> list[tuple[str, int, int]]:
 
 
 def sniffed(df: DataFrame, value_col: str, declared_col: str | None = None) -> DataFrame:
-    """df with media_type (confirmed, else declared), media_length, type_corrected, and parts carved further on."""
+    """df with media_type (confirmed, else declared), media_length, type_corrected, and parts carved further on.
+
+    Columns that exist already under these names are refused, whatever their case.
+    """
+    df = free(df, "media_type", "media_length", "type_corrected", "parts")
     at = df.columns.index(value_col)
     said = df.columns.index(declared_col) if declared_col else None
     part = T.StructType([T.StructField("type", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])

@@ -2,13 +2,16 @@
 
 1. Log-odds with an informative Dirichlet prior (the sample's own background counts) compare in how many
    toxic and other documents each word and each word beginning of 4 to 8 bytes occurs; those whose likelihood
-   ratio is significant among all that were tried (at most ``FEATURES``) keep their log-odds as a score, every other token has a small negative score.
+   ratio is significant among all that were tried (the first ``FEATURES`` at most) keep their log-odds as a score, every other token has a small negative score.
 2. A linear-time scan (Ruzzo and Tompa) finds all maximal-scoring segments of a text.
-3. Karlin-Altschul statistics turn a segment's score into an expected number of such segments in harmless
-   text of that length; a logistic calibration of the strongest and of the summed evidence gives the score.
+3. Extreme-value calibration: the greatest segment of a harmless text of n tokens exceeds x with probability
+   1 - exp(-K * n * exp(-rate * x)); rate and K are the most likely ones for the greatest segments of the harmless
+   labelled rows.  They turn a segment's score into an expected number of such segments in harmless text of that
+   length; a logistic calibration of the strongest and of the summed evidence gives the score.
 
 Labels are learnt from at most ``SAMPLE`` labelled rows outside the held-out third.  Null and empty texts have
-no segment and get the score of a text without evidence.  Input columns pass through unchanged.
+no segment and get the score of a text without evidence.  Input columns pass through unchanged; repeated rows are scored
+as often as given, and count that often if they are labelled; null ids have no label.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytehash import BYTE_LOWER, U64, buffers, chunks, mix, prefix, substring
+from .bytehash import BYTE_LOWER, U64, buffers, chunks, prefix, substring
+from .common import free, saved
 from .learn import labelled, logistic, sigmoid
 
 SAMPLE, FEATURES, MARGIN, GAP, PRIOR = 30_000, 4096, 4.0, -0.1, 0.02
@@ -118,21 +122,38 @@ class Model:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def _decay(p: np.ndarray, s: np.ndarray) -> float:
-    """The positive solution of sum p exp(rate * s) = 1 for a negative mean."""
-    if (p * s).sum() >= 0 or not (s > 0).any():
-        return 0.1
-    lo, hi = 1e-6, 50.0
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if (p * np.exp(np.minimum(mid * s, 600))).sum() > 1 else (mid, hi)
-    return lo
+def extremes(n: np.ndarray, top: np.ndarray, least: float) -> tuple[float, float]:
+    """The most likely (rate, K) for greatest segments ``top`` of texts of n tokens.
+
+    Scores come in steps, so a value is only taken to lie between two multiples of ``least``, the smallest score.
+    """
+    use = n > 0
+    n, step = n[use].astype(float), np.floor(top[use] / least + 1e-9)
+    if not step.any():  # no harmless text has a segment: as if one more text of the mean length had the least one
+        return 1.0 / least, np.exp(1.0) / max(n.sum(), 1.0)
+
+    def fit(rate: float, log_k: float) -> float:
+        high = n * np.exp(log_k - rate * least * step)  # expected number of segments beyond the lower end of each step
+        return float(np.log(np.maximum(np.exp(-high * np.exp(-rate * least)) - np.where(step > 0, np.exp(-high), 0.0), 1e-300)).sum())
+
+    def best(f, lo: float, hi: float) -> float:
+        for _ in range(36):  # one maximum
+            a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
+            lo, hi = (a, hi) if f(a) < f(b) else (lo, b)
+        return (lo + hi) / 2
+
+    def of(log_rate: float) -> float:
+        return best(lambda log_k: fit(np.exp(log_rate), log_k), -25.0, 5.0)
+
+    log_rate = best(lambda r: fit(np.exp(r), of(r)), np.log(0.05 / least), np.log(12.0 / least))
+    return float(np.exp(log_rate)), float(np.exp(of(log_rate)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from labelled documents (doc_id, text) x (doc_id, toxic)."""
     own = labelled(labels, "toxic", sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("text", "y")  # at most ``sample`` rows broadcast
+    # At most ``sample`` rows broadcast; what they say is written once, as it is read three times.
+    texts = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id").select("text", "y"))
 
     def count(batches):
         for batch in batches:
@@ -154,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 n1, n, tok = np.append(n1, y[a:b].sum()), np.append(n, b - a), np.append(np.zeros(len(n)), len(f))
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n1.astype(np.int64)), pa.array((n - n1).astype(np.int64)), pa.array(tok.astype(np.int64))], names=["f", "n1", "n0", "t"])
 
-    counts = texts.mapInArrow(count, "f long, n1 long, n0 long, t long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "t")])
+    counts = saved(texts.mapInArrow(count, "f long, n1 long, n0 long, t long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "t")]))
     size = texts.groupBy("y").count().collect()
     d1 = sum(r["count"] for r in size if r["y"] == 1)
     d0 = sum(r["count"] for r in size if r["y"] != 1)
@@ -171,28 +192,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     least = 2 * np.log(max(tried, 2)) + MARGIN
     top = counts.where("f <> 0 and n1 >= 3").select("f", "n0", odds.alias("odds"), F.sqrt(F.greatest(ratio, F.lit(0.0))).alias("z"))
     top = top.where((F.col("z") >= float(np.sqrt(least))) & (F.col("odds") > 0.7)).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
-    tok = counts.where("f = 0").first()["t"]
     table = Scores(np.array([r["f"] for r in top], np.int64).view(U64), np.array([r["odds"] for r in top]), np.array([r["z"] for r in top]))
-    s = np.append(table.score, GAP)
-    p = np.array([max(r["n0"], 0.2) for r in top])[np.argsort(np.array([r["f"] for r in top], np.int64).view(U64))] / max(tok, 1) if top else np.zeros(0)
-    rate = _decay(np.append(p / max(len(BEGINNINGS), 1), 1 - p.sum() / max(len(BEGINNINGS), 1)), s)
-    model = Model(table, rate, float(p.sum()) or 1e-6, np.zeros(5))
 
-    def stats(batches):
+    def segments(batches):
         for batch in batches:
             data, off = buffers(batch.column(0))
             for a, b in chunks(off):
                 o = off[a : b + 1]
-                x = np.array([model.stats(n, g) for n, g in evidence(data[o[0] : o[-1]], o - o[0], table)])
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)] + [batch.column(1).slice(a, b - a)], names=["a", "b", "c", "d", "y"])
-
-    got = texts.mapInArrow(stats, "a double, b double, c double, d double, y int").toPandas()  # ``sample`` rows at most
-    model.weights = logistic(got[["a", "b", "c", "d"]].to_numpy(), (got["y"].to_numpy() == 1).astype(float), l2=1e-4)
+                got = evidence(data[o[0] : o[-1]], o - o[0], table)
+                cols = [pa.array([n for n, _ in got], pa.int64()), pa.array([[x for _, _, x in g] for _, g in got], pa.list_(pa.float64())), batch.column(1).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays(cols, names=["n", "s", "y"])
+
+    got = texts.mapInArrow(segments, "n long, s array<double>, y int").collect()  # ``sample`` rows at most
+    got.sort(key=lambda r: (r["n"], r["y"], r["s"]))
+    calm = [r for r in got if r["y"] != 1]
+    rate, k = extremes(np.array([r["n"] for r in calm]), np.array([max(r["s"], default=0.0) for r in calm]), float(table.score.min()) if len(table.score) else 1.0)
+    model = Model(table, rate, k, np.zeros(5))
+    x = np.array([model.stats(r["n"], [(0, 0, v) for v in r["s"]]) for r in got]).reshape(-1, 4)
+    model.weights = logistic(x, np.array([r["y"] == 1 for r in got], dtype=float), l2=1e-4)
     return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity", passages_col: str | None = None) -> DataFrame:
-    """docs with a score from 0 to 1, and with passages_col the significant passages as token ranges with scores."""
+    """docs with a score from 0 to 1, and with passages_col the significant passages as token ranges with scores.
+
+    Columns that exist already under these names are refused, whatever their case.
+    """
+    docs = free(docs, score_col, *[passages_col] * bool(passages_col))
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     if passages_col:

@@ -271,6 +271,62 @@ def test_toxicity_without_labels(spark, corpus):
     assert toxicity.scored(empty(spark), model).count() == 0
 
 
+def maximal_by_definition(x):
+    """All segments each of whose proper beginnings and ends has a positive sum, and that no longer such one holds."""
+    sums = np.concatenate([[0], np.cumsum(x)])
+    good = []
+    for a in range(len(x)):
+        for b in range(a, len(x)):
+            inner = sums[a + 1 : b + 1]
+            if sums[b + 1] > sums[a] and (inner > sums[a]).all() and (inner < sums[b + 1]).all():
+                good.append((a, b))
+    return sorted(g for g in good if not any(h != g and h[0] <= g[0] and g[1] <= h[1] for h in good))
+
+
+def test_extremes_match_the_tail():
+    """Greatest segments drawn from the distribution: its parameters, and as many exceedances as expected."""
+    rng = np.random.default_rng(6)
+    n = rng.integers(20, 2000, 20_000)
+    top = np.maximum((np.log(0.01 * n) - np.log(-np.log(rng.random(len(n))))) / 1.7, 0)
+    rate, k = toxicity.extremes(n, np.where(top < 1.0, 0, top), 1.0)
+    assert rate == pytest.approx(1.7, rel=0.04) and k == pytest.approx(0.01, rel=0.1)
+    for x in (2.0, 3.0, 4.0):
+        assert (1 - np.exp(-k * n * np.exp(-rate * x))).sum() == pytest.approx((top > x).sum(), rel=0.1)
+    assert all(np.isfinite(toxicity.extremes(np.array([5, 0]), np.zeros(2), 0.7))) and all(np.isfinite(toxicity.extremes(np.zeros(0), np.zeros(0), 1.0)))
+
+
+def test_toxicity_expects_as_many_segments_as_harmless_texts_have(spark):
+    """Harmless texts hold the words too, now and then: expected and observed exceedances agree on held-out ones."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for k in range(3000):
+        w = prose(k, int(rng.integers(20, 120))).split()
+        toxic = k % 4 == 0
+        for at in rng.integers(0, len(w), 5 if toxic else rng.poisson(len(w) / 100)):
+            w[at] = ["idiotx", "moronx"][int(rng.integers(0, 2))]
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    calm = [(t or "").encode() for k, t in rows if k % 4 and held(k)]
+    got = toxicity.evidence(np.frombuffer(b"".join(calm), np.uint8), np.cumsum([0] + [len(t) for t in calm]), model.table)
+    n, top = np.array([x for x, _ in got]), np.array([max((s for _, _, s in g), default=0) for _, g in got])
+    for x in (1, 2, 3):
+        x *= float(model.table.score.min())
+        want = (1 - np.exp(-model.k * n * np.exp(-model.rate * x))).sum()
+        assert want == pytest.approx((top >= x).sum(), rel=0.3, abs=8)
+
+
+def test_names_that_exist_are_refused(spark, corpus):
+    d, labels, _ = corpus
+    model = toxicity.train(d, labels)
+    with pytest.raises(ValueError, match="toxicity"):
+        toxicity.scored(d.withColumn("Toxicity", F.lit(1)), model)
+    with pytest.raises(ValueError, match="text_score"):
+        cotrain.scored(d.withColumn("text_score", F.lit(1)), cotrain.train(d.limit(0), labels))
+    with pytest.raises(ValueError, match="parts"):
+        media.sniffed(d.select(F.col("text").cast("binary").alias("v"), F.lit(1).alias("parts")), "v")
+
+
 def test_maximal_segments_equal_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -285,9 +341,40 @@ def test_maximal_segments_equal_brute_force():
             assert max(x for _, _, x in got) == pytest.approx(best)
         for a, b, x in got:
             assert full[a : b + 1].sum() == pytest.approx(x)
+        assert sorted((a, b) for a, b, _ in got) == maximal_by_definition(full)
         assert all(p[1] < q[0] for p, q in itertools.pairwise(sorted(got)))
 
 
+def test_exchanged_labels_improve_each_view():
+    """Views that see different halves of what tells classes apart, and few labels: the exchange helps both."""
+    gains = []
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        y = rng.integers(0, 2, 3000)
+        text, meta = (np.where(y == 1, 1.0, -1.0)[:, None] * w + rng.normal(0, 1, (3000, 25)) for w in (rng.normal(0, 0.38, 25), rng.normal(0, 0.38, 25)))
+        known = np.where(np.arange(3000) < 60, y, -1)
+        test = np.arange(3000) >= 1500
+        known_ = np.where(test, -2, known)
+        accuracy = []
+        for rounds in (0, 4):
+            m = cotrain.cotrain(text[~test], meta[~test], known_[~test], rounds)
+            z = m.logits(text[test], meta[test])
+            accuracy.append(((z > 0) == (y[test] == 1)[:, None]).mean(axis=0))
+        gains.append(accuracy[1] - accuracy[0])
+    assert (np.mean(gains, axis=0) > 0.005).all()
+
+
+def test_quality_text_view_reads_words(spark):
+    """Good and bad documents differ in their words alone: same letters' classes, lengths and metadata."""
+    rng = np.random.default_rng(2)
+    good, bad = (["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(12)] for _ in range(2))
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad, 30)), "en", "s", 0) for k in range(600)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = [r for r in cotrain.scored(d, cotrain.train(d, labels)).collect() if r.doc_id >= 400]
+    assert np.mean([(r.text_score > 0.5) == (r.doc_id % 2 == 1) for r in got]) > 0.95
+
+
 def test_cotraining_on_held_out_rows(spark, corpus, docs):
     d, labels, truth = corpus
     model = cotrain.train(d, labels.where("doc_id < 300"))  # the others are the unlabelled pool
