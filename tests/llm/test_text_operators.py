@@ -655,6 +655,48 @@ GIF = b"GIF89a\1\0\1\0\x80\0\0\0\0\0\xff\xff\xff,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
 JPEG = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x04cd\x12\xff\x00\x34\xff\xd0\x56\xff\xd9"
 
 
+def crc(data, width, poly):
+    """Checksum bit by bit."""
+    out = 0
+    for byte in data:
+        out ^= byte << (width - 8)
+        for _ in range(8):
+            out = (out << 1 ^ poly if out >> (width - 1) else out << 1) & ((1 << width) - 1)
+    return out
+
+
+def ogg_page(flags, body):
+    head = b"OggS\0" + bytes([flags]) + bytes(16)
+    rest = bytes([1, len(body)]) + body
+    return head + struct.pack("<I", crc(head + bytes(4) + rest, 32, 0x04C11DB7)) + rest
+
+
+def flac_file(frames=3):
+    out = b"fLaC\0\0\0\x22" + struct.pack(">HH", 4096, 4096) + b"\0\0\x10\0\0\x40" + bytes(24) + b"\x84\0\0\2ab"
+    for k in range(frames):
+        head = b"\xff\xf8\xc9\x18" + bytes([k])
+        frame = head + bytes([crc(head, 8, 0x07)]) + hashlib.sha256(bytes([k])).digest()
+        out += frame + struct.pack(">H", crc(frame, 16, 0x8005))
+    return out
+
+
+def test_archives_of_many_entries_take_linear_time():
+    import io
+    import time
+    import zipfile
+
+    took = []
+    for n in (500, 4000):
+        z = io.BytesIO()
+        with zipfile.ZipFile(z, "w") as f:
+            for k in range(n):
+                f.writestr(f"name{k}", "x")
+        began = time.perf_counter()
+        assert media.sniff(z.getvalue())[0] == ("application/zip", 0, len(z.getvalue()))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * 4 * took[0] + 0.05
+
+
 def test_signatures_are_confirmed_and_carved(spark):
     import gzip
     import io
@@ -664,14 +706,30 @@ def test_signatures_are_confirmed_and_carved(spark):
     with zipfile.ZipFile(z, "w") as f:
         f.writestr("a", "b")
     pdf = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
-    ogg = b"OggS\0\4" + bytes(20) + b"\1\3abc"
-    flac = b"fLaC\x80\0\0\x22" + bytes(34) + b"\xff\xf8"
-    whole = {"image/png": png(), "image/gif": GIF, "image/jpeg": JPEG, "application/gzip": gzip.compress(b"x" * 50), "application/zip": z.getvalue(), "application/pdf": pdf, "audio/ogg": ogg, "audio/flac": flac, "audio/wav": media.wave(b"ab")}
+    box = lambda k, v: struct.pack(">I", 8 + len(v)) + k + v
+    mp4 = box(b"ftyp", b"isom\0\0\0\0isom") + box(b"moov", b"abc") + box(b"mdat", b"x" * 30)
+    frame = b"\xff\xfb\x90\x64" + bytes(413)
+    id3 = b"ID3\4\0\0\0\0\0\x05hello" + frame * 2
+    element = lambda k, v: k + bytes([0x80 | len(v)]) + v
+    webm, mkv = (element(b"\x1a\x45\xdf\xa3", element(b"\x42\x86", b"\1") + element(b"\x42\x82", n)) + element(b"\x18\x53\x80\x67", b"segment") for n in (b"webm", b"matroska"))
+    bmp = b"BM" + struct.pack("<IIIIiiHH", 58, 0, 54, 40, 1, 1, 1, 24) + bytes(24) + b"\1\2\3\0"
+    tiff = b"II*\0" + struct.pack("<IHHHIIHHIII", 8, 2, 273, 4, 1, 38, 279, 4, 1, 5, 0) + b"strip"
+    whole = {
+        "image/png": png(), "image/gif": GIF, "image/jpeg": JPEG, "application/gzip": gzip.compress(b"x" * 50), "application/zip": z.getvalue(), "application/pdf": pdf,
+        "audio/ogg": ogg_page(4, b"abc"), "audio/flac": flac_file(), "audio/wav": media.wave(b"ab"), "video/mp4": mp4, "audio/mpeg": id3, "video/webm": webm, "video/x-matroska": mkv, "image/bmp": bmp, "image/tiff": tiff,
+    }
     for kind, b in whole.items():
         assert media.sniff(b)[0] == (kind, 0, len(b)), kind
-        if kind not in ("audio/flac",):
-            assert media.sniff(b"text " + b + b" more") == [(kind, 5, len(b))], kind
-        assert not [x for x in media.sniff(b[: len(b) - 3]) if x[0] == kind and kind not in ("audio/flac",)], kind
+        assert media.sniff(b"text " + b + b" more prose here") == [(kind, 5, len(b))], kind
+        assert not [x for x in media.sniff(b[: len(b) - 3]) if x[0] == kind and kind not in ("audio/flac", "audio/mpeg")], kind
+    assert media.sniff(frame * 4) == [("audio/mpeg", 0, 4 * len(frame))] and not media.sniff(frame * 3 + b"text")
+    assert not media.sniff(b"fLaC\x80\0\0\x22" + bytes(34) + b"\xff followed by prose " * 20)
+    bad = bytearray(ogg_page(4, b"abc"))
+    bad[-1] ^= 1
+    assert not media.sniff(bytes(bad))
+    bad = bytearray(flac_file())
+    bad[60] ^= 1
+    assert media.sniff(bytes(bad)) != [("audio/flac", 0, len(bad))]
     inside = media.wave(b"ab" + png() + b"x" * (len(png()) % 2))
     assert [x[0] for x in media.sniff(inside)] == ["audio/wav", "image/png"]
     rows = [(1, png(), "text/html"), (2, b"RIFF is a word, GIF89a too, %PDF-x", "text/plain"), (3, None, "image/png"), (4, b"", None)]
