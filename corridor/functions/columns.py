@@ -101,5 +101,10 @@ def local_time(ts: str | Column, zone: str = "US/Central") -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), col(ts).cast("timestamp_ntz"))
 
 
+def standard_time(local: str | Column) -> Column:
+    """Local summer time as standard time: an hour less."""
+    return col(local) - F.expr("INTERVAL 1 HOUR")
+
+
 def finite(x: str | Column) -> Column:
     return ~F.isnan(col(x)) & (F.abs(col(x)) < F.lit(float("inf")))

@@ -1,8 +1,10 @@
-"""Numpy geometry for small inputs and for vectorised functions: UTM, polylines, segment intersection."""
+"""Geometry: UTM in numpy (small inputs) and as columns, polylines, segment intersection."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # WGS 84
 _A, _F = 6378137.0, 1 / 298.257223563
@@ -45,6 +47,33 @@ def from_utm(x, y, zone: int) -> tuple[np.ndarray, np.ndarray]:
     return zone * 6 - 183 + np.degrees(np.arctan2(np.sinh(v), np.cos(u))), np.degrees(lat)
 
 
+def utm_columns(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
+    """``to_utm`` as columns."""
+    phi, lam = F.radians(lat), F.radians(lon - float(zone * 6 - 183))
+    c = float(2 * np.sqrt(_N) / (1 + _N))
+    t = F.sinh(F.atanh(F.sin(phi)) - c * F.atanh(c * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(t * t + 1.0))
+    x, y = eta, xi
+    for j, a in enumerate(_ALPHA, 1):
+        x = x + a * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
+        y = y + a * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta)
+    return _EAST + _K0 * _RADIUS * x, _K0 * _RADIUS * y
+
+
+def lonlat_columns(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
+    """``from_utm`` as columns."""
+    xi, eta = y / (_K0 * _RADIUS), (x - _EAST) / (_K0 * _RADIUS)
+    u, v = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        u = u - b * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta)
+        v = v - b * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    lat = chi
+    for j, d in enumerate(_DELTA, 1):
+        lat = lat + d * F.sin(2.0 * j * chi)
+    return float(zone * 6 - 183) + F.degrees(F.atan2(F.sinh(v), F.cos(u))), F.degrees(lat)
+
+
 def smoothed_corners(xy: np.ndarray, rounds: int = 5) -> np.ndarray:
     """Chaikin's corner cutting, both ends kept."""
     for _ in range(rounds):

@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import wrap
-from ..functions.geodesy import crossing, from_utm, respaced, shrink_free, smoothed_corners, to_utm
+from ..functions.geodesy import crossing, lonlat_columns, respaced, shrink_free, smoothed_corners, utm_columns
 from .joins import asof_nearest, nearest_point
 
 #: Half a lane on either side of two lanes of 3.55 m, and 0.5 m more.
 LANE_WIDTH, SNAP_BOUND = 3.55, 5.825
-_BROADCAST_ROWS = 200_000
 
 
 def lane_points(xy: np.ndarray, step: float, corner_rounds: int = 5, taubin: bool = False, backward: bool = False) -> pd.DataFrame:
@@ -128,23 +127,13 @@ def exploded_lines(df: DataFrame, lines: str, ident: Sequence[str]) -> DataFrame
 
 def with_lonlat(df: DataFrame, x: str, y: str, zone: int) -> DataFrame:
     """lon and lat of UTM positions; nulls stay null.  No row index and no join back."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("lon double, lat double")
-    def inverse(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        lon, lat = from_utm(a.to_numpy(float), b.to_numpy(float), zone)
-        return pd.DataFrame({"lon": lon, "lat": lat})
-
-    at = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), inverse(x, y))
-    return df.withColumn("__p", at).withColumn("lon", F.col("__p.lon")).withColumn("lat", F.col("__p.lat")).drop("__p")
+    lon, lat = lonlat_columns(F.col(x), F.col(y), zone)
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return df.withColumns({"lon": F.when(known, lon), "lat": F.when(known, lat)})
 
 
 def with_utm(df: DataFrame, lon: str, lat: str, zone: int) -> DataFrame:
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("x double, y double")
-    def forward(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        px, py = to_utm(a.to_numpy(float), b.to_numpy(float), zone)
-        return pd.DataFrame({"x": px, "y": py})
-
-    return df.withColumn("__p", forward(lon, lat)).withColumn("x", F.col("__p.x")).withColumn("y", F.col("__p.y")).drop("__p")
+    """x and y in UTM metres; nulls stay null."""
+    px, py = utm_columns(F.col(lon), F.col(lat), zone)
+    known = F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    return df.withColumns({"x": F.when(known, px), "y": F.when(known, py)})

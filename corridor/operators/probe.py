@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import seconds_between
 from ..schema import over
-from .geo import map_to_lane, with_utm
+from .geo import label_lanes, map_to_lane, second_lane_offsets, with_utm
 from .kalman import by_track
 from .timeseries import Names, _list, changes
 
 FRONT_OFFSET, BACK_OFFSET = 2.91, 1.99
+LENGTH = FRONT_OFFSET + BACK_OFFSET
 
 
 def probe_track(df: DataFrame, keys: Names, ts: str, lon: str, lat: str, zone: int = 16, front: float = FRONT_OFFSET, back: float = BACK_OFFSET) -> DataFrame:
@@ -41,6 +42,23 @@ def on_lane(df: DataFrame, lanes: DataFrame, ident: Sequence[str], x: str = "x",
     return out.join(F.broadcast(ends), F.col("lane") == F.col("__l")).where((F.col("s") > trim) & (F.col("s") < F.col("__m") - trim)).drop("__l", "__m")
 
 
+def along_lane(df: DataFrame, front: float = FRONT_OFFSET, back: float = BACK_OFFSET) -> DataFrame:
+    """Rows on a lane with angle_diff, speeds along and across it, both ends and the length along it."""
+    turn = F.col("heading") - F.col("heading_lane")
+    out = df.withColumn("angle_diff", F.atan2(F.sin(turn), F.cos(turn)))
+    along, across = F.cos("angle_diff"), F.sin("angle_diff")
+    return out.withColumns({
+        "s_velocity": F.col("speed") * along, "d_velocity": F.col("speed") * across,
+        "front_s": F.col("s") + front * along, "back_s": F.col("s") - back * along, "length_s": (front + back) * along,
+    })
+
+
+def snapped(df: DataFrame, main: DataFrame, full: DataFrame, ident: Sequence[str], step: float, trim: float = 150.0) -> DataFrame:
+    """Probe rows on the main lanes (s, d, speeds along and across, both ends) with the index of the lane they drive on."""
+    out = along_lane(on_lane(df, main, ident, trim=trim))
+    return label_lanes(out, second_lane_offsets(full), ident, "s", "d", step)
+
+
 def continuous_segments(df: DataFrame, keys: Names, ts: str, lane: str, gap_seconds: float = 10.0) -> DataFrame:
     """A new sequence after a long gap or on another lane; rows without a lane go."""
     w = over(_list(keys), ts)
@@ -62,6 +80,39 @@ def calibrate(points: DataFrame, lanes: DataFrame, sensor: str, ident: Sequence[
     return loss.groupBy(sensor).agg(F.min(F.struct("loss", "k", "a", "dx", "dy")).alias("b")).select(sensor, F.col("b.a").alias("angle"), "b.dx", "b.dy", "b.loss")
 
 
+def solved(points: DataFrame, lanes: DataFrame, sensor: str, ident: Sequence[str], x: str, y: str, heading: str, turn: float = 5.0, shift: float = 3.0, rounds: int = 7, angle_gate: float = 10.0, bound: float = 6.0) -> DataFrame:
+    """Rotation (radians) and shift of each sensor with the least loss within +-turn degrees and +-shift metres.
+
+    Each round tries a grid of 5 x 3 x 3 candidates around every sensor's best one so far, in one pass over all points, and
+    halves its width; one row a sensor reaches the driver.  The loss is that of ``calibrate``, whose least value so far is
+    among the candidates of every round, so it never grows.
+    """
+    best = points.select(sensor).distinct().select(sensor, F.lit(0.0).alias("angle"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    wide, far, spark = float(np.radians(turn)), shift, points.sparkSession
+    for k in range(rounds):
+        a, d = wide / 2**k, far / 2**k
+        cells = [(i * a / 2, j * d, m * d) for i in (-2, -1, 0, 1, 2) for j in (-1, 0, 1) for m in (-1, 0, 1)]
+        grid = F.explode(F.array(*[F.struct(F.lit(p).alias("a"), F.lit(q).alias("dx"), F.lit(r).alias("dy")) for p, q, r in cells]))
+        inside = lambda c, limit: F.greatest(F.least(c, F.lit(limit)), F.lit(-limit))
+        tried = best.select(sensor, "angle", F.col("dx").alias("x0"), F.col("dy").alias("y0"), grid.alias("c"))
+        tried = tried.select(sensor, inside(F.col("angle") + F.col("c.a"), wide).alias("a"), inside(F.col("x0") + F.col("c.dx"), far).alias("dx"), inside(F.col("y0") + F.col("c.dy"), far).alias("dy")).distinct()
+        got = least_loss(points, tried, lanes, sensor, ident, x, y, heading, angle_gate, bound).collect()  # a row a sensor
+        best = spark.createDataFrame([tuple(r) for r in got], f"{sensor} {points.schema[sensor].dataType.simpleString()}, angle double, dx double, dy double, loss double")
+    return best
+
+
+def least_loss(points: DataFrame, tried: DataFrame, lanes: DataFrame, sensor: str, ident: Sequence[str], x: str, y: str, heading: str, angle_gate: float, bound: float) -> DataFrame:
+    """The candidate (a, dx, dy) of each sensor with the least mean distance plus share of points without a lane."""
+    k = F.dense_rank().over(over(sensor, ["a", "dx", "dy"]))
+    p = points.select(*ident, sensor, x, y, heading).join(F.broadcast(tried.withColumn("k", k)), sensor)  # some candidates a sensor
+    p = p.withColumn("cx", F.col(x) * F.cos("a") - F.col(y) * F.sin("a") + F.col("dx")).withColumn("cy", F.col(x) * F.sin("a") + F.col(y) * F.cos("a") + F.col("dy"))
+    off = F.col(heading) + F.col("a") - F.col("heading_lane")
+    gate = F.abs(F.atan2(F.sin(off), F.cos(off))) <= F.radians(F.lit(angle_gate))
+    hit = map_to_lane(p, lanes, [*ident, "k"], "cx", "cy", bound, gate)
+    loss = hit.groupBy(sensor, "k", "a", "dx", "dy").agg((F.avg(F.col("lane").isNull().cast("double")) + F.coalesce(F.avg(F.abs("d")), F.lit(bound))).alias("loss"))
+    return loss.groupBy(sensor).agg(F.min(F.struct("loss", F.abs(F.col("a")).alias("t"), "a", "dx", "dy")).alias("b")).select(sensor, F.col("b.a").alias("angle"), "b.dx", "b.dy", "b.loss")
+
+
 def butterworth(order: int = 5, cutoff: float = 0.25, rate: float = 10.0) -> list[tuple[np.ndarray, np.ndarray]]:
     """Second-order sections (b, a) of a digital Butterworth low-pass by the bilinear transform."""
     warped = 2 * rate * np.tan(np.pi * cutoff / rate)

@@ -67,13 +67,27 @@ def headways(pairs: DataFrame, follower: str, leader: str, ts: str, order: Seque
     mean = F.avg(speed).over(w.rowsBetween(-(window // 2), window - window // 2 - 1))
     out = pairs.withColumn("mean_speed", mean).withColumn("headway", F.when(F.col(speed) != 0, F.col("s_gap") / F.col(speed)))
     step = seconds_between(F.col(ts), F.lag(ts).over(w))
+    out = out.withColumn("row_index", F.row_number().over(over(follower, [ts, *order])) - 1)
     return out.withColumn("accel", F.when(step != 0, (F.col("mean_speed") - F.lag("mean_speed").over(w)) / step))
 
 
-def headway_episodes(pairs: DataFrame, follower: str, leader: str, ts: str, order: Sequence[str], speed: str, frame: Sequence[str] = (), far: float = 100.0) -> DataFrame:
-    """One row for each stretch in which a follower keeps its leader."""
+def headway_episodes(pairs: DataFrame, follower: str, leader: str, ts: str, order: Sequence[str], speed: str, frame: Sequence[str] = (), far: float = 100.0, free_headway: float = 5.0, cruise_speed: float = 20.0) -> DataFrame:
+    """One row for each stretch in which a follower keeps its leader.
+
+    With the columns of ``headways`` and a row_index, also what they say: headways, accelerations, the greatest one when
+    the road is free, tenths of seconds of cruising, and the first and last index.
+    """
     from .pairs import episodes
 
+    optional = []
+    if "headway" in pairs.columns:
+        optional = [
+            F.avg("headway").alias("mean_headway"), F.min("headway").alias("least_headway"), F.max("headway").alias("greatest_headway"),
+            F.min("accel").alias("least_accel"), F.max("accel").alias("greatest_accel"),
+            F.max(F.when(F.col("headway") > free_headway, F.col("accel"))).alias("free_accel"),
+            (F.count_if((F.col("headway") > free_headway) & (F.col(speed) > cruise_speed)) / 10).alias("cruising"),
+            F.min("row_index").alias("first_index"), F.max("row_index").alias("last_index"),
+        ]
     aggs = [
         F.min(ts).alias("since"), F.max(ts).alias("until"), F.count("*").alias("n"),
         F.avg("s_gap").alias("mean_gap"), F.min("s_gap").alias("least_gap"), F.max("s_gap").alias("greatest_gap"),
@@ -81,8 +95,9 @@ def headway_episodes(pairs: DataFrame, follower: str, leader: str, ts: str, orde
         F.max(F.when(F.col("s_gap") < far, F.col(speed))).alias("greatest_speed_near"),
         (F.count_if(F.col("s_gap") < far) / 10).alias("near_tenths"),
         F.stddev_samp("s_gap").alias("gap_deviation"),
+        *optional,
     ]
-    return episodes(pairs, follower, leader, ts, order, aggs, frame)
+    return episodes(pairs, follower, leader, ts, order, aggs, frame).withColumn("seconds", seconds_between(F.col("until"), F.col("since")))
 
 
 def calibrateable(eps: DataFrame, least_seconds: float, least_speed_range: float, most_gap: float) -> DataFrame:
@@ -182,8 +197,12 @@ def local_span(df: DataFrame, ts: str, ident: str, zone: str = "US/Central") ->
 
 
 def sampled(df: DataFrame, keys: Names, fraction: float, seed: int = 0) -> DataFrame:
-    """Rows whose keys' hash falls below the fraction: the same rows wherever and however often it is computed."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *_list(keys)), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+    """Rows whose keys' hash falls below the fraction: the same rows wherever and however often it is computed.
+
+    The hash is the first 28 bits of an MD5 sum, which other engines compute as well; a null key counts as empty.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in _list(keys)])
+    return df.where(F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") < int(fraction * (1 << 28)))
 
 
 def error_table(methods: Mapping[str, DataFrame], truth: DataFrame, keys: Names, columns: Mapping[str, tuple[str, str]], by: Names = ()) -> DataFrame:

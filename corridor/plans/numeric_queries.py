@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geodesy
 from ..functions.columns import millis
 from ..operators import assoc, fusion, geo, kalman, probe, timeseries
 from ..operators.kalman import STATE
@@ -171,15 +172,37 @@ def probe_segments(spark, d):
     return out.select("user_id", millis("gps_time").alias("ms"), "lane", F.round("s", 2).alias("s"), F.round("d", 2).alias("d"), F.round("speed", 2).alias("speed"), "sequence")
 
 
+def _turned(spark, d):
+    """Each event type as a sensor whose points are turned by an angle of its own and shifted across the lane."""
+    lanes = geo.network(spark, {"L": np.array([[-20.0, 50.0], [520.0, 50.0]])}, 1.0)
+    e = events(spark, d).withColumn("turn", F.length("event_type") / 150.0 - 0.04)
+    x, y = F.col("value"), F.lit(50.0) + (F.col("user_id") % 5 - 2) / 10.0 - 0.75
+    p = e.select("event_id", F.col("event_type").alias("ip"), "turn", (x * F.cos("turn") + y * F.sin("turn")).alias("x"), (y * F.cos("turn") - x * F.sin("turn")).alias("y"), (-F.col("turn")).alias("heading"))
+    return p, lanes
+
+
 @query
 def sensor_calibration(spark, d):
-    """Each event type as a sensor whose points are turned; the sweep finds the turn back."""
-    lanes = geo.network(spark, {"L": np.array([[0.0, 50.0], [500.0, 50.0]])}, 1.0)
-    turn = 0.02
-    e = events(spark, d).where("value > 20")
-    x, y = F.col("value"), F.lit(50.0) + (F.col("user_id") % 5 - 2) / 10.0
-    p = e.select("event_id", F.col("event_type").alias("ip"), (x * F.cos(F.lit(-turn)) - y * F.sin(F.lit(-turn))).alias("x"), (x * F.sin(F.lit(-turn)) + y * F.cos(F.lit(-turn))).alias("y"), F.lit(-turn).alias("heading"))
-    return probe.calibrate(p, lanes, "ip", ["event_id"], "x", "y", "heading", [k * turn for k in range(-2, 3)], [(0.0, 0.0), (0.0, 1.0)]).select("ip", r("angle").alias("angle"), "dx", "dy", r("loss").alias("loss"))
+    """A sweep over given candidates, which are tried at once; those of the truth among others."""
+    p, lanes = _turned(spark, d)
+    turns = [k / 150.0 - 0.04 for k in range(3, 10)]
+    return probe.calibrate(p, lanes, "ip", ["event_id"], "x", "y", "heading", turns, [(0.0, 0.0), (0.0, 0.75), (0.0, 1.5)]).select("ip", r("angle").alias("angle"), "dx", "dy")
+
+
+@query
+def sensor_solution(spark, d):
+    """The turn and the shift of each sensor found within 5 degrees and 3 metres, without candidates that hold them."""
+    p, lanes = _turned(spark, d)
+    out = probe.solved(p, lanes, "ip", ["event_id"], "x", "y", "heading")
+    return out.select("ip", F.round("angle", 2).alias("angle"), (F.col("loss") < 0.3).alias("found"))
+
+
+@query
+def fuse_suppliers(spark, d):
+    """The whole pipeline on as many vehicles as there are suppliers, three seconds apart: steps and sensors of each."""
+    lanes = geo.network(spark, synthetic.LANES, 1.0)
+    out = pipeline.run(synthetic.corridor(spark, table(spark, d, "supplier").select("s_suppkey"), gap_seconds=3.0), lanes=lanes)
+    return out.groupBy("vehicle_id").agg(F.count("*").alias("steps"), F.max("n_tracks").cast("long").alias("most_tracks"), F.round(F.percentile("s_velocity_smooth", 0.5), 0).alias("speed"), F.round(F.max(F.abs("d_smooth")), 2).alias("off"))
 
 
 @query
@@ -262,7 +285,18 @@ def stream_tracked(spark, d):
     return _drained(spark, out, "append").select("user_id", "ms", r("f_s").alias("s"))
 
 
+_C = float(2 * np.sqrt(geodesy._N) / (1 + geodesy._N))
 ORACLE_SQL = {
+    "label_lanes": """SELECT event_id, 1.8::DOUBLE AS d_cutoff, CASE WHEN d > -1.775 AND d < 1.8 THEN 0 WHEN d >= 1.8 AND d < 5.375 THEN 1 END AS lane_index FROM (SELECT event_id, user_id % 80 / 10.0::DOUBLE - 2.0 AS d FROM events)""",
+    "lane_crossings": "SELECT * FROM (VALUES ('det', 'EBL1', 121.0::DOUBLE), ('det', 'EBL2', 121.0::DOUBLE)) v(line, lane, s)",
+    "sensor_calibration": "SELECT DISTINCT event_type AS ip, round(length(event_type) / 150.0::DOUBLE - 0.04, 6) AS angle, 0.0::DOUBLE AS dx, 0.75::DOUBLE AS dy FROM events",
+    "sensor_solution": "SELECT DISTINCT event_type AS ip, round(length(event_type) / 150.0::DOUBLE - 0.04, 2) AS angle, true AS found FROM events",
+    "probe_segments": """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, epoch_ms(TIMESTAMP '2024-03-13 12:00:00' + to_seconds(k)) AS ms, 'P1' AS lane, 15.0::DOUBLE * k + 1 AS s, 0.5::DOUBLE AS d, CASE WHEN k < n THEN 15.0::DOUBLE END AS speed, CAST(0 AS BIGINT) AS sequence FROM e WHERE 15 * k + 1 > 150 AND 15 * k + 1 < 1050""",
+    "utm_roundtrip": f"""WITH p AS (SELECT c_custkey, radians(36.0::DOUBLE + c_custkey % 100 / 1000.0::DOUBLE) AS phi, radians(-87.6::DOUBLE + c_acctbal / 1e5 + 87) AS lam FROM customer),
+t AS (SELECT *, sinh(atanh(sin(phi)) - {_C!r} * atanh({_C!r} * sin(phi))) AS t FROM p), q AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT c_custkey, round({geodesy._EAST!r} + {geodesy._K0 * geodesy._RADIUS!r} * (eta + {" + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geodesy._ALPHA, 1))}), 3) AS x,
+round({geodesy._K0 * geodesy._RADIUS!r} * (xi + {" + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geodesy._ALPHA, 1))}), 3) AS y, 0.0::DOUBLE AS dlon, 0.0::DOUBLE AS dlat FROM q""",
     "stage_store": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_tumbling": "SELECT event_type, epoch_ms(time_bucket(INTERVAL 1 DAY, ts)) AS bucket_ms, round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY event_type, time_bucket(INTERVAL 1 DAY, ts)",
     "stream_sessions": """WITH a AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),

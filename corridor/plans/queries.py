@@ -349,7 +349,7 @@ def local_time(spark, d):
     """UTC read as local time of US/Central, and an hour less."""
     e = events(spark, d)
     local = C.local_time("ts")
-    return e.select("user_id", "event_id", F.date_format(local, "yyyy-MM-dd HH:mm").alias("local"), F.date_format(local - F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm").alias("standard"))
+    return e.select("user_id", "event_id", F.date_format(local, "yyyy-MM-dd HH:mm").alias("local"), F.date_format(C.standard_time(local), "yyyy-MM-dd HH:mm").alias("standard"))
 
 
 # ---------------------------------------------------------------- pairs and joins
@@ -521,19 +521,25 @@ def union_methods_mean(spark, d):
 
 
 _LF = f"f AS MATERIALIZED {_UFRAMES}, lf AS (SELECT *, lead(id) OVER w AS leader, lead(s) OVER w - s AS s_gap FROM f WINDOW w AS (PARTITION BY t, lane ORDER BY s, id)), p AS (SELECT * FROM lf WHERE leader IS NOT NULL)"
-_EPISODES = f"""{_LF}, c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND leader IS DISTINCT FROM lag(leader) OVER w THEN 1 ELSE 0 END AS c FROM p WINDOW w AS (PARTITION BY lane, id ORDER BY t, leader)),
+_EPISODES = f"""{_LF}, h AS (SELECT *, avg(s) OVER (PARTITION BY id, leader ORDER BY t, lane ROWS BETWEEN 15 PRECEDING AND 14 FOLLOWING) AS mean_speed FROM p),
+h2 AS (SELECT *, s_gap / nullif(s, 0) AS headway, (mean_speed - lag(mean_speed) OVER w) / nullif((epoch_ms(t) - epoch_ms(lag(t) OVER w)) / 1000.0, 0) AS accel, row_number() OVER (PARTITION BY id ORDER BY t, lane) - 1 AS row_index FROM h WINDOW w AS (PARTITION BY id, leader ORDER BY t, lane)),
+c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND leader IS DISTINCT FROM lag(leader) OVER w THEN 1 ELSE 0 END AS c FROM h2 WINDOW w AS (PARTITION BY lane, id ORDER BY t, leader)),
 e AS (SELECT *, CAST(sum(c) OVER (PARTITION BY lane, id ORDER BY t, leader ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM c)"""
 
 
 def _episodes(spark, d):
     lf = pairs.leader_follower(_user_frames(spark, d), ["t", "lane"], "id", "s")
-    return stats.headway_episodes(lf, "id", "leader", "t", ["leader"], "s", ["lane"])
+    return stats.headway_episodes(stats.headways(lf, "id", "leader", "t", ["lane"], "s", "s"), "id", "leader", "t", ["leader"], "s", ["lane"])
 
 
 @query(f"""WITH {_EPISODES} SELECT lane, id, leader, episode, epoch_ms(min(t)) AS since_ms, epoch_ms(max(t)) AS until_ms, count(*) AS n, round(avg(s_gap), 6) AS mean_gap, round(min(s_gap), 6) AS least_gap, round(max(s_gap), 6) AS greatest_gap,
-round(avg(s), 6) AS mean_speed, round(max(s) FILTER (WHERE s_gap < 100), 6) AS greatest_speed_near, round(count(*) FILTER (WHERE s_gap < 100) / 10, 6) AS near_tenths FROM e GROUP BY lane, id, leader, episode""")
+round(avg(s), 6) AS mean_speed, round(max(s) FILTER (WHERE s_gap < 100), 6) AS greatest_speed_near, round(count(*) FILTER (WHERE s_gap < 100) / 10, 6) AS near_tenths, round(avg(headway), 6) AS mean_headway, round(min(headway), 6) AS least_headway, round(max(headway), 6) AS greatest_headway, round(min(accel), 6) AS least_accel, round(max(accel), 6) AS greatest_accel,
+round(max(accel) FILTER (WHERE headway > 5), 6) AS free_accel, round(count(*) FILTER (WHERE headway > 5 AND s > 20) / 10, 6) AS cruising, min(row_index) AS first_index, max(row_index) AS last_index, round(min(s), 6) AS least_speed, round(max(s), 6) AS greatest_speed,
+(epoch_ms(max(t)) - epoch_ms(min(t))) / 1000.0::DOUBLE AS seconds FROM e GROUP BY lane, id, leader, episode""")
 def headway_episodes(spark, d):
-    return _episodes(spark, d).select("lane", "id", "leader", "episode", C.millis("since").alias("since_ms"), C.millis("until").alias("until_ms"), "n", *[r(c).alias(c) for c in ("mean_gap", "least_gap", "greatest_gap", "mean_speed", "greatest_speed_near", "near_tenths")])
+    numbers = ("mean_gap", "least_gap", "greatest_gap", "mean_speed", "greatest_speed_near", "near_tenths", "mean_headway", "least_headway", "greatest_headway", "least_accel", "greatest_accel", "free_accel", "cruising", "least_speed", "greatest_speed", "seconds")
+    index = [F.col(c).cast("long").alias(c) for c in ("first_index", "last_index")]
+    return _episodes(spark, d).select("lane", "id", "leader", "episode", C.millis("since").alias("since_ms"), C.millis("until").alias("until_ms"), "n", *[r(c).alias(c) for c in numbers], *index)
 
 
 @query(f"""WITH {_EPISODES}, g AS (SELECT lane, id, leader, episode, min(t) AS a, max(t) AS b, avg(s_gap) AS m, max(s) - min(s) AS sp FROM e GROUP BY lane, id, leader, episode)
@@ -680,10 +686,10 @@ def greatest_pair_distance(spark, d):
 
 
 @query("""WITH a AS (SELECT *, event_type AS lane, value AS s_velocity, (epoch_ms(ts) - epoch_ms(min(ts) OVER (PARTITION BY user_id, event_type))) / 1000.0 AS elapsed FROM events),
-b AS (SELECT *, max(elapsed) OVER (PARTITION BY user_id, event_type) AS m, avg(value) OVER (PARTITION BY user_id, event_type) AS g FROM a) SELECT user_id, event_id, elapsed, round(g, 6) AS mean_distance FROM b WHERE m > 6000000""")
+b AS (SELECT *, max(elapsed) OVER (PARTITION BY user_id, event_type) AS m, avg(value) OVER (PARTITION BY user_id, event_type) AS g FROM a) SELECT user_id, event_id, elapsed, round(g, 6) AS mean_distance FROM b WHERE m > 2250000""")
 def final_trim(spark, d):
     e = events(spark, d).withColumn("vehicle", F.struct("user_id", "event_type")).withColumn("lane", F.col("event_type")).withColumn("s_velocity", F.col("value")).withColumn("association_distance", F.col("value")).withColumn("tracks", F.array("event_id"))
-    out = fusion.trimmed(e, "vehicle", "ts", 6000000.0)
+    out = fusion.trimmed(e, "vehicle", "ts", 2250000.0)
     return out.select("user_id", "event_id", "elapsed", r("mean_association_distance").alias("mean_distance"))
 
 
@@ -722,7 +728,7 @@ def local_span(spark, d):
     return s.select(F.date_format("first_local", "yyyy-MM-dd HH:mm").alias("first_local"), F.date_format("last_local", "yyyy-MM-dd HH:mm").alias("last_local"), "objects")
 
 
-@query()
+@query("SELECT event_id, user_id FROM events WHERE CAST('0x' || substr(md5('7|' || event_id), 1, 7) AS BIGINT) < CAST(floor(0.1 * 268435456) AS BIGINT)")
 def sampled_rows(spark, d):
     """A tenth of the rows by a hash of their key (sampling is the feature)."""
     return stats.sampled(events(spark, d), "event_id", 0.1, 7).select("event_id", "user_id")

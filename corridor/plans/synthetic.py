@@ -18,12 +18,13 @@ def noise(salt: int, *keys: str, scale: float = 1.0) -> Column:
     return (u[0] + u[1] + u[2] + u[3] - 2.0) * float(scale * np.sqrt(3.0))
 
 
-def corridor(spark: SparkSession, vehicles: int = 12, seconds: int = 25, gap_seconds: float = 6.0, jitter: float = 0.15) -> DataFrame:
+def corridor(spark: SparkSession, vehicles: int | DataFrame = 12, seconds: int = 25, gap_seconds: float = 6.0, jitter: float = 0.15) -> DataFrame:
     """Lane-mapped tracks of both sensors at 10 Hz: sensor 'a' sees s below 330 m, 'b' from 270 m on.
 
-    Columns as the pipeline expects them, and truth_id and truth_s.
+    ``vehicles`` is their number or a table whose first column has their ids.  Columns as the pipeline expects them, and truth_id and truth_s.
     """
-    v = spark.range(vehicles).withColumnRenamed("id", "truth_id")
+    v = spark.range(vehicles) if isinstance(vehicles, int) else vehicles
+    v = v.select(F.col(v.columns[0]).cast("long").alias("truth_id"))
     v = v.withColumn("speed", 18.0 + F.col("truth_id") % 3).withColumn("t0", F.col("truth_id") * gap_seconds)
     t = v.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(seconds * 10)))).withColumn("sec", F.col("step") / 10.0)
     t = t.withColumn("truth_s", 40.0 + F.col("speed") * F.col("sec"))
