@@ -34,18 +34,21 @@ BYTE_LOWER = BYTE[LOWER]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+KEPT = 1 << 24
 _pow = np.ones(1, dtype=U64)
 _inv = np.ones(1, dtype=U64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse modulo 2**64, kept for the worker's life."""
+    """Powers 0..n of the base and of its inverse modulo 2**64; up to ``KEPT`` of them stay for the worker's life."""
     global _pow, _inv
-    if len(_pow) < n + 1:
-        m = max(1 << (n + 1).bit_length(), 1 << 20)
-        _pow = np.concatenate([np.ones(1, U64), np.cumprod(np.full(m - 1, _BASE, dtype=U64), dtype=U64)])
-        _inv = np.concatenate([np.ones(1, U64), np.cumprod(np.full(m - 1, _INV, dtype=U64), dtype=U64)])
-    return _pow, _inv
+    if len(_pow) > n:
+        return _pow, _inv
+    m = max(1 << (n + 1).bit_length(), 1 << 20) if n < KEPT else n + 1
+    got = tuple(np.concatenate([np.ones(1, U64), np.cumprod(np.full(m - 1, x, dtype=U64), dtype=U64)]) for x in (_BASE, _INV))
+    if m <= KEPT:
+        _pow, _inv = got
+    return got
 
 
 def prefix(data: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:

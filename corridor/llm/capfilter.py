@@ -142,19 +142,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _forest(u: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the pairs (u, w) of n things connect, fewer than n: each to the smallest of its component."""
+    label = np.arange(n)
+    while not np.array_equal(label[u], label[w]):
+        least = np.minimum(label[u], label[w])
+        np.minimum.at(label, label[u], least)
+        np.minimum.at(label, label[w], least)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    p = np.flatnonzero(label != np.arange(n))
+    return p, label[p]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept.
-    Vectors of different lengths do not link.  Ids are taken as unique; other columns are ignored.
+    Vectors of different lengths do not link.  Rows come back as often as given; rows of one id are one vector that does
+    not link with itself.  Rows with a null id link with nothing, have no component and are kept.  Other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     # Vectors travel in the width that they have; all arithmetic is in double precision.
     kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
-    good = F.coalesce((F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
+    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
     valid = v.where(good).withColumn("v", F.transform("v", lambda c: c + F.lit(0).cast(kind)))
-    reps = saved(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
+    reps = saved(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("m")))
     dims = {r[0]: r[1] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*")).collect()}  # as many rows as there are lengths
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(dims.values()) // 4096 + 1)
     plans = {d: plan(n, d, cosine) for d, n in dims.items()}
@@ -225,14 +240,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                 u, w = u[~before], w[~before]
             n = np.bincount(u, weights=mult[at[w]], minlength=len(at)) + np.bincount(w, weights=mult[at[u]], minlength=len(at))
             hit = np.flatnonzero(n)
-            counts += list(zip(rep[at[hit]].tolist(), n[hit].astype(np.int64).tolist(), strict=True))
-            label = np.arange(len(at))
-            for p, q in zip(u.tolist(), w.tolist(), strict=True):
-                if label[p] != label[q]:
-                    label[label == label[q]] = label[p]
-                    edges.append((int(rep[at[p]]), int(rep[at[q]])))
-        cols = np.array([(r, c, None) for r, c in counts] + [(p, None, q) for p, q in edges], dtype=object).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[:, k].tolist(), pa.int64()) for k in range(3)], names=["rep", "n", "other"])
+            counts.append((rep[at[hit]], n[hit].astype(np.int64)))
+            p, q = _forest(u, w, len(at))
+            edges.append((rep[at[p]], rep[at[q]]))
+        if counts:
+            r, n = (np.concatenate(c) for c in zip(*counts, strict=True))
+            p, q = (np.concatenate(c) for c in zip(*edges, strict=True))
+            cols = [pa.array(np.concatenate([r, p])), pa.concat_arrays([pa.array(n), pa.nulls(len(p), pa.int64())]), pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(q)])]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "other"])
 
     found = saved(rows.mapInArrow(compare, "rep long, n long, other long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
@@ -240,4 +255,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     per = reps.join(links, "rep", "left").join(comps, "rep", "left").select("v", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = valid.join(per, "v").select("vec_id", "n_links", "component_id")
     alone = v.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -2,12 +2,13 @@
 
 An event (list, pattern, day, action) switches a pattern on ('add') or off ('remove').  Per list and pattern, an
 'add' holds from its day up to the next event's day; of several events on a day the last by ``seq`` counts.  A capture
-asks for its URL without query and fragment and for every suffix of its host of two labels or more, so the as-of
-join is an equality join on the pattern with the fetch day inside the interval.  A capture is blocked if a pattern
+asks for its URL without query and fragment and for every suffix of its host of two labels or more (for an IP address,
+the whole alone), so the as-of join is an equality join on the pattern with the fetch day inside the interval.  A capture is blocked if a pattern
 of a 'block' list holds and none of an 'allow' list does.  DataFrame operations only.
 
-Null or malformed URLs match nothing; null days match nothing; events with a null pattern, day or action are ignored.
-Repeated events change nothing; a capture given several times is judged once and returned as often as given.  A host with very many captures is one side of a join that adaptive execution splits.
+Null or malformed URLs, such as those without a scheme, match nothing; null days match nothing; events with a null pattern, day or action are ignored.
+Repeated events change nothing; a capture given several times is judged once and returned as often as given, null ids
+too.  Other columns of captures and events are ignored; empty tables give empty results or no hits.  A host with very many captures is one side of a join that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ def host(url: Column) -> Column:
 def patterns(url: Column) -> Column:
     """What a list may name: the host's suffixes and the URL without query and fragment."""
     labels = F.split(host(url), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    address = host(url).rlike(r"^([0-9.]+|\[.*)$")
+    most = F.when(address, F.lit(1)).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))  # parts of an address name nothing
+    suffixes = F.transform(F.sequence(F.lit(1), most), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     bare = F.regexp_replace(url, r"[?#][\s\S]*$", "")
     return F.when(host(url) != "", F.array_distinct(F.concat(suffixes, F.array(bare)))).otherwise(F.array().cast("array<string>"))
 
@@ -88,7 +91,7 @@ ev AS (
 k AS (SELECT DISTINCT page_id, url, day, pattern FROM (
   SELECT page_id, url, day, bare AS pattern FROM p WHERE host <> ''
   UNION ALL SELECT page_id, url, day, array_to_string(string_split(host, '.')[i:], '.') FROM (
-    SELECT *, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM p WHERE host <> ''))),
+    SELECT *, unnest(range(1, CASE WHEN regexp_matches(host, '^([0-9.]+|\[.*)$') THEN 1 ELSE greatest(len(string_split(host, '.')) - 1, 1) END + 1)) AS i FROM p WHERE host <> ''))),
 l AS (SELECT DISTINCT list, kind FROM ev),
 hit AS (SELECT k.page_id, k.url, k.day, l.list, l.kind, k.pattern, ev.action
   FROM (SELECT * FROM k, l) k JOIN l USING (list, kind)
