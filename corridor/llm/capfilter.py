@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, saved, whole
+from .common import lists, one_core_each, saved, whole
 from .components import connected
 
 HELD, SHARE, MISS, BLOCK, SEED = 16.0, 2.0, 1e-6, 512, 20240501
@@ -164,6 +164,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     ignored, whatever their names; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    one_core_each(spark)
     # Vectors travel in the width that they have; all arithmetic is in double precision.
     kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))

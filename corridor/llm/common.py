@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.writers import saved, shared_dir
 
-__all__ = ["crc_class", "free", "lists", "parts", "saved", "shared_dir", "table", "whole"]
+__all__ = ["crc_class", "free", "lists", "one_core_each", "parts", "saved", "shared_dir", "table", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def crc_class(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def one_core_each(spark: SparkSession) -> None:
+    """From now on Python workers do matrix products on one core: a task has no more, and idle threads would spin."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        spark.sparkContext.environment[name] = "1"
+
+
 def free(df: DataFrame, *names: str) -> DataFrame:
     """df, if it has none of the names that an operator is about to add (whatever their case); otherwise a ValueError."""
     taken = {c.lower() for c in df.columns} & {n.lower() for n in names}

@@ -13,7 +13,7 @@ a class of endings a word has its add-one share of the class's training tokens,
 
 Training.  Both levels learn by noise-contrastive estimation: noise classes from their shares for a whole batch, noise
 words from the class's own shares for each class in a batch.  A first fit on a bounded sample sets the parameters;
-every shard of about ``SHARD`` bytes continues from it on all of its training documents, in the order of their ids, and
+every shard of about ``SHARD`` bytes, or of four times the model's, continues from it on all of its training documents, in the order of their ids, and
 the results are averaged, each row weighted by how often a shard updated it.  Shards follow from ids and sizes alone, so
 the model does not depend on how the input is split.  Scoring normalises exactly, in batched matrix products.
 
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BYTE_LOWER, LOWER, U64, buffers, chunks, mix, prefix, substring, words
-from .common import crc_class, parts, saved, whole
+from .common import crc_class, one_core_each, parts, saved, whole
 
 SHAPES, WIDTH, CONTEXT, LEAST = 256, 32, 5, 20
 NOISE, WORD_NOISE, BATCH, TILE, RATE = 48, 16, 16_384, 1024, 0.25
-FIRST_DOCS, PASSES, SHARD = 1000, 2, 64 << 20
+FIRST_DOCS, PASSES, SHARD = 1000, 2, 16 << 20
 END_KEY = U64(0x1F3D5B79)
 F32 = np.float32
 
@@ -273,6 +273,7 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
 
     Learns from documents whose crc32(id as text) modulo ``modulus`` is not ``held``; a null id counts as held out.
     """
+    one_core_each(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = parts(docs, "text", 8)
     docs = docs.withColumn("held_out", F.coalesce(crc_class("doc_id", modulus) == held, F.lit(True)))
@@ -338,23 +339,25 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
     total, volume = learn.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     few = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIRST_DOCS / max(total, 1))))
 
-    def rows_of(batches):
-        for batch in batches:
-            key, shape, k = _tokens(batch.column(1))
-            row, end = vocabulary.index(key, shape).astype(np.int32), np.cumsum(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row[x:y].tobytes() for x, y in zip(end - k, end, strict=True)], pa.binary())], names=["doc_id", "rows"])
-
-    first = [np.frombuffer(r["rows"], np.int32) for r in sorted(few.mapInArrow(rows_of, "doc_id long, rows binary").collect(), key=lambda r: (r["doc_id"], bytes(r["rows"])))]  # FIRST_DOCS documents or so
-    start = Bilinear(vocabulary)
-    if first:
-        row, k = np.concatenate(first).astype(np.int64), np.array([len(x) for x in first])
+    def first_fit(batches):
+        got = whole(batches)
+        if got is None:
+            return
+        key, shape, k = _tokens(got.column("text"))
+        row, model, rng = vocabulary.index(key, shape), Bilinear(vocabulary), np.random.default_rng(17)
         ctx = vocabulary.contexts(row, k)
-        rng = np.random.default_rng(17)
         for _ in range(PASSES):
             order = rng.permutation(len(row))
             for x in range(0, len(row), BATCH // 4):
                 at = order[x : x + BATCH // 4]
-                start.train(ctx[at], row[at], rng)
+                model.train(ctx[at], row[at], rng)
+        yield pa.RecordBatch.from_arrays([pa.array([getattr(model, x).tobytes()], pa.binary()) for x in [*Bilinear.NAMES]] + [pa.array([model.squares[x].tobytes()], pa.binary()) for x in Bilinear.NAMES], names=[*Bilinear.NAMES, *[f"s_{x}" for x in Bilinear.NAMES]])
+
+    columns = ", ".join(f"{x} binary" for x in [*Bilinear.NAMES, *[f"s_{x}" for x in Bilinear.NAMES]])
+    start = Bilinear(vocabulary)
+    for r in few.repartition(1).sortWithinPartitions("doc_id", "text").select("text").mapInArrow(first_fit, columns).collect():  # one row, from FIRST_DOCS documents or so
+        start = Bilinear(vocabulary, [np.frombuffer(r[x], F32).reshape(getattr(start, x).shape) for x in Bilinear.NAMES])
+        start.squares = {x: np.frombuffer(r[f"s_{x}"], F32).copy() for x in Bilinear.NAMES}
     shared = docs.sparkSession.sparkContext.broadcast(start)  # 2 * WIDTH numbers a word with vectors
 
     def refine(batches):
@@ -401,7 +404,7 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
 
     names = ["shard", *Bilinear.NAMES, *[f"n_{x}" for x in Bilinear.NAMES]]
     schema = "shard long, " + ", ".join(f"{x} binary" for x in names[1:])
-    shards = int(volume or 0) // SHARD + 1
+    shards = int(volume or 0) // max(SHARD, 16 * sum(getattr(start, x).size for x in Bilinear.NAMES)) + 1
     own = learn.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards))).repartition(shards, "shard")
     fitted = own.sortWithinPartitions("shard", "doc_id", "text").select("shard", "text").mapInArrow(refine, schema)
     while shards > 1:  # sums of 16 shards each, in their order
