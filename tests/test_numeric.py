@@ -500,3 +500,52 @@ def test_pruned_components_cover_all_lines(spark):
     got = numeric_queries.QUERIES["graph_prune"](spark, d).collect()
     assert {(x.component, x.lo, x.hi, x.weight) for x in got} == want and len(got) == len(want)
     assert pruned > 10
+
+
+def test_utm_columns_equal_the_arrays(spark):
+    lon, lat = np.array([-87.6, -86.1, -89.9, -87.0]), np.array([36.1, -35.9, 80.0, 0.0])
+    p = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lon, lat, strict=True))] + [(9, None, 1.0)], "k int, lon0 double, lat0 double")
+    out = geo.with_lonlat(geo.with_utm(p, "lon0", "lat0", 16), "x", "y", 16).orderBy("k").collect()
+    x, y = geodesy.to_utm(lon, lat, 16)
+    np.testing.assert_allclose([(r.x, r.y, r.lon, r.lat) for r in out[:4]], np.stack([x, y, lon, lat], axis=1), rtol=1e-12, atol=1e-6)
+    assert (out[4].x, out[4].y, out[4].lon, out[4].lat) == (None, None, None, None)
+
+
+def test_probe_rows_on_their_lane(spark):
+    lanes = {"E1": np.array([[0.0, 0.0], [1000.0, 0.0]]), "E2": np.array([[0.0, 3.6], [1000.0, 3.6]])}
+    full = geo.network(spark, lanes, 1.0)
+    main = full.where("lane = 'E1'")
+    rows = [(1, 500.25, 0.5, 10.0, 0.1), (2, 600.0, 3.0, 20.0, 0.0), (3, 100.0, 0.0, 5.0, 0.0), (4, 500.0, 40.0, 5.0, 0.0)]
+    got = {r.id: r for r in probe.snapped(spark.createDataFrame(rows, "id int, x double, y double, speed double, heading double"), main, full, ["id"], 1.0).collect()}
+    assert set(got) == {1, 2}  # the others lie near an end or off the lanes
+    r = got[1]
+    assert r.lane == "E1" and r.s == 501 and r.d == pytest.approx(0.5, abs=0.1) and r.lane_index == 0 and got[2].lane_index == 1
+    assert (r.s_velocity, r.d_velocity) == (pytest.approx(10 * math.cos(0.1)), pytest.approx(10 * math.sin(0.1)))
+    assert (r.front_s, r.back_s) == (pytest.approx(501 + 2.91 * math.cos(0.1)), pytest.approx(501 - 1.99 * math.cos(0.1))) and r.length_s == pytest.approx(4.9 * math.cos(0.1))
+
+
+def test_command_line_finds_the_planted_vehicles(spark, tmp_path):
+    """Raw rows, a calibration and lanes as files; trajectories out."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    east, north = 500_000.0, 4_000_000.0
+    place = lambda x, y: [float(v) for v in geodesy.from_utm(np.array(east + x), np.array(north + y), 16)]
+    tracks = synthetic.corridor(spark, vehicles=4)
+    tracks.select(
+        F.pmod("object_id", F.lit(1 << 31)).alias("ui32_objectID"), "ip", "epoch_time", F.col("s").alias("f32_positionX_m"), F.col("d").alias("f32_positionY_m"), F.lit(1.0).alias("f32_directionX"),
+        F.lit(0.0).alias("f32_directionY"), "f32_velocityInDir_mps", F.lit(0).alias("ui16_predictionCount"), "f32_distanceToFront_m", "f32_distanceToBack_m", "f32_length_m",
+    ).write.parquet(str(tmp_path / "raw"))
+    lon, lat = place(0, 0)
+    (tmp_path / "sensors.yaml").write_text("".join(f"{ip}:\n  angle: 0.0\n  origin: [{lat!r}, {lon!r}]\n" for ip in "ab"))
+    features = [{"type": "Feature", "properties": {"name": n}, "geometry": {"type": "LineString", "coordinates": [place(*p) for p in xy]}} for n, xy in synthetic.LANES.items()]
+    (tmp_path / "lanes.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    pipeline.main([str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "sensors.yaml"), str(tmp_path / "lanes.json"), "--cache-dir", str(tmp_path / "cache")])
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert not [f for f in got.schema if f.dataType.simpleString() == "double"]
+    pdf = got.select("vehicle_id", "n_tracks", "s_velocity_smooth", "centroid_x").toPandas()
+    assert pdf.vehicle_id.nunique() == 4 and (pdf.n_tracks.groupby(pdf.vehicle_id).max() == 2).all()
+    assert sorted(pdf.s_velocity_smooth.groupby(pdf.vehicle_id).median().round()) == [18, 18, 19, 20]
+    assert pdf.centroid_x.dropna().between(east, east + 600).all()
+    assert len(list((tmp_path / "cache").iterdir())) == 5  # a stage each
