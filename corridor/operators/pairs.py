@@ -71,9 +71,19 @@ def matches(gated: DataFrame, ends: DataFrame, ident: str, end: str, cutoff: flo
 
 
 def overlapping(df: DataFrame, group: Sequence[str], ident: str, begin: str, end: str) -> DataFrame:
-    """Pairs of a group's intervals that overlap: the earlier end lies after the later begin."""
-    b = with_suffix(df, "_other", group)
-    out = df.join(b, list(group)).where(F.col(ident) < F.col(f"{ident}_other"))
+    """Pairs of a group's intervals that overlap: the earlier end lies after the later begin.
+
+    Intervals lie in cells of time as wide as their mean length, in two cells on average, and only those that share a cell
+    meet; a pair counts in the first cell that both are in, so a group of any size is dealt out over time.
+    """
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    mean = df.agg(F.avg(at(end) - at(begin))).first()[0]
+    width = max(int(mean or 0), 1)
+    first, last = F.floor(at(begin) / width), F.floor(at(end) / width)
+    own = df.withColumn("__first", first).withColumn("__cell", F.explode(F.sequence("__first", F.greatest(last, "__first"))))
+    b = with_suffix(own, "_other", [*group, "__cell"])
+    out = own.join(b, [*group, "__cell"]).where(F.col(ident) < F.col(f"{ident}_other"))
+    out = out.where(F.col("__cell") == F.greatest("__first", "__first_other")).drop("__cell", "__first", "__first_other")
     since, until = F.greatest(begin, f"{begin}_other"), F.least(end, f"{end}_other")
     return out.where(until > since).withColumn("overlap_begin", since).withColumn("overlap_end", until)
 

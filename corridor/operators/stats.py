@@ -49,12 +49,13 @@ def shares(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
 
 
 def percentile_profile(df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """A row a column: count, mean, deviation, extremes and exact percentiles."""
+    """A row a column: count, mean, deviation, extremes and exact percentiles, all of them from one count of values."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v is not null")
-    return stacked.groupBy("column").agg(
+    out = stacked.groupBy("column").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("deviation"), F.min("v").alias("least"), F.max("v").alias("greatest"),
-        *[F.percentile("v", p).alias(f"p{round(p * 100)}") for p in at],
+        F.percentile("v", F.array(*[F.lit(p) for p in at])).alias("__p"),
     )
+    return out.select("column", "n", "mean", "deviation", "least", "greatest", *[F.col("__p")[k].alias(f"p{round(p * 100)}") for k, p in enumerate(at)])
 
 
 def classes_by_length(df: DataFrame, length: str, limit: float = 8.0) -> DataFrame:

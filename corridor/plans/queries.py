@@ -470,7 +470,7 @@ def update_join(spark, d):
 @query("""WITH b AS (SELECT event_type, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events GROUP BY 1) SELECT event_id, event_type FROM events JOIN b USING (event_type) WHERE value BETWEEN lo AND hi""")
 def within_bounds(spark, d):
     e = events(spark, d)
-    b = e.groupBy("event_type").agg(F.percentile("value", 0.05).alias("lo"), F.percentile("value", 0.95).alias("hi"))
+    b = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("p")).select("event_type", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     return joins.within_bounds(e, b, ["event_type"], "value", "lo", "hi").select("event_id", "event_type")
 
 
@@ -705,9 +705,10 @@ def raw_rows_of_vehicle(spark, d):
 SELECT e.event_id, i.phase FROM events e JOIN i ON i.user_id = e.user_id AND e.ts >= i.since AND e.ts < i.until WHERE e.event_type = 'click'""")
 def signal_overlay(spark, d):
     e = events(spark, d)
-    i = timeseries.next_as_end(e.where("event_type = 'view'"), ["user_id", "event_type"], "ts", ORDER, "until").select("user_id", F.col("ts").alias("since"), "until", F.col("event_id").alias("phase"))
+    i = timeseries.next_as_end(e.where("event_type = 'view'"), ["user_id", "event_type"], "ts", ORDER, "until").select("user_id", "ts", "event_id", "until", F.col("event_id").alias("phase"))
     clicks = e.where("event_type = 'click'").select("user_id", "event_id", "ts")
-    return clicks.join(i, "user_id").where("ts >= since AND ts < until").select("event_id", "phase")
+    # Phases of a signal do not overlap: the last one that has begun is the only one that can hold.
+    return joins.asof_backward(clicks, i, ["user_id"], "ts", ["until", "phase"], ["event_id"]).where("ts < until").select("event_id", "phase")
 
 
 @query(f"SELECT user_id, event_id, round(sum(value) {W} ROWS UNBOUNDED PRECEDING) / sum(value) OVER (PARTITION BY user_id), 6) AS running_share FROM events")
