@@ -285,8 +285,53 @@ def stream_tracked(spark, d):
     return _drained(spark, out, "append").select("user_id", "ms", r("f_s").alias("s"))
 
 
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+def _kalman_sql(model: str) -> str:
+    """A single-model filter as recursive SQL: along s and along d there are three states and two measurements each."""
+    one = {(i, i): "1" for i in range(3)}
+    full = one | {(0, 1): "dt", (1, 2): "dt", (0, 2): "(dt * dt / 2)"}
+    flow = {
+        "s": full if model != "cvlk" else {(0, 0): "1", (1, 1): "1", (0, 1): "dt"},
+        "d": full if model == "calc" else {(0, 0): "1"},
+    }
+    noise, error = {"s": "CASE WHEN seen AND abs(zs1) > 0.2 THEN 2.0 ELSE 0.0 END", "d": "0.5"}, {"s": (0.6**2, 1.013779**2), "d": (0.6**2, 0.5**2)}
+    g = ("(dt * dt / 2)", "dt", "1")
+    p = lambda a, i, j: f"{a}p{min(i, j)}{max(i, j)}"
+
+    def ahead(a: str) -> list[str]:
+        f = flow[a]
+        out = [" + ".join(f"{f[i, k]} * f.{a}{k}" for k in range(3) if (i, k) in f) + f" AS {a}{i}" if any((i, k) in f for k in range(3)) else f"0.0::DOUBLE AS {a}{i}" for i in range(3)]
+        for i, j in _PAIRS:
+            terms = [f"{f[i, k]} * {f[j, m]} * f.{p(a, k, m)}" for k in range(3) for m in range(3) if (i, k) in f and (j, m) in f]
+            out.append(" + ".join([*terms, f"({noise[a]}) * {g[i]} * {g[j]}"]) + f" AS {p(a, i, j)}")
+        return out
+
+    def updated(inner: str) -> str:
+        det = [f"({p(a, 0, 0)} + {error[a][0]!r}) * ({p(a, 1, 1)} + {error[a][1]!r}) - {p(a, 0, 1)} * {p(a, 0, 1)} AS {a}det" for a in "sd"]
+        gain = [
+            x for a in "sd" for i in range(3)
+            for x in (f"CASE WHEN seen THEN ({p(a, i, 0)} * ({p(a, 1, 1)} + {error[a][1]!r}) - {p(a, i, 1)} * {p(a, 0, 1)}) / {a}det ELSE 0 END AS {a}k{i}0",
+                      f"CASE WHEN seen THEN ({p(a, i, 1)} * ({p(a, 0, 0)} + {error[a][0]!r}) - {p(a, i, 0)} * {p(a, 0, 1)}) / {a}det ELSE 0 END AS {a}k{i}1")
+        ]
+        state = [f"{a}{i} + {a}k{i}0 * (z{a}0 - {a}0) + {a}k{i}1 * (z{a}1 - {a}1) AS {a}{i}" for a in "sd" for i in range(3)]
+        state += [f"{p(a, i, j)} - {a}k{i}0 * {p(a, 0, j)} - {a}k{i}1 * {p(a, 1, j)} AS {p(a, i, j)}" for a in "sd" for i, j in _PAIRS]
+        return f"SELECT user_id, k, {', '.join(state)} FROM (SELECT *, {', '.join(gain)} FROM (SELECT *, {', '.join(det)} FROM ({inner})))"
+
+    z = "user_id, k, dt, seen, zs0, zs1, zd0, zd1"
+    first = f"SELECT {z}, " + ", ".join([f"{f'z{a}{i}' if i < 2 else '0.0::DOUBLE'} AS {a}{i}" for a in "sd" for i in range(3)] + [f"{float(i == j)}::DOUBLE AS {p(a, i, j)}" for a in "sd" for i, j in _PAIRS]) + " FROM m WHERE k = 0"
+    later = "SELECT " + ", ".join([f"m.{c.strip()}" for c in z.split(",")] + ahead("s") + ahead("d")) + " FROM f JOIN m ON m.user_id = f.user_id AND m.k = f.k + 1"
+    return f"""WITH RECURSIVE t AS (SELECT user_id, value, event_type <> 'error' AS seen, row_number() OVER w - 1 AS k, coalesce((epoch_ms(ts) - epoch_ms(lag(ts) OVER w)) / 1000.0::DOUBLE / 36000.0::DOUBLE, 0.0::DOUBLE) AS dt
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+m AS MATERIALIZED (SELECT user_id, k, dt, seen, sum(dt) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING) * 10.0 + value / 100.0 AS zs0, 10.0::DOUBLE AS zs1, value / 1000.0 AS zd0, 0.0::DOUBLE AS zd1 FROM t),
+f AS ({updated(first)} UNION ALL {updated(later)})
+SELECT user_id, k AS time_ind, {", ".join(f"round({a}{i}, 6) AS {c}" for (a, i), c in zip([(a, i) for a in "sd" for i in range(3)], STATE, strict=True))} FROM f"""
+
+
 _C = float(2 * np.sqrt(geodesy._N) / (1 + geodesy._N))
 ORACLE_SQL = {
+    **{f"kalman_{model}": _kalman_sql(model) for model in ("calc", "calk", "cvlk")},
     "label_lanes": """SELECT event_id, 1.8::DOUBLE AS d_cutoff, CASE WHEN d > -1.775 AND d < 1.8 THEN 0 WHEN d >= 1.8 AND d < 5.375 THEN 1 END AS lane_index FROM (SELECT event_id, user_id % 80 / 10.0::DOUBLE - 2.0 AS d FROM events)""",
     "lane_crossings": "SELECT * FROM (VALUES ('det', 'EBL1', 121.0::DOUBLE), ('det', 'EBL2', 121.0::DOUBLE)) v(line, lane, s)",
     "sensor_calibration": "SELECT DISTINCT event_type AS ip, round(length(event_type) / 150.0::DOUBLE - 0.04, 6) AS angle, 0.0::DOUBLE AS dx, 0.75::DOUBLE AS dy FROM events",
