@@ -223,11 +223,11 @@ def cleaning_chain(spark, d):
     """Events as raw sensor rows of five sensors: filtered, trimmed, resampled, georeferenced and put on a lane."""
     v = F.col("value")
     raw = events(spark, d).select(
-        F.col("user_id").alias("ui32_objectID"), F.col("event_type").alias("ip"), F.col("ts").alias("epoch_time"), v.alias("f32_positionX_m"), (v / 200 + 1.0).alias("f32_positionY_m"),
+        F.col("user_id").alias("ui32_objectID"), F.col("event_type").alias("ip"), F.col("ts").alias("epoch_time"), v.alias("f32_positionX_m"), (v / 200 + 1.001).alias("f32_positionY_m"),
         F.lit(1.0).alias("f32_directionX"), F.lit(0.0).alias("f32_directionY"), (v / 30).alias("f32_velocityInDir_mps"), (F.col("event_id") % 3).cast("int").alias("ui16_predictionCount"),
     )
     sensors = spark.createDataFrame([(ip, 0.0, 100.0, 0.0) for ip in ("click", "view", "error", "purchase", "signup")], "ip string, angle double, origin_x double, origin_y double")
-    lanes = geo.network(spark, {"L": np.array([[0.0, 2.0], [700.0, 2.0]])}, 1.0)
+    lanes = geo.network(spark, {"L": np.array([[0.0037, 2.0], [700.0037, 2.0]])}, 1.0)
     out = cleaning.on_lanes(cleaning.cleaned(raw, sensors, "1 hour", 0.5, 1), lanes)
     return out.select("ui32_objectID", "ip", millis("epoch_time").alias("ms"), r("s").alias("s"), r("d").alias("d"), r("dist").alias("dist"), "approaching", r("heading_utm").alias("heading_utm"))
 
@@ -333,6 +333,15 @@ _C = float(2 * np.sqrt(geodesy._N) / (1 + geodesy._N))
 ORACLE_SQL = {
     **{f"kalman_{model}": _kalman_sql(model) for model in ("calc", "calk", "cvlk")},
     "label_lanes": """SELECT event_id, 1.8::DOUBLE AS d_cutoff, CASE WHEN d > -1.775 AND d < 1.8 THEN 0 WHEN d >= 1.8 AND d < 5.375 THEN 1 END AS lane_index FROM (SELECT event_id, user_id % 80 / 10.0::DOUBLE - 2.0 AS d FROM events)""",
+    "cleaning_chain": """WITH e AS (SELECT *, date_trunc('day', ts) AS day, value AS x, value / 200 + 1.001 AS y FROM events),
+t AS (SELECT * FROM (SELECT *, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type, day ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM e) WHERE k = 1),
+w AS (SELECT *, first_value(x) OVER o AS x0, last_value(x) OVER o AS x1, first_value(y) OVER o AS y0, last_value(y) OVER o AS y1, first_value(ts) OVER o AS t0, last_value(ts) OVER o AS t1
+  FROM t WINDOW o AS (PARTITION BY user_id, event_type, day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+u AS (SELECT user_id, event_type, day, time_bucket(INTERVAL 1 HOUR, ts) AS h, avg(x) AS x, avg(y) AS y FROM w
+  WHERE sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) >= 0.5 AND floor((epoch_ms(t1) - epoch_ms(t0)) / 1000.0) >= 1 GROUP BY ALL),
+g AS (SELECT *, sqrt(x * x + y * y) AS dist, x + 100 - 0.0037 AS along, y - 2 AS side FROM u),
+a AS (SELECT *, coalesce(dist - lag(dist) OVER o, lead(dist) OVER o - dist) < 0 AS approaching, floor(along + 0.5) AS i FROM g WINDOW o AS (PARTITION BY user_id, event_type, day ORDER BY h))
+SELECT user_id AS "ui32_objectID", event_type AS ip, epoch_ms(h) AS ms, round(i + 1, 6) AS s, round(CASE WHEN side > 0 THEN 1 ELSE -1 END * sqrt((along - i) * (along - i) + side * side), 6) AS d, round(dist, 6) AS dist, approaching, 0.0::DOUBLE AS heading_utm FROM a""",
     "lane_crossings": "SELECT * FROM (VALUES ('det', 'EBL1', 121.0::DOUBLE), ('det', 'EBL2', 121.0::DOUBLE)) v(line, lane, s)",
     "sensor_calibration": "SELECT DISTINCT event_type AS ip, round(length(event_type) / 150.0::DOUBLE - 0.04, 6) AS angle, 0.0::DOUBLE AS dx, 0.75::DOUBLE AS dy FROM events",
     "sensor_solution": "SELECT DISTINCT event_type AS ip, round(length(event_type) / 150.0::DOUBLE - 0.04, 2) AS angle, true AS found FROM events",
