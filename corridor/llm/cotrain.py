@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import BYTE_LOWER, U64, buffers, chunks, mix, prefix, substring, words
-from .common import free
+from .common import free, one_core_each
 from .learn import labelled, logistic, sigmoid
 
 LABELLED, POOL, DIM, LEX, SLOTS, ROUNDS, GIVE = 8_000, 8_000, 256, 256, 24, 4, 0.05
@@ -110,8 +110,9 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROU
     rate = y[base].mean() if len(base) else 0.5
     x = {"text": text, "meta": meta}
     given = {"text": np.zeros(len(y), bool), "meta": np.zeros(len(y), bool)}
+    w: dict = {}
     for r in range(rounds + 1):
-        w = {k: logistic(x[k][i], t, 1e-4) for k, (i, t) in sets.items()}
+        w = {k: logistic(x[k][i], t, 1e-4, start=w.get(k)) for k, (i, t) in sets.items()}
         if r == rounds or not len(pool):
             break
         for k, other in (("text", "meta"), ("meta", "text")):
@@ -150,14 +151,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = LABELLED, pool: int
                 t, m = views(data[o[0] : o[-1]], o - o[0], batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float32).tobytes() for r in t], pa.binary()), pa.array([r.astype(np.float32).tobytes() for r in m], pa.binary()), batch.column(3).slice(a, b - a)], names=["t", "m", "y"])
 
-    rows = both.select("text", "lang", "source", "y").mapInArrow(run, "t binary, m binary, y int").collect()  # sample + pool rows at most
-    rows.sort(key=lambda r: (bytes(r["t"]), bytes(r["m"]), r["y"]))
-    if not rows:
-        return Model(np.zeros(DIM + LEX + 3), np.zeros(2 * SLOTS + 6), np.zeros(3))
-    text = np.stack([np.frombuffer(r["t"], np.float32) for r in rows]).astype(np.float64)
-    meta = np.stack([np.frombuffer(r["m"], np.float32) for r in rows]).astype(np.float64)
-    order = np.random.default_rng(3).permutation(len(rows))
-    return cotrain(text[order], meta[order], np.array([r["y"] for r in rows])[order])
+    def fit(batches):
+        rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))  # sample + pool rows at most
+        if not rows:
+            return
+        text, meta = (np.stack([np.frombuffer(r[k], np.float32) for r in rows]).astype(np.float64) for k in range(2))
+        order = np.random.default_rng(3).permutation(len(rows))
+        m = cotrain(text[order], meta[order], np.array([r[2] for r in rows])[order])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.text, m.meta, m.both)], names=["text", "meta", "both"])
+
+    one_core_each(docs.sparkSession)
+    rows = both.select("text", "lang", "source", "y").mapInArrow(run, "t binary, m binary, y int").repartition(1)
+    for r in rows.mapInArrow(fit, "text binary, meta binary, both binary").collect():  # one row
+        return Model(*(np.frombuffer(r[k]).copy() for k in ("text", "meta", "both")))
+    return Model(np.zeros(DIM + LEX + 3), np.zeros(2 * SLOTS + 6), np.zeros(3))
 
 
 def scored(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("quality_score", "text_score", "meta_score")) -> DataFrame:

@@ -11,8 +11,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weight: np.ndarray | None = None, steps: int = 25) -> np.ndarray:
-    """Weights and a last bias of an L2-regularised logistic regression, by Newton steps with backtracking."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weight: np.ndarray | None = None, steps: int = 25, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights and a last bias of an L2-regularised logistic regression, by Newton steps with backtracking from ``start``."""
     x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
     w = np.zeros(x1.shape[1])
     c = np.ones(len(y)) if weight is None else weight
@@ -21,6 +21,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weight: np.ndarray
         w[-1] = np.log(base / (1 - base))
     if len(np.unique(y)) < 2:
         return w
+    w = w if start is None else start.copy()
     ridge = np.full(len(w), l2 * c.sum())
     ridge[-1] = 1e-9 * c.sum()
 
@@ -28,12 +29,13 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weight: np.ndarray
         z = x1 @ v
         return (c * (np.logaddexp(0, z) - y * z)).sum() + (ridge * v * v).sum() / 2
 
-    now = loss(w)
+    half, now = x1.astype(np.float32), loss(w)
     for _ in range(steps):
         p = sigmoid(x1 @ w)
         grad = x1.T @ (c * (p - y)) + ridge * w
-        h = (x1 * (c * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x1
-        h[np.diag_indices(len(w))] += ridge + 1e-9
+        h = (half * np.sqrt(c * np.maximum(p * (1 - p), 1e-4)).astype(np.float32)[:, None])
+        h = (h.T @ h).astype(np.float64)  # steps need no more than single precision, the gradient does
+        h[np.diag_indices(len(w))] += ridge + 1e-6 * c.sum()
         step = np.linalg.solve(h, grad)
         scale = 1.0
         while (then := loss(w - scale * step)) > now and scale > 1e-4:
