@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bytehash import BYTE_LOWER, LOWER, U64, buffers, chunks, mix, prefix, substring, words
 from .common import crc_class, one_core_each, parts, saved, whole
 
-SHAPES, WIDTH, CONTEXT, LEAST = 256, 32, 5, 20
+SHAPES, WIDTH, CONTEXT, LEAST = 128, 32, 5, 20
 NOISE, WORD_NOISE, BATCH, TILE, RATE = 48, 16, 16_384, 1024, 0.25
 FIRST_DOCS, PASSES, SHARD = 1000, 2, 16 << 20
 END_KEY = U64(0x1F3D5B79)
@@ -89,14 +89,10 @@ class Vocabulary:
         out[key == END_KEY] = self.end
         return out
 
-    def contexts(self, row: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Rows of the ``CONTEXT`` tokens before each token, the last first; ends before a document's beginning."""
-        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        out = np.full((len(row), CONTEXT), self.end, dtype=np.int32)
-        for k in range(CONTEXT):
-            ok = np.flatnonzero(place > k)
-            out[ok, k] = row[ok - k - 1]
-        return out
+
+def places(count: np.ndarray) -> np.ndarray:
+    """Each token's place in its document."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,23 +137,38 @@ class Bilinear:
         p[rows] += (RATE / np.sqrt(s[rows]))[:, None] * g
         self.updates[name][rows] += 1
 
-    def query(self, ctx: np.ndarray) -> np.ndarray:
-        return sum(self.e[ctx[:, k]] * self.a[k] for k in range(CONTEXT))
-
-    def train(self, ctx: np.ndarray, row: np.ndarray, rng: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation on a batch of tokens."""
-        v, cls = self.v, self.v.cls[row]
-        order = np.argsort(cls, kind="stable")  # by class, so that a class's tokens lie together
-        ctx, row, cls = ctx[order], row[order], cls[order]
-        got = [self.e[ctx[:, k]] for k in range(CONTEXT)]
-        q = np.ones((len(row), WIDTH + 1), F32)
-        q[:, :-1] = sum(x * self.a[k] for k, x in enumerate(got))
+    def query(self, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Predictions (with a last column of ones) for the tokens behind the first ``CONTEXT`` rows; the vectors of all
+        rows; and for each place before a token the tokens that have a document's beginning there, where ends count.
+
+        Neighbouring tokens share their contexts, so each row's vector is read once.
+        """
+        got, n = self.e[row], len(row) - CONTEXT
+        q = np.ones((n, WIDTH + 1), F32)
+        sums, bare = q[:, :-1], []
+        np.multiply(got[CONTEXT - 1 : CONTEXT - 1 + n], self.a[0], out=sums)
+        for k in range(1, CONTEXT):
+            sums += got[CONTEXT - k - 1 : CONTEXT - k - 1 + n] * self.a[k]
+        early = np.flatnonzero(place < CONTEXT)
+        for k in range(CONTEXT):
+            bare.append(early[place[early] <= k])
+            sums[bare[k]] += (self.e[self.v.end] - got[bare[k] + CONTEXT - k - 1]) * self.a[k]
+        return q, got, bare
+
+    def train(self, row: np.ndarray, place: np.ndarray, rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation on neighbouring tokens; ``row`` also has the ``CONTEXT`` rows before them."""
+        v = self.v
+        around, (q, got, bare) = row, self.query(row, place)
+        order = np.argsort(v.cls[row[CONTEXT:]], kind="stable")  # by class, so that a class's tokens lie together
+        row, q = row[CONTEXT:][order], q[order]
+        cls = v.cls[row]
         # classes: noise in common
-        noise = np.searchsorted(self.v.cum, rng.random(NOISE)).clip(max=v.classes - 1)
+        noise = np.searchsorted(v.cum, rng.random(NOISE)).clip(max=v.classes - 1)
         own, other = self.u[cls], self.u[noise]
-        up = 1 - _sigmoid((q * own).sum(1) - self.offset[cls])
+        up = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) - self.offset[cls])
         down = _sigmoid(q @ other.T - self.offset[noise])
-        dq = up[:, None] * own - down @ other
+        dq = up[:, None] * own
+        dq -= down @ other
         edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
         # words within their classes: noise in common for each class
         draw = rng.random((v.word_classes, WORD_NOISE))
@@ -170,25 +181,41 @@ class Bilinear:
             fake = np.searchsorted(v.word_cum[lo:hi], base + draw[c] * (v.word_cum[hi - 1] - base)).clip(max=hi - lo - 1) + lo
             r, here = row[x:y], q[x:y]
             true, false = self.t[r], self.t[fake]
-            up1 = 1 - _sigmoid((here * true).sum(1) - self.word_offset[r])
+            up1 = 1 - _sigmoid(np.einsum("ij,ij->i", here, true) - self.word_offset[r])
             down1 = _sigmoid(here @ false.T - self.word_offset[fake])
             dq[x:y] += up1[:, None] * true - down1 @ false
             self._step("t", *_summed(np.concatenate([r, fake]), np.concatenate([up1[:, None] * here, -(down1.T @ here)])))
         more = _summed(noise, -(down.T @ q))
         self._step("u", cls[edge], np.add.reduceat(up[:, None] * q, edge, axis=0))
         self._step("u", *more)
-        dq = dq[:, :-1]
-        da = np.stack([(dq * x).sum(0) for x in got])
-        self._step("e", *_summed(ctx.T.ravel(), np.concatenate([dq * self.a[k] for k in range(CONTEXT)])))
+        # back to the order of the text, where each row's vector gets what all tokens behind it say
+        back = np.empty((len(order), WIDTH), F32)
+        back[order] = dq[:, :-1]
+        n, g, ends = len(back), np.zeros_like(got), np.zeros(WIDTH, F32)
+        da = np.empty_like(self.a)
+        for k in range(CONTEXT):
+            own = slice(CONTEXT - k - 1, CONTEXT - k - 1 + n)
+            da[k] = np.einsum("ij,ij->j", back, got[own])
+            part = back * self.a[k]
+            if len(bare[k]):
+                da[k] += (back[bare[k]] * (self.e[v.end] - got[own][bare[k]])).sum(axis=0)
+                ends += part[bare[k]].sum(axis=0)
+                part[bare[k]] = 0
+            g[own] += part
+        used = np.append(around, v.end)
+        self._step("e", *_summed(used, np.concatenate([g, ends[None]])))
         self._step("a", np.arange(CONTEXT), da)
 
-    def log_probs(self, ctx: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each token's class and, for words with vectors, of the word within its class."""
+    def log_probs(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each token's class and, for words with vectors, of the word within its class.
+
+        ``row`` begins with a document.
+        """
         out, v = np.empty(len(row)), self.v
+        around = np.concatenate([np.full(CONTEXT, v.end), row])
         for k in range(0, len(row), 4 * BATCH):
             r = row[k : k + 4 * BATCH]
-            q, cls = np.ones((len(r), WIDTH + 1), F32), v.cls[r]
-            q[:, :-1] = self.query(ctx[k : k + 4 * BATCH])
+            q, cls = self.query(around[k : k + CONTEXT + len(r)], place[k : k + len(r)])[0], v.cls[r]
             got = np.empty(len(r))
             for j in range(0, len(r), TILE):
                 own = slice(j, j + TILE)
@@ -219,23 +246,26 @@ class Stream:
     """Trains on a stream of documents in batches of ``BATCH`` tokens, wherever its pieces are cut."""
 
     def __init__(self, model: Bilinear, seed: int):
-        self.model, self.rng, self.held = model, np.random.default_rng(seed), []
-        self.size = 0
+        self.model, self.rng, self.size = model, np.random.default_rng(seed), 0
+        self.rows, self.places = [np.full(CONTEXT, model.v.end)], []  # the rows before the next batch come first
 
     def add(self, row: np.ndarray, count: np.ndarray) -> None:
-        self.held.append((self.model.v.contexts(row, count), row))
+        self.rows.append(row)
+        self.places.append(places(count))
         self.size += len(row)
         if self.size >= BATCH:
-            ctx, row = (np.concatenate(x) for x in zip(*self.held, strict=True))
-            whole_ = self.size // BATCH * BATCH
-            for k in range(0, whole_, BATCH):
-                self.model.train(ctx[k : k + BATCH], row[k : k + BATCH], self.rng)
-            self.held, self.size = [(ctx[whole_:], row[whole_:])], self.size - whole_
+            self._run(self.size // BATCH * BATCH)
+
+    def _run(self, many: int) -> None:
+        row, place = np.concatenate(self.rows), np.concatenate(self.places)
+        for k in range(0, many, BATCH):
+            n = min(BATCH, many - k)
+            self.model.train(row[k : k + n + CONTEXT], place[k : k + n], self.rng)
+        self.rows, self.places, self.size = [row[many:]], [place[many:]], self.size - many
 
     def end(self) -> None:
         if self.size:
-            self.model.train(*(np.concatenate(x) for x in zip(*self.held, strict=True)), self.rng)
-        self.held, self.size = [], 0
+            self._run(self.size)
 
 
 def _by_part(batches):
@@ -344,13 +374,11 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
         if got is None:
             return
         key, shape, k = _tokens(got.column("text"))
-        row, model, rng = vocabulary.index(key, shape), Bilinear(vocabulary), np.random.default_rng(17)
-        ctx = vocabulary.contexts(row, k)
+        model, rng, place, step = Bilinear(vocabulary), np.random.default_rng(17), places(k), BATCH // 4
+        row = np.concatenate([np.full(CONTEXT, vocabulary.end), vocabulary.index(key, shape)])
         for _ in range(PASSES):
-            order = rng.permutation(len(row))
-            for x in range(0, len(row), BATCH // 4):
-                at = order[x : x + BATCH // 4]
-                model.train(ctx[at], row[at], rng)
+            for x in rng.permutation(-(-len(place) // step)) * step:
+                model.train(row[x : x + CONTEXT + step], place[x : x + step], rng)
         yield pa.RecordBatch.from_arrays([pa.array([getattr(model, x).tobytes()], pa.binary()) for x in [*Bilinear.NAMES]] + [pa.array([model.squares[x].tobytes()], pa.binary()) for x in Bilinear.NAMES], names=[*Bilinear.NAMES, *[f"s_{x}" for x in Bilinear.NAMES]])
 
     columns = ", ".join(f"{x} binary" for x in [*Bilinear.NAMES, *[f"s_{x}" for x in Bilinear.NAMES]])
@@ -448,7 +476,7 @@ def log10_probs(model: Bilinear, key: np.ndarray, shape: np.ndarray, count: np.n
     while a < len(count):  # documents of some 2**20 tokens at a time, or a longer one
         b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + (1 << 20), side="right")))
         x, y = end[a] - count[a], end[b - 1]
-        out[x:y] = model.log_probs(v.contexts(row[x:y], count[a:b]), row[x:y])
+        out[x:y] = model.log_probs(row[x:y], places(count[a:b]))
         a = b
     kind = row - v.size
     rest = (kind >= 0) & (kind < SHAPES)

@@ -425,20 +425,66 @@ def test_language_model_is_normalised_and_learns():
     v, row, count = toy_model()
     assert v.word_classes == 8 and (np.diff(v.cls[: v.size]) >= 0).all() and sorted(v.row.tolist()) == list(range(v.size))
     assert v.index(v.keys, np.zeros(v.size, np.uint8)).tolist() == v.row.tolist()
-    ctx = v.contexts(row, count)
-    assert (ctx[0] == v.end).all() and ctx[301].tolist() == [row[300]] + [v.end] * (lm.CONTEXT - 1) and ctx[7].tolist() == row[2:7][::-1].tolist()
+    place = lm.places(count)
+    assert place[:3].tolist() == [0, 1, 2] and place[299] == 299 and place[300] == 0
     m = lm.Bilinear(v)
-    before = m.log_probs(ctx, row).mean()
+    before = m.log_probs(row, place).mean()
     stream = lm.Stream(m, 1)
     for _ in range(30):
         stream.add(row, count)
     stream.end()
-    assert m.log_probs(ctx, row).mean() > before + 1
-    every = np.arange(v.rows)
-    for k in (0, 5, 999):
-        assert np.exp(m.log_probs(np.repeat(ctx[k : k + 1], v.rows, axis=0), every)).sum() == pytest.approx(1, abs=1e-5)
-    m.u[:, -1] += 200  # beyond what single precision can raise e to
-    assert np.exp(m.log_probs(np.repeat(ctx[:1], v.rows, axis=0), every)).sum() == pytest.approx(1, abs=1e-4)
+    assert m.log_probs(row, place).mean() > before + 1
+    for high in (0, 200):  # beyond what single precision can raise e to
+        m.u[:, -1] += high
+        for k in (0, 5, 299):
+            p = [m.log_probs(np.append(row[:k], w), np.arange(k + 1))[-1] for w in range(v.rows)]
+            assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_batches_are_those_of_the_stream():
+    """Pieces of any size give the same model; contexts go on across batches and begin anew with documents."""
+    v, row, count = toy_model(1, 40, 40_000)
+    models = []
+    for cut in (20, 1, 7):
+        m = lm.Bilinear(v)
+        stream = lm.Stream(m, 1)
+        for k in range(0, 20, cut):
+            own = slice(k * 2000, (k + cut) * 2000)
+            stream.add(row[own], count[k : k + cut])
+        stream.end()
+        models.append(m)
+    for m in models[1:]:
+        assert all(np.array_equal(getattr(m, x), getattr(models[0], x)) for x in m.NAMES)
+
+
+def test_language_model_gradient_of_contexts():
+    """What a step gives the vectors of contexts, against sums over every token and place."""
+    v, row, count = toy_model(2, 30, 400)
+    place, m = lm.places(count), lm.Bilinear(v)
+    seen = {}
+    m._step = lambda name, rows, g: seen.setdefault(name, []).append((rows.copy(), g.copy()))
+    around = np.concatenate([np.full(lm.CONTEXT, v.end), row])
+    q = m.query(around, place)[0][:, :-1]
+    ctx = naive_contexts(v, row, count)
+    np.testing.assert_allclose(q, sum(m.e[ctx[:, k]] * m.a[k] for k in range(lm.CONTEXT)), atol=1e-5)
+    m.train(around, place, np.random.default_rng(1))
+    step = np.zeros_like(m.e)
+    rows, g = seen["e"][0]
+    step[rows] = g
+    # the same again with one context at a time: a change of a vector changes the score of what was predicted from it
+    total = np.zeros(lm.WIDTH)
+    for k in range(lm.CONTEXT):
+        total += (seen["a"][0][1][k] * m.a[k]).astype(float)
+    np.testing.assert_allclose((step * m.e).sum(axis=0), total, rtol=1e-3, atol=1e-3)  # both are the sum of dq * a_k * e over tokens and places
+
+
+def naive_contexts(v, row, count):
+    out, first = [], 0
+    for n in count:
+        for p in range(n):
+            out.append([row[first + p - k - 1] if p > k else v.end for k in range(lm.CONTEXT)])
+        first += n
+    return np.array(out)
 
 
 def test_language_model_probabilities_equal_plain_loops():
@@ -452,7 +498,7 @@ def test_language_model_probabilities_equal_plain_loops():
     shape = np.where((row >= v.size) & (row < v.end), row - v.size, shape).astype(np.uint8)
     seen = rng.integers(0, 5, 400)
     got = lm.log10_probs(m, key, shape, count, seen)
-    ctx = v.contexts(row, count)
+    ctx = naive_contexts(v, row, count)
     for k in range(0, 400, 7):
         q = sum(m.e[ctx[k, j]].astype(float) * m.a[j] for j in range(lm.CONTEXT))
         z = np.exp(m.u[:, :-1] @ q + m.u[:, -1])
