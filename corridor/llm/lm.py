@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .bytehash import BYTE_LOWER, LOWER, U64, buffers, chunks, mix, prefix, substring, words
 from .common import crc_class, one_core_each, parts, saved, whole
 
-SHAPES, WIDTH, CONTEXT, LEAST = 128, 32, 5, 20
+SHAPES, WIDTH, CONTEXT, LEAST = 256, 32, 5, 20
 NOISE, WORD_NOISE, BATCH, TILE, RATE = 48, 16, 16_384, 1024, 0.25
-FIRST_DOCS, PASSES, SHARD = 1000, 2, 16 << 20
+FIRST_DOCS, PASSES, SHARD = 1000, 4, 16 << 20
 END_KEY = U64(0x1F3D5B79)
 F32 = np.float32
 
