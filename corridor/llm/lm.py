@@ -352,7 +352,7 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
                 ok = c >= least
                 yield pa.RecordBatch.from_arrays([pa.array(u[ok].view(np.int64)), pa.array(c[ok]), pa.array(s[ok].astype(np.int32))], names=["key", "n", "shape"])
 
-    counted = saved(dealt.repartition(n, "pid").mapInArrow(local, _COUNTS).repartition(n, "key").mapInArrow(add_up, _COUNTS))
+    counted = saved(dealt.repartitionById(n, F.col("pid").cast("int")).mapInArrow(local, _COUNTS).repartition(n, "key").mapInArrow(add_up, _COUNTS))
     tally = {r["shape"]: (r["n"], r["v"]) for r in counted.where("kind = 2").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("key").alias("v")).collect()}
     tokens, types = sum(a for a, _ in tally.values()), sum(b for _, b in tally.values())
     least = max(LEAST, int(tokens ** (2 / 3) / 1000))
@@ -433,7 +433,7 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
     names = ["shard", *Bilinear.NAMES, *[f"n_{x}" for x in Bilinear.NAMES]]
     schema = "shard long, " + ", ".join(f"{x} binary" for x in names[1:])
     shards = int(volume or 0) // max(SHARD, 16 * sum(getattr(start, x).size for x in Bilinear.NAMES)) + 1
-    own = learn.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards))).repartition(shards, "shard")
+    own = learn.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards))).repartitionById(shards, F.col("shard").cast("int"))
     fitted = own.sortWithinPartitions("shard", "doc_id", "text").select("shard", "text").mapInArrow(refine, schema)
     while shards > 1:  # sums of 16 shards each, in their order
         shards = -(-shards // 16)
