@@ -31,8 +31,16 @@ def wrap(angle: Column) -> Column:
     return F.atan2(F.sin(angle), F.cos(angle))
 
 
+def direction(y: str | Column, x: str | Column) -> Column:
+    """atan2 as IEEE 754 has it.  Spark's own takes -0.0 for 0.0, which turns a direction by half a circle."""
+    y, x = col(y).cast("double"), col(x).cast("double")
+    below = lambda c: (c < 0) | ((c == 0) & (c.cast("string") == "-0.0"))
+    flat = F.when(below(x), F.pi()).otherwise(F.lit(0.0))
+    return F.when((y == 0) & x.isNotNull() & ~F.isnan(x), F.when(below(y), -flat).otherwise(flat)).otherwise(F.atan2(y, x))
+
+
 def heading(dx: str | Column, dy: str | Column) -> Column:
-    return F.atan2(col(dy), col(dx))
+    return direction(dy, dx)
 
 
 def compass(dx: str | Column, dy: str | Column, turn: Column | float = 0.0) -> Column:

@@ -150,3 +150,14 @@ def test_readers_and_stage_store(spark, tmp_path):
     assert len(calls) == 2  # another configuration is another result
     writers.write_parquet(spark.range(2).withColumn("P_x", F.lit(1.0)).withColumn("v", F.lit(1.5)), str(tmp_path / "o"), as_floats=True, drop=["P_"])
     assert spark.read.parquet(str(tmp_path / "o")).dtypes == [("id", "bigint"), ("v", "float")]
+
+
+def test_directions_keep_the_sign_of_zero(spark):
+    """Spark's own atan2 takes -0.0 for 0.0."""
+    import math
+
+    data = [(y, x) for y in (0.0, -0.0, 1.0, -1.0, float("nan"), None) for x in (0.0, -0.0, 2.0, -2.0, float("nan"), None)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(data)], "i int, y double, x double")
+    for (y, x), got in zip(data, column(df.withColumn("a", C.heading("x", "y")), "a"), strict=True):
+        want = None if y is None or x is None else math.atan2(y, x)
+        assert str(got) == str(want) or got == pytest.approx(want, abs=1e-15) != 0, (y, x)
