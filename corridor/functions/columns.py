@@ -46,7 +46,7 @@ def heading(dx: str | Column, dy: str | Column) -> Column:
 def compass(dx: str | Column, dy: str | Column, turn: Column | float = 0.0) -> Column:
     """Heading from the y axis, turned and brought to [0, 360) degrees."""
     turn = turn if isinstance(turn, Column) else F.lit(float(turn))
-    return F.degrees(F.pmod(F.atan2(col(dx), col(dy)) + turn + F.pi(), 2 * F.pi()))
+    return F.degrees(F.pmod(direction(dx, dy) + turn + F.pi(), 2 * F.pi()))
 
 
 def rotated(x: str | Column, y: str | Column, angle: Column) -> tuple[Column, Column]:

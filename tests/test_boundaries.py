@@ -161,3 +161,9 @@ def test_directions_keep_the_sign_of_zero(spark):
     for (y, x), got in zip(data, column(df.withColumn("a", C.heading("x", "y")), "a"), strict=True):
         want = None if y is None or x is None else math.atan2(y, x)
         assert str(got) == str(want) or got == pytest.approx(want, abs=1e-15) != 0, (y, x)
+
+
+def test_compass_keeps_the_sign_of_zero(spark):
+    df = spark.createDataFrame([(0, 0.0, -0.0), (1, -0.0, -0.0), (2, 0.0, 0.0), (3, -0.0, 0.0)], "i int, x double, y double")
+    got = column(df.withColumn("a", C.compass("x", "y", 0.5)), "a")
+    assert got == pytest.approx([28.64788975654116, 28.64788975654116, 208.64788975654116, 208.64788975654116])
