@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import wrap
 from ..functions.geodesy import crossing, lonlat_columns, respaced, shrink_free, smoothed_corners, utm_columns
 from .joins import asof_nearest, nearest_point
 
@@ -51,7 +50,7 @@ def map_to_lane(points: DataFrame, lanes: DataFrame, ident: Sequence[str], x: st
     """
     t = lanes.select("lane", F.col("s").alias("s"), F.col("angle").alias("heading_lane"), "x_lane", "y_lane")
     out = nearest_point(points, t, ident, x, y, "x_lane", "y_lane", bound, ["lane", "s", "heading_lane"], gate)
-    side = wrap(F.atan2(F.col(y) - F.col("y_lane"), F.col(x) - F.col("x_lane")) - F.col("heading_lane"))
+    side = (F.col(y) - F.col("y_lane")) * F.cos("heading_lane") - (F.col(x) - F.col("x_lane")) * F.sin("heading_lane")  # exact on a straight lane, unlike a difference of angles
     return out.withColumn("d", F.when(side > 0, F.col("distance")).otherwise(-F.col("distance"))).drop("distance")
 
 

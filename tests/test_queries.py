@@ -75,3 +75,22 @@ def test_has_rows(spark, name):
         assert {r.most_tracks for r in rows} == {2} and {r.speed for r in rows} == {18.0, 19.0, 20.0} and max(r.off for r in rows) < 1
     if name == "stream_tracked":
         assert len(rows) == spark.read.parquet(f"{DIR}/events.parquet").count()
+
+
+def events_like(folder, values: str):
+    """The driver's events with other values, and a connection that sees them."""
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE ({values} AS value) FROM '{DIR}/events.parquet') TO '{folder}/events.parquet'")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return c
+
+
+def equal_on(spark, c, name, folder):
+    df, rel = QUERIES[name](spark, str(folder)), c.execute(SQL[name])
+    names = [x[0] for x in rel.description]
+    assert sorted(tuple(norm(r[n]) for n in names) for r in df.collect()) == sorted(tuple(map(norm, r)) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("values", ["value + 600 * (event_id % 2)", "CASE WHEN event_id % 3 = 0 THEN 199.8 ELSE value END"])
+def test_cleaning_chain_beyond_the_planted_lane_and_on_its_line(spark, tmp_path, values):
+    equal_on(spark, events_like(tmp_path, values), "cleaning_chain", tmp_path)
