@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import seconds_between
 from ..schema import over
+from ..sources.writers import saved
 from .geo import label_lanes, map_to_lane, second_lane_offsets, with_utm
 from .kalman import by_track
 from .timeseries import Names, _list, changes
@@ -68,15 +72,9 @@ def continuous_segments(df: DataFrame, keys: Names, ts: str, lane: str, gap_seco
 
 def calibrate(points: DataFrame, lanes: DataFrame, sensor: str, ident: Sequence[str], x: str, y: str, heading: str, angles: Sequence[float], shifts: Sequence[tuple[float, float]], angle_gate: float = 10.0, bound: float = 5.0) -> DataFrame:
     """Best small rotation (radians) and shift of each sensor: the mean distance to lanes that run the same way plus the
-    share of points without one is least.  All candidates are tried at once, as rows."""
+    share of points without one is least.  All candidates are tried in one pass over the points."""
     grid = [(float(a), float(dx), float(dy)) for a in angles for dx, dy in shifts]
-    c = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (a, dx, dy) in enumerate(grid)]))
-    p = points.select(*ident, sensor, x, y, heading, c.alias("c")).select("*", "c.*").drop("c")
-    p = p.withColumn("cx", F.col(x) * F.cos("a") - F.col(y) * F.sin("a") + F.col("dx")).withColumn("cy", F.col(x) * F.sin("a") + F.col(y) * F.cos("a") + F.col("dy"))
-    turn = F.col(heading) + F.col("a") - F.col("heading_lane")
-    gate = F.abs(F.atan2(F.sin(turn), F.cos(turn))) <= F.radians(F.lit(angle_gate))
-    hit = map_to_lane(p, lanes, [*ident, "k"], "cx", "cy", bound, gate)
-    loss = hit.groupBy(sensor, "k", "a", "dx", "dy").agg((F.avg(F.col("lane").isNull().cast("double")) + F.coalesce(F.avg(F.abs("d")), F.lit(bound))).alias("loss"))
+    loss = losses(points, lambda _: grid, lanes, sensor, x, y, heading, angle_gate, bound)
     return loss.groupBy(sensor).agg(F.min(F.struct("loss", "k", "a", "dx", "dy")).alias("b")).select(sensor, F.col("b.a").alias("angle"), "b.dx", "b.dy", "b.loss")
 
 
@@ -87,30 +85,127 @@ def solved(points: DataFrame, lanes: DataFrame, sensor: str, ident: Sequence[str
     halves its width; one row a sensor reaches the driver.  The loss is that of ``calibrate``, whose least value so far is
     among the candidates of every round, so it never grows.
     """
-    best = points.select(sensor).distinct().select(sensor, F.lit(0.0).alias("angle"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    points = saved(weighed(points.where(F.col(sensor).isNotNull()), sensor, x, y, heading))
+    best = [(r[0], 0.0, 0.0, 0.0, None) for r in points.select(sensor).distinct().collect()]  # a row a sensor
     wide, far, spark = float(np.radians(turn)), shift, points.sparkSession
-    for k in range(rounds):
-        a, d = wide / 2**k, far / 2**k
+    inside = lambda v, limit: max(min(v, limit), -limit)
+    for n in range(rounds):
+        a, d = wide / 2**n, far / 2**n
         cells = [(i * a / 2, j * d, m * d) for i in (-2, -1, 0, 1, 2) for j in (-1, 0, 1) for m in (-1, 0, 1)]
-        grid = F.explode(F.array(*[F.struct(F.lit(p).alias("a"), F.lit(q).alias("dx"), F.lit(r).alias("dy")) for p, q, r in cells]))
-        inside = lambda c, limit: F.greatest(F.least(c, F.lit(limit)), F.lit(-limit))
-        tried = best.select(sensor, "angle", F.col("dx").alias("x0"), F.col("dy").alias("y0"), grid.alias("c"))
-        tried = tried.select(sensor, inside(F.col("angle") + F.col("c.a"), wide).alias("a"), inside(F.col("x0") + F.col("c.dx"), far).alias("dx"), inside(F.col("y0") + F.col("c.dy"), far).alias("dy")).distinct()
-        got = least_loss(points, tried, lanes, sensor, ident, x, y, heading, angle_gate, bound).collect()  # a row a sensor
-        best = spark.createDataFrame([tuple(r) for r in got], f"{sensor} {points.schema[sensor].dataType.simpleString()}, angle double, dx double, dy double, loss double")
-    return best
-
-
-def least_loss(points: DataFrame, tried: DataFrame, lanes: DataFrame, sensor: str, ident: Sequence[str], x: str, y: str, heading: str, angle_gate: float, bound: float) -> DataFrame:
-    """The candidate (a, dx, dy) of each sensor with the least mean distance plus share of points without a lane."""
-    k = F.dense_rank().over(over(sensor, ["a", "dx", "dy"]))
-    p = points.select(*ident, sensor, x, y, heading).join(F.broadcast(tried.withColumn("k", k)), sensor)  # some candidates a sensor
-    p = p.withColumn("cx", F.col(x) * F.cos("a") - F.col(y) * F.sin("a") + F.col("dx")).withColumn("cy", F.col(x) * F.sin("a") + F.col(y) * F.cos("a") + F.col("dy"))
-    off = F.col(heading) + F.col("a") - F.col("heading_lane")
-    gate = F.abs(F.atan2(F.sin(off), F.cos(off))) <= F.radians(F.lit(angle_gate))
-    hit = map_to_lane(p, lanes, [*ident, "k"], "cx", "cy", bound, gate)
-    loss = hit.groupBy(sensor, "k", "a", "dx", "dy").agg((F.avg(F.col("lane").isNull().cast("double")) + F.coalesce(F.avg(F.abs("d")), F.lit(bound))).alias("loss"))
-    return loss.groupBy(sensor).agg(F.min(F.struct("loss", F.abs(F.col("a")).alias("t"), "a", "dx", "dy")).alias("b")).select(sensor, F.col("b.a").alias("angle"), "b.dx", "b.dy", "b.loss")
+        tried = {s: sorted({(inside(a0 + p, wide), inside(x0 + q, far), inside(y0 + r, far)) for p, q, r in cells}) for s, a0, x0, y0, _ in best}
+        loss = losses(points, tried.__getitem__, lanes, sensor, x, y, heading, angle_gate, bound)
+        least = F.min(F.struct("loss", F.abs(F.col("a")).alias("t"), "a", "dx", "dy")).alias("b")
+        best = [tuple(r) for r in loss.groupBy(sensor).agg(least).select(sensor, "b.a", "b.dx", "b.dy", "b.loss").collect()]
+    return spark.createDataFrame(best, f"{sensor} {points.schema[sensor].dataType.simpleString()}, angle double, dx double, dy double, loss double")
+
+
+def weighed(points: DataFrame, sensor: str, x: str, y: str, heading: str) -> DataFrame:
+    """Different points of each sensor with the number of their rows, __n."""
+    xyh = [F.col(c).cast("double").alias(c) for c in (x, y, heading)]
+    return points.select(sensor, *xyh).groupBy(sensor, x, y, heading).agg(F.count("*").alias("__n"))
+
+
+class Near:
+    """Lane points that can be the nearest one within the bound, for every square of a fine grid.
+
+    Of lane points of one heading those go that are farther from all of a square than another one is from any of it, so
+    whatever headings a gate allows, the nearest of those is among the rest.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, angle: np.ndarray, bound: float, cuts: int = 8):
+        self.x, self.y, self.angle, self.bound, self.width = x, y, angle, bound, bound / cuts
+        w, reach = self.width, np.arange(-cuts - 1, cuts + 2)
+        keys, pts = [], []
+        for k in range(0, len(x), 4096):
+            i, gx, gy = (v.ravel() for v in np.meshgrid(np.arange(k, min(k + 4096, len(x))), reach, reach, indexing="ij"))
+            gx, gy = gx + np.floor(x[i] / w), gy + np.floor(y[i] / w)
+            near = self._apart(i, gx, gy)[0] <= bound * (1 + 1e-9)
+            keys.append(np.stack([gx[near], gy[near]], axis=1))
+            pts.append(i[near])
+        cell = np.concatenate(keys) if keys else np.zeros((0, 2))
+        i = np.concatenate(pts) if pts else np.zeros(0, int)
+        self.low = cell.min(axis=0) if len(cell) else np.zeros(2)
+        self.size = cell.max(axis=0) - self.low + 1 if len(cell) else np.zeros(2)
+        at = self._key(cell[:, 0], cell[:, 1])
+        least, most = self._apart(i, cell[:, 0], cell[:, 1])
+        group = np.unique(np.stack([at, np.unique(angle, return_inverse=True)[1][i]]), axis=1, return_inverse=True)[1].ravel()
+        bar = np.full(group.max(initial=-1) + 1, np.inf)
+        np.minimum.at(bar, group, most)
+        kept = least <= bar[group] * (1 + 1e-9)
+        at, i = at[kept], i[kept]
+        order = np.argsort(at, kind="stable")
+        self.points = i[order]
+        self.keys, self.first, self.count = np.unique(at[order], return_index=True, return_counts=True)
+
+    def _apart(self, i, gx, gy) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest distance of lane points from squares."""
+        dx, dy = np.abs(self.x[i] / self.width - gx - 0.5), np.abs(self.y[i] / self.width - gy - 0.5)
+        return self.width * np.hypot(np.maximum(dx - 0.5, 0), np.maximum(dy - 0.5, 0)), self.width * np.hypot(dx + 0.5, dy + 0.5)
+
+    def _key(self, gx, gy):
+        return ((gx - self.low[0]) * self.size[1] + gy - self.low[1]).astype(np.int64)
+
+    def distance(self, x: np.ndarray, y: np.ndarray, heading: np.ndarray, gate: float) -> np.ndarray:
+        """Distance of each place to the nearest lane point of a heading within the gate (radians); infinite beyond the bound."""
+        out = np.full(len(x), np.inf)
+        gx, gy = np.floor(x / self.width), np.floor(y / self.width)
+        on = np.flatnonzero((gx >= self.low[0]) & (gx < self.low[0] + self.size[0]) & (gy >= self.low[1]) & (gy < self.low[1] + self.size[1]))
+        key = self._key(gx[on], gy[on])
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        there = self.keys[at] == key if len(self.keys) else np.zeros(len(on), bool)
+        on, at = on[there], at[there]
+        if not len(on):
+            return out
+        count = self.count[at]
+        start = np.cumsum(count) - count
+        row = np.repeat(on, count)
+        lane = self.points[np.repeat(self.first[at] - start, count) + np.arange(len(row))]
+        off = heading[row] - self.angle[lane]
+        d2 = (x[row] - self.x[lane]) ** 2 + (y[row] - self.y[lane]) ** 2
+        d2[~((np.abs(off - 2 * np.pi * np.round(off / (2 * np.pi))) <= gate) & (d2 <= self.bound * self.bound))] = np.inf
+        out[on] = np.sqrt(np.minimum.reduceat(d2, start))
+        return out
+
+
+def losses(points: DataFrame, tried: Callable[[object], Sequence[tuple[float, float, float]]], lanes: DataFrame, sensor: str, x: str, y: str, heading: str, angle_gate: float, bound: float) -> DataFrame:
+    """(sensor, k, a, dx, dy, loss) for the candidates (a, dx, dy) that ``tried`` has for a sensor: the mean distance plus the
+    share of points without a lane.
+
+    Candidates meet the points in Arrow batches, and a task gives one row for each sensor and candidate, so nothing is
+    multiplied by their number.  Equal points count at once.  Lanes are configuration and go along with the tasks.
+    """
+    if "__n" not in points.columns:
+        points = weighed(points, sensor, x, y, heading)
+    table = lanes.select("x_lane", "y_lane", "angle").toPandas().to_numpy(float)
+    gate, block = float(np.radians(angle_gate)), 200_000
+
+    def run(batches):
+        near, got = Near(*table.T, bound), {}
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for name, own in pdf.groupby(sensor, dropna=False, sort=False):
+                name = None if pd.isna(name) else name
+                px, py, h, n = (own[c].to_numpy(float) for c in (x, y, heading, "__n"))
+                sums = got.setdefault(name, np.zeros((len(tried(name)), 3)))
+                for k, (a, dx, dy) in enumerate(tried(name)):
+                    for i in range(0, len(px), block):
+                        u, v, t, m = (z[i : i + block] for z in (px, py, h, n))
+                        dist = near.distance(u * np.cos(a) - v * np.sin(a) + dx, u * np.sin(a) + v * np.cos(a) + dy, t + a, gate)
+                        hit = np.isfinite(dist)
+                        sums[k] += m.sum(), m[hit].sum(), (m[hit] * dist[hit]).sum()
+        rows = [(name, k, *map(float, tried(name)[k]), *map(float, sums[k])) for name, sums in got.items() for k in range(len(sums))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    schema = T.StructType([T.StructField(sensor, points.schema[sensor].dataType)]).add("k", "long")
+    for c in ("a", "dx", "dy", "all", "hit", "far"):
+        schema = schema.add(c, "double")
+    kinds = to_arrow_schema(schema)
+    spark = points.sparkSession  # a number of its own, since adaptive execution would put points of few bytes into one task
+    points = points.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    total = points.mapInArrow(run, schema).groupBy(sensor, "k", "a", "dx", "dy").agg(*[F.sum(c).alias(c) for c in ("all", "hit", "far")])
+    loss = (F.col("all") - F.col("hit")) / F.col("all") + F.when(F.col("hit") > 0, F.col("far") / F.col("hit")).otherwise(F.lit(float(bound)))
+    return total.select(sensor, "k", "a", "dx", "dy", loss.alias("loss"))
 
 
 def butterworth(order: int = 5, cutoff: float = 0.25, rate: float = 10.0) -> list[tuple[np.ndarray, np.ndarray]]:

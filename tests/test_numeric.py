@@ -549,3 +549,29 @@ def test_command_line_finds_the_planted_vehicles(spark, tmp_path):
     assert sorted(pdf.s_velocity_smooth.groupby(pdf.vehicle_id).median().round()) == [18, 18, 19, 20]
     assert pdf.centroid_x.dropna().between(east, east + 600).all()
     assert len(list((tmp_path / "cache").iterdir())) == 5  # a stage each
+
+
+def test_candidates_do_not_multiply_points(spark):
+    """Losses of calibration against brute force over all lane points; the plan has no rows for each candidate."""
+    from corridor.operators import geo, probe
+
+    rng = np.random.default_rng(3)
+    bend = {"a": np.array([[0.0, 0.0], [60.0, 0.0], [90.0, 40.0]]), "b": np.array([[60.0, 4.0], [0.0, 4.0]])}
+    lanes = geo.network(spark, bend, 1.0)
+    p = np.round(np.column_stack([rng.uniform(-5, 95, 300), rng.uniform(-6, 45, 300), rng.uniform(-4, 4, 300)]), 1)
+    p = np.concatenate([p, p[:50]])
+    df = spark.createDataFrame([(i, "uv"[i % 2], *map(float, v)) for i, v in enumerate(p)], "i int, ip string, x double, y double, h double")
+    grid, table = [(0.0, 0.0, 0.0), (0.05, 0.5, -1.0)], lanes.toPandas()
+    got = {(r["ip"], r["k"]): r["loss"] for r in probe.losses(df, lambda _: grid, lanes, "ip", "x", "y", "h", 10.0, 5.0).collect()}
+    for which, name in enumerate("uv"):
+        for k, (a, dx, dy) in enumerate(grid):
+            x, y, h = p[which::2].T
+            cx, cy = x * np.cos(a) - y * np.sin(a) + dx, x * np.sin(a) + y * np.cos(a) + dy
+            d = np.hypot(cx[:, None] - table["x_lane"].to_numpy(), cy[:, None] - table["y_lane"].to_numpy())
+            off = h[:, None] + a - table["angle"].to_numpy()
+            d[(np.abs(np.arctan2(np.sin(off), np.cos(off))) > np.radians(10)) | (d > 5)] = np.inf
+            least = d.min(axis=1)
+            assert 0 < np.isfinite(least).sum() < len(least)
+            assert got[name, k] == pytest.approx(np.isinf(least).mean() + least[np.isfinite(least)].mean(), abs=1e-9)
+    plan = probe.calibrate(df, lanes, "ip", ["i"], "x", "y", "h", [0.0, 0.1], [(0.0, 0.0)])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
