@@ -575,3 +575,21 @@ def test_candidates_do_not_multiply_points(spark):
             assert got[name, k] == pytest.approx(np.isinf(least).mean() + least[np.isfinite(least)].mean(), abs=1e-9)
     plan = probe.calibrate(df, lanes, "ip", ["i"], "x", "y", "h", [0.0, 0.1], [(0.0, 0.0)])._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_solution_reads_its_points_once_and_rounds_have_no_joins(spark, monkeypatch):
+    from corridor.operators import geo, probe
+
+    lanes = geo.network(spark, {"a": np.array([[0.0, 0.0], [60.0, 0.0]])}, 1.0)
+    df = spark.createDataFrame([(i, "u", float(i), -0.75, 0.0) for i in range(5, 50)], "i int, ip string, x double, y double, h double")
+    plans, losses = [], probe.losses
+
+    def seen(*a):
+        out = losses(*a)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(probe, "losses", seen)
+    got = probe.solved(df, lanes, "ip", ["i"], "x", "y", "h").first()
+    assert abs(got["angle"]) < 0.01 and got["loss"] < 0.3
+    assert len(plans) == 7 and not any("Join" in p or "Generate" in p for p in plans)
