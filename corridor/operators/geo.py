@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import crossing, lonlat_columns, respaced, shrink_free, smoothed_corners, utm_columns
-from .joins import asof_nearest, nearest_point
+from .joins import asof_nearest, nearest_on_grid
 
 #: Half a lane on either side of two lanes of 3.55 m, and 0.5 m more.
 LANE_WIDTH, SNAP_BOUND = 3.55, 5.825
@@ -49,7 +49,7 @@ def map_to_lane(points: DataFrame, lanes: DataFrame, ident: Sequence[str], x: st
     Points off the network get nulls in all of them.
     """
     t = lanes.select("lane", F.col("s").alias("s"), F.col("angle").alias("heading_lane"), "x_lane", "y_lane")
-    out = nearest_point(points, t, ident, x, y, "x_lane", "y_lane", bound, ["lane", "s", "heading_lane"], gate)
+    out = nearest_on_grid(points, t, ident, x, y, "x_lane", "y_lane", bound, ["lane", "s", "heading_lane"], gate)
     side = (F.col(y) - F.col("y_lane")) * F.cos("heading_lane") - (F.col(x) - F.col("x_lane")) * F.sin("heading_lane")  # exact on a straight lane, unlike a difference of angles
     return out.withColumn("d", F.when(side > 0, F.col("distance")).otherwise(-F.col("distance"))).drop("distance")
 
@@ -91,7 +91,7 @@ def second_lane_offsets(lanes: DataFrame, bound: float = 10.0, suffix: str = "2"
     """Along each main lane, the distance to the nearest point of a lane whose name ends in ``suffix``: lane, s, d_other."""
     main = lanes.where(~F.col("lane").endswith(suffix))
     other = lanes.where(F.col("lane").endswith(suffix)).select(F.col("x_lane").alias("ox"), F.col("y_lane").alias("oy"), F.col("lane").alias("other"))
-    out = nearest_point(main.select("lane", "s", "x_lane", "y_lane"), other, ["lane", "s"], "x_lane", "y_lane", "ox", "oy", bound, ["other"])
+    out = nearest_on_grid(main.select("lane", "s", "x_lane", "y_lane"), other, ["lane", "s"], "x_lane", "y_lane", "ox", "oy", bound, ["other"])
     return out.where("distance is not null").select("lane", "s", F.col("distance").alias("d_other"))
 
 

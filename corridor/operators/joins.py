@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import over
+from ..sources.writers import saved
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
@@ -37,9 +39,40 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str
     return out.select(*left.columns, F.col(f"__b.{right_at}").alias(f"nearest_{right_at}"), *[F.col(f"__b.{v}").alias(v) for v in values])
 
 
+#: Targets that a point should meet at most, about, and how often the cells may be halved for that.
+MET, HALVINGS = 24, 8
+
+
 def nearest_point(points: DataFrame, targets: DataFrame, ident: Sequence[str], x: str, y: str, tx: str, ty: str, bound: float, values: Sequence[str], gate: Column | None = None) -> DataFrame:
     """Each point with the nearest target within ``bound``, else nulls.
 
+    Where targets lie densely, points look into small cells first.  A target found there within a cell's width is the
+    nearest one, so only points without one look into cells four times as wide, up to the bound.  Targets at one place
+    collapse first, unless a gate tells them apart.
+    """
+    if gate is None:
+        targets = targets.groupBy(tx, ty).agg(F.min(F.struct(*values)).alias("__v")).select(tx, ty, *[F.col(f"__v.{v}").alias(v) for v in values])
+    targets = saved(targets.select(tx, ty, *values))
+    width, rest, own = bound, points, [c for c in points.columns if c not in values]
+    met = lambda w: targets.groupBy(F.floor(F.col(tx) / w), F.floor(F.col(ty) / w)).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n") * 9).first()[0]
+    for _ in range(HALVINGS):
+        if (met(width) or 0) <= MET:
+            break
+        width /= 2
+    if width == bound:
+        return nearest_on_grid(points, targets, ident, x, y, tx, ty, bound, values, gate)
+    done = []
+    while True:
+        out = saved(nearest_on_grid(rest, targets, ident, x, y, tx, ty, min(width, bound), values, gate))
+        if width >= bound:
+            return reduce(DataFrame.unionByName, [*done, out])
+        done.append(out.where("distance is not null"))
+        rest, width = out.where("distance is null").select(*own), width * 4
+
+
+def nearest_on_grid(points: DataFrame, targets: DataFrame, ident: Sequence[str], x: str, y: str, tx: str, ty: str, bound: float, values: Sequence[str], gate: Column | None = None) -> DataFrame:
+    """The same with cells as wide as the bound.
+
     Targets are put in every cell of a square grid that lies within the bound of their own, so each point looks
     into one cell; the minimum per point is pre-aggregated before its shuffle.
     """

@@ -167,3 +167,23 @@ def test_compass_keeps_the_sign_of_zero(spark):
     df = spark.createDataFrame([(0, 0.0, -0.0), (1, -0.0, -0.0), (2, 0.0, 0.0), (3, -0.0, 0.0)], "i int, x double, y double")
     got = column(df.withColumn("a", C.compass("x", "y", 0.5)), "a")
     assert got == pytest.approx([28.64788975654116, 28.64788975654116, 208.64788975654116, 208.64788975654116])
+
+
+def test_nearest_point_where_targets_lie_densely(spark, monkeypatch):
+    """Small cells first, wider ones for the rest: as brute force has it, without wide cells for every point."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    t = np.round(np.concatenate([rng.normal(0, 1, (1500, 2)), rng.uniform(-40, 40, (20, 2))]), 2)
+    p = np.round(np.concatenate([rng.normal(0, 2, (200, 2)), rng.uniform(-45, 45, (200, 2))]), 2)
+    t = np.concatenate([t, t[:100]])
+    targets = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(t)], "name int, tx double, ty double")
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "i int, x double, y double")
+    widths, inner = [], joins.nearest_on_grid
+    monkeypatch.setattr(joins, "nearest_on_grid", lambda *a: widths.append(a[7]) or inner(*a))
+    got = {r["i"]: r for r in joins.nearest_point(points, targets, ["i"], "x", "y", "tx", "ty", 5.0, ["name"]).collect()}
+    assert len(got) == len(p) and widths[0] < 1 and widths[-1] == 5.0
+    for i, v in enumerate(p):
+        d2 = (v[0] - t[:, 0]) ** 2 + (v[1] - t[:, 1]) ** 2
+        k = int(d2.argmin())
+        assert (got[i]["name"], got[i]["distance"]) == ((k, pytest.approx(d2[k] ** 0.5, abs=1e-12)) if d2[k] <= 25 else (None, None))
