@@ -145,7 +145,8 @@ def densified(df: DataFrame, keys: Names, ts: str, step_ms: int, extend_ms: int,
     start = F.col("__a") + (0 if include_start else 1)
     stop = F.col("__b") + int(extend_ms // step_ms)
     slots = span.where(start <= stop).select(*keys, "__b", F.explode(F.sequence(start, stop)).alias("__g"))
-    out = slots.join(seen, [*keys, "__g"], "left").withColumn("predicted", F.col("__g") > F.col("__b")).withColumn("missing", F.col("__seen").isNull())
+    # Observations may come from an explode, whose rows the planner does not count, so it must not broadcast them.
+    out = slots.join(seen.hint("merge"), [*keys, "__g"], "left").withColumn("predicted", F.col("__g") > F.col("__b")).withColumn("missing", F.col("__seen").isNull())
     w = over(keys, "__g").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns}).withColumn("__any", F.max(F.col("__seen")).over(w))
     return out.where("__any").select(*keys, plus_millis(F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("__g") * step_ms).alias(ts), *columns, "predicted", "missing")

@@ -187,3 +187,12 @@ def test_nearest_point_where_targets_lie_densely(spark, monkeypatch):
         d2 = (v[0] - t[:, 0]) ** 2 + (v[1] - t[:, 1]) ** 2
         k = int(d2.argmin())
         assert (got[i]["name"], got[i]["distance"]) == ((k, pytest.approx(d2[k] ** 0.5, abs=1e-12)) if d2[k] <= 25 else (None, None))
+
+
+def test_grid_does_not_broadcast_observations_of_an_explode(spark):
+    """The planner takes rows that an explode made for as few as there were before it."""
+    few = spark.range(3).select(F.col("id").cast("string").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(500))).alias("i"))
+    df = few.select("k", F.timestamp_add("SECOND", F.col("i"), F.lit(T0).cast("timestamp_ntz")).alias("ts"), F.col("i").cast("double").alias("v"))
+    out = timeseries.densified(df, "k", "ts", 1000, 0, ["v"], include_start=True)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1503
