@@ -3,9 +3,9 @@
 Filter directions form a structured random product code: the vector is rotated at random and cut into two
 halves, each half has its own codebook of random unit vectors, and a filter is one word from each, so m * m
 directions cost two small matrix products.  A vector belongs to every filter whose direction it exceeds
-``t`` standard deviations along; list decoding finds these by sorting one half's scores and searching,
-for every word of the other half, how far down the list the sum still suffices.  Vectors that share a
-filter are compared in double precision.
+``t`` standard deviations along; list decoding combines only those words of a half whose score suffices
+with the best one of the other half.  Vectors that share a filter are compared, in double precision where
+single precision does not tell.
 
 Sizes follow from the number n of different vectors and from the distribution of a coordinate on the sphere of their
 dimension: t is such that a filter holds about ``HELD`` unrelated vectors (more where caps that narrow would not hold
@@ -14,6 +14,8 @@ code depend on each other, so the share of random pairs at the threshold that a
 as many independent codes as bring it below ``MISS``.
 
 Equal vectors collapse before; filters with many members are cut into blocks and pairs of blocks meet.
+Vectors are listed with their filters once; then passes over ranges of filters send each range's members to where they
+meet, packed by target, so a shuffle never holds much more than the vectors once, and goes with its pass.
 Each pair is counted in the smallest filter that both are in, so links need not be listed: every block
 emits a count of links for a vector and a spanning forest, which grow with its members alone.
 """
@@ -28,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, one_core_each, saved, whole
+from .bytehash import U64, mix
+from .common import discard, lists, one_core_each, saved, whole
 from .components import connected
 
-HELD, SHARE, MISS, BLOCK, SEED = 16.0, 2.0, 1e-6, 512, 20240501
-NARROW, PAIRS, CELLS = 0.1, 2000, 1 << 21
+HELD, SHARE, MISS, BLOCK, SEED = 256.0, 0.5, 1e-6, 512, 20240501
+NARROW, PAIRS, CELLS, AT_ONCE = 0.1, 2000, 1 << 21, 256 << 20
 
 
 def _density(a: np.ndarray, dim: int) -> np.ndarray:
@@ -109,31 +112,30 @@ def decode(x: np.ndarray, t: float, m: int, which: int = 0) -> tuple[np.ndarray,
     """Filters of each unit vector: (rows, filters), ordered by row and filter.  One filter for each row at least."""
     dim = x.shape[1]
     q, b1, b2 = code(dim, m, which)
-    y = x @ q
+    y = (x @ q).astype(np.float32)
     half = dim // 2
-    s1 = (y[:, :half] if half else np.zeros((len(x), 1))) @ b1.T * sqrt(max(half, 1))
-    s2 = y[:, half:] @ b2.T * sqrt(dim - half)
-    # each score has the deviation sqrt(k / dim) for a half of k dimensions: their sum divided by sqrt(2) is compared
-    least = t
-    order = np.argsort(-s2, axis=1)
-    ranked = np.take_along_axis(s2, order, axis=1)
-    rows, words = np.nonzero(s1 + ranked[:, :1] >= least)
-    span = 4 * (np.abs(ranked).max() + np.abs(s1).max() + abs(least) + 1)
-    keys = (np.arange(len(x))[:, None] * span - ranked).ravel()
-    count = np.searchsorted(keys, rows * span - (least - s1[rows, words]), side="right") - rows * m
-    r = np.repeat(rows, count)
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    f = np.repeat(words, count) * m + order[r, nth]
-    bare = np.setdiff1d(np.arange(len(x)), rows[count > 0])  # the best direction, if none is exceeded
+    # each score has the deviation sqrt(k / dim) for a half of k dimensions, so their sum is compared with t
+    s1 = (y[:, :half] if half else np.zeros((len(x), 1), np.float32)) @ (b1.T * sqrt(max(half, 1))).astype(np.float32)
+    s2 = y[:, half:] @ (b2.T * sqrt(dim - half)).astype(np.float32)
+    least = np.float32(t)
+    # words that suffice with the best one of the other half: few, and only these are combined
+    r1, w1 = np.nonzero(s1 >= least - s2.max(axis=1)[:, None] - np.float32(1e-4))
+    r2, w2 = np.nonzero(s2 >= least - s1.max(axis=1)[:, None] - np.float32(1e-4))
+    n2 = np.bincount(r2, minlength=len(x))
+    k = n2[r1]
+    a = np.repeat(np.arange(len(r1)), k)
+    b = np.arange(len(a)) + np.repeat((np.cumsum(n2) - n2)[r1] - (np.cumsum(k) - k), k)
+    ok = s1[r1, w1][a] + s2[r2, w2][b] >= least
+    a, b = a[ok], b[ok]
+    r, f = r1[a], w1[a] * m + w2[b]
+    bare = np.flatnonzero(np.bincount(r, minlength=len(x)) == 0)  # the best direction, if none is exceeded
     r = np.concatenate([r, bare])
-    f = np.concatenate([f, s1[bare].argmax(axis=1) * m + order[bare, 0]])
+    f = np.concatenate([f, s1[bare].argmax(axis=1) * m + s2[bare].argmax(axis=1)])
     o = np.lexsort((f, r))
     return r[o], f[o]
 
 
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -172,85 +174,165 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     valid = v.where(good).withColumn("v", F.transform("v", lambda c: c + F.lit(0).cast(kind)))
     reps = saved(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("m")))
     dims = {r[0]: r[1] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*")).collect()}  # as many rows as there are lengths
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(dims.values()) // 4096 + 1)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(dims.values()) // 16384 + 1)
     plans = {d: plan(n, d, cosine) for d, n in dims.items()}
-    width = "int" if all(codes * m * m < 1 << 31 for _, m, codes in plans.values()) else "long"
+    ids = {d: codes * m * m for d, (_, m, codes) in plans.items()}  # filters, numbered through all codes
+    width, whole_number = ("int", np.int32) if all(k < 1 << 31 for k in ids.values()) else ("long", np.int64)
+    real = np.float32 if kind == "float" else np.float64
 
     def filters(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            sizes = np.diff(t.column("v").combine_chunks().offsets.to_numpy()) if not isinstance(t.column("v").combine_chunks(), pa.ChunkedArray) else np.diff(t.column("v").combine_chunks().chunk(0).offsets.to_numpy())
+        for t in batches:
+            sizes = np.diff(t.column(2).offsets.to_numpy())
             for d in np.unique(sizes):
                 own = t.take(pa.array(np.flatnonzero(sizes == d)))
                 t_, m, codes = plans[int(d)]
                 step = max(16, min(1024, CELLS // m))
                 for k in range(0, len(own), step):
                     cut = own.slice(k, step)
-                    x = _unit(_matrix(cut.column("v")))
+                    x = _unit(_matrix(cut.column(2)))
                     both = [decode(x, t_, m, c) for c in range(codes)]
                     r = np.concatenate([a for a, _ in both])
                     f = np.concatenate([b + c * m * m for c, (_, b) in enumerate(both)])
-                    o = np.lexsort((f, r))
-                    r, f = r[o], f[o]
-                    yield pa.RecordBatch.from_arrays([cut.column("rep").combine_chunks(), cut.column("m").combine_chunks(), cut.column("v").combine_chunks(), lists(f.astype(np.int32 if width == "int" else np.int64), np.bincount(r, minlength=len(cut)))], names=["rep", "m", "v", "filters"])
-
-    listed = reps.repartition(n_parts).mapInArrow(filters, f"rep long, m long, v array<{kind}>, filters array<{width}>")
-    listed = saved(listed)
-    rows = listed.withColumn("d", F.size("v")).withColumn("f", F.explode("filters"))
-    sizes = saved(rows.groupBy("d", "f").agg(F.count("*").alias("n")).where("n > 1"))  # so that both sides of the join are dealt anew
-    rows = rows.select("d", "f", "rep", "m", "v", "filters").join(sizes, ["d", "f"])
-    rows = rows.withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    rows = rows.select("d", "f", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "m", "v", "filters")
-    rows = rows.repartition(n_parts, "d", "f", "i", "j")
+                    o = np.argsort(r, kind="stable")
+                    yield pa.RecordBatch.from_arrays([*cut.columns, lists(f[o].astype(whole_number), np.bincount(r, minlength=len(cut)))], names=["rep", "m", "v", "filters"])
+
+    listed = saved(reps.select("rep", "m", "v").repartition(n_parts).mapInArrow(filters, f"rep long, m long, v array<{kind}>, filters array<{width}>"))
+    discard(reps)
+    reps = listed.select("rep", "m", "v")
+
+    def tallied(batches):
+        got: dict[int, list] = {}
+        for batch in batches:
+            sizes = np.diff(batch.column(0).offsets.to_numpy())
+            for d in np.unique(sizes):
+                got.setdefault(int(d), []).append(batch.column(1).filter(pa.array(sizes == d)).flatten().to_numpy())
+        for d, flat in got.items():
+            f, n = np.unique(np.concatenate(flat), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), d, np.int32)), pa.array(f.astype(np.int64)), pa.array(n)], names=["d", "f", "n"])
+
+    held = saved(listed.select("v", "filters").mapInArrow(tallied, "d int, f long, n long").groupBy("d", "f").agg(F.sum("n").alias("n")))
+    hot = held.where(F.col("n") > BLOCK).toArrow()  # a row for BLOCK members at least
+    hd, hf, hn = (hot.column(c).to_numpy() for c in ("d", "f", "n"))
+    crowded = {int(d): (np.sort(hf[hd == d]), -(-hn[hd == d][np.argsort(hf[hd == d])] // BLOCK)) for d in np.unique(hd)}
+    # Passes over ranges of filters, so that what lies in a shuffle at one time is about as large as the vectors.
+    again = F.col("n") * F.ceil(F.col("n") / BLOCK)
+    rows = {r["d"]: (r["n"], r["k"]) for r in held.groupBy("d").agg(F.sum("n").alias("n"), F.sum(again).alias("k")).collect()}
+    size = np.dtype(real).itemsize
+    volume = sum(k * (d * size + 40 + np.dtype(whole_number).itemsize * n / dims[d] / 2) for d, (n, k) in rows.items())
+    passes = max(1, ceil(volume / max(AT_ONCE, sum(n * (d * size + 100) for d, n in dims.items()))))
+    targets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume / passes) // (24 << 20) + 1)
+
+    def sender(turn):
+        def send(batches):
+            for batch in batches:
+                sizes = np.diff(batch.column(2).offsets.to_numpy())
+                for d in np.unique(sizes).tolist():
+                    yield from dealt(batch.filter(pa.array(sizes == d)), d)
+
+        def dealt(t, d):
+            low, high = turn * ids[d] // passes, (turn + 1) * ids[d] // passes
+            rep, m, x = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).flatten().to_numpy().reshape(-1, d)
+            val, row = t.column(3).flatten().to_numpy(), np.repeat(np.arange(len(rep)), np.diff(t.column(3).offsets.to_numpy()))
+            till = val < high  # smaller filters go along, to tell where a pair counts
+            val, row = val[till], row[till]
+            n = np.bincount(row, minlength=len(rep))
+            start = np.cumsum(n) - n
+            now = np.flatnonzero(val >= low)
+            row, f = row[now], val[now].astype(np.int64)
+            blocks = np.ones(len(f), np.int64)
+            if d in crowded:
+                names, many = crowded[d]
+                at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+                blocks = np.where(names[at] == f, many[at], 1)
+            mine = (mix(rep[row].view(U64)) % blocks.astype(U64)).astype(np.int64)
+            row, f, mine = (np.repeat(z, blocks) for z in (row, f, mine))
+            other = np.arange(len(f)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            i, j = np.minimum(mine, other), np.maximum(mine, other)
+            p = (mix(mix(f.view(U64) + U64(d)) + mix((i << 32 | j).view(U64))) % U64(targets)).astype(np.int64)
+            order = np.argsort(p, kind="stable")
+            row, f, i, j, mine, p = (z[order] for z in (row, f, i, j, mine, p))
+            edge = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1], [True]])) if len(p) else np.zeros(1, int)
+            out = []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                own = row[a:b]
+                k = n[own]
+                some = np.repeat(start[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                cols = (f[a:b], i[a:b], j[a:b], mine[a:b], rep[own], m[own], k)
+                out.append((int(p[a]), d, np.stack(cols).tobytes(), x[own].tobytes(), val[some].tobytes()))
+            for k in range(0, len(out), 256):
+                part = out[k : k + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in part], kinds) for c, kinds in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["p", "d", "head", "v", "filters"])
+
+        return send
 
     def compare(batches):
         got = whole(batches)
         if got is None:
             return
-        keys = [got.column(c).to_numpy() for c in ("d", "f", "i", "j")]
-        order = np.lexsort(keys[::-1])
-        cut = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)]) if len(order) else []
-        starts = np.append(np.flatnonzero(cut), len(order))
-        rep, mult, mine = (got.column(c).to_numpy() for c in ("rep", "m", "mine"))
-        vec, fil = got.column("v"), got.column("filters")
+        sizes = got.column("d").to_numpy()
         edges, counts = [], []
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if b - a < 2:
-                continue
-            at = order[a:b]
-            f, apart = keys[1][at[0]], keys[2][at[0]] != keys[3][at[0]]
-            x = _unit(_matrix(vec.take(pa.array(at))))
-            u, w = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-            if apart:
-                ok = mine[at[u]] != mine[at[w]]
+        for d in np.unique(sizes).tolist():
+            own = got.filter(pa.array(sizes == d))
+            head = np.concatenate([np.frombuffer(z, np.int64).reshape(7, -1) for z in own.column("head").to_pylist()], axis=1)
+            f, i, j, mine, rep, mult, n = head
+            x = _unit(np.frombuffer(b"".join(own.column("v").to_pylist()), real).reshape(-1, d).astype(np.float64))
+            val = np.frombuffer(b"".join(own.column("filters").to_pylist()), whole_number)
+            first, rough, slack = np.cumsum(n) - n, x.astype(np.float32), (d + 8) * 2e-7
+            order = np.lexsort((j, i, f))
+            cut = (f[order][1:] != f[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])
+            starts = [0, *(np.flatnonzero(cut) + 1).tolist(), len(order)]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if b - a < 2:
+                    continue
+                at = order[a:b]
+                # single precision tells all but the pairs about the threshold, which double precision settles
+                near = rough[at] @ rough[at].T
+                hit = np.flatnonzero(near >= cosine - slack)
+                u, w = hit // len(at), hit % len(at)
+                ok = u < w
+                if i[at[0]] != j[at[0]]:
+                    ok &= mine[at[u]] != mine[at[w]]
+                u, w = u[ok], w[ok]
+                close = np.flatnonzero(near[u, w] < cosine + slack)
+                ok = np.ones(len(u), bool)
+                for k in range(0, len(close), 65536):
+                    some = close[k : k + 65536]
+                    ok[some] = np.einsum("ij,ij->i", x[at[u[some]]], x[at[w[some]]]) >= cosine
                 u, w = u[ok], w[ok]
-            if not len(u):
-                continue
-            # a pair counts in the smallest filter that both are in
-            flat = fil.take(pa.array(at)).combine_chunks()
-            flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-            off, val = flat.offsets.to_numpy() - flat.offsets[0].as_py(), flat.flatten().to_numpy()
-            own = np.repeat(np.arange(len(at)), np.diff(off))
-            smaller = val < f
-            if smaller.any():
-                names, col = np.unique(val[smaller], return_inverse=True)
-                seen = np.zeros((len(at), len(names)), dtype=np.float32)
-                seen[own[smaller], col] = 1
-                before = np.concatenate([(seen[u[k : k + 65536]] * seen[w[k : k + 65536]]).sum(axis=1) for k in range(0, len(u), 65536)]) > 0 if len(names) < 4096 else (seen @ seen.T)[u, w] > 0
-                u, w = u[~before], w[~before]
-            n = np.bincount(u, weights=mult[at[w]], minlength=len(at)) + np.bincount(w, weights=mult[at[u]], minlength=len(at))
-            hit = np.flatnonzero(n)
-            counts.append((rep[at[hit]], n[hit].astype(np.int64)))
-            p, q = _forest(u, w, len(at))
-            edges.append((rep[at[p]], rep[at[q]]))
+                if not len(u):
+                    continue
+                # a pair counts in the smallest filter that both are in
+                linked, both = np.unique(np.concatenate([u, w]), return_inverse=True)
+                k = n[at[linked]]
+                flat = val[np.repeat(first[at[linked]] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+                whose = np.repeat(np.arange(len(linked)), k)
+                smaller = flat < f[at[0]]
+                if smaller.any():
+                    names, col, often = np.unique(flat[smaller], return_inverse=True, return_counts=True)
+                    shared = often > 1
+                    col, whose = col[shared[col]], whose[smaller][shared[col]]
+                    seen = np.zeros((len(linked), int(shared.sum())), dtype=np.float32)
+                    seen[whose, (np.cumsum(shared) - 1)[col]] = 1
+                    p, q = both[: len(u)], both[len(u) :]
+                    step = max(64, (1 << 22) // max(1, seen.shape[1]))
+                    before = (seen @ seen.T)[p, q] > 0 if len(u) > 4 * len(linked) else np.concatenate([np.einsum("ij,ij->i", seen[p[k : k + step]], seen[q[k : k + step]]) for k in range(0, len(u), step)]) > 0
+                    u, w = u[~before], w[~before]
+                n_ = np.bincount(u, weights=mult[at[w]], minlength=len(at)) + np.bincount(w, weights=mult[at[u]], minlength=len(at))
+                hit = np.flatnonzero(n_)
+                counts.append((rep[at[hit]], n_[hit].astype(np.int64)))
+                p, q = _forest(u, w, len(at))
+                edges.append((rep[at[p]], rep[at[q]]))
         if counts:
             r, n = (np.concatenate(c) for c in zip(*counts, strict=True))
             p, q = (np.concatenate(c) for c in zip(*edges, strict=True))
             cols = [pa.array(np.concatenate([r, p])), pa.concat_arrays([pa.array(n), pa.nulls(len(p), pa.int64())]), pa.concat_arrays([pa.nulls(len(r), pa.int64()), pa.array(q)])]
             yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "other"])
 
-    found = saved(rows.mapInArrow(compare, "rep long, n long, other long"))
+    found = None
+    for turn in range(passes):
+        packed = listed.mapInArrow(sender(turn), "p int, d int, head binary, v binary, filters binary")
+        part = saved(packed.repartitionById(targets, "p").mapInArrow(compare, "rep long, n long, other long"))
+        found = part if found is None else found.unionByName(part)
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comps = connected(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))).select(F.col("id").alias("rep"), "component")
     per = reps.join(links, "rep", "left").join(comps, "rep", "left").select("v", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.writers import saved, shared_dir
+from ..sources.writers import discard, saved, shared_dir
 
-__all__ = ["crc_class", "free", "lists", "one_core_each", "parts", "saved", "shared_dir", "table", "whole"]
+__all__ = ["crc_class", "discard", "free", "lists", "one_core_each", "parts", "saved", "shared_dir", "table", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

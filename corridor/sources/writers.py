@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schema import narrowed
 
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
@@ -37,13 +40,26 @@ def _hadoop_path(spark: SparkSession, path: str):
 def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df written below the shared folder and read back, which cuts its lineage and survives lost executors.
 
-    Results are lazy and may read it at any time, so the folder goes when the driver ends.
+    Its shuffles, which nothing reads again, go at once; results are lazy and may read the folder at any time, so that goes
+    when the driver ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/part-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    p, fs = _hadoop_path(df.sparkSession, path)
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/part-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, True)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for df; nothing may read it afterwards."""
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        p, fs = _hadoop_path(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def write_parquet(df: DataFrame, path: str, codec: str = "zstd", partition_by: Sequence[str] = (), as_floats: bool = False, drop: Sequence[str] = ()) -> None:

@@ -227,3 +227,25 @@ def test_stages_equal_brute_force_on_odd_tables(spark):
             break
         assert got == sorted(want, key=key), name
         docs = spark.createDataFrame([r for r in out], docs.schema)
+
+
+def test_embeddings_meet_in_passes_whose_shuffles_go(spark, monkeypatch):
+    monkeypatch.setattr(capfilter, "AT_ONCE", 300_000)
+    monkeypatch.setattr(capfilter, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    rows = [(k, (centres[k % 40] + 0.2 * rng.standard_normal(16)).astype(np.float32).astype(float).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", "cast(embedding as array<float>) as embedding")
+    files = lambda: spark._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().size()
+    written, wrote = [], capfilter.saved
+
+    def saved(d):
+        out = wrote(d)
+        written.append((d.columns, files()))
+        return out
+
+    monkeypatch.setattr(capfilter, "saved", saved)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in capfilter.near_duplicates(df).collect()}
+    assert got == brute(rows)
+    turns = [n for c, n in written if c == ["rep", "n", "other"]]
+    assert len(turns) > 3 and max(turns) == turns[0]  # no pass leaves what it sent
