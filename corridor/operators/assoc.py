@@ -246,20 +246,148 @@ def _path(up: dict, a, b) -> list[tuple]:
     return out
 
 
+def prune_alike(n: int, edges: np.ndarray, pairs: np.ndarray, weights: np.ndarray, cutoff: float, removals: int = 20) -> np.ndarray:
+    """``prune`` for many components of one shape at once: which edges [component, edge] are kept.
+
+    Nodes are 0 to ``n`` - 1, ``edges`` and ``pairs`` are sorted rows (lo, hi), and ``weights`` [component, pair] are NaN where
+    unknown.  Components with the same edges left take each step together.
+    """
+    value = np.where(np.isnan(weights) | (weights == 0), cutoff - 0.001, weights)
+    kept, gone = np.ones((len(weights), len(edges)), bool), np.full((len(weights), removals), -1)
+    names, known = [tuple(e) for e in edges.tolist()], {}
+
+    def shape(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that are together, edges left, and which of the pairs each of these parts."""
+        key = mask.tobytes()
+        if key not in known:
+            left = np.flatnonzero(mask)
+            up, bridges = _trees(list(range(n)), {names[e] for e in left})
+            together = np.array([k for k, (a, b) in enumerate(pairs.tolist()) if _climb(up, a) == _climb(up, b)], dtype=int)
+            place = {names[e]: k for k, e in enumerate(left)}
+            across = np.zeros((len(left), len(together)))
+            for k, (a, b) in enumerate(pairs[together].tolist()):
+                across[[place[e] for e in _path(up, a, b) if e in bridges], k] = 1
+            known[key] = together, left, across
+        return known[key]
+
+    def groups(rows: np.ndarray, masks: np.ndarray):
+        packed = np.packbits(masks, axis=1)
+        _, first, which = np.unique(packed, axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        cut = np.searchsorted(which.ravel()[order], np.arange(len(first) + 1))
+        for k, x in enumerate(first):
+            yield masks[x], rows[order[cut[k] : cut[k + 1]]]
+
+    rows = np.arange(len(weights))
+    for step in range(removals if len(edges) else 0):
+        more = [rows[:0]]
+        for mask, own in groups(rows, kept[rows]) if len(rows) else ():
+            if not mask.any():
+                continue
+            together, left, across = shape(mask)
+            v = value[np.ix_(own, together)]
+            over = (v >= cutoff).any(axis=1)
+            own, v = own[over], v[over]
+            if not len(own):
+                continue
+            count = len(together) - across.sum(axis=1)
+            with np.errstate(invalid="ignore"):
+                cut = v @ across.T if np.isfinite(v).all() else np.stack([v[:, e > 0].sum(axis=1) for e in across], axis=1)
+                mean = np.where(count > 0, (v.sum(axis=1, keepdims=True) - cut) / np.maximum(count, 1), 0.0)
+            out = left[np.where(np.isnan(mean), np.inf, mean).argmin(axis=1)]
+            kept[own, out] = False
+            gone[own, step] = out
+            more.append(own)
+        rows = np.concatenate(more)
+    for step in range(removals):
+        rows = np.flatnonzero(gone[:, step] >= 0)
+        if not len(rows):
+            break
+        masks = kept[rows]
+        masks[np.arange(len(rows)), gone[rows, step]] = True
+        for mask, own in groups(rows, masks):
+            back = own[(value[np.ix_(own, shape(mask)[0])] < cutoff).all(axis=1)]
+            kept[back, gone[back, step]] = True
+    return kept
+
+
+def _codes(*columns: pa.Array) -> list[np.ndarray]:
+    """Numbers in the order of the ids."""
+    if pa.types.is_integer(columns[0].type):
+        return [c.to_numpy(zero_copy_only=False) for c in columns]
+    values = pc.unique(pa.concat_arrays(columns))
+    values = values.take(pc.array_sort_indices(values))
+    return [pc.index_in(c, values).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def _pruned(batches, cutoff: float, removals: int, names: list[str]):
+    """Kept edges of the components of each batch: (component, pairs), pairs as lists of (lo, hi, weight, edge)."""
+    for batch in batches:
+        lists_ = batch.column(1)
+        many = np.diff(lists_.offsets.to_numpy())
+        flat = lists_.flatten()
+        if not len(flat):
+            continue
+        lo, hi, weight, edge = flat.flatten()
+        own = np.repeat(np.arange(len(many)), many)
+        a, b = _codes(lo, hi)
+        node = np.lexsort((np.concatenate([a, b]), np.concatenate([own, own])))
+        c, v = np.concatenate([own, own])[node], np.concatenate([a, b])[node]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (v[1:] != v[:-1])])
+        number = np.cumsum(new) - 1
+        first = np.zeros(len(many), int)
+        first[c[::-1]] = number[::-1]  # of each component's nodes
+        size = np.bincount(c[new], minlength=len(many))
+        rank = np.empty(len(node), int)
+        rank[node] = number - first[c]
+        x, y = rank[: len(own)], rank[len(own) :]
+        w, e = weight.to_numpy(zero_copy_only=False).astype(float), edge.to_numpy(zero_copy_only=False).astype(bool)
+        order = np.lexsort((y, x, e, own))
+        # a repeated pair counts once
+        k = np.stack([own, e, x, y])[:, order]
+        order = order[np.concatenate([(k[:, 1:] != k[:, :-1]).any(axis=0), [True]])]
+        own, x, y, e, w = own[order], x[order], y[order], e[order], w[order]
+        cut = np.searchsorted(own, np.arange(len(many) + 1))
+        mark = np.stack([e, x, y], axis=1).astype(np.int32)
+        alike: dict[tuple, list[int]] = {}
+        for k, (p, q) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            if q > p:
+                alike.setdefault((int(size[k]), mark[p:q].tobytes()), []).append(k)
+        hits = []
+        for (n, _), some in alike.items():
+            p = cut[some[0]]
+            is_edge = e[p : cut[some[0] + 1]]
+            at = cut[some][:, None] + np.arange(len(is_edge))
+            xy = np.stack([x, y], axis=1)[p : p + len(is_edge)]
+            measured = w[at[:, ~is_edge]]
+            if is_edge.all():
+                pairs, measured = xy, np.where(np.isnan(w[at]), np.inf, w[at])
+            else:
+                pairs = xy[~is_edge]
+            kept = prune_alike(n, xy[is_edge], pairs, measured, cutoff, removals)
+            hits.append(at[:, is_edge][kept])
+        hit = np.sort(np.concatenate(hits))
+        back = pa.array(order[hit])
+        got = pa.array(np.where(np.isnan(w[hit]), np.inf, w[hit]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own[hit])), lo.take(back), hi.take(back), got], names=names)
+
+
+def pruned_lists(components: DataFrame, cutoff: float = GATES[0.999], removals: int = 20) -> DataFrame:
+    """(component, pairs), a row a component with its pairs as structs (lo, hi, weight, edge) -> kept edges.
+
+    A pair that is an edge and measured comes twice.  Components of one shape are settled together in Arrow batches.
+    """
+    kind = components.schema["component"].dataType.simpleString()
+    lo = components.schema["pairs"].dataType.elementType["lo"].dataType.simpleString()
+    names = ["component", "lo", "hi", "weight"]
+    return components.select("component", "pairs").mapInArrow(lambda batches: _pruned(batches, cutoff, removals, names), f"component {kind}, lo {lo}, hi {lo}, weight double")
+
+
 def pruned_edges(edges: DataFrame, weights: DataFrame, cutoff: float = GATES[0.999], removals: int = 20) -> DataFrame:
     """edges (component, lo, hi, weight) and measured weights of all pairs (component, lo, hi, weight) -> kept edges.
 
-    A component is a handful of tracks; each one is settled in a grouped Python call.
+    A component is a handful of tracks.
     """
-    both = edges.select("component", "lo", "hi", "weight", F.lit(True).alias("edge")).unionByName(weights.select("component", "lo", "hi", "weight", F.lit(False).alias("edge")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = {(r.lo, r.hi): float(r.weight) if pd.notna(r.weight) else math.inf for r in pdf[pdf.edge].itertuples()}
-        w = {(r.lo, r.hi): float(r.weight) if pd.notna(r.weight) else None for r in pdf[~pdf.edge].itertuples()}
-        nodes = sorted({n for k in [*e, *w] for n in k})
-        kept = prune(nodes, e, w or dict(e), cutoff, removals)
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "lo": [a for a, _ in kept], "hi": [b for _, b in kept], "weight": [e[k] for k in kept]})
-
-    kind = edges.schema["component"].dataType.simpleString()
-    lo = edges.schema["lo"].dataType.simpleString()
-    return both.groupBy("component").applyInPandas(run, f"component {kind}, lo {lo}, hi {lo}, weight double")
+    row = lambda d, edge: d.select("component", F.struct("lo", "hi", F.col("weight").cast("double").alias("weight"), F.lit(edge).alias("edge")).alias("p"))
+    both = row(edges, True).unionByName(row(weights, False))
+    return pruned_lists(both.groupBy("component").agg(F.collect_list("p").alias("pairs")), cutoff, removals)

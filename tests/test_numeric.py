@@ -593,3 +593,23 @@ def test_solution_reads_its_points_once_and_rounds_have_no_joins(spark, monkeypa
     got = probe.solved(df, lanes, "ip", ["i"], "x", "y", "h").first()
     assert abs(got["angle"]) < 0.01 and got["loss"] < 0.3
     assert len(plans) == 7 and not any("Join" in p or "Generate" in p for p in plans)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_pruned_together_equal_one_by_one(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges, weights, want = [], [], set()
+    for c in range(60):
+        nodes = sorted(rng.choice(40, size=int(rng.integers(2, 6 + seed)), replace=False).tolist())
+        pairs = [(f"t{100 * c + a:05}", f"t{100 * c + b:05}") for a in nodes for b in nodes if a < b]
+        e = {p: float(rng.integers(0, 30)) for p in pairs if rng.random() < 0.7}
+        w = {p: None if rng.random() < 0.1 else float(rng.integers(0, 30)) for p in pairs if rng.random() < 0.8} if c % 5 else {}
+        edges += [(c, *p, x) for p, x in e.items()]
+        weights += [(c, *p, x) for p, x in w.items()]
+        kept = assoc.prune(sorted({n for k in [*e, *w] for n in k}), e, w or dict(e), 12.0, 6) if e or w else []
+        want |= {(c, *p, e[p]) for p in kept}
+    schema = "component long, lo string, hi string, weight double"
+    out = assoc.pruned_edges(spark.createDataFrame(edges, schema), spark.createDataFrame(weights, schema), 12.0, 6)
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no Python call for each component
