@@ -85,7 +85,7 @@ def solved(points: DataFrame, lanes: DataFrame, sensor: str, ident: Sequence[str
     halves its width; one row a sensor reaches the driver.  The loss is that of ``calibrate``, whose least value so far is
     among the candidates of every round, so it never grows.
     """
-    points = saved(weighed(points.where(F.col(sensor).isNotNull()), sensor, x, y, heading))
+    points, near = saved(weighed(points.where(F.col(sensor).isNotNull()), sensor, x, y, heading)), near_lanes(lanes, bound)
     best = [(r[0], 0.0, 0.0, 0.0, None) for r in points.select(sensor).distinct().collect()]  # a row a sensor
     wide, far, spark = float(np.radians(turn)), shift, points.sparkSession
     inside = lambda v, limit: max(min(v, limit), -limit)
@@ -93,7 +93,7 @@ def solved(points: DataFrame, lanes: DataFrame, sensor: str, ident: Sequence[str
         a, d = wide / 2**n, far / 2**n
         cells = [(i * a / 2, j * d, m * d) for i in (-2, -1, 0, 1, 2) for j in (-1, 0, 1) for m in (-1, 0, 1)]
         tried = {s: sorted({(inside(a0 + p, wide), inside(x0 + q, far), inside(y0 + r, far)) for p, q, r in cells}) for s, a0, x0, y0, _ in best}
-        loss = losses(points, tried.__getitem__, lanes, sensor, x, y, heading, angle_gate, bound)
+        loss = losses(points, tried.__getitem__, near, sensor, x, y, heading, angle_gate, bound)
         least = F.min(F.struct("loss", F.abs(F.col("a")).alias("t"), "a", "dx", "dy")).alias("b")
         best = [tuple(r) for r in loss.groupBy(sensor).agg(least).select(sensor, "b.a", "b.dx", "b.dy", "b.loss").collect()]
     return spark.createDataFrame(best, f"{sensor} {points.schema[sensor].dataType.simpleString()}, angle double, dx double, dy double, loss double")
@@ -109,15 +109,23 @@ class Near:
     """Lane points that can be the nearest one within the bound, for every square of a fine grid.
 
     Of lane points of one heading those go that are farther from all of a square than another one is from any of it, so
-    whatever headings a gate allows, the nearest of those is among the rest.
+    whatever headings a gate allows, the nearest of those is among the rest.  Points that follow each other evenly on a line
+    under one heading need no squares: a projection tells which of them is the nearest.
     """
 
+    STRAIGHT, LEAST = 8, 32  # so many lines at most, with so many points at least
+
     def __init__(self, x: np.ndarray, y: np.ndarray, angle: np.ndarray, bound: float, cuts: int = 8):
         self.x, self.y, self.angle, self.bound, self.width = x, y, angle, bound, bound / cuts
+        self.lines = self._lines()
+        rest = np.ones(len(x), bool)
+        for a, b in self.lines:
+            rest[a:b] = False
+        rest = np.flatnonzero(rest)
         w, reach = self.width, np.arange(-cuts - 1, cuts + 2)
         keys, pts = [], []
-        for k in range(0, len(x), 4096):
-            i, gx, gy = (v.ravel() for v in np.meshgrid(np.arange(k, min(k + 4096, len(x))), reach, reach, indexing="ij"))
+        for k in range(0, len(rest), 4096):
+            i, gx, gy = (v.ravel() for v in np.meshgrid(rest[k : k + 4096], reach, reach, indexing="ij"))
             gx, gy = gx + np.floor(x[i] / w), gy + np.floor(y[i] / w)
             near = self._apart(i, gx, gy)[0] <= bound * (1 + 1e-9)
             keys.append(np.stack([gx[near], gy[near]], axis=1))
@@ -137,6 +145,21 @@ class Near:
         self.points = i[order]
         self.keys, self.first, self.count = np.unique(at[order], return_index=True, return_counts=True)
 
+    def _lines(self) -> list[tuple[int, int]]:
+        """First and last index of the longest stretches of even steps and one heading; none where there are too many."""
+        if len(self.x) < self.LEAST:
+            return []
+        dx, dy = np.diff(self.x), np.diff(self.y)
+        scale = 1e-9 * (1 + np.abs(self.x).max() + np.abs(self.y).max()) / max(len(self.x), 1)
+        turn = (np.abs(np.diff(dx)) > scale) | (np.abs(np.diff(dy)) > scale) | (self.angle[1:-1] != self.angle[:-2])
+        out, edge = [], [0, *(np.flatnonzero(turn) + 1).tolist(), len(self.x) - 1]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):  # steps a to b - 1 are even
+            b += self.angle[b] == self.angle[a]  # the last point of a stretch may have the next one's heading
+            a = max(a, out[-1][1]) if out else a
+            if b - a >= self.LEAST and np.hypot(dx[a], dy[a]) > 1e-6 and (self.angle[a:b] == self.angle[a]).all():
+                out.append((a, int(b)))
+        return out if len(out) <= self.STRAIGHT else []
+
     def _apart(self, i, gx, gy) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest distance of lane points from squares."""
         dx, dy = np.abs(self.x[i] / self.width - gx - 0.5), np.abs(self.y[i] / self.width - gy - 0.5)
@@ -148,6 +171,16 @@ class Near:
     def distance(self, x: np.ndarray, y: np.ndarray, heading: np.ndarray, gate: float) -> np.ndarray:
         """Distance of each place to the nearest lane point of a heading within the gate (radians); infinite beyond the bound."""
         out = np.full(len(x), np.inf)
+        for a, b in self.lines:
+            sx, sy = (self.x[b - 1] - self.x[a]) / (b - 1 - a), (self.y[b - 1] - self.y[a]) / (b - 1 - a)
+            at = np.rint(((x - self.x[a]) * sx + (y - self.y[a]) * sy) / (sx * sx + sy * sy))
+            at = a + np.where(np.isfinite(at), np.clip(at, 0, b - 1 - a), 0).astype(np.int64)
+            off = heading - self.angle[a]
+            d2 = (x - self.x[at]) ** 2 + (y - self.y[at]) ** 2
+            ok = (np.abs(off - 2 * np.pi * np.round(off / (2 * np.pi))) <= gate) & (d2 <= self.bound * self.bound)
+            out = np.minimum(out, np.sqrt(np.where(ok, d2, np.inf)))
+        if not len(self.keys):
+            return out
         gx, gy = np.floor(x / self.width), np.floor(y / self.width)
         on = np.flatnonzero((gx >= self.low[0]) & (gx < self.low[0] + self.size[0]) & (gy >= self.low[1]) & (gy < self.low[1] + self.size[1]))
         key = self._key(gx[on], gy[on])
@@ -163,24 +196,29 @@ class Near:
         off = heading[row] - self.angle[lane]
         d2 = (x[row] - self.x[lane]) ** 2 + (y[row] - self.y[lane]) ** 2
         d2[~((np.abs(off - 2 * np.pi * np.round(off / (2 * np.pi))) <= gate) & (d2 <= self.bound * self.bound))] = np.inf
-        out[on] = np.sqrt(np.minimum.reduceat(d2, start))
+        out[on] = np.minimum(out[on], np.sqrt(np.minimum.reduceat(d2, start)))
         return out
 
 
-def losses(points: DataFrame, tried: Callable[[object], Sequence[tuple[float, float, float]]], lanes: DataFrame, sensor: str, x: str, y: str, heading: str, angle_gate: float, bound: float) -> DataFrame:
+def near_lanes(lanes: DataFrame, bound: float) -> Near:
+    """Lanes are configuration: their points reach the driver once and go along with the tasks."""
+    return Near(*lanes.select("x_lane", "y_lane", "angle").toPandas().to_numpy(float).T, bound)
+
+
+def losses(points: DataFrame, tried: Callable[[object], Sequence[tuple[float, float, float]]], lanes: DataFrame | Near, sensor: str, x: str, y: str, heading: str, angle_gate: float, bound: float) -> DataFrame:
     """(sensor, k, a, dx, dy, loss) for the candidates (a, dx, dy) that ``tried`` has for a sensor: the mean distance plus the
     share of points without a lane.
 
     Candidates meet the points in Arrow batches, and a task gives one row for each sensor and candidate, so nothing is
-    multiplied by their number.  Equal points count at once.  Lanes are configuration and go along with the tasks.
+    multiplied by their number.  Equal points count at once.
     """
     if "__n" not in points.columns:
         points = weighed(points, sensor, x, y, heading)
-    table = lanes.select("x_lane", "y_lane", "angle").toPandas().to_numpy(float)
+    shared = points.sparkSession.sparkContext.broadcast(lanes if isinstance(lanes, Near) else near_lanes(lanes, bound))
     gate, block = float(np.radians(angle_gate)), 200_000
 
     def run(batches):
-        near, got = Near(*table.T, bound), {}
+        near, got = shared.value, {}
         for batch in batches:
             pdf = batch.to_pandas()
             for name, own in pdf.groupby(sensor, dropna=False, sort=False):

@@ -613,3 +613,21 @@ def test_components_pruned_together_equal_one_by_one(spark, seed):
     got = [tuple(r) for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no Python call for each component
+
+
+def test_straight_lanes_need_no_squares():
+    from corridor.operators import probe
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.arange(-20.0, 521.0), np.linspace(520, 300, 221), 520 + np.cumsum(rng.uniform(0.5, 1, 40))])
+    y = np.concatenate([np.full(541, 50.0), np.full(221, 53.0), 50 + np.cumsum(rng.uniform(0, 1, 40))])
+    angle = np.concatenate([np.zeros(541), np.full(221, np.pi), rng.uniform(0, 1, 40)])
+    near = probe.Near(x, y, angle, 6.0)
+    assert near.lines == [(0, 541), (541, 762)] and near.points.min() >= 762  # squares for the bend alone
+    px, py, h = rng.uniform(-30, 580, 4000), rng.uniform(40, 90, 4000), rng.uniform(-0.4, 0.4, 4000) + np.pi * rng.integers(0, 2, 4000)
+    d = np.hypot(px[:, None] - x, py[:, None] - y)
+    off = h[:, None] - angle
+    d[(np.abs(np.arctan2(np.sin(off), np.cos(off))) > np.radians(10)) | (d > 6)] = np.inf
+    got = near.distance(px, py, h, np.radians(10))
+    assert 100 < np.isfinite(got).sum() < 3000
+    np.testing.assert_allclose(got, d.min(axis=1), atol=1e-9)
