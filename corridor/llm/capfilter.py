@@ -311,11 +311,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                     names, col, often = np.unique(flat[smaller], return_inverse=True, return_counts=True)
                     shared = often > 1
                     col, whose = col[shared[col]], whose[smaller][shared[col]]
-                    seen = np.zeros((len(linked), int(shared.sum())), dtype=np.float32)
-                    seen[whose, (np.cumsum(shared) - 1)[col]] = 1
-                    p, q = both[: len(u)], both[len(u) :]
-                    step = max(64, (1 << 22) // max(1, seen.shape[1]))
-                    before = (seen @ seen.T)[p, q] > 0 if len(u) > 4 * len(linked) else np.concatenate([np.einsum("ij,ij->i", seen[p[k : k + step]], seen[q[k : k + step]]) for k in range(0, len(u), step)]) > 0
+                    seen = np.zeros((len(linked), -(-int(shared.sum()) // 64) * 64), bool)
+                    seen[whose, (np.cumsum(shared) - 1)[col]] = True
+                    bits = np.packbits(seen, axis=1).view(U64)
+                    p, q, step = both[: len(u)], both[len(u) :], (1 << 20) // max(1, seen.shape[1] // 64) + 1
+                    before = np.concatenate([(bits[p[k : k + step]] & bits[q[k : k + step]]).any(axis=1) for k in range(0, len(u), step)])
                     u, w = u[~before], w[~before]
                 n_ = np.bincount(u, weights=mult[at[w]], minlength=len(at)) + np.bincount(w, weights=mult[at[u]], minlength=len(at))
                 hit = np.flatnonzero(n_)
