@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,51 @@ def test_overlap_needs_a_positive_length(spark):
     assert {(r.id, r.id_other) for r in pairs.overlapping(df, ["g"], "id", "b", "e").collect()} == {(1, 3), (2, 3)}
 
 
+def _interval_table(spark):
+    """Some 100 intervals of all lengths, equal begins and repeated identities among them, and 900 instants."""
+    rng = np.random.default_rng(4)
+    long = [(int(rng.integers(0, 3)), int(rng.integers(0, 60)), int(x), int(x + rng.integers(1, 4000))) for x in rng.integers(0, 9000, 100) // 50 * 50]
+    rows = [*long, *((k % 3, 100 + k, 10 * k, 10 * k) for k in range(900)), (0, 2000, 500, 400), (None, 2001, 0, 9000), (1, None, 0, 9000)]
+    return rows, spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "row int, g int, id int, b int, e int")
+
+
+def test_overlaps_equal_brute_force(spark):
+    rows, df = _interval_table(spark)
+    want = sorted(
+        (g, i, j, x[0], y[0], max(x[1], y[1]), min(x[2], y[2]))
+        for k, (g, i, *_) in enumerate(rows)
+        for m, (h, j, *_) in enumerate(rows)
+        if g is not None and g == h and i is not None and j is not None and i < j
+        for x, y in [((k, *rows[k][2:]), (m, *rows[m][2:]))]
+        if min(x[2], y[2]) > max(x[1], y[1])
+    )
+    got = pairs.overlapping(df, ["g"], "id", "b", "e").collect()
+    assert sorted((r.g, r.id, r.id_other, r.row, r.row_other, r.overlap_begin, r.overlap_end) for r in got) == want and len(want) > 300
+    assert all((r.b, r.e, r.b_other, r.e_other) == (*rows[r.row][2:], *rows[r.row_other][2:]) for r in got)
+
+
+def test_overlaps_send_no_instants(spark):
+    _, df = _interval_table(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pairs.overlapping(df, ["g"], "id", "b", "e")
+        out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    todo, sent = [out._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        if (m := p.metrics().get("shuffleRecordsWritten")).isDefined():
+            sent.append(m.get().value())
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            todo.append(p.executedPlan() if name == "AdaptiveSparkPlanExec" else p.plan())
+        else:
+            todo += [p.children().apply(k) for k in range(p.children().size())]
+    assert len(sent) == 2 and sum(sent) < 1000, sent  # some 100 begins, and 100 intervals in five cells or so
+
+
 def test_gate_remembers_the_first_time_below(spark):
     data = [(1, 2, T0 + dt.timedelta(seconds=i), d) for i, d in enumerate([9.0, 1.0, 1.0, 1.0])]
     g = pairs.gate(spark.createDataFrame(data, "a int, b int, ts timestamp_ntz, d double"), "a", "b", "ts", "d", 4.0, 2).first()
