@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.writers import discard, saved, shared_dir
 
-__all__ = ["crc_class", "discard", "free", "lists", "one_core_each", "parts", "saved", "shared_dir", "table", "whole"]
+__all__ = ["crc_class", "discard", "free", "lists", "memory_stays", "one_core_each", "parts", "saved", "shared_dir", "table", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def one_core_each(spark: SparkSession) -> None:
         spark.sparkContext.environment[name] = "1"
 
 
+def memory_stays(spark: SparkSession) -> None:
+    """From now on Python workers keep up to 64 MB that arrays gave back, rather than fetch it anew for each product."""
+    spark.sparkContext.environment.update({"MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20)})
+
+
 def free(df: DataFrame, *names: str) -> DataFrame:
     """df, if it has none of the names that an operator is about to add (whatever their case); otherwise a ValueError."""
     taken = {c.lower() for c in df.columns} & {n.lower() for n in names}

@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BYTE_LOWER, LOWER, U64, buffers, chunks, mix, prefix, substring, words
-from .common import crc_class, one_core_each, parts, saved, whole
+from .common import crc_class, memory_stays, one_core_each, parts, saved, whole
 
 SHAPES, WIDTH, CONTEXT, LEAST = 256, 32, 5, 20
-NOISE, WORD_NOISE, BATCH, TILE, RATE = 48, 16, 16_384, 1024, 0.25
+NOISE, WORD_NOISE, BATCH, TILE, RATE = 48, 16, 16_384, 256, 0.25
 FIRST_DOCS, PASSES, SHARD = 1000, 4, 16 << 20
+STEP = 2048
 END_KEY = U64(0x1F3D5B79)
 F32 = np.float32
 
@@ -104,7 +105,11 @@ def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In the place of ``x``; far above zero it is 1 in single precision anyway."""
+    np.minimum(np.negative(x, out=x), 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Bilinear:
@@ -131,10 +136,12 @@ class Bilinear:
         return out
 
     def _step(self, name: str, rows: np.ndarray, g: np.ndarray) -> None:
-        """Gradient ascent, each row's step falling with the sum of its squared gradients."""
+        """Gradient ascent, each row's step falling with the sum of its squared gradients; ``g`` is overwritten."""
         s, p = self.squares[name], getattr(self, name)
-        s[rows] += (g * g).sum(axis=1)
-        p[rows] += (RATE / np.sqrt(s[rows]))[:, None] * g
+        now = s[rows] + np.einsum("ij,ij->i", g, g)
+        s[rows] = now
+        g *= (RATE / np.sqrt(now))[:, None]
+        p[rows] += g
         self.updates[name][rows] += 1
 
     def query(self, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -145,10 +152,14 @@ class Bilinear:
         """
         got, n = self.e[row], len(row) - CONTEXT
         q = np.ones((n, WIDTH + 1), F32)
-        sums, bare = q[:, :-1], []
-        np.multiply(got[CONTEXT - 1 : CONTEXT - 1 + n], self.a[0], out=sums)
-        for k in range(1, CONTEXT):
-            sums += got[CONTEXT - k - 1 : CONTEXT - k - 1 + n] * self.a[k]
+        sums, bare, term, total = q[:, :-1], [], np.empty((STEP, WIDTH), F32), np.empty((STEP, WIDTH), F32)
+        for x in range(0, n, STEP):  # parts that stay in the processor's cache
+            m = min(STEP, n - x)
+            t, z = term[:m], total[:m]
+            np.multiply(got[x + CONTEXT - 1 : x + CONTEXT - 1 + m], self.a[0], out=z)
+            for k in range(1, CONTEXT):
+                z += np.multiply(got[x + CONTEXT - k - 1 : x + CONTEXT - k - 1 + m], self.a[k], out=t)
+            sums[x : x + m] = z
         early = np.flatnonzero(place < CONTEXT)
         for k in range(CONTEXT):
             bare.append(early[place[early] <= k])
@@ -170,40 +181,62 @@ class Bilinear:
         dq = up[:, None] * own
         dq -= down @ other
         edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
-        # words within their classes: noise in common for each class
+        # words within their classes: noise in common for each class; classes share no words, so one step does for all
         draw = rng.random((v.word_classes, WORD_NOISE))
-        for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(cls)], strict=True):
-            c = cls[x]
-            if c >= v.word_classes or v.first[c + 1] - v.first[c] < 2:
-                continue
+        spans = [(x, y, c) for x, y, c in zip(edge.tolist(), [*edge[1:].tolist(), len(cls)], cls[edge].tolist(), strict=True) if c < v.word_classes]
+        last = spans[-1][1] if spans else 0  # classes of words come first
+        spans = [(x, y, c) for x, y, c in spans if v.first[c + 1] - v.first[c] > 1]
+        if spans:
+            c = np.array([c for _, _, c in spans])
             lo, hi = v.first[c], v.first[c + 1]
-            base = v.word_cum[lo - 1] if lo else 0.0
-            fake = np.searchsorted(v.word_cum[lo:hi], base + draw[c] * (v.word_cum[hi - 1] - base)).clip(max=hi - lo - 1) + lo
-            r, here = row[x:y], q[x:y]
-            true, false = self.t[r], self.t[fake]
+            base = np.where(lo > 0, v.word_cum[lo - 1], 0.0)
+            fake = np.searchsorted(v.word_cum, base[:, None] + draw[c] * (v.word_cum[hi - 1] - base)[:, None])
+            fake = np.clip(fake, lo[:, None], hi[:, None] - 1)
+            false, offset = self.t[fake], self.word_offset[fake]
+            r, here, true = row[:last], q[:last], self.t[row[:last]]
             up1 = 1 - _sigmoid(np.einsum("ij,ij->i", here, true) - self.word_offset[r])
-            down1 = _sigmoid(here @ false.T - self.word_offset[fake])
-            dq[x:y] += up1[:, None] * true - down1 @ false
-            self._step("t", *_summed(np.concatenate([r, fake]), np.concatenate([up1[:, None] * here, -(down1.T @ here)])))
+            down1 = np.zeros((last, WORD_NOISE), F32)
+            for k, (x, y, _) in enumerate(spans):
+                np.subtract(here[x:y] @ false[k].T, offset[k], out=down1[x:y])
+            down1 = _sigmoid(down1)
+            g = np.empty((last + fake.size, WIDTH + 1), F32)
+            g_false = g[last:].reshape(false.shape)
+            for k, (x, y, _) in enumerate(spans):
+                np.matmul(down1[x:y].T, here[x:y], out=g_false[k])
+                dq[x:y] -= down1[x:y] @ false[k]
+            g[last:] *= -1
+            np.multiply(up1[:, None], here, out=g[:last])
+            true *= up1[:, None]
+            at = slice(last)
+            if sum(y - x for x, y, _ in spans) < last:  # a class of one word has nothing to learn
+                at = np.concatenate([np.arange(x, y) for x, y, _ in spans])
+                g = np.concatenate([g[at], g[last:]])
+            dq[at] += true[at]
+            self._step("t", *_summed(np.concatenate([r[at], fake.ravel()]), g))
         more = _summed(noise, -(down.T @ q))
         self._step("u", cls[edge], np.add.reduceat(up[:, None] * q, edge, axis=0))
         self._step("u", *more)
         # back to the order of the text, where each row's vector gets what all tokens behind it say
         back = np.empty((len(order), WIDTH), F32)
         back[order] = dq[:, :-1]
-        n, g, ends = len(back), np.zeros_like(got), np.zeros(WIDTH, F32)
-        da = np.empty_like(self.a)
-        for k in range(CONTEXT):
-            own = slice(CONTEXT - k - 1, CONTEXT - k - 1 + n)
-            da[k] = np.einsum("ij,ij->j", back, got[own])
-            part = back * self.a[k]
-            if len(bare[k]):
-                da[k] += (back[bare[k]] * (self.e[v.end] - got[own][bare[k]])).sum(axis=0)
-                ends += part[bare[k]].sum(axis=0)
-                part[bare[k]] = 0
-            g[own] += part
+        n, g = len(back), np.zeros((len(got) + 1, WIDTH), F32)  # the last row is the end's, before beginnings of documents
+        da, term = np.zeros_like(self.a), np.empty((STEP, WIDTH), F32)
+        for x in range(0, n, STEP):
+            some = back[x : x + STEP]
+            part = term[: len(some)]
+            for k in range(CONTEXT):
+                own = slice(x + CONTEXT - k - 1, x + CONTEXT - k - 1 + len(some))
+                da[k] += np.einsum("ij,ij->j", some, got[own])
+                np.multiply(some, self.a[k], out=part)
+                lo, hi = np.searchsorted(bare[k], (x, x + len(some)))
+                if lo < hi:
+                    at = bare[k][lo:hi] - x
+                    da[k] += (some[at] * (self.e[v.end] - got[own][at])).sum(axis=0)
+                    g[-1] += part[at].sum(axis=0)
+                    part[at] = 0
+                g[own] += part
         used = np.append(around, v.end)
-        self._step("e", *_summed(used, np.concatenate([g, ends[None]])))
+        self._step("e", *_summed(used, g))
         self._step("a", np.arange(CONTEXT), da)
 
     def log_probs(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -213,13 +246,14 @@ class Bilinear:
         """
         out, v = np.empty(len(row)), self.v
         around = np.concatenate([np.full(CONTEXT, v.end), row])
+        room = np.empty(TILE * max(v.classes, np.diff(v.first).max(initial=0)), F32)  # new room for each tile would take longer than the product
         for k in range(0, len(row), 4 * BATCH):
             r = row[k : k + 4 * BATCH]
             q, cls = self.query(around[k : k + CONTEXT + len(r)], place[k : k + len(r)])[0], v.cls[r]
             got = np.empty(len(r))
             for j in range(0, len(r), TILE):
                 own = slice(j, j + TILE)
-                got[own] = _log_softmax(q[own], self.u, cls[own])
+                got[own] = _log_softmax(q[own], self.u, cls[own], room)
             order = np.argsort(cls, kind="stable")
             edge = np.searchsorted(cls[order], np.arange(v.word_classes + 1))
             for c in np.flatnonzero(np.diff(edge)):
@@ -227,19 +261,22 @@ class Bilinear:
                 at = order[edge[c] : edge[c + 1]]
                 for j in range(0, len(at) if hi - lo > 1 else 0, TILE):
                     some = at[j : j + TILE]
-                    got[some] += _log_softmax(q[some], self.t[lo:hi], r[some] - lo)
+                    got[some] += _log_softmax(q[some], self.t[lo:hi], r[some] - lo, room)
             out[k : k + 4 * BATCH] = got
         return out
 
 
-def _log_softmax(q: np.ndarray, vectors: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """``q`` with a last column of ones."""
-    z = q @ vectors.T
-    top = z.max()
-    if top > 60:  # beyond what the exponential holds in single precision
-        z -= z.max(axis=1, keepdims=True)
+def _log_softmax(q: np.ndarray, vectors: np.ndarray, which: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """``q`` with a last column of ones; ``room`` holds as many numbers as there are rows and vectors, or more."""
+    z = np.matmul(q, vectors.T, out=room[: len(q) * len(vectors)].reshape(len(q), len(vectors)))
     own = z[np.arange(len(z)), which].astype(np.float64)
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    with np.errstate(over="ignore"):
+        total = np.exp(z, out=z) @ np.ones(len(vectors), F32)
+    if not (1e-30 < total.min() and total.max() < 1e30):  # beyond what the exponential holds in single precision
+        z = q @ vectors.T
+        top = z.max(axis=1, keepdims=True)
+        return own - top[:, 0] - np.log(np.exp(z - top).sum(axis=1))
+    return own - np.log(total)
 
 
 class Stream:
@@ -304,6 +341,7 @@ def scores(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_
     Learns from documents whose crc32(id as text) modulo ``modulus`` is not ``held``; a null id counts as held out.
     """
     one_core_each(docs.sparkSession)
+    memory_stays(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = parts(docs, "text", 8)
     docs = docs.withColumn("held_out", F.coalesce(crc_class("doc_id", modulus) == held, F.lit(True)))

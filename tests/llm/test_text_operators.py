@@ -478,6 +478,34 @@ def test_language_model_gradient_of_contexts():
     np.testing.assert_allclose((step * m.e).sum(axis=0), total, rtol=1e-3, atol=1e-3)  # both are the sum of dq * a_k * e over tokens and places
 
 
+def test_language_model_steps_once_for_all_classes():
+    """A batch updates the words of all classes together, each as often as it is met; a class of one word learns nothing."""
+    v, row, count = toy_model(4, 60, 3000)
+    v = lm.Vocabulary(v.keys, np.r_[9000, 400 - np.arange(59)], v.tail, v.kinds, 50)
+    alone = np.flatnonzero(np.diff(v.first) == 1)
+    assert 0 < len(alone) < v.word_classes
+    m, steps = lm.Bilinear(v), []
+    before, step = m.t.copy(), m._step
+    m._step = lambda name, rows, g: (steps.append((name, rows.copy())), step(name, rows, g))
+    m.train(np.concatenate([np.full(lm.CONTEXT, v.end), row]), lm.places(count), np.random.default_rng(1))
+    assert [x for x, _ in steps] == ["t", "u", "u", "e", "a"]
+    rows = steps[0][1]
+    assert set(row[row < v.size]) - set(v.first[alone]) <= set(rows.tolist()) and len(set(rows.tolist())) == len(rows)
+    assert not set(v.cls[rows]) & set(alone.tolist()) and (m.t[v.first[alone]] == before[v.first[alone]]).all()
+
+
+@pytest.mark.parametrize("shift", [-200, -40, 0, 40, 200])
+def test_language_model_takes_scores_of_any_size(shift):
+    """Sums of exponentials that single precision cannot hold, too large and too small."""
+    rng = np.random.default_rng(0)
+    q, vectors = rng.normal(0, 2, (9, lm.WIDTH + 1)).astype(np.float32), rng.normal(0, 1, (20, lm.WIDTH + 1)).astype(np.float32)
+    q[:, -1], vectors[:, -1] = 1, vectors[:, -1] + shift
+    z = q.astype(float) @ vectors.T.astype(float)
+    want = z[np.arange(9), 3] - z.max(axis=1) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1))
+    m = lm._log_softmax(q, vectors, np.full(9, 3), *([np.empty(180, np.float32)] if lm._log_softmax.__code__.co_argcount > 3 else []))
+    np.testing.assert_allclose(m, want, atol=1e-3)
+
+
 def naive_contexts(v, row, count):
     out, first = [], 0
     for n in count:
