@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.writers import discard, saved, shared_dir
 
-__all__ = ["crc_class", "discard", "free", "lists", "memory_stays", "one_core_each", "parts", "saved", "shared_dir", "table", "whole"]
+__all__ = ["crc_class", "discard", "free", "give_back", "lists", "memory_stays", "one_core_each", "parts", "saved", "shared_dir", "table", "tidy", "whole"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,23 @@ def memory_stays(spark: SparkSession) -> None:
     spark.sparkContext.environment.update({"MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20)})
 
 
+def give_back() -> None:
+    """What this process freed goes back to the system: an executor's workers live on and share one limit with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f for mapInArrow, after whose last batch the worker gives back what it freed."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def free(df: DataFrame, *names: str) -> DataFrame:
     """df, if it has none of the names that an operator is about to add (whatever their case); otherwise a ValueError."""
     taken = {c.lower() for c in df.columns} & {n.lower() for n in names}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import buffers, chunks
 from .common import saved
-from .tokens import vocabulary_path, word_ids
+from .tokens import forget, vocabulary_path, word_ids
 
 AXES, BITS, SLOTS, RANGE, PART = 4, 12, 8192, 1 << 20, 1 << 24
 
@@ -94,6 +94,7 @@ def packed(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, i
     def running(batches):
         from pyspark import TaskContext
 
+        forget()
         here, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             size = batch.column(1).to_numpy()
@@ -109,6 +110,7 @@ def packed(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, i
     before = dict(zip([k for k, _ in totals], np.cumsum([0] + [x for _, x in totals])[:-1].tolist(), strict=True))
 
     def from_start(batches):
+        forget()
         for batch in batches:
             start = np.array([before[k] for k in batch.column(1).to_pylist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(2).to_numpy() + start)], names=["row", "at"])
@@ -117,6 +119,7 @@ def packed(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, i
     both = rows.select("row", "doc_id", "n", "ids").repartition(n, "row").join(starts.hint("merge"), "row").select("doc_id", "n", "ids", "at")
 
     def pieces(batches):
+        forget()
         for batch in batches:
             doc, size, at = (batch.column(k) for k in (0, 1, 3))
             size, at = size.to_numpy(), at.to_numpy()

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import U64, buffers, chunks, mix, prefix, substring
-from .common import parts, saved, whole
+from .common import parts, saved, tidy, whole
 from .rlindex import RunIndex
 
-GRAM, MOST, SLICE, INDEX_SYMBOLS = 32, 255, 16 << 20, 1 << 20
+GRAM, MOST, SLICE, INDEX_SYMBOLS = 32, 255, 16 << 20, 1 << 18
 #: Contents of an anchor beyond which it is split: in a bucket, and beforehand (at least; then at most HOT anchors are).
 MANY, SPLIT, HOT, SHARE = 4096, 512, 1 << 20, 64
 
@@ -184,7 +184,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
 
     # There is an anchor for about every 27 bytes, so at most HOT anchors (8 MB) can have that many contents.
     bound = max(SPLIT, int(total) // (27 * HOT))
-    found = docs.mapInArrow(sampled, "a long, c long").distinct().groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= bound / SHARE).select("a").toArrow()
+    found = docs.mapInArrow(tidy(sampled), "a long, c long").distinct().groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= bound / SHARE).select("a").toArrow()
     hot_anchors = docs.sparkSession.sparkContext.broadcast(np.sort(found.column("a").to_numpy()).view(U64))
 
     def send(batches):
@@ -235,8 +235,8 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
                 out.append(_row(int(y["kind"][p]), int(y["d"][p]), s=y["s"][p:q].tobytes(), nw=y["nw"][p:q].tobytes(), a=y["a"][p:q].tobytes()))
         yield from _emit(out)
 
-    sent = docs.mapInArrow(send, _ROW).repartition(n, "kind", "key")
-    settled = saved(sent.mapInArrow(settle, _ROW))
+    sent = docs.mapInArrow(tidy(send), _ROW).repartition(n, "kind", "key")
+    settled = saved(sent.mapInArrow(tidy(settle), _ROW))
 
     def asked(kind: int) -> DataFrame:
         own = settled.where(F.col("kind") == kind).groupBy(F.col("key").alias("doc_id"))
@@ -254,7 +254,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
                             out[key].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["d"], pa.int64()), pa.array(out["s"], pa.int64()), pa.array(out["nw"], pa.int32()), pa.array(out["seg"], pa.binary())], names=list(out))
 
-    pieces = asked(2).mapInArrow(cut_out, "a long, d long, s long, nw int, seg binary").repartition(n, "a")
+    pieces = asked(2).mapInArrow(tidy(cut_out), "a long, d long, s long, nw int, seg binary").repartition(n, "a")
 
     def mark(batches):
         got = whole(batches)
@@ -287,7 +287,7 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
             p = q
         yield from _emit(out)
 
-    marked = pieces.mapInArrow(mark, _ROW)
+    marked = pieces.mapInArrow(tidy(mark), _ROW)
     both = settled.where("kind = 1").select("key", "s").unionByName(marked.select("key", "s"))
     if not settled.where("kind = 3").isEmpty():
         both = both.unionByName(_first_places(asked(3), size))
@@ -316,11 +316,11 @@ def _first_places(asked: DataFrame, size: int) -> DataFrame:
             ids, got = _by_document(d, s, np.ones(len(s), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(got, pa.binary())], names=["key", "s"])
 
-    rows = saved(asked.mapInArrow(windows, "c long, c2 long, d long, s long"))
+    rows = saved(asked.mapInArrow(tidy(windows), "c long, c2 long, d long, s long"))
     # Written out, so that the join deals out both sides and can split a window that very many documents hold.
     first = saved(rows.groupBy("c", "c2").agg(F.min(F.struct("d", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = rows.join(first, ["c", "c2"]).where(F.struct("d", "s") != F.col("first")).select("d", "s")
-    return later.mapInArrow(blobs, "key long, s binary")
+    return later.mapInArrow(tidy(blobs), "key long, s binary")
 
 
 def _spans(marks: list[bytes] | None, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +357,7 @@ def deduplicated(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(out["t"], pa.binary())] * keep_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(finish, schema)
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(tidy(finish), schema)
 
 
 def cleaned(docs: DataFrame, size: int = 100) -> DataFrame:
@@ -386,4 +386,4 @@ def cleaned(docs: DataFrame, size: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     joined = docs.join(marks, docs["doc_id"].cast("long") == marks["__id"], "left").select(*[docs[c] for c in names], "__marks")
-    return joined.mapInArrow(finish, docs.schema)
+    return joined.mapInArrow(tidy(finish), docs.schema)

@@ -11,6 +11,7 @@ import os
 import numpy as np
 
 from .bytehash import U64, prefix, substring
+from .common import give_back
 
 END, KEPT, SLOTS = 1, 2_000_000, 1 << 22
 #: Stands between words; as one character between spaces it always gives one id of its own.
@@ -118,3 +119,10 @@ def word_ids(path: str) -> WordIds:
     if path not in _memory:
         _memory[path] = WordIds(path)
     return _memory[path]
+
+
+def forget() -> None:
+    """Lets go of every tokenizer and its words; a worker would hold them through the operators that come after."""
+    if _memory:
+        _memory.clear()
+        give_back()

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -198,6 +199,41 @@ def test_suffix_every_period_in_one_document(spark):
     assert digest(suffix.deduplicated(df, size=100)) == removed(rows, 100)
 
 
+def test_suffix_index_of_the_usual_size_takes_little_memory():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, suffix.INDEX_SYMBOLS, dtype=np.uint8)
+    off = np.append(np.arange(0, len(data), 150), len(data))
+    tracemalloc.start()
+    try:
+        rlindex.RunIndex(data, off).repeats(100)
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def resident() -> int:
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_worker_gives_back_what_its_task_freed():
+    def task(batches):
+        held = [np.ones(6000) for _ in range(4000)]  # small enough to lie in the heap
+        kept.append(held[-1])  # at its end, so that nothing before it goes back by itself
+        yield from batches
+
+    kept = []
+    before = resident()
+    assert list(common.tidy(task)([1, 2])) == [1, 2]
+    assert resident() - before < 64 << 20  # of 192 MB
+
+
+def test_tokenizers_are_forgotten():
+    tokens.word_ids(tokens.vocabulary_path())
+    tokens.forget()
+    assert not tokens._memory
+
+
 def test_suffix_repeated_rows_empty_tables_and_cleaning(spark, docs, texts):
     assert suffix.deduplicated(empty(spark)).count() == 0
     t = prose(5, 60)
