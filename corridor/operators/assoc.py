@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.writers import saved
-from .kalman import H
+from .extents import sides
+from .kalman import H, by_track, estimates
 
 R_ASSOC = np.diag([5 / 3, 1.0, 1.5, 1.0])
 
@@ -80,6 +81,49 @@ def loglikelihood(df: DataFrame, into: str = "loglikelihood", suffix: str = "_le
     return _over_places(df, into, suffix, [(a, a) for a in SPOTS], False, likelihoods)
 
 
+MEASURED = ("s", "s_velocity", "d", "d_velocity")
+#: What a step of a track carries beside its measurement, for ``tracked``.
+CARRIED = ("time_diff", "predicted", "missing", "front_off", "back_off", "length_s", "approaching")
+
+
+def tracked(pdf: pd.DataFrame, key: str, order: list[str], dt: str = "time_diff") -> tuple[pd.DataFrame, dict[str, np.ndarray], np.ndarray]:
+    """Rows of whole tracks, with front_s and back_s, their estimates, and their places [row, place, 4] in the order of ``SPOTS``."""
+    rows, got = estimates(pdf, key, order, MEASURED, dt)
+    x = got["x"]
+    front, back = sides(rows, x[:, 0])
+    spots = np.stack([np.stack([s, x[:, 1], x[:, 3], x[:, 4]], axis=1) for s in (x[:, 0], front, back)], axis=1)
+    return rows.assign(front_s=front, back_s=back), got, spots
+
+
+def pair_distances(steps: DataFrame, pairs: DataFrame, follower: str, leader: str) -> DataFrame:
+    """``association_distance`` of pairs of tracks at all times that they share on a lane: kalman_id, kalman_id_leader, epoch_time, any_pred.
+
+    Both tracks of a pair meet as they were measured and are filtered there, so that covariances are never stored or
+    shuffled.
+    """
+    f, l = F.col(follower), F.col(leader)  # noqa: E741
+    both = pairs.groupBy(F.least(f, l).alias("lo"), F.greatest(f, l).alias("hi")).agg(F.max(f < l).alias("up"), F.max(f > l).alias("down"))
+    each = both.select("*", F.explode(F.array("lo", "hi")).alias("__id"))
+    rows = steps.select("kalman_id", "epoch_time", "lane", *MEASURED, *CARRIED).join(each, F.col("kalman_id") == F.col("__id")).drop("__id")
+    on = ["lo", "hi", "lane", "epoch_time"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[["lo", "hi", "kalman_id"]].to_numpy()
+        rows, got, spots = tracked(pdf.assign(__k=np.cumsum(np.r_[0, (own[1:] != own[:-1]).any(axis=1)])), "__k", ["epoch_time"])
+        first = rows["kalman_id"].to_numpy() == rows["lo"].to_numpy()
+        side = rows[[*on, "up", "down", "predicted"]].assign(at=np.arange(len(rows)))
+        met = side[first].merge(side[~first], on=on, suffixes=("", "_other"))
+        i, j = met["at"].to_numpy(), met["at_other"].to_numpy()
+        p = got["P"].reshape(-1, 6, 6)
+        met = met.assign(any_pred=met["predicted"] | met["predicted_other"], association_distance=distances(spots[i], spots[j], p[i] + p[j]))
+        up, down = met[met["up"]], met[met["down"]]
+        out = pd.concat([up.assign(kalman_id=up["lo"], kalman_id_leader=up["hi"]), down.assign(kalman_id=down["hi"], kalman_id_leader=down["lo"])])
+        return out[["kalman_id", "kalman_id_leader", "epoch_time", "any_pred", "association_distance"]]
+
+    schema = "kalman_id long, kalman_id_leader long, epoch_time timestamp_ntz, any_pred boolean, association_distance double"
+    return by_track(rows.withColumn("__pair", F.xxhash64("lo", "hi")), "__pair", ["lo", "hi", "kalman_id", "epoch_time"], run, schema)
+
+
 def distance_2d(es: Column, ed: Column, ss: Column, dd: Column, sd: Column, maha: bool = False) -> Column:
     """The same in s and d alone, in closed form: ss, dd, sd are the summed covariances before measurement noise."""
     a, c = ss + R_ASSOC[0, 0], dd + R_ASSOC[2, 2]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import wrap
@@ -10,6 +12,22 @@ from ..schema import over
 from .timeseries import Names, _list, interpolated
 
 
+def mean_length(df: DataFrame, length: str = "length_s", dist: str = "dist") -> DataFrame:
+    """One row: the mean length seen from 10 to 50 m, __mean."""
+    return df.where(F.col(dist).between(10, 50)).agg(F.avg(length).alias("__mean"))
+
+
+def lifted_length(mean: Column, length: str = "length_s", dist: str = "dist") -> Column:
+    return F.when((F.col(dist) >= 50) & (F.col(length) < mean), mean).otherwise(F.col(length))
+
+
+def sides(rows: pd.DataFrame, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """front_s and back_s as mode 'mean' of ``front_back`` has them, from lengths that are lifted already."""
+    ap = rows["approaching"].fillna(False).to_numpy(bool)
+    front, back, length = (rows[c].to_numpy(float) for c in ("front_off", "back_off", "length_s"))
+    return np.where(ap, s + front, s + back + length), np.where(ap, s + front - length, s + back)
+
+
 def front_back(df: DataFrame, mode: str, s: str = "s", front: str = "front_off", back: str = "back_off", length: str = "length_s", dist: str = "dist", approaching: str = "approaching", keys: Names = (), order: Names = ()) -> DataFrame:
     """front_s and back_s of each row.
 
@@ -20,9 +38,8 @@ def front_back(df: DataFrame, mode: str, s: str = "s", front: str = "front_off",
     c = F.col
     if mode in ("mean", "nearest"):
         if mode == "mean":
-            mean = df.where(c(dist).between(10, 50)).agg(F.avg(length).alias("__mean"))  # one row
-            df = df.crossJoin(F.broadcast(mean))
-            own = F.when((c(dist) >= 50) & (c(length) < c("__mean")), c("__mean")).otherwise(c(length))
+            df = df.crossJoin(F.broadcast(mean_length(df, length, dist)))
+            own = lifted_length(c("__mean"), length, dist)
         else:
             df = df.withColumn("__mean", F.min_by(length, F.struct(dist, *_list(order))).over(over(_list(keys))))
             own = c("__mean")

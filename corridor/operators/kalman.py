@@ -184,17 +184,26 @@ def _dense(values: np.ndarray, t: np.ndarray, v: np.ndarray, fill=0.0) -> np.nda
 CALL_ROWS = 100_000
 
 
-def by_track(df: DataFrame, key: str, order: Sequence[str], run, schema: str, groups: int | None = None, rows: int | None = None) -> DataFrame:
-    """``run`` over whole tracks, as pandas frames of about ``rows`` rows.
+def dealt(df: DataFrame, key: str, groups: int | None = None) -> DataFrame:
+    """Rows dealt out by a hash of their key."""
+    return df.repartition(groups or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
-    Tracks are dealt out by a hash of their key and sorted within partitions (which spills), then stream through in
-    Arrow batches: a task holds that many rows and at most one more track, whatever the partition holds.
+
+def by_track(df: DataFrame, key: str, order: Sequence[str], run, schema: str, groups: int | None = None, rows: int | None = None, deal: bool = True) -> DataFrame:
+    """``run`` over whole tracks, as pandas frames of about ``rows`` rows; it returns a frame or an Arrow batch.
+
+    Tracks are dealt out by a hash of their key (unless they are already, ``deal``) and sorted within partitions (which
+    spills), then stream through in Arrow batches: a task holds that many rows and at most one more track, whatever the
+    partition holds.
     """
-    n = groups or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     limit = rows or CALL_ROWS
-    dealt = df.repartition(n, key).sortWithinPartitions(key, *order)
+    ordered = (dealt(df, key, groups) if deal else df).sortWithinPartitions(key, *order)
     at = df.columns.index(key)
 
+    def whole(held):
+        got = run(_frame(held))
+        return got if isinstance(got, pa.RecordBatch) else pa.RecordBatch.from_pandas(got, schema=target, preserve_index=False)
+
     def stream(batches):
         held: list[pa.RecordBatch] = []
         count = 0
@@ -209,13 +218,13 @@ def by_track(df: DataFrame, key: str, order: Sequence[str], run, schema: str, gr
                     break
                 if cut:
                     held.append(batch.slice(0, cut))
-                yield pa.RecordBatch.from_pandas(run(_frame(held)), schema=target, preserve_index=False)
+                yield whole(held)
                 held, count, batch = [], 0, batch.slice(cut)
         if held:
-            yield pa.RecordBatch.from_pandas(run(_frame(held)), schema=target, preserve_index=False)
+            yield whole(held)
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    return dealt.mapInArrow(stream, schema)
+    return ordered.mapInArrow(stream, schema)
 
 
 def _frame(batches: list[pa.RecordBatch]) -> pd.DataFrame:
@@ -236,6 +245,28 @@ def _kind(df: DataFrame, key: str) -> str:
     return df.schema[key].dataType.simpleString()
 
 
+def estimates(pdf: pd.DataFrame, key: str, order: Sequence[str], measurement: str | Sequence[str] = "measurement", dt: str = "time_diff", predicted: str = "predicted", missing: str = "missing", model: str = "imm") -> tuple[pd.DataFrame, dict[str, np.ndarray]]:
+    """Rows of whole tracks with time_ind, and what the filter says of each row: x, P, P_calc, mu.
+
+    ``measurement`` is a column of arrays or four columns.  Rows come by batches of tracks.
+    """
+    frames, parts = [], []
+    for rows, t, v, _ in _scatter(pdf, key, order):
+        z = np.stack(rows[measurement].to_numpy()).astype(float) if isinstance(measurement, str) else rows[list(measurement)].to_numpy(float)
+        z = _dense(z, t, v)
+        step = _dense(rows[dt].fillna(0).to_numpy(float), t, v)
+        pred = _dense(rows[predicted].to_numpy(bool), t, v, False)
+        seen = _dense(~(rows[missing].to_numpy(bool) | rows[predicted].to_numpy(bool)), t, v, False)
+        if model == "imm":
+            got = imm(z, step, seen, pred)
+        else:
+            x, p = kalman(z, step, seen, model)
+            got = {"x": x, "P": p, "P_calc": p, "mu": np.repeat(np.array([[[float(m == model) for m in ("calc", "calk", "cvlk")]]]), len(x), 0).repeat(x.shape[1], 1)}
+        frames.append(rows.assign(time_ind=t))
+        parts.append({k: g[t, v].reshape(len(t), -1) for k, g in got.items()})
+    return pd.concat(frames, ignore_index=True), {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
 def filtered(df: DataFrame, key: str, order: Sequence[str], measurement: str = "measurement", dt: str = "time_diff", predicted: str = "predicted", missing: str = "missing", model: str = "imm", groups: int | None = None) -> DataFrame:
     """Filter every track: key, time_ind, state, P, P_calc (36 numbers each) and mode weights.
 
@@ -244,42 +275,41 @@ def filtered(df: DataFrame, key: str, order: Sequence[str], measurement: str = "
     schema = _KEYED.format(key=key, kind=_kind(df, key)) + ", P array<double>, P_calc array<double>, mu_calc double, mu_calk double, mu_cvlk double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for rows, t, v, _ in _scatter(pdf, key, order):
-            z = _dense(np.stack(rows[measurement].to_numpy()).astype(float), t, v)
-            step = _dense(rows[dt].fillna(0).to_numpy(float), t, v)
-            pred = _dense(rows[predicted].to_numpy(bool), t, v, False)
-            seen = _dense(~(rows[missing].to_numpy(bool) | rows[predicted].to_numpy(bool)), t, v, False)
-            if model == "imm":
-                got = imm(z, step, seen, pred)
-            else:
-                x, p = kalman(z, step, seen, model)
-                got = {"x": x, "P": p, "P_calc": p, "mu": np.repeat(np.array([[[float(m == model) for m in ("calc", "calk", "cvlk")]]]), len(x), 0).repeat(x.shape[1], 1)}
-            flat = {k: g[t, v].reshape(len(t), -1) for k, g in got.items()}
-            out = pd.DataFrame({key: rows[key].to_numpy(), "time_ind": t, **{c: flat["x"][:, k] for k, c in enumerate(STATE)}})
-            out["P"], out["P_calc"] = list(flat["P"]), list(flat["P_calc"])
-            for k, c in enumerate(("mu_calc", "mu_calk", "mu_cvlk")):
-                out[c] = flat["mu"][:, k]
-            parts.append(out)
-        return pd.concat(parts, ignore_index=True)
+        rows, got = estimates(pdf, key, order, measurement, dt, predicted, missing, model)
+        out = pd.DataFrame({key: rows[key].to_numpy(), "time_ind": rows["time_ind"].to_numpy(), **{c: got["x"][:, k] for k, c in enumerate(STATE)}})
+        out["P"], out["P_calc"] = list(got["P"]), list(got["P_calc"])
+        for k, c in enumerate(("mu_calc", "mu_calk", "mu_cvlk")):
+            out[c] = got["mu"][:, k]
+        return out
 
     return by_track(df.select(key, *order, measurement, dt, predicted, missing), key, order, run, schema, groups)
 
 
+def smoothed_rows(pdf: pd.DataFrame, x: np.ndarray, p: np.ndarray, key: str, order: Sequence[str], dt: str = "time_diff", model: str = "calc") -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows of whole tracks with time_ind, and their smoothed states; ``x`` and ``p`` are the filtered ones of ``pdf``'s rows.
+
+    Rows come by batches of tracks; __row says which of ``pdf``'s each is.
+    """
+    frames, parts = [], []
+    for rows, t, v, sizes in _scatter(pdf.assign(__row=np.arange(len(pdf))), key, order):
+        at = rows["__row"].to_numpy()
+        ps = _dense(p[at], t, v)
+        pad = np.ones(ps.shape[:2], bool)
+        pad[t, v] = False
+        ps[pad] = np.eye(6)
+        xs, _ = smooth(_dense(x[at], t, v), ps, _dense(rows[dt].fillna(0).to_numpy(float), t, v), model, sizes)
+        frames.append(rows.assign(time_ind=t))
+        parts.append(xs[t, v])
+    return pd.concat(frames, ignore_index=True), np.concatenate(parts)
+
+
 def smoothed(df: DataFrame, key: str, order: Sequence[str], state: Sequence[str] = tuple(STATE), covariance: str = "P", dt: str = "time_diff", model: str = "calc", suffix: str = "_smooth", groups: int | None = None) -> DataFrame:
     """Backward smoothing of filtered tracks: key, time_ind and the smoothed state."""
     schema = f"{key} {_kind(df, key)}, time_ind long, " + ", ".join(f"{c}{suffix} double" for c in STATE)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for rows, t, v, sizes in _scatter(pdf, key, order):
-            x = _dense(rows[list(state)].to_numpy(float), t, v)
-            p = _dense(np.stack(rows[covariance].to_numpy()).astype(float).reshape(-1, 6, 6), t, v)
-            pad = np.ones(x.shape[:2], bool)
-            pad[t, v] = False
-            p[pad] = np.eye(6)
-            xs, _ = smooth(x, p, _dense(rows[dt].fillna(0).to_numpy(float), t, v), model, sizes)
-            parts.append(pd.DataFrame({key: rows[key].to_numpy(), "time_ind": t, **{f"{c}{suffix}": xs[t, v, k] for k, c in enumerate(STATE)}}))
-        return pd.concat(parts, ignore_index=True)
+        p = np.stack(pdf[covariance].to_numpy()).astype(float).reshape(-1, 6, 6)
+        rows, xs = smoothed_rows(pdf, pdf[list(state)].to_numpy(float), p, key, order, dt, model)
+        return pd.DataFrame({key: rows[key].to_numpy(), "time_ind": rows["time_ind"].to_numpy(), **{f"{c}{suffix}": xs[:, k] for k, c in enumerate(STATE)}})
 
     return by_track(df.select(key, *order, *state, covariance, dt), key, order, run, schema, groups)

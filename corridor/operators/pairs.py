@@ -22,9 +22,14 @@ def leader_follower(df: DataFrame, frame: Sequence[str], ident: str, s: str) ->
     return out.where(F.col("leader").isNotNull()).withColumn("s_gap", F.col(f"{s}_leader") - F.col(s))
 
 
+def ever_close(df: DataFrame, frame: Sequence[str], ident: str, s: str, max_gap: float) -> DataFrame:
+    """Pairs (__f, __l) that were ever next to each other within the gap."""
+    return leader_follower(df, frame, ident, s).where(F.col("s_gap") < max_gap).select(F.col(ident).alias("__f"), F.col("leader").alias("__l")).distinct()
+
+
 def leader_follower_history(df: DataFrame, frame: Sequence[str], ident: str, s: str, max_gap: float) -> DataFrame:
     """All common rows, frame by frame, of the pairs that were ever next to each other within the gap."""
-    close = leader_follower(df, frame, ident, s).where(F.col("s_gap") < max_gap).select(F.col(ident).alias("__f"), F.col("leader").alias("__l")).distinct()
+    close = ever_close(df, frame, ident, s, max_gap)
     ahead = with_suffix(df, "_leader", frame)
     mine = df.join(close, df[ident] == close["__f"])
     both = mine.join(ahead, [*[mine[c] == ahead[c] for c in frame], mine["__l"] == ahead[f"{ident}_leader"]]).drop("__f", "__l")

@@ -132,24 +132,26 @@ def rolling_mean(df: DataFrame, keys: Names, order: Names, column: str, before:
     return df.withColumn(into, F.when(F.count(F.lit(1)).over(w) == before + after + 1, mean) if full else mean)
 
 
-def densified(df: DataFrame, keys: Names, ts: str, step_ms: int, extend_ms: int, columns: Sequence[str], include_start: bool = False) -> DataFrame:
+def densified(df: DataFrame, keys: Names, ts: str, step_ms: int, extend_ms: int, columns: Sequence[str], include_start: bool = False, within: Names = ()) -> DataFrame:
     """Every key on a regular grid from its first (or first plus a step) to its last time plus an extension.
 
     Observed rows are matched by rounding their time to the step; ``predicted`` marks grid times beyond the last one,
-    ``missing`` times without a row.  Leading gaps go, inner ones are filled forward.
+    ``missing`` times without a row.  Leading gaps go, inner ones are filled forward.  Each observed time makes the rows up to
+    the next one, so observations are dealt out once.  ``within`` names columns that are the same on all rows of a key; rows
+    dealt by them stay where they are.
     """
-    keys = _list(keys)
-    grid = lambda c: F.floor((millis(c) + F.lit(step_ms / 2)) / F.lit(step_ms)).cast("long")
-    seen = df.withColumn("__g", grid(ts)).groupBy(*keys, "__g").agg(*[F.min_by(c, F.col(ts)).alias(c) for c in columns], F.lit(True).alias("__seen"))
-    span = df.groupBy(*keys).agg(F.min(grid(ts)).alias("__a"), F.max(grid(ts)).alias("__b"))
-    start = F.col("__a") + (0 if include_start else 1)
+    own = [*_list(within), *_list(keys)]
+    at = F.floor((millis(ts) + F.lit(step_ms / 2)) / F.lit(step_ms)).cast("long")
+    seen = df.dropna(subset=_list(keys)).withColumn("__g", at).where("__g IS NOT NULL").groupBy(*own, "__g").agg(*[F.min_by(c, F.col(ts)).alias(c) for c in columns])
+    seen = seen.withColumn("__a", F.min("__g").over(over(own)) + (0 if include_start else 1)).withColumn("__b", F.max("__g").over(over(own)))
     stop = F.col("__b") + int(extend_ms // step_ms)
-    slots = span.where(start <= stop).select(*keys, "__b", F.explode(F.sequence(start, stop)).alias("__g"))
-    # Observations may come from an explode, whose rows the planner does not count, so it must not broadcast them.
-    out = slots.join(seen.hint("merge"), [*keys, "__g"], "left").withColumn("predicted", F.col("__g") > F.col("__b")).withColumn("missing", F.col("__seen").isNull())
-    w = over(keys, "__g").rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns}).withColumn("__any", F.max(F.col("__seen")).over(w))
-    return out.where("__any").select(*keys, plus_millis(F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("__g") * step_ms).alias(ts), *columns, "predicted", "missing")
+    seen = seen.where((F.col("__g") >= F.col("__a")) & (F.col("__g") <= stop))
+    w = over(own, "__g")
+    last = F.least(F.coalesce(F.lead("__g").over(w) - 1, stop), stop)
+    filled = {c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in columns}
+    out = seen.withColumns({**filled, "__z": last}).withColumn("__t", F.explode(F.sequence("__g", "__z")))
+    time = plus_millis(F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("__t") * step_ms).alias(ts)
+    return out.select(*own, time, *columns, (F.col("__t") > F.col("__b")).alias("predicted"), (F.col("__t") != F.col("__g")).alias("missing"))
 
 
 def standing_still(df: DataFrame, keys: Names, order: Names, speed: str, columns: Names, limit: float = 0.01) -> DataFrame:

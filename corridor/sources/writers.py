@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
@@ -37,6 +38,17 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession):
+    """Shuffles of what is run inside are removed as soon as it ends."""
+    before = spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, True)
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+
+
 def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df written below the shared folder and read back, which cuts its lineage and survives lost executors.
 
@@ -44,12 +56,8 @@ def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
     when the driver ends.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/part-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLES_GO)
-    spark.conf.set(SHUFFLES_GO, True)
-    try:
+    with shuffles_go(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(SHUFFLES_GO, before)
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
@@ -105,5 +113,6 @@ class StageStore:
         path = self.path(name, config, inputs)
         p, fs = _hadoop_path(self.spark, f"{path}/_SUCCESS")
         if not fs.exists(p):
-            stage().write.mode("overwrite").parquet(path)
+            with shuffles_go(self.spark):
+                stage().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)

@@ -631,3 +631,87 @@ def test_straight_lanes_need_no_squares():
     got = near.distance(px, py, h, np.radians(10))
     assert 100 < np.isfinite(got).sum() < 3000
     np.testing.assert_allclose(got, d.min(axis=1), atol=1e-9)
+
+
+def crowded(spark):
+    """Steps of vehicles that up to four sensors see at once, side by side in places, with gaps, lengths seen short from afar and a null lane."""
+    from pyspark.sql import functions as F
+
+    t = synthetic.corridor(spark, vehicles=5, gap_seconds=1.0).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("truth_id").cast("int") % 4)))
+    t = t.where("k = 0 OR pmod(xxhash64(truth_id, ip, k, epoch_time), 4) > 0").withColumn("object_id", F.xxhash64("object_id", "k")).withColumn("s", F.col("s") + F.col("k") * 0.3)
+    t = t.withColumn("approaching", F.when(F.col("ip") == "a", F.col("k") % 2 == 0)).withColumn("f32_length_m", F.when(F.col("dist") > 60, 3.5).otherwise(F.col("f32_length_m")))
+    t = t.withColumn("lane", F.when((F.col("truth_id") == 4) & (F.col("k") == 0), None).otherwise(F.col("lane")))
+    return pipeline.lengthened(pipeline.extended(pipeline.sessions(t, pipeline.Settings()), pipeline.Settings())).localCheckpoint()
+
+
+def as_states(steps):
+    """Every step with its estimate and covariances, front and back."""
+    from pyspark.sql import functions as F
+
+    from corridor.operators import extents
+
+    got = kalman.filtered(steps.withColumn("measurement", F.array(*assoc.MEASURED)), "kalman_id", ["epoch_time"])
+    return extents.front_back(steps.drop("s", "s_velocity", "d", "d_velocity").join(got, ["kalman_id", "time_ind"]).withColumn("dist", F.lit(0.0)), "mean").localCheckpoint()
+
+
+def test_distances_of_tracks_that_are_filtered_where_they_meet(spark):
+    """Pairs that get their covariances in the kernel against joined rows of states."""
+    from pyspark.sql import functions as F
+
+    from corridor.operators import pairs
+
+    steps, cfg = crowded(spark), pipeline.Settings()
+    states, key = as_states(steps), ["kalman_id", "kalman_id_leader", "epoch_time"]
+    both = assoc.association_distance(pairs.leader_follower_history(states, ["epoch_time", "lane"], "kalman_id", "s", cfg.max_gap))
+    want = both.select(*key, (F.col("predicted") | F.col("predicted_leader")).alias("any_pred"), "association_distance").toPandas().sort_values(key, ignore_index=True)
+    near = pipeline.close(steps, cfg)
+    got = assoc.pair_distances(steps, near, "kalman_id", "leader").toPandas().sort_values(key, ignore_index=True)
+    assert len(want) > 1000 and near.where("kalman_id < leader").count() and near.where("kalman_id > leader").count()
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9)
+
+
+def test_trajectories_of_vehicles_against_joined_operators(spark):
+    """Filter, fusion, summary and smoother in one kernel a vehicle against the operators, one after the other, and their joins."""
+    from pyspark.sql import functions as F
+
+    from corridor.operators import timeseries
+    from corridor.operators.kalman import STATE
+
+    steps, cfg = crowded(spark), pipeline.Settings()
+    edges = pipeline.matched(steps, pipeline.close(steps, cfg), cfg)
+    components = pipeline.vehicles(steps, edges, cfg).localCheckpoint()
+    assert components.groupBy("component").count().where("count > 2").count()
+    frame = ["vehicle_id", "time_index"]
+    assigned = assoc.with_vehicle(as_states(steps), components, "kalman_id")
+    chosen = fusion.contributors(assigned, "vehicle_id", "kalman_id", "epoch_time", "predicted", cfg.most_tracks, cfg.prediction_seconds, cfg.skip).localCheckpoint()
+    info = fusion.augmented(chosen, frame, "kalman_id", "front_s", "back_s", "approaching", "predicted", [F.min("epoch_time").alias("epoch_time"), F.max("lane").alias("lane")])
+    far = fusion.greatest_pair_distance(chosen.where("NOT predicted"), frame, "contributor", assoc.association_distance)
+    fused = fusion.fused(chosen, "vehicle_id", "epoch_time").join(info, frame).join(far, frame, "left")
+    fused = timeseries.time_delta(fused, "vehicle_id", "epoch_time", "epoch_time")
+    soft = kalman.smoothed(fused, "vehicle_id", ["epoch_time"], [f"ci_{c}" for c in STATE], "ci_P")
+    fused = timeseries.positions(fused, "vehicle_id", "epoch_time", "time_ind").join(soft, ["vehicle_id", "time_ind"])
+    got = pipeline.trajectories(steps, components, cfg)
+    assert set(got.columns) == {*fused.columns, "s_velocity", "centre_shift"}
+    cols = [c for c in got.columns if c in fused.columns]
+    want, got = (d.select(*cols).toPandas().sort_values(frame, ignore_index=True) for d in (fused, got))
+    assert want.n_tracks.max() == 3 and want.association_distance.isna().any() and want.association_distance.notna().any()
+    for c in ("ci_P", "tracks"):
+        for a, b in zip(got.pop(c), want.pop(c), strict=True):
+            np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9)
+    pd.testing.assert_frame_equal(got, want, rtol=1e-7, atol=1e-9, check_dtype=False)
+
+
+def test_no_covariance_is_written_or_shuffled(spark, tmp_path):
+    """States weigh some 700 bytes a step: they are computed where they are needed, and a track's steps are dealt out once a stage."""
+    from corridor.sources.writers import StageStore
+
+    lanes = geo.network(spark, synthetic.LANES, 1.0)
+    out = pipeline.run(synthetic.corridor(spark, vehicles=3), lanes=lanes, store=StageStore(spark, f"file://{tmp_path}"))
+    assert out.count()
+    stages = {p.name.split("-")[0]: spark.read.parquet(str(p)) for p in tmp_path.iterdir()}
+    assert set(stages) == {"steps", "close", "edges", "vehicles", "trajectories"}
+    assert not [c for k, d in stages.items() if k != "trajectories" for c, kind in d.dtypes if kind.startswith("array")]
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    cfg = pipeline.Settings()
+    assert plan(pipeline.extended(pipeline.sessions(synthetic.corridor(spark, vehicles=3), cfg), cfg)).count("Exchange hashpartitioning") == 1
+    assert plan(pipeline.trajectories(stages["steps"], stages["vehicles"], cfg)).count("Exchange hashpartitioning(vehicle_id") == 1
